@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .ngram_join import op1_ngram_jaccard_join
+from .substring_dedup import op2_substring_dedup
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_substring_dedup": op2_substring_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
