@@ -6,11 +6,13 @@ from .bpe import op4_bpe
 from .media import op7_media
 from .ngram_join import op1_ngram_jaccard_join
 from .substring_dedup import op2_substring_dedup
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_bpe": op4_bpe,
     "op7_media": op7_media,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
