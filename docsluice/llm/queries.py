@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_bpe
 from .media import op7_media
+from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import op1_ngram_jaccard_join
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op10_toxicity
@@ -12,7 +13,8 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
     "op4_bpe": op4_bpe,
+    "op6_mixing": op6_mixing,
     "op7_media": op7_media,
     "op10_toxicity": op10_toxicity,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}

@@ -194,11 +194,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, label: str =
     return lexicon
 
 
-def measured_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs(text, ...) without text, with score, weight, hits and words."""
+def measured_texts(docs: DataFrame, lexicon: Lexicon, keep_text: bool = False) -> DataFrame:
+    """docs(text, ...) with score, weight, hits and words, and without text unless it is to be kept."""
     added = {"score": "double", "weight": "double", "hits": "long", "words": "long"}
     own = [c for c in docs.columns if c.lower() not in {"text", *added}]
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own) + ", ".join(f"{k} {v}" for k, v in added.items())
+    kept = [*own, "text"] if keep_text else own
+    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own) + ("text string, " if keep_text else "") + ", ".join(f"{k} {v}" for k, v in added.items())
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def measured_texts(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 rows = [lex.measure(t or "") for t in piece.column("text").to_pylist()]
                 weight, hits, words = (np.array(c) for c in zip(*rows))
                 score = lex.score(weight, words)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(score), pa.array(weight), pa.array(hits, pa.int64()), pa.array(words, pa.int64())], [*own, *added])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in kept), pa.array(score), pa.array(weight), pa.array(hits, pa.int64()), pa.array(words, pa.int64())], [*kept, *added])
 
     return docs.select(*own, F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
 
