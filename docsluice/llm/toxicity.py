@@ -7,8 +7,8 @@ unless it lies in an exception phrase. The sum is normalised by the text's lengt
 curve turns it into a score.
 
 The lexicon's weights and the curve are learnt from labelled rows of the training folds: at most
-LABELLED of them, picked by a hash of doc_id. An entry's weight is the lower confidence bound of the
-log ratio of its rates among toxic and other words; the curve is fitted on labelled rows that the
+LABELLED of them, picked by a hash of doc_id. An entry needs a significant likelihood ratio; its
+weight is the log ratio of its rates among toxic and other words less its standard error; the curve is fitted on labelled rows that the
 lexicon has not seen. A small base lexicon stands where labels say nothing.
 
 Defined cases: null counts as empty; an empty text has the curve's value at zero; rows that repeat a
@@ -35,8 +35,10 @@ from .words import slices
 #: Labelled rows that are used at most, entries that are kept at most, and toxic texts that an entry needs.
 LABELLED, ENTRIES, SUPPORT = 12_000, 4_096, 5
 LEAST_WEIGHT, CUT = 1.5, 0.5
+#: The log-likelihood ratio that an entry needs (20: about one in 100,000 by chance).
+EVIDENCE = 20.0
 PREFIXES = range(3, 9)
-BASE = {w: 4.0 for w in ("idiot", "moron", "imbecile", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "dumbass", "asshole", "bastard", "bitch", "retard")}
+BASE = {w: 4.0 for w in ("idiot", "moron", "imbecile", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "dumbass", "asshole", "bastard", "bitch", "retard")}
 EXCEPTIONS = ("worthless currency", "stupid question i know", "sore loser rule", "pathetic fallacy", "trash can", "trash bin", "trash collection", "clown fish", "pond scum")
 #: Letters of other scripts that look like Latin ones, and signs written for letters.
 LOOKALIKES = dict(zip("аеорсухіјѕԁһӏкмтвнαοερτυικνѵɡ", "aeopcyxijsdhlkmtbhaoeptuiknvg", strict=True))
@@ -147,6 +149,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
+def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
+    """Twice the log-likelihood ratio that a of n and b of m texts have different rates; 0 where a's is not the greater."""
+    rate = (a + b) / (n + m)
+
+    def part(k: np.ndarray, total: float) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(k > 0, k * np.log(k / (total * rate)), 0) + np.where(k < total, (total - k) * np.log((total - k) / (total * np.maximum(1 - rate, 1e-12))), 0)
+
+    return np.where(a / n > b / m, 2 * (part(a, n) + part(b, m)), 0)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How often each beginning of a word occurs in texts of either label, and in how many of them."""
     seen: dict[str, list[int]] = {}
@@ -181,7 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, label: str =
         t, o = own.toxic.to_numpy(float), own.other.to_numpy(float)
         ratio = np.log((t + 0.5) / totals.toxic.iloc[0]) - np.log((o + 0.5) / totals.other.iloc[0])
         texts_t, texts_o = own.toxic_texts.to_numpy(float), own.other_texts.to_numpy(float)
-        bound = ratio - 1.64 * np.sqrt(1 / (texts_t + 0.5) + 1 / (texts_o + 0.5))
+        bound = ratio - np.sqrt(1 / (texts_t + 0.5) + 1 / (texts_o + 0.5))
+        bound[likelihood_ratio(texts_t, texts_o, float(totals.toxic_texts.iloc[0]), float(totals.other_texts.iloc[0])) < EVIDENCE] = 0
         order = sorted(((len(e), e, b) for e, b in zip(own.entry, bound) if b >= LEAST_WEIGHT), key=lambda x: x[:2])
         for _, e, b in order:  # a longer entry is kept where it says more than its own beginnings
             if all(b > weights[e[:k]] + 0.5 for k in PREFIXES if e[:k] in weights):
