@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .media import op7_media
 from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import op1_ngram_jaccard_join
+from .quality import op9_quality
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op10_toxicity
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
+    "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {"op6_mixing": OP6_SQL}
