@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .language_model import op3_masked_lm
 from .media import op7_media
 from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import op1_ngram_jaccard_join
@@ -13,6 +14,7 @@ from .toxicity import op10_toxicity
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_masked_lm": op3_masked_lm,
     "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
