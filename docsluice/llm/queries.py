@@ -10,6 +10,7 @@ from .ngram_join import op1_ngram_jaccard_join
 from .quality import op9_quality
 from .substring_dedup import op2_substring_dedup
 from .toxicity import op10_toxicity
+from .vector_search import op8_vector_search
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
+    "op8_vector_search": op8_vector_search,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
