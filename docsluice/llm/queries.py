@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .html_text import op5_html_text
 from .language_model import op3_masked_lm
 from .media import op7_media
 from .mixing import OP6_SQL, op6_mixing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_masked_lm": op3_masked_lm,
     "op4_bpe": op4_bpe,
+    "op5_html_text": op5_html_text,
     "op6_mixing": op6_mixing,
     "op7_media": op7_media,
     "op8_vector_search": op8_vector_search,
