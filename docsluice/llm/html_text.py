@@ -115,6 +115,8 @@ class Builder(HTMLParser):
 def parse(html: str) -> Node:
     b = Builder()
     b.feed(html)
+    if re.match(r"</?[A-Za-z]", b.rawdata):  # a tag that the page breaks off in is no text
+        b.rawdata = ""
     b.close()
     return b.root
 
