@@ -1,6 +1,571 @@
-"""The registered queries of the review engine and their SQL."""
+"""The registered queries of the review engine over the driver's tables, and their SQL.
+
+The tables are not about papers, so each query first maps one to the schema that its operator
+reads (orders are papers, lineitem are findings, events are progress events, ...). The prose is
+invented: lexicons are parameters, and these queries use words that occur in it.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import dims
+from .functions import scalars as S
+from .operators import evaluation, grounding, lifecycle, reporting, resolution, scoring, text, validate
+from .sources import articles
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# the tables as papers and findings
+
+PROFILES = ["general_empirical", "randomized_experiment", "observational_study", "systematic_review_meta_analysis", "computational_ml_modeling", "common_core"]
+
+
+def numbered_rubric() -> list[tuple]:
+    out, count = [], {}
+    for profile, module, pos, item in dims.rubric_rows():
+        k = count[profile] = count.get(profile, -1) + 1
+        out.append((profile, module, pos, item, k))
+    return out
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    level = F.when(F.col("o_orderkey") % 4 == 0, "metadata").when(F.col("o_orderkey") % 4 == 1, "abstract").otherwise("full_text")
+    failures = F.when(F.col("o_orderpriority") == "1-URGENT", F.array(F.lit("statistics"))).otherwise(F.array().cast("array<string>"))
+    profile = F.element_at(F.array(*map(F.lit, PROFILES)), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return o.select(F.col("o_orderkey").alias("paper_id"), profile.alias("profile"), level.alias("level"), (F.col("o_orderstatus") != "P").alias("reviewer_done"), failures.alias("failures"))
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = F.col("l_quantity")
+    grade = F.when(q < 15, "no_concern").when(q < 28, "minor_concern").when(q < 38, "major_concern").when(q < 44, "critical_concern").otherwise("not_assessed")
+    gone = F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 3), "discarded").otherwise("accepted")
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), (F.col("l_partkey") % 24).cast("int").alias("k"), grade.alias("grade"), gone.alias("critic_disposition"), F.when(F.col("l_linestatus") == "F", 1).otherwise(0).alias("spans"))
+    items = spark.createDataFrame(numbered_rubric(), "profile string, category string, item_pos int, rubric_item string, k int")
+    named = rows.join(papers(spark, sf_dir).select("paper_id", "profile"), "paper_id").join(F.broadcast(items), ["profile", "k"], "left")  # fewer than 200 items
+    return named.select("paper_id", "pos", F.coalesce("category", F.lit("unlisted")).alias("category"), F.coalesce("rubric_item", F.lit("unlisted_item")).alias("rubric_item"), "grade", "critic_disposition", "spans")
+
+
+PAPERS_SQL = f"""
+papers AS (SELECT o_orderkey AS paper_id, (['{"', '".join(PROFILES)}'])[o_orderkey % 6 + 1] AS profile,
+  CASE o_orderkey % 4 WHEN 0 THEN 'metadata' WHEN 1 THEN 'abstract' ELSE 'full_text' END AS level,
+  o_orderstatus <> 'P' AS reviewer_done, o_orderpriority = '1-URGENT' AS stat_failed FROM orders),
+rubric AS {dims.sql_values(numbered_rubric(), "profile, module_key, item_pos, rubric_item, k")},
+modules AS {dims.sql_values(dims.module_rows(), "module_key, module_pos, label, weight, min_level")},
+levels AS {dims.sql_values(list(dims.LEVELS.items()), "level, ord")},
+grades AS {dims.sql_values(list(dims.GRADE_SCORES.items()), "grade, points")},
+ranks AS {dims.sql_values(list(dims.GRADE_RANK.items()), "grade, rank")},
+findings AS (SELECT l_orderkey AS paper_id, l_linenumber::BIGINT * 1000000 + l_partkey AS pos, coalesce(r.module_key, 'unlisted') AS category, coalesce(r.rubric_item, 'unlisted_item') AS rubric_item,
+  CASE WHEN l_quantity < 15 THEN 'no_concern' WHEN l_quantity < 28 THEN 'minor_concern' WHEN l_quantity < 38 THEN 'major_concern' WHEN l_quantity < 44 THEN 'critical_concern' ELSE 'not_assessed' END AS grade,
+  CASE WHEN l_returnflag = 'R' AND l_linenumber > 3 THEN 'discarded' ELSE 'accepted' END AS critic_disposition, (l_linestatus = 'F')::INT AS spans
+  FROM lineitem l JOIN papers p ON l_orderkey = p.paper_id LEFT JOIN rubric r ON r.profile = p.profile AND r.k = l_partkey % 24)"""
+SCORES_SQL = PAPERS_SQL + """,
+assessed AS (SELECT f.paper_id, f.category AS module_key, f.rubric_item, g.points, row_number() OVER (PARTITION BY f.paper_id, f.category, f.rubric_item ORDER BY f.pos DESC, grade) AS turn
+  FROM findings f JOIN grades g USING (grade) WHERE critic_disposition <> 'discarded' AND category <> 'unlisted'),
+sums AS (SELECT paper_id, module_key, count(*) AS n, sum(points) AS total FROM assessed WHERE turn = 1 GROUP BY ALL),
+expected AS (SELECT profile, module_key, count(*) AS expected FROM rubric GROUP BY ALL),
+dims AS (SELECT p.paper_id, p.profile, p.level, p.reviewer_done, p.stat_failed, m.module_key, m.module_pos, m.label, m.weight, e.expected, coalesce(s.n, 0) AS n, coalesce(s.total, 0) AS total, a.ord >= b.ord AS eligible,
+  round_even(coalesce(s.total / s.n, 0), 1) AS score,
+  CASE WHEN a.ord < b.ord THEN 'ineligible_at_content_level' WHEN stat_failed AND m.module_key = 'statistics' THEN 'module_failed' WHEN NOT reviewer_done THEN 'unreviewed' ELSE 'completed' END AS state
+  FROM papers p JOIN expected e USING (profile) JOIN modules m USING (module_key) JOIN levels a ON a.level = p.level JOIN levels b ON b.level = m.min_level LEFT JOIN sums s ON s.paper_id = p.paper_id AND s.module_key = m.module_key)"""
+
+
+def _dims(spark: SparkSession, sf_dir: str) -> tuple:
+    return papers(spark, sf_dir), findings(spark, sf_dir), dims.modules(spark), dims.rubric(spark)
+
+
+@query("WITH " + SCORES_SQL + """,
+t AS (SELECT paper_id, profile, reviewer_done, stat_failed, sum(total * weight / expected) AS weighted, sum(n * weight / expected) AS aw, sum(n) AS a, sum(expected) AS e,
+  sum(n) FILTER (WHERE eligible) AS ae, sum(expected) FILTER (WHERE eligible) AS ee, sum(weight) FILTER (WHERE eligible) AS ew, sum(n) FILTER (WHERE module_key = 'disclosures') AS c, sum(expected) FILTER (WHERE module_key = 'disclosures') AS ce FROM dims GROUP BY ALL)
+SELECT paper_id, profile, round_even(CASE WHEN aw > 0 THEN weighted / aw ELSE 0 END, 1) AS review_score, round_even(ae / ee, 3) AS available, round_even(a / e, 3) AS full_review,
+  round_even(aw / ew, 3) AS weighted_coverage, round_even(c / ce, 3) AS context_coverage, (a / e < 0.7 OR stat_failed OR NOT reviewer_done) AS provisional FROM t""")
+def review_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.review_scores(*_dims(spark, sf_dir)).drop("limitations")
+
+
+@query("WITH " + SCORES_SQL + " SELECT paper_id, module_key, n::INT AS assessed_items, expected::INT AS expected_items, score, eligible, state FROM dims")
+def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.dimension_scores(*_dims(spark, sf_dir)).select("paper_id", "module_key", "assessed_items", "expected_items", "score", "eligible", "state")
+
+
+@query("WITH " + PAPERS_SQL + """,
+quality AS """ + dims.sql_values(list(dims.SOURCE_QUALITY.items()), "source_format, q") + """,
+runs AS (SELECT o_orderkey AS paper_id, (o_orderkey % 25) / 24.0::DOUBLE AS coverage, o_orderkey % 6 AS ok, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 5 END AS eligible, o_orderkey % 11 AS grounded, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 10 END AS attempts, (['jats', 'html', 'pdf', 'abstract', 'metadata'])[o_orderkey % 5 + 1] AS source_format FROM orders)
+SELECT paper_id, round_even(CASE WHEN eligible > 0 THEN ok / eligible ELSE 0 END, 3) AS module_coverage, round_even(CASE WHEN attempts > 0 THEN grounded / attempts ELSE 0 END, 3) AS grounding_rate, q AS source_quality, attempts - grounded AS unsupported_attempts,
+  round_even(100 * (0.35::DOUBLE * coverage + 0.25::DOUBLE * (CASE WHEN eligible > 0 THEN ok / eligible ELSE 0 END) + 0.25::DOUBLE * (CASE WHEN attempts > 0 THEN grounded / attempts ELSE 0 END) + 0.15::DOUBLE * q), 1) AS confidence_score FROM runs JOIN quality USING (source_format)""")
+def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    formats = F.element_at(F.array(*map(F.lit, dims.SOURCE_QUALITY)), (k % 5 + 1).cast("int"))
+    runs = table(spark, sf_dir, "orders").select(k.alias("paper_id"), ((k % 25) / F.lit(24.0)).alias("coverage"), (k % 6).alias("modules_ok"), F.when(k % 7 == 0, 0).otherwise(5).alias("modules_eligible"), (k % 11).alias("grounded"), F.when(k % 11 == 0, 0).otherwise(10).alias("attempts"), formats.alias("source_format"))
+    return scoring.confidence(runs)
+
+
+@query("WITH " + PAPERS_SQL + """ SELECT p.paper_id, m.module_pos * 100 + r.item_pos AS pos, r.module_key AS category, r.rubric_item, 'not_assessed' AS grade, 'unreviewed' AS critic_disposition
+FROM papers p JOIN rubric r USING (profile) JOIN modules m USING (module_key) JOIN levels a ON a.level = p.level JOIN levels b ON b.level = m.min_level WHERE a.ord >= b.ord""")
+def baseline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.baseline_findings(papers(spark, sf_dir), dims.modules(spark), dims.rubric(spark))
+
+
+@query("WITH " + SCORES_SQL + """,
+own AS (SELECT f.*, r.rank FROM findings f JOIN ranks r USING (grade) WHERE critic_disposition <> 'discarded'),
+c AS (SELECT paper_id, category AS module_key, count(*) AS all_, count(*) FILTER (WHERE grade <> 'not_assessed') AS graded, count(*) FILTER (WHERE grade IN ('minor_concern', 'major_concern', 'critical_concern')) AS concerns, string_agg(rubric_item, ',' ORDER BY rank, pos) AS items FROM own GROUP BY ALL),
+j AS (SELECT coalesce(d.paper_id, c.paper_id) AS paper_id, coalesce(d.module_key, c.module_key) AS module_key, d.module_key IS NOT NULL AS is_module, coalesce(d.label, upper(c.module_key[1]) || c.module_key[2:]) AS label, d.state, d.score,
+  (CASE WHEN d.module_key IS NOT NULL THEN d.n ELSE c.graded END)::INT AS assessed_items, (CASE WHEN d.module_key IS NOT NULL THEN d.expected ELSE c.all_ END)::INT AS expected_items, coalesce(c.concerns, 0)::INT AS concern_count, c.items FROM dims d FULL JOIN c ON d.paper_id = c.paper_id AND d.module_key = c.module_key)
+SELECT paper_id, module_key, is_module, label, state, assessed_items, expected_items, greatest(0, expected_items - assessed_items) AS gap_count, concern_count,
+  CASE concern_count WHEN 0 THEN 'No concerns' WHEN 1 THEN '1 concern' ELSE concern_count || ' concerns' END AS concern_label, CASE WHEN is_module AND assessed_items > 0 THEN score END AS score, items FROM j""")
+def assessment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f, m, r = _dims(spark, sf_dir)
+    return reporting.assessment_groups(f, scoring.dimension_scores(p, f, m, r)).drop("place").withColumn("items", F.array_join("items", ","))
+
+
+@query("WITH " + PAPERS_SQL + """ SELECT paper_id, pos, rubric_item, grade, turn::INT AS turn FROM (SELECT f.*, row_number() OVER (PARTITION BY paper_id ORDER BY rank, pos) AS turn FROM findings f JOIN ranks USING (grade)
+WHERE critic_disposition <> 'discarded' AND grade IN ('minor_concern', 'major_concern', 'critical_concern')) WHERE turn <= 4""")
+def takeaways_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.takeaways(findings(spark, sf_dir)).select("paper_id", "pos", "rubric_item", "grade", "turn")
+
+
+@query("WITH " + PAPERS_SQL + " SELECT paper_id, grade, count(*) AS n FROM findings WHERE critic_disposition <> 'discarded' AND grade <> 'not_assessed' GROUP BY ALL")
+def grade_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.grade_histogram(findings(spark, sf_dir))
+
+
+@query("WITH " + PAPERS_SQL + """ SELECT paper_id, count(*) FILTER (WHERE grade IN ('minor_concern', 'major_concern', 'critical_concern')) AS feed_concerns,
+count(*) FILTER (WHERE grade IN ('minor_concern', 'major_concern', 'critical_concern') AND critic_disposition <> 'discarded') AS gallery_concerns FROM findings GROUP BY paper_id""")
+def concern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.concern_counts(findings(spark, sf_dir))
+
+
+@query("WITH " + PAPERS_SQL + """ SELECT p.paper_id, r.module_key, string_agg(r.rubric_item, ',' ORDER BY r.rubric_item) AS missing FROM papers p JOIN rubric r USING (profile)
+WHERE NOT EXISTS (SELECT 1 FROM findings f WHERE f.paper_id = p.paper_id AND f.rubric_item = r.rubric_item) GROUP BY ALL""")
+def missing_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f, _, r = _dims(spark, sf_dir)
+    return scoring.missing_items(p, f, r).withColumn("missing", F.array_join("missing", ","))
+
+
+@query("WITH " + PAPERS_SQL + """ SELECT paper_id, string_agg(DISTINCT rubric_item, ',') AS unknown FROM findings WHERE rubric_item = 'unlisted_item' GROUP BY paper_id""")
+def unknown_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f, _, r = _dims(spark, sf_dir)
+    return scoring.unknown_items(p, f, r).withColumn("unknown", F.array_join("unknown", ","))
+
+
+@query("WITH " + PAPERS_SQL + """,
+c AS (SELECT f.*, row_number() OVER (PARTITION BY paper_id ORDER BY rank, category, rubric_item, pos) AS turn FROM findings f JOIN ranks USING (grade) WHERE grade IN ('minor_concern', 'major_concern', 'critical_concern') AND spans > 0),
+l AS (SELECT paper_id, string_agg(rubric_item || '. Rated ' || grade || ' at ' || pos, chr(10) ORDER BY turn) AS lines FROM c WHERE turn <= 4 GROUP BY paper_id),
+n AS (SELECT p.paper_id, count(f.pos) FILTER (WHERE f.grade <> 'not_assessed') AS a, count(f.pos) AS e FROM papers p LEFT JOIN findings f USING (paper_id) GROUP BY p.paper_id)
+SELECT paper_id, coalesce(lines, 'No evidence-grounded methodological concern was accepted in the assessed items.') || chr(10) || 'The final review assessed ' || a || ' of ' || e || ' methodology items.' AS summary FROM n LEFT JOIN l USING (paper_id)""")
+def review_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f, *_ = _dims(spark, sf_dir)
+    rows = f.withColumns({"severity": dims.mapped("grade", dims.SEVERITY), "title": F.col("rubric_item"), "explanation": F.concat(F.lit("Rated "), F.col("grade"), F.lit(" at "), F.col("pos")), "paper_spans": F.array_repeat(F.lit(1), F.col("spans"))})
+    counts = p.select("paper_id").join(f.groupBy("paper_id").agg(F.count_if(F.col("grade") != "not_assessed").alias("assessed"), F.count("*").alias("expected")), "paper_id", "left").fillna(0)
+    # one finding an item in reports; here an item can come twice, so ties go by pos
+    unique = rows.withColumn("rubric_item", F.concat("rubric_item", F.format_string(" %015d", "pos")))
+    return reporting.summaries(unique, counts).withColumn("summary", F.array_join("summary", "\n"))
+
+
+@query("WITH " + PAPERS_SQL + """,
+e AS (SELECT p.paper_id, r.rubric_item, r.item_pos FROM papers p JOIN rubric r USING (profile) WHERE r.module_key = 'claims'),
+h AS (SELECT e.paper_id, count(DISTINCT e.rubric_item) AS e, count(DISTINCT e.rubric_item) FILTER (WHERE f.grade IN ('no_concern', 'minor_concern')) AS h FROM e LEFT JOIN findings f ON f.paper_id = e.paper_id AND f.rubric_item = e.rubric_item GROUP BY e.paper_id),
+a AS (SELECT paper_id, count(*) AS a, sum(spans) AS g, string_agg(rubric_item, ',' ORDER BY rubric_item) FILTER (WHERE rubric_item IN ('missing_data', 'causal_language')) AS bad FROM findings WHERE grade <> 'not_assessed' GROUP BY paper_id)
+SELECT h.paper_id AS case_id, round_even(h.h / h.e, 3) AS finding_recall, round_even(coalesce(g / a, 0), 3) AS grounding_rate, round_even(coalesce((a - g) / a, 0), 3) AS unsupported_rate, coalesce(bad, '') AS forbidden_assessed FROM h LEFT JOIN a USING (paper_id)""")
+def evaluate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, f, _, r = _dims(spark, sf_dir)
+    cases = p.select(F.col("paper_id").alias("case_id"), F.array(F.lit("missing_data"), F.lit("causal_language")).alias("forbidden"), F.array().cast("array<string>").alias("warnings"))
+    wanted = p.join(F.broadcast(r.where("module_key = 'claims'")), "profile").select(F.col("paper_id").alias("case_id"), F.col("rubric_item").alias("id"), "rubric_item", F.array(F.lit("no_concern"), F.lit("minor_concern")).alias("grades"))
+    rows = f.withColumnRenamed("paper_id", "case_id")
+    none = spark.createDataFrame([], "case_id long, id string, hit boolean, false_absence boolean")
+    out = evaluation.evaluate(cases, none, evaluation.finding_hits(wanted, rows), rows)
+    return out.select("case_id", "finding_recall", "grounding_rate", "unsupported_rate", F.array_join("forbidden_assessed", ",").alias("forbidden_assessed"))
+
+
+@query("""WITH e AS (SELECT conv_id AS case_id, w.id, w.term FROM (SELECT DISTINCT conv_id FROM conversations) c, (VALUES ('a', 'the'), ('b', 'idiot'), ('c', 'ung')) w(id, term)),
+h AS (SELECT e.case_id, e.id, coalesce(bool_or(contains(lower(text), term)) FILTER (WHERE role = 'user'), false) AS hit, coalesce(bool_or(role = 'system'), false) AS absent FROM e JOIN conversations ON conv_id = case_id GROUP BY ALL)
+SELECT case_id, round_even(count(*) FILTER (WHERE hit) / count(*), 3) AS evidence_recall, round_even(count(*) FILTER (WHERE NOT hit AND absent) / count(*), 3) AS false_absence_rate FROM h GROUP BY case_id""")
+def evaluate_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    state = F.when(F.col("role") == "user", "observed").when(F.col("role") == "system", "not_found").otherwise("ambiguous")
+    notes = c.select(F.col("conv_id").alias("case_id"), F.lit("m").alias("module_key"), F.lit("i").alias("rubric_item"), F.col("text").alias("observation"), F.array().cast("array<string>").alias("quotes"), state.alias("evidence_state"))
+    words = F.explode(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("t")) for i, t in (("a", "the"), ("b", "idiot"), ("c", "ung"))]))
+    wanted = notes.select("case_id").distinct().withColumn("w", words).select("case_id", "w.id", F.lit("m").alias("module_key"), F.lit(None).cast("string").alias("rubric_item"), F.array("w.t").alias("terms"))
+    hits = evaluation.evidence_hits(wanted, notes)
+    cases = notes.select("case_id").distinct().withColumns({"forbidden": F.array().cast("array<string>"), "warnings": F.array().cast("array<string>")})
+    none = spark.createDataFrame([], "case_id long, id string, hit boolean, rubric_item string, grade string, spans int")
+    return evaluation.evaluate(cases, hits, none.select("case_id", "id", "hit"), none.select("case_id", "rubric_item", "grade", "spans")).select("case_id", "evidence_recall", "false_absence_rate")
+
+
+# documents
+
+LEXICON = [("systematic", ["thtion", "cióncióncióne"]), ("randomized", ["idiot", "ßver"]), ("computational", ["zung", "eaux"]), ("observational", ["adoción"]), ("general", ["the", "der"])]
+TERMS = {"design": ["the", "tion", "der"], "claims": ["idiot", "ch", "eau"], "disclosures": ["and", "ción", "und"]}
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+
+
+def _any_sql(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(s, '{w}')" for w in words) + ")"
+
+
+def _first_sql(words: list[str]) -> str:
+    return "least(" + ", ".join(f"CASE WHEN contains(s, '{w}') THEN strpos(s, '{w}') ELSE length(s) + 1 END" for w in words) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id AS paper_id, lower(left(text, 40000)) AS s FROM documents)
+SELECT paper_id, CASE WHEN {_first_sql(LEXICON[0][1])} < {_first_sql(LEXICON[1][1])} THEN 'systematic' WHEN {_any_sql(LEXICON[1][1])} THEN 'randomized' WHEN {_any_sql(LEXICON[2][1])} THEN 'computational'
+WHEN {_any_sql(LEXICON[3][1])} THEN 'observational' WHEN {_any_sql(LEXICON[0][1])} THEN 'systematic' WHEN {_any_sql(LEXICON[4][1])} THEN 'general' ELSE 'common_core' END AS profile FROM d""")
+def classify_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).select("paper_id", text.profile("text", LEXICON).alias("profile"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS fingerprint FROM documents)
+SELECT fingerprint, count(*) AS n, min(doc_id) AS first_id FROM d GROUP BY fingerprint HAVING count(*) > 1""")
+def fingerprint_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark, sf_dir).groupBy(S.fingerprint("text").alias("fingerprint")).agg(F.count("*").alias("n"), F.min("paper_id").alias("first_id")).where("n > 1")
+
+
+CHUNKS_SQL = """RECURSIVE c AS (
+  SELECT doc_id AS paper_id, text, 0 AS idx, 0 AS start, CAST(NULL AS INTEGER) AS stop, length(text) AS n FROM documents WHERE text <> ''
+  UNION ALL
+  SELECT paper_id, text, idx + 1, greatest(start + 1, e - 350), e, n FROM (
+    SELECT *, CASE WHEN start + 4200 >= n THEN n
+      ELSE (CASE WHEN strpos(reverse(substring(text, start + 2101, 2100)), ' .') > 0 THEN start + 4200 - strpos(reverse(substring(text, start + 2101, 2100)), ' .') + 1 ELSE start + 4200 END) END AS e FROM c) WHERE e < n),
+chunks AS (SELECT paper_id, idx, start, coalesce(lead(stop) OVER (PARTITION BY paper_id ORDER BY idx), n) AS "end", text AS whole FROM c)"""
+
+
+@query("WITH " + CHUNKS_SQL + ' SELECT paper_id, idx::INT AS idx, start::INT AS start, "end"::INT AS "end", md5(substring(whole, start + 1, "end" - start)) AS digest FROM chunks')
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No document has a blank line, so the SQL looks for sentence ends only."""
+    return text.chunks(texts(spark, sf_dir)).select("paper_id", "idx", "start", "end", F.md5("text").alias("digest"))
+
+
+def _score_sql(words: list[str]) -> str:
+    return " + ".join(f"(CASE WHEN contains(section, '{w}') THEN 4 ELSE ((length(hay) - length(replace(hay, '{w}', ''))) / {len(w)})::INT END)" for w in words)
+
+
+ROUTE_SQL = "WITH " + CHUNKS_SQL + """,
+s AS (SELECT paper_id, idx, (['', 'Der Stand', 'Tion one'])[idx % 3 + 1] AS title, whole, start, "end" FROM chunks),
+h AS (SELECT paper_id, idx, lower(title) AS section, lower(title) || chr(10) || lower(substring(whole, start + 1, "end" - start)) AS hay FROM s),
+r AS (""" + " UNION ALL ".join(f"SELECT paper_id, '{k}' AS module_key, idx, {_score_sql(ws)} + (CASE WHEN idx = 0 THEN 2 ELSE 0 END) AS score FROM h" for k, ws in TERMS.items()) + """),
+t AS (SELECT *, row_number() OVER (PARTITION BY paper_id, module_key ORDER BY score DESC, idx) AS turn FROM r WHERE score > 0)
+SELECT paper_id, module_key, turn::INT AS turn, idx::INT AS idx FROM t WHERE turn <= 8"""
+
+
+@query(ROUTE_SQL)
+def routed_chunks_top8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.element_at(F.array(F.lit(""), F.lit("Der Stand"), F.lit("Tion one")), F.col("idx") % 3 + 1)
+    return text.routed(text.route_scores(text.chunks(texts(spark, sf_dir)).withColumn("section", title), TERMS))
+
+
+@query("WITH " + CHUNKS_SQL + """,
+sections AS (SELECT doc_id AS paper_id, k AS pos, k * 900 AS a, CASE WHEN k % 3 = 0 THEN length(text) ELSE k * 900 + 1500 END AS b, 'S' || k AS title FROM documents, UNNEST(range(0, length(text) // 900 + 1)) AS u(k)),
+j AS (SELECT c.paper_id, c.idx, s.title, row_number() OVER (PARTITION BY c.paper_id, c.idx ORDER BY s.b - s.a, s.pos) AS turn FROM chunks c JOIN sections s ON s.paper_id = c.paper_id AND s.a <= c.start AND c.start < s.b)
+SELECT c.paper_id, c.idx::INT AS idx, j.title FROM chunks c LEFT JOIN j ON j.paper_id = c.paper_id AND j.idx = c.idx AND j.turn = 1""")
+def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = texts(spark, sf_dir)
+    k = F.col("pos")
+    sections = d.select("paper_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 900).cast("int"))).alias("pos")).select("paper_id", "pos", (k * 900).alias("start"), F.when(k % 3 == 0, F.col("n")).otherwise(k * 900 + 1500).alias("end"), F.concat(F.lit("S"), k).alias("title"))
+    return text.containing(text.chunks(d).withColumn("at", F.col("start")), sections, "title", "shortest").select("paper_id", "idx", "title")
+
+
+QUOTES_SQL = r"""quotes AS (
+  SELECT doc_id AS paper_id, 0 AS q, '“' || trim(substring(text, 11, 40)) || '” ' AS quote FROM documents
+  UNION ALL SELECT doc_id, 1, regexp_replace(trim(substring(text, 31, 60)), '\s+', chr(10) || '  ', 'g') FROM documents
+  UNION ALL SELECT d.doc_id, 2, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"""
+
+
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    near = d.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("q"), F.concat(F.lit("“"), F.trim(F.substring("text", 11, 40)), F.lit("” ")).alias("quote"))
+    loose = d.select("doc_id", F.lit(1), F.regexp_replace(F.trim(F.substring("text", 31, 60)), r"\s+", "\n  "))
+    other = d.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", F.lit(2), "quote")
+    return near.union(loose).union(other)
+
+
+@query("WITH " + QUOTES_SQL + r""",
+b AS (SELECT q.paper_id, q.q, d.text, regexp_replace(regexp_replace(regexp_replace(quote, '^\s+|\s+$', '', 'g'), '^["''“”‘’`]+|["''“”‘’`]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS bare FROM quotes q JOIN documents d ON d.doc_id = q.paper_id),
+g AS (SELECT *, CASE WHEN bare = '' THEN NULL WHEN contains(text, bare) THEN bare WHEN length(bare) <= 1200 THEN nullif(regexp_extract(text, regexp_replace(regexp_escape(regexp_replace(bare, '\s+', ' ', 'g')), '(\\ | )', '\\s+', 'g')), '') END AS grounded FROM b)
+SELECT paper_id, q, md5(grounded) AS grounded, (strpos(text, grounded) - 1)::INT AS start, (strpos(text, grounded) - 1 + length(grounded))::INT AS "end" FROM g""")
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.ground(texts(spark, sf_dir), quotes(spark, sf_dir)).select("paper_id", "q", F.md5("grounded").alias("grounded"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+
+
+@query("WITH " + QUOTES_SQL + r""",
+k AS (SELECT paper_id, trim(regexp_replace(replace(lower(quote), chr(173), ''), '\s+', ' ', 'g')) AS quote, trim(regexp_replace(replace(lower(text), chr(173), ''), '\s+', ' ', 'g')) AS text FROM quotes JOIN documents ON doc_id = paper_id)
+SELECT paper_id, count(*) AS checked, count(*) FILTER (WHERE NOT contains(text, quote)) AS mismatches FROM k GROUP BY paper_id""")
+def quote_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grounding.quote_audit(texts(spark, sf_dir), quotes(spark, sf_dir))
+
+
+@query(r"""SELECT doc_id, regexp_matches(text, '(sk-[A-Za-z0-9_\-]{16,})|(gh[pousr]_[A-Za-z0-9]{20,})|(AKIA[0-9A-Z]{16})|((?i)bearer\s+[A-Za-z0-9._\-]{20,})|(-----BEGIN [A-Z ]*PRIVATE KEY-----)') AS secret,
+left(regexp_replace(source || ' / ' || left(text, 60), '[^A-Za-z0-9_.:\-]+', '_', 'g'), 80) AS label, floor(n_chars / 60)::INT || 'm ' || lpad((n_chars % 60)::VARCHAR, 2, '0') || 's' AS duration,
+floor((n_chars % 1000) / 1000 * 100 + 0.5)::INT AS share, left(sha1(lang || ':' || source), 12) AS finding_id FROM documents""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.has_secret("text").alias("secret"), S.label(F.concat("source", F.lit(" / "), F.left("text", F.lit(60)))).alias("label"), S.duration_text("n_chars").alias("duration"), S.percent((F.col("n_chars") % 1000) / 1000).alias("share"), S.finding_id("lang", "source").alias("finding_id"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM documents)
+SELECT doc_id, CASE WHEN length(v) <= 280 THEN v ELSE regexp_replace(left(regexp_replace(left(v, 281), ' [^ ]*$', ''), 280), '[.,;: ]+$', '') || '…' END AS summary FROM t""")
+def bounded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", S.summary_text("text").alias("summary"))
+
+
+@query(r"""SELECT doc_id AS paper_id, 'ref-' || k AS id, left(e[k], 5000) AS raw FROM (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(replace('references' || chr(10) || text, '.' || chr(10), '.' || chr(10) || chr(10))[12:], '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 20) AS e FROM documents), UNNEST(range(1, len(e) + 1)) AS u(k)""")
+def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document read as a reference list: its sentence ends at line ends part the entries."""
+    listed = F.concat(F.lit("references\n"), F.replace("text", F.lit(".\n"), F.lit(".\n\n")))
+    return text.references(texts(spark, sf_dir).select("paper_id", listed.alias("text"))).select("paper_id", "id", "raw")
+
+
+# pages
+
+@query(r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages""")
+def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolution.page_metadata(table(spark, sf_dir, "pages")).select("page_id", "title", "host")
+
+
+@query(r"""WITH v AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'doi:10.5555/ABC(' || page_id || ').7.' WHEN 1 THEN 'https://doi.org/10.1000/x' || page_id WHEN 2 THEN 'PMC' || (100000 + page_id) WHEN 3 THEN (10000000 + page_id)::VARCHAR WHEN 4 THEN 'https://arxiv.org/abs/2401.' || lpad(page_id::VARCHAR, 5, '0') || 'v2' ELSE url END AS v FROM pages)
+SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'doi' WHEN 1 THEN 'doi' WHEN 2 THEN 'pmcid' WHEN 3 THEN 'pmid' WHEN 4 THEN 'arxiv' ELSE 'url' END AS kind,
+CASE page_id % 6 WHEN 0 THEN '10.5555/abc(' || page_id || ').7' WHEN 1 THEN '10.1000/x' || page_id WHEN 4 THEN '2401.' || lpad(page_id::VARCHAR, 5, '0') || 'v2' ELSE v END AS key, regexp_matches(v, '^https?://') AS public FROM v""")
+def url_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("page_id")
+    v = F.when(i % 6 == 0, F.concat(F.lit("doi:10.5555/ABC("), i, F.lit(").7."))).when(i % 6 == 1, F.concat(F.lit("https://doi.org/10.1000/x"), i)).when(i % 6 == 2, F.concat(F.lit("PMC"), i + 100000)).when(i % 6 == 3, (i + 10000000).cast("string")).when(i % 6 == 4, F.format_string("https://arxiv.org/abs/2401.%05dv2", i)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", v.alias("v")).select("page_id", S.identifier("v").alias("f"), S.is_public_url("v").alias("public")).select("page_id", "f.kind", "f.key", "public")
+
+
+@query()
+def html_article_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of articles by a stateful parser; SQL cannot express it (tests hold it against literals)."""
+    return text.paragraph_runs(articles.html_paragraphs(table(spark, sf_dir, "pages").select(F.col("page_id").alias("paper_id"), "html"))).select("paper_id", "run", "section", F.size("paragraphs").alias("n"), "start", "end", F.md5("text").alias("digest"))
+
+
+# events as progress
+
+EVENTS_SQL = """e AS (SELECT user_id AS analysis_id, event_id AS pos, ts AS at_, CASE WHEN event_type IN ('click', 'view') THEN 'module' ELSE 'stage' END AS kind, event_type AS key,
+  CASE WHEN event_id % 3 = 0 THEN 'running' WHEN event_id % 3 = 1 THEN 'completed' ELSE 'failed' END AS state, value FROM events)"""
+
+
+def progress_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    state = F.when(F.col("event_id") % 3 == 0, "running").when(F.col("event_id") % 3 == 1, "completed").otherwise("failed")
+    return e.select(F.col("user_id").alias("analysis_id"), F.col("event_id").alias("pos"), F.col("ts").alias("at"), F.when(F.col("event_type").isin("click", "view"), "module").otherwise("stage").alias("kind"), F.col("event_type").alias("key"), state.alias("state"), "value")
+
+
+@query("WITH " + EVENTS_SQL + " SELECT analysis_id, key, max(pos) AS pos, arg_max(state, pos) AS state, min(pos) AS first_pos FROM e GROUP BY ALL")
+def progress_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.latest_per_key(progress_events(spark, sf_dir), ["analysis_id", "key"]).select("analysis_id", "key", "pos", "state", "first_pos")
+
+
+@query("WITH " + EVENTS_SQL + """ SELECT analysis_id, pos, (35 + round_even(least(count(*) FILTER (WHERE kind = 'module' AND state IN ('completed', 'failed', 'skipped')) OVER (PARTITION BY analysis_id ORDER BY pos ROWS UNBOUNDED PRECEDING), 5) / 5 * 33, 0))::INT AS progress FROM e""")
+def progress_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.module_progress(progress_events(spark, sf_dir)).select("analysis_id", "pos", "progress")
+
+
+@query("WITH " + EVENTS_SQL + """ SELECT analysis_id, pos, CASE WHEN kind = 'stage' AND state = 'running' AND pos < max(pos) FILTER (WHERE kind = 'stage') OVER (PARTITION BY analysis_id) THEN 'completed' ELSE state END AS state FROM e""")
+def stage_closing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.closed_stages(progress_events(spark, sf_dir)).select("analysis_id", "pos", "state")
+
+
+@query("WITH " + EVENTS_SQL + " SELECT analysis_id, CASE WHEN count(*) >= 2 THEN round_even((epoch_us(max(at_)) - epoch_us(min(at_))) / 1e6, 3) END AS latency_seconds FROM e GROUP BY analysis_id")
+def latencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.latencies(progress_events(spark, sf_dir).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS")), "analysis_id")
+
+
+@query("""WITH p AS (SELECT user_id AS paper_id, epoch_us(ts) AS at, event_id FROM events WHERE event_type <> 'purchase'), m AS (SELECT user_id AS paper_id, epoch_us(ts) AS at, max(event_id) AS page FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT p.paper_id, p.event_id, m.page FROM p ASOF LEFT JOIN m ON p.paper_id = m.paper_id AND p.at >= m.at""")
+def as_of_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each event the last purchase of its user at or before it (the as-of join)."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("paper_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "event_type")
+    marks = e.where("event_type = 'purchase'").groupBy("paper_id", "at").agg(F.max("event_id").alias("page"))
+    return text.last_marker(e.where("event_type <> 'purchase'").drop("event_type"), marks, "page").select("paper_id", "event_id", "page")
+
+
+NOW = "2024-01-20 00:00:00"
+
+
+@query(f"""SELECT user_id AS owner, count(*) FILTER (WHERE event_id % 50 = 0) AS active, count(*) FILTER (WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{NOW}') AS recent,
+greatest(0, 4 - count(*) FILTER (WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{NOW}')) AS remaining,
+count(*) FILTER (WHERE event_id % 50 = 0) < 2 AND count(*) FILTER (WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{NOW}') < 4 AS may_start FROM events GROUP BY user_id""")
+def rolling_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.when(F.col("event_id") % 50 == 0, "running").otherwise("completed").alias("state"), F.col("ts").alias("created_at"))
+    return lifecycle.quotas(rows, F.expr(f"TIMESTAMP_NTZ'{NOW}'"), 4, 2)
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    state = F.when(k % 10 == 0, "running").when(k % 10 == 1, "failed").otherwise("completed")
+    return table(spark, sf_dir, "orders").select(k.alias("analysis_id"), state.alias("state"), F.col("o_custkey").alias("document_id"), F.col("o_custkey").alias("owner"), F.col("o_orderdate").alias("created_at"), (F.col("o_orderdate") + F.expr("INTERVAL 1000 DAYS")).alias("expires_at"), F.when(k % 4 == 0, F.col("o_orderdate")).alias("published_at"), F.when(k % 4 == 0, k.cast("string")).alias("public_slug"), F.col("o_totalprice").alias("review_score"), F.concat(F.lit("Paper "), k).alias("title"))
+
+
+ANALYSES_SQL = "a AS (SELECT o_orderkey AS analysis_id, CASE o_orderkey % 10 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' ELSE 'completed' END AS state, o_custkey AS document_id, o_custkey AS owner, o_orderdate AS created_at, o_orderdate + INTERVAL 1000 DAY AS expires_at, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate END AS published_at, o_totalprice AS review_score FROM orders)"
+THEN = "2004-01-01 00:00:00"
+
+
+@query("WITH " + ANALYSES_SQL + f" SELECT analysis_id, published_at, review_score FROM a WHERE state = 'completed' AND published_at IS NOT NULL AND expires_at > TIMESTAMP '{THEN}' ORDER BY published_at DESC, analysis_id LIMIT 20")
+def public_feed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reporting.public_feed(analyses(spark, sf_dir), F.expr(f"TIMESTAMP_NTZ'{THEN}'")).select("analysis_id", "published_at", "review_score")
+
+
+@query("WITH " + ANALYSES_SQL + f""", kept AS (SELECT * FROM a WHERE NOT (state IN ('completed', 'failed', 'cancelled') AND expires_at <= TIMESTAMP '{THEN}'))
+SELECT 'analysis' AS kind, analysis_id AS id FROM a WHERE analysis_id NOT IN (SELECT analysis_id FROM kept)
+UNION ALL SELECT 'document', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT document_id FROM kept) AND c_custkey % 5 <> 0""")
+def retention_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.expr(f"TIMESTAMP_NTZ'{THEN}'")
+    a = analyses(spark, sf_dir)
+    documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_custkey") % 5 == 0, now).otherwise(now - F.expr("INTERVAL 2 DAYS")).alias("created_at"))
+    none = spark.createDataFrame([], "resolution_id long, expires_at timestamp_ntz")
+    kept, stay, _ = lifecycle.retention(a, documents, none, now)
+    gone = lifecycle.deletions(a, kept, "analysis_id").select(F.lit("analysis").alias("kind"), F.col("analysis_id").alias("id"))
+    return gone.union(lifecycle.deletions(documents, stay, "document_id").select(F.lit("document"), "document_id"))
+
+
+@query("WITH " + ANALYSES_SQL + f""" SELECT analysis_id, CASE WHEN analysis_id % 3 = 0 AND state = 'completed' THEN coalesce(published_at, TIMESTAMP '{THEN}') ELSE published_at END AS published_at,
+CASE WHEN analysis_id % 3 = 0 AND state = 'completed' THEN coalesce(published_at, TIMESTAMP '{THEN}') + INTERVAL 30 DAY ELSE expires_at END AS expires_at FROM a""")
+def publication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analyses(spark, sf_dir)
+    return lifecycle.published(a, a.where("analysis_id % 3 = 0").select("analysis_id"), F.expr(f"TIMESTAMP_NTZ'{THEN}'")).select("analysis_id", "published_at", "expires_at")
+
+
+@query("WITH " + ANALYSES_SQL + f""",
+r AS (SELECT c_custkey AS request_id, c_custkey AS caller, c_nationkey AS setting FROM customer),
+live AS (SELECT *, owner % 25 AS setting FROM a WHERE state = 'completed' AND expires_at > TIMESTAMP '{THEN}'),
+j AS (SELECT r.request_id, l.analysis_id, (l.owner = r.caller) AS own, row_number() OVER (PARTITION BY r.request_id ORDER BY (l.owner = r.caller) DESC, l.created_at DESC, l.analysis_id DESC) AS turn FROM r JOIN live l USING (setting) WHERE l.owner = r.caller OR (l.published_at IS NOT NULL AND l.analysis_id % 8 = 0))
+SELECT request_id, analysis_id, own FROM j WHERE turn = 1""")
+def reusable_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.col("c_custkey").alias("caller"), F.col("c_nationkey").cast("long").alias("setting"))
+    none = F.lit(None).cast("string")
+    reports = analyses(spark, sf_dir).select("analysis_id", "state", "owner", F.col("created_at").alias("updated_at"), "expires_at", "published_at", "public_slug", (F.col("owner") % 25).alias("setting"), F.when(F.col("analysis_id") % 8 == 0, F.lit("10.1/x")).alias("doi"), none.alias("arxiv_id"), none.alias("pmid"), none.alias("pmcid"))
+    return lifecycle.reusable(requests, reports, ["setting"], F.expr(f"TIMESTAMP_NTZ'{THEN}'"))
+
+
+@query("SELECT role, 'characters' AS counter, sum(length(text))::BIGINT AS tokens FROM conversations GROUP BY role UNION ALL SELECT role, 'turns', count(*) FROM conversations GROUP BY role")
+def token_usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "conversations").select("role", F.create_map(F.lit("characters"), F.length("text").cast("long"), F.lit("turns"), F.lit(1).cast("long")).alias("usage"))
+    return lifecycle.token_usage(calls, ["role"])
+
+
+# candidates, context, structure
+
+CANDIDATES_SQL = "c AS (SELECT l_suppkey AS resolution_id, l_partkey % 40 AS id, l_orderkey::BIGINT * 100000000 + l_linenumber * 1000000 + l_partkey AS pos, ([10, 20, 30, 35, 25, 26])[l_partkey % 6 + 1] AS rank, l_returnflag AS version, CASE WHEN l_linenumber > 3 THEN 'full_text' ELSE 'abstract' END AS content_level FROM lineitem WHERE l_orderkey % 9 = 0)"
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 9 = 0")
+    rank = F.element_at(F.array(*map(F.lit, (10, 20, 30, 35, 25, 26))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    return rows.select(F.col("l_suppkey").alias("resolution_id"), (F.col("l_partkey") % 40).alias("id"), (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"), rank.alias("rank"), F.col("l_returnflag").alias("version"), F.when(F.col("l_linenumber") > 3, "full_text").otherwise("abstract").alias("content_level"))
+
+
+@query("WITH " + CANDIDATES_SQL + """, o AS (SELECT resolution_id, id, arg_max(rank, pos) AS rank, min(pos) AS first_pos FROM c GROUP BY ALL)
+SELECT resolution_id, id, rank, first_pos, row_number() OVER (PARTITION BY resolution_id ORDER BY (id = 7) DESC, rank, first_pos)::INT AS turn FROM o""")
+def candidate_rank_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = resolution.ranked_candidates(candidates(spark, sf_dir))
+    return resolution.preferred_order(ranked, ranked.select("resolution_id").distinct().withColumn("id", F.lit(7).cast("long"))).select("resolution_id", "id", "rank", "first_pos", "turn")
+
+
+@query("WITH " + CANDIDATES_SQL + """, s AS (SELECT resolution_id, bool_or(content_level = 'full_text') AS f, string_agg(DISTINCT version, ',' ORDER BY version) AS versions FROM c GROUP BY resolution_id)
+SELECT s_suppkey AS resolution_id, CASE WHEN coalesce(f, false) THEN 'full_text' WHEN s_suppkey % 2 = 0 THEN 'abstract' ELSE 'metadata' END AS content_level, coalesce(versions, '') AS versions FROM supplier LEFT JOIN s ON resolution_id = s_suppkey""")
+def content_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("resolution_id"), F.when(F.col("s_suppkey") % 2 == 0, "x").otherwise("").alias("abstract"))
+    return resolution.content_levels(r, candidates(spark, sf_dir)).select("resolution_id", "content_level", F.coalesce(F.array_join("versions", ","), F.lit("")).alias("versions"))
+
+
+@query("""SELECT conv_id AS paper_id, bool_or(contains(lower(text), 'the')) AS retracted, bool_or(contains(lower(text), 'concern')) AS expression_of_concern, coalesce(string_agg(left(lower(text), 300), '|' ORDER BY turn) FILTER (WHERE contains(lower(text), 'an')), '') AS corrections FROM conversations GROUP BY conv_id""")
+def context_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """'the' stands for a retraction and 'an' for a correction, as the prose has no such words."""
+    c = table(spark, sf_dir, "conversations")
+    marked = F.concat(F.col("text"), F.lit("\u0001"), F.when(F.contains(F.lower("text"), F.lit("the")), "retract").otherwise(""), F.when(F.contains(F.lower("text"), F.lit("an")), "correct").otherwise(""))
+    records = c.groupBy(F.col("conv_id").alias("paper_id")).agg(F.array_sort(F.collect_list(F.struct("turn", marked.alias("r")))).alias("x")).select("paper_id", F.col("x.r").alias("records"))
+    cut = lambda r: F.left(F.substring_index(r, "\u0001", 1), F.lit(300))
+    low = F.filter(F.transform("records", lambda r: F.lower(r)), lambda r: F.contains(r, F.lit("correct")))
+    flags = resolution.context_flags(records).drop("corrections")
+    return flags.join(records.select("paper_id", F.array_join(F.transform(low, cut), "|").alias("corrections")), "paper_id")
+
+
+@query("""WITH r AS (SELECT conv_id AS paper_id, turn AS pos, role AS section, text, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS new FROM conversations),
+n AS (SELECT *, sum(new) OVER (PARTITION BY paper_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM r), f AS (SELECT *, row_number() OVER (PARTITION BY paper_id, run, text ORDER BY pos) AS k FROM n),
+t AS (SELECT paper_id, run, section, '[' || section || ']' || chr(10) || string_agg(text, chr(10) ORDER BY pos) || chr(10) || chr(10) AS body FROM f WHERE k = 1 GROUP BY paper_id, run, section)
+SELECT paper_id, run::BIGINT AS run, section, coalesce(sum(length(body)) OVER (PARTITION BY paper_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, md5(body) AS digest FROM t""")
+def paragraph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.col("turn").alias("pos"), F.col("role").alias("section"), "text")
+    return text.paragraph_runs(rows).select("paper_id", "run", "section", "start", F.md5("text").alias("digest"))
+
+
+@query("""WITH i AS (SELECT conv_id AS paper_id, turn AS pos, text, length(text) AS n FROM conversations WHERE trim(text) <> '')
+SELECT paper_id, pos, coalesce(sum(n + 1) OVER (PARTITION BY paper_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS start, (coalesce(sum(n + 1) OVER (PARTITION BY paper_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n)::INT AS "end" FROM i""")
+def page_item_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), F.lit(1).alias("page"), F.col("turn").alias("pos"), F.col("text").alias("str"))
+    return text.page_items(items).select("paper_id", "pos", "start", "end")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS paper_id, l_linenumber::BIGINT * 1000000 + l_partkey AS start, 'Line ' || l_partkey || (CASE WHEN l_partkey % 7 = 0 THEN '.' ELSE '' END) AS text, l_quantity AS height FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY height, start) - 1 AS i, count(*) OVER (PARTITION BY paper_id) AS n, max(start + 500000) OVER (PARTITION BY paper_id) AS stop FROM s),
+b AS (SELECT *, max(CASE WHEN i = floor((n - 1) * 0.4::DOUBLE) THEN height END) OVER (PARTITION BY paper_id) AS body FROM r),
+h AS (SELECT * FROM b WHERE height >= 1.2::DOUBLE * body AND NOT regexp_matches(text, '[.!?]$'))
+SELECT paper_id, (row_number() OVER (PARTITION BY paper_id ORDER BY start) - 1)::INT AS pos, text AS title, start, coalesce(lead(start) OVER (PARTITION BY paper_id ORDER BY start), stop) AS "end" FROM h""")
+def inferred_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_linenumber").cast("long") * 1000000 + F.col("l_partkey")
+    spans = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), start.alias("start"), (start + 500000).alias("end"), F.concat(F.lit("Line "), F.col("l_partkey"), F.when(F.col("l_partkey") % 7 == 0, ".").otherwise("")).alias("text"), F.col("l_quantity").alias("height"), F.lit(1).alias("page"))
+    return text.inferred_sections(spans).select("paper_id", "pos", "title", "start", "end")
+
+
+@query("""SELECT l_orderkey AS paper_id, l_linenumber AS pos, l_partkey AS part, concat_ws(',', CASE WHEN NOT (l_quantity / 45 BETWEEN 0 AND 1) THEN 'confidence lies in 0..1' END, CASE WHEN l_linestatus <> 'F' AND l_returnflag <> 'N' THEN 'a substantive finding has a span or a source' END) AS broken
+FROM lineitem WHERE NOT (l_quantity / 45 BETWEEN 0 AND 1) OR (l_linestatus <> 'F' AND l_returnflag <> 'N')""")
+def broken_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = lambda c: F.when(c, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("paper_id"), F.col("l_linenumber").alias("pos"), F.col("l_partkey").alias("part"), F.lit("no_concern").alias("grade"), (F.col("l_quantity") / 45).alias("confidence"), F.when(F.col("l_returnflag") == "N", "info").otherwise("minor").alias("severity"), some(F.col("l_linestatus") == "F").alias("paper_spans"), some(F.lit(False)).alias("external_sources"))
+    return validate.broken(rows, validate.FINDING_RULES).select("paper_id", "pos", "part", F.array_join("broken", ",").alias("broken"))
+
+
+# time windows over events, as batches (the same functions run on streams, see the tests)
+
+@query("""SELECT date_trunc('day', ts) AS day, event_type AS kind, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY ALL""")
+def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.progress import counts_by_day
+
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("kind"), "value")
+    return counts_by_day(e).select(F.col("day").cast("timestamp_ntz").alias("day"), "kind", "n", F.round("value", 2).alias("value"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT user_id AS owner, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
+def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.progress import sessions
+
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("owner"))
+    return sessions(e, "6 hours").select("owner", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH h AS (SELECT user_id AS owner, unnest(generate_series(time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 24 HOUR, INTERVAL 1 HOUR)) AS until FROM events)
+SELECT until, owner, count(*) AS n FROM h GROUP BY ALL""")
+def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .streaming.progress import rolling_counts
+
+    e = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("at"), F.col("user_id").alias("owner"))
+    return rolling_counts(e).select(F.col("until").cast("timestamp_ntz").alias("until"), "owner", "n")
+
+
+@query("""SELECT o_custkey AS input_hash, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS resolution_id FROM orders GROUP BY o_custkey""")
+def resolution_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("input_hash"), F.col("o_orderkey").alias("resolution_id"), F.col("o_orderdate").alias("created_at"))
+    return lifecycle.cached_resolutions(rows.where("resolution_id % 2 = 0"), rows.where("resolution_id % 2 = 1")).select("input_hash", "resolution_id")
+
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -46,7 +46,7 @@ def evaluate(cases: DataFrame, evidence: DataFrame, wanted: DataFrame, findings:
     e = evidence.groupBy("case_id").agg(F.count("*").alias("_e"), F.count_if("hit").alias("_eh"), F.count_if("false_absence").alias("_fa"))
     w = wanted.groupBy("case_id").agg(F.count("*").alias("_w"), F.count_if("hit").alias("_wh"))
     graded = findings.where("grade <> 'not_assessed'").join(cases.select("case_id", "forbidden"), "case_id")
-    a = graded.groupBy("case_id").agg(F.count("*").alias("_a"), F.count_if("spans > 0").alias("_g"), F.array_sort(F.collect_list(F.when(F.array_contains("forbidden", F.col("rubric_item")), F.col("rubric_item")))).alias("_bad"))
+    a = graded.groupBy("case_id").agg(F.count("*").alias("_a"), F.count_if(F.col("spans") > 0).alias("_g"), F.array_sort(F.collect_list(F.when(F.array_contains("forbidden", F.col("rubric_item")), F.col("rubric_item")))).alias("_bad"))
     out = cases.join(e, "case_id", "left").join(w, "case_id", "left").join(a, "case_id", "left").fillna(0, ["_e", "_eh", "_fa", "_w", "_wh", "_a", "_g"])
     if events is not None:
         out = out.join(latencies(events, "case_id"), "case_id", "left")

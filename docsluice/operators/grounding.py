@@ -25,7 +25,7 @@ def grounded_quote(text: Column, quote: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(quote, r"(?U)^\s+|\s+$", ""), "^[\"'“”‘’`]+|[\"'“”‘’`]+$", "")
     bare = F.nullif(F.regexp_replace(bare, r"(?U)^\s+|\s+$", ""), F.lit(""))
     words = F.transform(F.split(bare, r"(?U)\s+"), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    flexible = F.nullif(F.regexp_extract(text, F.concat(F.lit("(?U)"), F.array_join(words, r"\s+")), 0), F.lit(""))
+    flexible = F.nullif(F.call_function("regexp_extract", text, F.concat(F.lit("(?U)"), F.array_join(words, r"\s+")), F.lit(0)), F.lit(""))
     return F.when(F.contains(text, bare), bare).when(F.length(bare) <= FLEXIBLE_CHARS, flexible)
 
 

@@ -25,7 +25,7 @@ def expectations(modules: DataFrame, rubric: DataFrame) -> DataFrame:
 
 def assessed_findings(findings: DataFrame, papers: DataFrame, rubric: DataFrame) -> DataFrame:
     """The last assessed finding of each expected item: discarded ones and unknown items are out."""
-    last = Window.partitionBy("paper_id", "category", "rubric_item").orderBy(F.col("pos").desc())
+    last = Window.partitionBy("paper_id", "category", "rubric_item").orderBy(F.col("pos").desc(), "grade")
     graded = findings.where(F.col("grade").isin(*GRADE_SCORES) & ~F.col("critic_disposition").eqNullSafe("discarded"))
     known = graded.join(papers.select("paper_id", "profile"), "paper_id").join(F.broadcast(rubric.select("profile", F.col("module_key").alias("category"), "rubric_item")), ["profile", "category", "rubric_item"], "left_semi")
     return known.withColumn("_turn", F.row_number().over(last)).where("_turn = 1").drop("_turn").withColumn("score", mapped("grade", GRADE_SCORES))
