@@ -326,3 +326,7 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and what they reach: for small tables.
+OP1_SQL = r""""""
