@@ -329,4 +329,15 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: All pairs that share a shingle, and what they reach: for small tables.
-OP1_SQL = r""""""
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-/:-@\[-`{-\x7f]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS s FROM w, UNNEST(range(1, greatest(len(ws) - 4, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+shared AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE k >= 0.8 * (x.n + y.n - k)),
+reach AS (SELECT r AS a, r AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+class AS (SELECT a, min(doc_id) AS class_id FROM reach JOIN w ON r = b GROUP BY a),
+same AS (SELECT x.r, count(*) - 1 AS n FROM (SELECT r, array_to_string(ws, ' ') AS t FROM w WHERE len(ws) > 0) x JOIN (SELECT array_to_string(ws, ' ') AS t FROM w) y USING (t) GROUP BY x.r)
+SELECT doc_id, class_id, coalesce(l.n, 0)::BIGINT AS n_links, coalesce(same.n, 0)::BIGINT AS n_copies
+FROM w JOIN class ON a = w.r LEFT JOIN (SELECT a AS r, count(*) AS n FROM link GROUP BY a) l ON l.r = w.r LEFT JOIN same ON same.r = w.r
+"""

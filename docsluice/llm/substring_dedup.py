@@ -297,4 +297,13 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
-OP2_SQL = r""""""
+OP2_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, hash(array_to_string(ws[i:i + 49], ' ')) AS k, array_to_string(ws[i:i + 2], ' ') AS head FROM w, UNNEST(range(1, len(ws) - 48)) AS u(i)),
+first_ AS (SELECT k, head, min(doc_id) AS least FROM win GROUP BY ALL),
+gone AS (SELECT DISTINCT win.doc_id, j FROM win JOIN first_ USING (k, head), UNNEST(range(i, i + 50)) AS v(j) WHERE least < win.doc_id),
+cut AS (SELECT doc_id, count(*) AS n, list(j) AS js FROM gone GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE array_to_string(list_filter(ws, lambda x, i: NOT list_contains(js, i)), ' ') END) AS kept_sha256
+FROM w LEFT JOIN cut USING (doc_id)
+"""
