@@ -34,9 +34,9 @@ from .words import slices
 
 #: Labelled rows that are used at most, entries that are kept at most, and toxic texts that an entry needs.
 LABELLED, ENTRIES, SUPPORT = 12_000, 4_096, 5
-LEAST_WEIGHT, CUT = 1.5, 0.5
-#: The log-likelihood ratio that an entry needs (20: about one in 100,000 by chance).
-EVIDENCE = 20.0
+LEAST_WEIGHT, CUT = 3.0, 0.5
+#: The log-likelihood ratio that an entry needs (30: about one in ten million by chance).
+EVIDENCE = 30.0
 PREFIXES = range(3, 9)
 BASE = {w: 4.0 for w in ("idiot", "moron", "imbecile", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "trash", "clown", "dumbass", "asshole", "bastard", "bitch", "retard")}
 EXCEPTIONS = ("worthless currency", "stupid question i know", "sore loser rule", "pathetic fallacy", "trash can", "trash bin", "trash collection", "clown fish", "pond scum")
