@@ -191,3 +191,27 @@ def test_pipeline(spark):
     assert set(out.doc_id) == set(cut)
     want = Counter(r.doc_id for r in stages["mixing"](spark, spark.createDataFrame(list(cut.values()), docs.schema), DATA).collect())
     assert Counter(out.doc_id) == want
+
+
+def test_stages_of_odd_rows(spark):
+    import corpus_pipeline
+
+    long = "many words here " * 20000
+    rows = [(1, "some words that are kept", "en", "a", 24), (2, None, None, None, None), (3, "", "en", "", 0), (None, "no id at all", "en", "a", 12), (4, long, "en", "b", len(long)), (5, long, "en", "b", len(long)), (5, long, "en", "b", len(long)), (6, "an idiot and a moron and scum", "en", "a", 29)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs, want in ((spark.createDataFrame([], schema), {}), (spark.createDataFrame(rows, schema), {"toxicity": 7, "near copies": 5, "repeated passages": 5, "mixing": 5, "encoding": 5})):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, DATA)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            kept = out.collect()
+            assert len(kept) >= want.get(name, 0) and (name == "mixing" or name == "encoding" or len(kept) == want.get(name, 0)), name
+            docs = spark.createDataFrame(kept, out.schema)
+
+
+def test_empty_corpus(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, n_words long")
+    assert language_model.scored_texts(none, language_model.learn(none)).count() == 0
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.scored_texts(none, quality.learn(none, labels)).count() == 0
+    assert toxicity.measured_texts(none, toxicity.learn(none, labels)).count() == 0
