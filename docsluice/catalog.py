@@ -7,7 +7,7 @@ invented: lexicons are parameters, and these queries use words that occur in it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import dims
@@ -568,4 +568,113 @@ def resolution_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.cached_resolutions(rows.where("resolution_id % 2 = 0"), rows.where("resolution_id % 2 = 1")).select("input_hash", "resolution_id")
 
 
+# assembled findings, texts and records
+
+@query("WITH " + PAPERS_SQL + """,
+d AS (SELECT f.*, row_number() OVER (PARTITION BY paper_id, rubric_item ORDER BY pos, grade, spans) AS turn FROM (SELECT DISTINCT * FROM findings) f WHERE category <> 'unlisted'),
+u AS (SELECT * FROM d WHERE turn = 1),
+e AS (SELECT DISTINCT paper_id, 'e' || pos AS id, category, rubric_item FROM findings WHERE spans = 1),
+g AS (SELECT u.*, u.grade <> 'not_assessed' AND e.id IS NOT NULL AS ok FROM u LEFT JOIN e ON e.paper_id = u.paper_id AND e.id = 'e' || u.pos AND e.category = u.category AND e.rubric_item = u.rubric_item)
+SELECT paper_id, pos, category, rubric_item, CASE WHEN ok THEN grade ELSE 'not_assessed' END AS grade, CASE WHEN NOT ok THEN 'info' ELSE CASE grade WHEN 'minor_concern' THEN 'minor' WHEN 'major_concern' THEN 'major' WHEN 'critical_concern' THEN 'critical' ELSE 'info' END END AS severity,
+CASE WHEN ok THEN 0.85::DOUBLE ELSE 0::DOUBLE END AS confidence, left(sha1(category || ':' || rubric_item), 12) AS id FROM g""")
+def final_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first decision of each item keeps its grade if evidence of the same module and item supports it."""
+    rows = findings(spark, sf_dir).distinct()
+    first = Window.partitionBy("paper_id", "rubric_item", "pos").orderBy("grade", "spans")
+    decisions = rows.withColumn("_t", F.row_number().over(first)).where("_t = 1").select("paper_id", "pos", "rubric_item", "grade", F.lit("").alias("explanation"), F.array(F.concat(F.lit("e"), F.col("pos"))).alias("evidence_ids"))
+    evidence = rows.where("spans = 1").select("paper_id", F.concat(F.lit("e"), F.col("pos")).alias("evidence_id"), F.col("category").alias("module_key"), "rubric_item", F.lit("q").alias("quote"), F.lit(0).alias("start"), F.lit(1).alias("end")).distinct()
+    graded, _ = grounding.final_findings(decisions, papers(spark, sf_dir).withColumn("source_quality", F.lit(0.85)), dims.rubric(spark), evidence)
+    return graded.select("paper_id", "pos", "category", "rubric_item", "grade", "severity", "confidence", "id")
+
+
+@query("WITH " + CHUNKS_SQL + """,
+b AS (SELECT paper_id, idx, '<CHUNK id="chunk-' || idx || '" page="' || (idx + 1) || '" section="n/a">' || chr(10) || substring(whole, start + 1, "end" - start) || chr(10) || '</CHUNK>' AS block FROM chunks WHERE idx < 8)
+SELECT paper_id, 'all' AS module_key, md5(left(string_agg(block, chr(10) || chr(10) ORDER BY idx), 36000)) AS digest FROM b GROUP BY paper_id""")
+def module_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text.chunks(texts(spark, sf_dir)).withColumns({"page": F.col("idx") + 1, "section": F.lit("")})
+    chosen = rows.where("idx < 8").select("paper_id", F.lit("all").alias("module_key"), F.col("idx").alias("turn"), "idx")
+    return text.module_prompts(chosen, rows).select("paper_id", "module_key", F.md5("prompt").alias("digest"))
+
+
+@query("WITH " + EVENTS_SQL + " SELECT c_custkey AS analysis_id, coalesce(arg_max(at_, pos) FILTER (WHERE kind = 'stage'), TIMESTAMP '2024-01-01 00:00:00') AS stage_started_at FROM customer LEFT JOIN e ON analysis_id = c_custkey GROUP BY c_custkey")
+def stage_started_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("analysis_id"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'").alias("updated_at"))
+    return lifecycle.stage_started(progress_events(spark, sf_dir), a)
+
+
+@query("WITH " + ANALYSES_SQL + """, b AS (SELECT analysis_id, CASE WHEN analysis_id % 20 = 0 THEN 'queued' ELSE state END AS state FROM a)
+SELECT analysis_id, CASE WHEN analysis_id % 3 = 0 AND state = 'queued' THEN 'cancelled' WHEN state IN ('queued', 'running') THEN 'failed' ELSE state END AS state, analysis_id % 3 = 0 AND state IN ('queued', 'running') AS cancel_requested,
+CASE WHEN state IN ('queued', 'running') AND NOT (analysis_id % 3 = 0 AND state = 'queued') THEN 'The service restarted during the analysis.' END AS error FROM b""")
+def cancel_and_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analyses(spark, sf_dir).select("analysis_id", F.when(F.col("analysis_id") % 20 == 0, "queued").otherwise(F.col("state")).alias("state"), F.lit(None).cast("boolean").alias("cancel_requested"), F.lit(None).cast("string").alias("error"))
+    return lifecycle.recovered(lifecycle.cancelled(a, a.where("analysis_id % 3 = 0").select("analysis_id")))
+
+
+@query("""WITH f AS (SELECT p_partkey AS case_id, CASE WHEN p_partkey % 7 = 0 THEN 'no report' END AS a, CASE WHEN p_partkey % 5 = 0 THEN 'no audit' END AS b, CASE WHEN p_partkey % 7 <> 0 AND p_size % 3 = 0 THEN 'score differs' END AS c,
+CASE WHEN p_partkey % 7 <> 0 AND p_size % 4 = 0 THEN 'concern count differs' END AS d, CASE WHEN p_partkey % 5 <> 0 AND p_size % 10 = 0 THEN 'quotes that the source lacks' END AS e FROM part)
+SELECT case_id, unnest(list_filter([a, b, c, d, e], lambda x: x IS NOT NULL)) AS fault FROM f""")
+def manifest_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    k, n = F.col("p_partkey"), F.col("p_size")
+    manifest = p.select(k.alias("case_id"), F.lit(1.0).alias("review_score"), F.lit(1).alias("concern_count"))
+    reports = p.where(k % 7 != 0).select(k.alias("case_id"), F.when(n % 3 == 0, 2.0).otherwise(1.0).alias("review_score"), F.when(n % 4 == 0, 2).otherwise(1).alias("concern_count"))
+    audits = p.where(k % 5 != 0).select(k.alias("case_id"), F.lit(9).alias("checked"), F.when(n % 10 == 0, 1).otherwise(0).alias("mismatches"))
+    return reporting.manifest_faults(manifest, reports, audits)
+
+
+@query("""WITH t AS (SELECT p_partkey AS paper_id, concat_ws(chr(10) || chr(10), p_name, p_brand || ', ' || p_type, CASE WHEN p_size % 2 = 0 THEN 'Journal ' || p_size END, '10.1/' || p_partkey) AS text FROM part) SELECT paper_id, text, sha256(text) AS sha256 FROM t""")
+def metadata_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return resolution.metadata_documents(p.select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), F.array("p_brand", "p_type").alias("authors"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Journal "), "p_size")).otherwise("").alias("journal"), F.lit(None).cast("string").alias("abstract"), F.concat(F.lit("10.1/"), "p_partkey").alias("doi")))
+
+
+@query("""SELECT p_partkey AS resolution_id, k::INT AS pos, left(sha1('Unpaywall:https://x.org/' || p_partkey || '/' || k || ':pdf'), 16) AS id, (['publishedVersion', 'acceptedVersion', 'submittedVersion', 'other'])[(p_size + k) % 4 + 1] AS version, ([10, 20, 30, 35])[(p_size + k) % 4 + 1] AS rank
+FROM part, UNNEST(range(3)) AS u(k) WHERE (p_partkey + k) % 3 <> 0""")
+def open_access_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = F.array(*map(F.lit, ("publishedVersion", "acceptedVersion", "submittedVersion", "other")))
+    one = lambda k: F.struct(F.when((F.col("p_partkey") + k) % 3 != 0, F.concat(F.lit("https://x.org/"), F.col("p_partkey"), F.lit("/"), k)).alias("url_for_pdf"), F.element_at(versions, ((F.col("p_size") + k) % 4 + 1).cast("int")).alias("version"))
+    payload = F.to_json(F.struct(F.transform(F.array(*map(F.lit, range(3))), one).alias("oa_locations")))
+    return resolution.open_access(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("resolution_id"), payload.alias("payload"))).select("resolution_id", "pos", "id", "version", "rank")
+
+
+@query("""SELECT c_custkey AS id, concat_ws(', ', c_name, c_mktsegment, 'A', 'B') || ' et al.' AS authors, upper(c_mktsegment) || ' · ' || c_name || CASE WHEN c_nationkey % 2 = 0 THEN ' · v' || c_nationkey ELSE '' END AS source,
+CASE c_nationkey % 3 WHEN 0 THEN 'No concerns' WHEN 1 THEN '1 concern' ELSE '2 concerns' END AS concerns, (1900 + c_custkey % 150) AS year, left(sha1(c_name || ':None:pdf'), 16) AS candidate, sha256('2:' || lower(trim(c_name))) AS cache_key FROM customer""")
+def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_nationkey")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), S.author_line(F.array("c_name", "c_mktsegment", F.lit("A"), F.lit("B"), F.lit("C"))).alias("authors"), S.source_label("c_mktsegment", "c_name", F.when(n % 2 == 0, F.concat(F.lit("v"), n)).otherwise("")).alias("source"),
+        S.concern_label(n % 3).alias("concerns"), S.leading_year(F.concat((1900 + F.col("c_custkey") % 150).cast("string"), F.lit("-01-02"))).alias("year"), S.candidate_id("c_name", F.lit(None).cast("string"), F.lit("pdf")).alias("candidate"), S.cache_key("c_name").alias("cache_key"),
+    )
+
+
+@query(r"""WITH d AS (SELECT doc_id AS paper_id, trim(regexp_replace(substring(text, 11, 40), '["''“”‘’`\s]+$|^["''“”‘’`\s]+', '', 'g')) AS q FROM documents),
+i AS (SELECT * FROM (VALUES ('claim_strength'), ('results_support'), ('causal_language'), ('generalization'), ('limitations_alignment')) v(rubric_item))
+SELECT paper_id, rubric_item, CASE rubric_item WHEN 'claim_strength' THEN (CASE WHEN q <> '' THEN 'observed' ELSE 'ambiguous' END) WHEN 'causal_language' THEN 'not_found' ELSE 'ambiguous' END AS evidence_state,
+CASE WHEN rubric_item = 'claim_strength' AND q <> '' THEN 1 ELSE 0 END AS n_quotes FROM d, i WHERE paper_id % 10 > 1
+UNION ALL SELECT paper_id, CASE paper_id % 10 WHEN 0 THEN 'not valid JSON of the schema' ELSE 'unknown rubric item' END, 'failed', 0 FROM d WHERE paper_id % 10 <= 1""")
+def worker_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model outputs are validated as wholes; observed notes keep only quotes that the text holds."""
+    one = lambda item, quote, state: F.struct(F.lit(item).alias("rubric_item"), F.lit("seen").alias("observation"), F.array(quote).alias("quotes"), F.lit(state).alias("evidence_state"))
+    good = F.to_json(F.struct(F.array(one("claim_strength", F.substring("text", 11, 40), "observed"), one("results_support", F.lit("§ never said §"), "observed"), one("causal_language", F.lit("x"), "not_found")).alias("notes")))
+    odd = F.to_json(F.struct(F.array(one("no_such_item", F.lit("x"), "observed")).alias("notes")))
+    content = F.when(F.col("paper_id") % 10 == 0, "{broken").when(F.col("paper_id") % 10 == 1, odd).otherwise(good)
+    p = texts(spark, sf_dir).withColumn("profile", F.lit("common_core"))
+    notes, _, failures = grounding.worker_notes(p.select("paper_id", F.lit("claims").alias("module_key"), content.alias("content")), p, dims.rubric(spark))
+    return notes.select("paper_id", "rubric_item", "evidence_state", F.size("quotes").alias("n_quotes")).union(failures.select("paper_id", "reason", F.lit("failed"), F.lit(0)))
+
+
+@query("WITH RECURSIVE " + PAPERS_SQL + """,
+f AS (SELECT f.paper_id, f.category, f.rubric_item, min(f.pos) AS pos, any_value(m.module_pos) AS module_pos FROM findings f JOIN modules m ON m.module_key = f.category GROUP BY f.paper_id, f.category, f.rubric_item),
+j AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY module_pos, pos) AS k, '{"module_key": "' || category || '", "rubric_item": "' || rubric_item || '"' AS names, ', "evidence_state": "observed", "observation": "' || repeat(rubric_item, 9) || '", "evidence": [{"id": "e", "quote": "' || pos || '"}]' AS more FROM f),
+t AS (SELECT paper_id, 2 + sum(length(names) + 3) AS bare FROM j GROUP BY paper_id),
+r AS (SELECT t.paper_id, 0::BIGINT AS k, bare::BIGINT AS used, '' AS payload, 0 AS dropped FROM t
+  UNION ALL SELECT r.paper_id, j.k, CASE WHEN r.used + length(more) <= 1200 THEN r.used + length(more) ELSE r.used END, r.payload || CASE WHEN r.k > 0 THEN ', ' ELSE '' END || names || CASE WHEN r.used + length(more) <= 1200 THEN more ELSE '' END || '}', r.dropped + (r.used + length(more) > 1200)::INT FROM r JOIN j ON j.paper_id = r.paper_id AND j.k = r.k + 1)
+SELECT paper_id, '[' || arg_max(payload, k) || ']' AS payload, arg_max(dropped, k) AS dropped FROM r GROUP BY paper_id""")
+def reviewer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy packing within a budget, entry after entry."""
+    f = findings(spark, sf_dir).where("category <> 'unlisted'").groupBy("paper_id", "category", "rubric_item").agg(F.min("pos").alias("pos"))
+    m = dims.modules(spark).select(F.col("module_key").alias("category"), "module_pos")
+    notes = f.join(F.broadcast(m), "category").select("paper_id", F.col("category").alias("module_key"), "module_pos", F.col("pos").alias("item_pos"), "rubric_item", F.lit("observed").alias("evidence_state"), F.repeat("rubric_item", F.lit(9)).alias("observation"), F.array(F.col("pos").cast("string")).alias("quotes"), F.array(F.lit("e")).alias("evidence_ids"))
+    return grounding.reviewer_payload(notes, 1200)
+
 __all__ = ["ORACLE_SQL", "QUERIES"]

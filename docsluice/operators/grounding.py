@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,29 +119,31 @@ def final_findings(decisions: DataFrame, papers: DataFrame, rubric: DataFrame, e
     return findings.drop("_wants", "_grounded"), run
 
 
+def _quoted(c: Column) -> Column:
+    """A string as JSON text."""
+    return F.regexp_replace(F.to_json(F.array(F.coalesce(c, F.lit("")))), r"^\[|\]$", "")
+
+
 def reviewer_payload(notes: DataFrame, limit: int = REVIEWER_CHARS) -> DataFrame:
     """notes to one JSON text a paper within the limit: an entry whose evidence would pass it keeps its names only, and the next is tried.
 
-    Each paper's entries are at most its rubric's items; whether one fits depends on those before it.
+    A paper's entries are at most its rubric's items. Whether one fits depends on those before it,
+    so they are folded in order; names that pass the limit on their own are an error.
     """
-    kind = notes.schema["paper_id"].dataType.simpleString()
-
-    def pack(keys: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values(["module_pos", "item_pos"])
-        entries, used, dropped = [], 2, 0
-        bare = [{"module_key": r.module_key, "rubric_item": r.rubric_item} for r in own.itertuples()]
-        rest = sum(len(json.dumps(b)) + 2 for b in bare)
-        if rest > limit:
-            raise ValueError("the bare entries pass the limit")
-        for b, r in zip(bare, own.itertuples()):
-            full = b | {"evidence_state": r.evidence_state, "observation": (r.observation or "")[:OBSERVATION_CHARS]}
-            if r.evidence_state == "observed":
-                full["evidence"] = [{"id": i, "quote": q[:QUOTE_CHARS]} for i, q in zip(r.evidence_ids, r.quotes)]
-            rest -= len(json.dumps(b)) + 2
-            entry = full if used + rest + len(json.dumps(full)) + 2 <= limit else b
-            dropped += entry is b
-            entries.append(entry)
-            used += len(json.dumps(entry)) + 2
-        yield pd.DataFrame({"paper_id": [keys[0]], "payload": [json.dumps(entries)], "dropped": [dropped]})
-
-    return notes.groupBy("paper_id").applyInPandas(pack, f"paper_id {kind}, payload string, dropped int")
+    names = F.concat(F.lit('{"module_key": '), _quoted(F.col("module_key").cast("string")), F.lit(', "rubric_item": '), _quoted(F.col("rubric_item")))
+    evidence = F.transform(F.arrays_zip("evidence_ids", "quotes"), lambda e: F.concat(F.lit('{"id": '), _quoted(e["evidence_ids"]), F.lit(', "quote": '), _quoted(F.left(e["quotes"], F.lit(QUOTE_CHARS))), F.lit("}")))
+    shown = F.when(F.col("evidence_state") == "observed", F.concat(F.lit(', "evidence": ['), F.array_join(evidence, ", "), F.lit("]"))).otherwise(F.lit(""))
+    full = F.concat(names, F.lit(', "evidence_state": '), _quoted(F.col("evidence_state")), F.lit(', "observation": '), _quoted(F.left("observation", F.lit(OBSERVATION_CHARS))), shown, F.lit("}"))
+    rows = notes.select("paper_id", F.struct("module_pos", "item_pos", F.concat(names, F.lit("}")).alias("bare"), full.alias("full")).alias("e"))
+    listed = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    total = F.aggregate("es", F.lit(2), lambda a, e: a + F.length(e["bare"]) + 2)
+    listed = listed.withColumn("_bare", total).withColumn("_bare", F.when(F.col("_bare") <= limit, F.col("_bare")).otherwise(F.raise_error(F.lit("the bare entries pass the limit")).cast("int")))
+
+    def take(state: Column, e: Column) -> Column:
+        more = F.length(e["full"]) - F.length(e["bare"])
+        fits = state["used"] + more <= limit
+        return F.struct(F.when(fits, state["used"] + more).otherwise(state["used"]).alias("used"), F.array_append(state["out"], F.when(fits, e["full"]).otherwise(e["bare"])).alias("out"), (state["dropped"] + (~fits).cast("int")).alias("dropped"))
+
+    start = F.struct(F.col("_bare").alias("used"), F.array().cast("array<string>").alias("out"), F.lit(0).alias("dropped"))
+    packed = listed.withColumn("_p", F.aggregate("es", start, take))
+    return packed.select("paper_id", F.concat(F.lit("["), F.array_join("_p.out", ", "), F.lit("]")).alias("payload"), F.col("_p.dropped").alias("dropped"))

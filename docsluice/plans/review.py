@@ -1,7 +1,7 @@
 """The whole review as one plan: papers and model outputs in, findings, scores and reports out.
 
 Every step is a DataFrame function; nothing is collected. The only Python on the executors cuts
-chunks, whose bounds depend on each other, and packs the reviewer's payload.
+chunks, whose bounds depend on each other.
 """
 
 from __future__ import annotations
