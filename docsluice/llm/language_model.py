@@ -6,13 +6,15 @@ document's score is the sum of the log-probabilities of its words, each given bo
 Words fall into classes: the commonest words of the corpus each make one, all others go by their
 length and a hash of their last letters. The network reads the classes on both sides (embeddings,
 one hidden layer) and gives a distribution over the class in the middle; within its class a word
-has its smoothed share of the corpus counts, kept for hashed buckets of words so that their table
-has a fixed size.
+has its smoothed share of the corpus counts. The shares are a table with a row for each word, which
+grows with the vocabulary; each document's distinct words are joined to it. A common word is alone
+in its class and needs no row.
 
-Counts cover every word of every document: each task counts the buckets, and then the triples of
+Counts cover every word of every document: each task counts the words, and then the triples of
 classes, of its own rows, and Spark adds them up. The network is trained in numpy on all triples:
-its examples are the (left, right) pairs with the counts of what stands between them, so training
-costs the same at any corpus size. The score of a pair of sides is then a row of a small table.
+its examples are the (left, right) pairs with the counts of what stands between them. It sees
+contexts by class only, and its size does not grow. The score of a pair of sides is then a row of
+a small table.
 
 Defined cases: null counts as empty; a text without words has score 0 and no mean; beginnings and
 ends of texts have a class of their own; repeated rows are scored alike and count twice in the
@@ -22,64 +24,100 @@ corpus; an empty table gives an empty result; other columns of the input pass th
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import table
-from .words import MARKS, Words, mix, slices
+from .frames import kept, table
+from .words import MARKS, Words, mix, ranges, slices
 
+#: Slots of the filter that passes over most words that are not common.
 BUCKETS = 1 << 16
 #: Class 0 is the edge of a text; then the commonest words, then the classes of the others.
 COMMON, OTHERS = 63, 64
 CLASSES = 1 + COMMON + OTHERS
 EMBEDDING, HIDDEN = 24, 48
 EPOCHS, BATCH, RATE, SEED = 12, 1024, 4e-3, 11
+#: Added to the count of each word of a class, and of one that stands for all unseen words.
+SMOOTHING = 0.5
+#: Log-shares are multiples of 1 / EXACT: their sums are exact and do not depend on the order of rows.
+EXACT = 1 << 30
 
 
-def bucketed(column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of the texts (letters and digits, lower case), each one's bucket, and the class it has if it is not common."""
+def classified(column: pa.Array) -> tuple[Words, np.ndarray]:
+    """Words of the texts (letters and digits, lower case), and the class that each has if it is not common."""
     words = Words(column, MARKS, lower=True)
-    bucket = (words.hash >> np.uint64(48)).astype(np.int64)
     size = np.minimum((words.end - words.start) // 3, 3)
-    tail = np.zeros(len(bucket), np.uint64)
+    tail = np.zeros(len(words.hash), np.uint64)
     for j in (1, 2):
         at = np.maximum(words.end - j, words.start)
         tail = tail * np.uint64(257) + (words.bytes[at] if len(at) else np.zeros(0, np.uint8))
-    other = 1 + COMMON + size * (OTHERS // 4) + (mix(tail) % np.uint64(OTHERS // 4)).astype(np.int64)
-    return words, bucket, other
+    return words, 1 + COMMON + size * (OTHERS // 4) + (mix(tail) % np.uint64(OTHERS // 4)).astype(np.int64)
+
+
+def slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
+
+def spelled(words: Words, which: np.ndarray) -> pa.Array:
+    """The words at the given places as strings."""
+    sizes = words.end[which] - words.start[which]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    letters = np.ascontiguousarray(words.bytes[ranges(words.start[which], sizes)])
+    return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).cast(pa.string())
 
 
 @dataclass
 class WordClasses:
-    """The classes of common buckets (0: not common)."""
+    """The common words: slots that hold one (others 0), and their hashes in order; the i-th has class i + 1."""
 
     common: np.ndarray
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
 
-    def of(self, bucket: np.ndarray, other: np.ndarray) -> np.ndarray:
-        known = self.common[bucket]
-        return np.where(known > 0, known, other)
+    def of(self, hashes: np.ndarray, other: np.ndarray) -> np.ndarray:
+        kind = other.copy()
+        maybe = np.flatnonzero(self.common[slot(hashes)])
+        if len(maybe) and len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
+            same = self.hashes[at] == hashes[maybe]
+            kind[maybe[same]] = 1 + at[same]
+        return kind
 
 
 @dataclass
 class WindowNetwork:
-    """log-probabilities of the middle class for all pairs of sides, and log-shares of words in their classes."""
+    """log-probabilities of the middle class for all pairs of sides, and log-shares of unseen words in the classes."""
 
     classes: WordClasses
     middle: np.ndarray
-    within: np.ndarray
+    unseen: np.ndarray
 
-    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of log-probabilities, words) of each text."""
-        words, bucket, other = bucketed(column)
-        kind = self.classes.of(bucket, other)
+    def parts(self, column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
+        """Words of the texts, their classes, and the sum of the classes' log-probabilities in each text."""
+        words, other = classified(column)
+        kind = self.classes.of(words.hash, other)
         left, right = sides(kind, words.first)
-        each = self.middle[left * CLASSES + right, kind] + self.within[bucket]
-        sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-        return sums[words.first[1:]] - sums[words.first[:-1]], np.diff(words.first)
+        sums = np.concatenate([[0.0], np.cumsum(self.middle[left * CLASSES + right, kind], dtype=np.float64)])
+        return words, kind, sums[words.first[1:]] - sums[words.first[:-1]]
+
+    def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the classes' log-probabilities, words) of each text; shares in the classes come by the join."""
+        words, _, sums = self.parts(column)
+        return sums, np.diff(words.first)
+
+
+@dataclass
+class LanguageModel(WindowNetwork):
+    """The network, and shares(word, log_share) of all words that are not common."""
+
+    shares: DataFrame
+
+    def network(self) -> WindowNetwork:
+        return WindowNetwork(self.classes, self.middle, self.unseen)
 
 
 def sides(kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +175,12 @@ def train(counts: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
     return np.concatenate([forward(np.arange(a, min(a + 4096, CLASSES**2)))[2] for a in range(0, CLASSES**2, 4096)]).astype(np.float32)
 
 
-def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(BUCKETS, np.int64)
-    sums = np.zeros(BUCKETS, np.int64)
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in slices(batch, "text"):
-            _, bucket, other = bucketed(piece.column("text"))
-            counts += np.bincount(bucket, minlength=BUCKETS)
-            sums += np.bincount(bucket, other, minlength=BUCKETS).astype(np.int64)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some]), pa.array(sums[some])], ["bucket", "n", "kinds"])
+            words, other = classified(piece.column("text"))
+            hashes, at, n = np.unique(words.hash, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([spelled(words, at), pa.array(hashes.view(np.int64)), pa.array(other[at]), pa.array(n.astype(np.int64))], ["word", "hash", "kind", "n"])
 
 
 def _count_triples(classes: WordClasses):
@@ -154,8 +188,8 @@ def _count_triples(classes: WordClasses):
         counts = np.zeros(CLASSES**3, np.int32)
         for batch in batches:
             for piece in slices(batch, "text"):
-                words, bucket, other = bucketed(piece.column("text"))
-                kind = classes.of(bucket, other)
+                words, other = classified(piece.column("text"))
+                kind = classes.of(words.hash, other)
                 left, right = sides(kind, words.first)
                 triple, n = np.unique((left * CLASSES + right) * CLASSES + kind, return_counts=True)
                 counts[triple] += n.astype(np.int32)
@@ -167,43 +201,74 @@ def _count_triples(classes: WordClasses):
     return run
 
 
-def learn(docs: DataFrame) -> WindowNetwork:
-    """Counts over all of docs(text) and the network trained on them."""
+def learn(docs: DataFrame) -> LanguageModel:
+    """Counts over all of docs(text), the shares of words, and the network trained on them."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    rows = texts.mapInArrow(_count_buckets, "bucket long, n long, kinds long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
-    counts, kinds = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    counts[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
-    kinds[rows["bucket"].to_numpy()] = rows["kinds"].to_numpy()
+    counted = texts.mapInArrow(_count_words, "word string, hash long, kind long, n long").groupBy("word", "hash", "kind")
+    vocabulary = kept(counted.agg(F.sum("n").alias("n")))
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    hashes = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
     common = np.zeros(BUCKETS, np.int64)
-    top = np.lexsort((np.arange(BUCKETS), -counts))[:COMMON]
-    common[top] = 1 + np.arange(COMMON)
-    classes = WordClasses(common)
-    # a bucket's mass goes to its own class, or to the class that most of its words have
-    kind = np.where(common > 0, common, np.round(kinds / np.maximum(counts, 1)).astype(np.int64))
-    smoothed = counts + 0.5
-    mass = np.bincount(kind, smoothed, minlength=CLASSES)
-    within = np.log(smoothed / np.maximum(mass[kind], 1e-9)).astype(np.float32)
+    common[slot(hashes)] = 1
+    classes = WordClasses(common, hashes)
+    # what is left of each class when the common words have classes of their own
+    rare = vocabulary.where(~F.col("word").isin([r["word"] for r in top])) if top else vocabulary
+    rows = rare.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    mass = np.full(CLASSES, SMOOTHING)
+    mass[rows["kind"].to_numpy()] += rows["n"].to_numpy() + SMOOTHING * rows["words"].to_numpy()
+    unseen = np.log(SMOOTHING / mass)
+    masses = F.element_at(F.array(*map(F.lit, mass.tolist())), F.col("kind").cast("int") + 1)
+    shares = rare.select("word", (F.round(F.log((F.col("n") + SMOOTHING) / masses) * EXACT) / EXACT).alias("log_share"))
     rows = texts.mapInArrow(_count_triples(classes), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
     triples = np.zeros(CLASSES**3, np.float32)
     triples[rows["triple"].to_numpy()] = rows["n"].to_numpy()
-    return WindowNetwork(classes, train(triples.reshape(CLASSES, CLASSES, CLASSES)), within)
+    return LanguageModel(classes, train(triples.reshape(CLASSES, CLASSES, CLASSES)), np.round(unseen * EXACT) / EXACT, shares)
+
 
+def scored_texts(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs(text, ...) without text, with n_words, log_likelihood and mean_log_likelihood.
 
-def scored_texts(docs: DataFrame, model: WindowNetwork) -> DataFrame:
-    """docs(text, ...) without text, with n_words, log_likelihood and mean_log_likelihood."""
-    added = {"n_words": "long", "log_likelihood": "double", "mean_log_likelihood": "double"}
+    Each text makes one row with its own columns and what the network gives it, and one row for
+    each of its distinct words that is not common; these meet the shares, and all rows of a text
+    are added up.
+    """
+    added = {"n_words", "log_likelihood", "mean_log_likelihood"}
     own = [c for c in docs.columns if c.lower() not in {"text", *added}]
-    fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in own) + ", ".join(f"{k} {v}" for k, v in added.items())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    types = [docs.schema[c].dataType.simpleString() for c in own]
+    fields = "".join(f"_own{i} {t}, " for i, t in enumerate(types)) + "_row long, _sum double, _n long, _word string, _kind int, _times long"
+    names = [*(f"_own{i}" for i in range(len(own))), "_row", "_sum", "_n", "_word", "_kind", "_times"]
+    shared = docs.sparkSession.sparkContext.broadcast(model.network())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in slices(batch, "text"):
-                total, n = shared.value.score(piece.column("text"))
-                mean = pa.array(np.where(n > 0, total / np.maximum(n, 1), 0), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(n), pa.array(total), mean], [*own, *added])
-
-    return docs.select(*own, F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+                words, kind, sums = shared.value.parts(piece.column("text"))
+                n = np.diff(words.first)
+                rows = row + np.arange(piece.num_rows)
+                row += piece.num_rows
+                none = pa.nulls
+                # no word holds a character 0, so these rows meet no share and are dealt out evenly
+                own_key = pa.array([f"\0{r}" for r in rows.tolist()])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(rows), pa.array(sums), pa.array(n), own_key, none(len(rows), pa.int32()), none(len(rows), pa.int64())], names)
+                rest = np.flatnonzero(kind > COMMON)
+                if not len(rest):
+                    continue
+                of = np.repeat(np.arange(piece.num_rows), n)[rest]
+                order = np.lexsort((words.hash[rest], of))
+                rest, of = rest[order], of[order]
+                begins = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (words.hash[rest[1:]] != words.hash[rest[:-1]])])
+                times = np.diff(np.r_[begins, len(rest)])
+                at, k = rest[begins], len(begins)
+                yield pa.RecordBatch.from_arrays([*(none(k, piece.column(c).type) for c in own), pa.array(rows[of[begins]]), none(k, pa.float64()), none(k, pa.int64()), spelled(words, at), pa.array(kind[at].astype(np.int32)), pa.array(times.astype(np.int64))], names)
+
+    rows = docs.select(*own, F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+    unseen = F.element_at(F.array(*map(F.lit, shared.value.unseen.tolist())), F.col("_kind") + 1)
+    met = rows.join(model.shares, F.col("_word") == F.col("word"), "left").withColumn("_share", F.col("_times") * F.coalesce("log_share", unseen))
+    mine = [F.first(f"_own{i}", ignorenulls=True).alias(f"_own{i}") for i in range(len(own))]
+    of_text = met.groupBy("_row").agg(*mine, F.max("_n").alias("n_words"), (F.sum("_sum") + F.coalesce(F.sum("_share"), F.lit(0.0))).alias("log_likelihood"))
+    mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
+    return of_text.select(*(F.col(f"_own{i}").alias(c) for i, c in enumerate(own)), "n_words", "log_likelihood", mean.alias("mean_log_likelihood"))
 
 
 def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

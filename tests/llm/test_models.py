@@ -86,6 +86,34 @@ def test_triples_cover_every_word(spark):
     assert n == sum(len(re.findall(r"\w+", t or "")) for _, t, _ in ODD)
 
 
+def many_words(spark, n=70_000):
+    """More distinct words than slots: 70 frequent ones, then n that occur once or three times."""
+    lines = [" ".join(f"top{i}" for i in range(70)) for _ in range(20)]
+    lines += [" ".join(w for j in range(i, i + 500) for w in [f"x{j:06d}"] * (3 if j % 2 else 1)) for i in range(0, n, 500)]
+    return spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string"), Counter(w for t in lines for w in t.split())
+
+
+def test_words_of_one_slot_are_told_apart(spark):
+    import pyarrow as pa
+
+    names = [f"x{j:06d}" for j in range(70_000)]
+    found = language_model.Words(pa.array([" ".join(names)]), language_model.MARKS, lower=True).hash
+    seen, pair = {}, None
+    for name, h in zip(names, (found >> np.uint64(48)).tolist()):
+        if (other := seen.setdefault((h, name[-2:]), name)) != name and int(other[1:]) % 2 == int(name[1:]) % 2:
+            pair = (other, name)
+            break
+    docs, counts = many_words(spark)
+    often = " ".join([pair[0]] * 9)
+    corpus = docs.union(spark.createDataFrame([(-1, often)], docs.schema))
+    two = spark.createDataFrame([(0, pair[0]), (1, pair[1])], docs.schema)
+    model = language_model.learn(corpus)
+    got = {r.doc_id: r.log_likelihood for r in language_model.scored_texts(two, model).collect()}
+    n = counts[pair[1]]
+    assert got[0] - got[1] == pytest.approx(np.log((n + 9.5) / (n + 0.5)), abs=1e-6)
+    assert model.shares.count() == len(counts) - language_model.COMMON
+
+
 def plain_article(html):
     body = re.search(r"<article>(.*?)</article>", html, re.S)[1]
     parts = re.split(r"</?(?:p|h1|li|ul)>", body)
