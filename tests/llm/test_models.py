@@ -114,6 +114,18 @@ def test_words_of_one_slot_are_told_apart(spark):
     assert model.shares.count() == len(counts) - language_model.COMMON
 
 
+def test_shares_of_a_class_add_up_to_one(spark):
+    import pyarrow as pa
+
+    docs, counts = many_words(spark)
+    model = language_model.learn(docs)
+    rows = model.shares.toArrow()
+    found, kind = language_model.classified(pa.array([" ".join(rows["word"].to_pylist())]))
+    assert len(kind) == rows.num_rows > language_model.BUCKETS
+    sums = np.bincount(kind, np.exp(rows["log_share"].to_numpy()), minlength=language_model.CLASSES) + np.exp(model.unseen)
+    assert np.allclose(sums[1 + language_model.COMMON :], 1, atol=1e-6)
+
+
 def plain_article(html):
     body = re.search(r"<article>(.*?)</article>", html, re.S)[1]
     parts = re.split(r"</?(?:p|h1|li|ul)>", body)
