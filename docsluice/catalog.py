@@ -592,8 +592,7 @@ b AS (SELECT paper_id, idx, '<CHUNK id="chunk-' || idx || '" page="' || (idx + 1
 SELECT paper_id, 'all' AS module_key, md5(left(string_agg(block, chr(10) || chr(10) ORDER BY idx), 36000)) AS digest FROM b GROUP BY paper_id""")
 def module_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.chunks(texts(spark, sf_dir)).withColumns({"page": F.col("idx") + 1, "section": F.lit("")})
-    chosen = rows.where("idx < 8").select("paper_id", F.lit("all").alias("module_key"), F.col("idx").alias("turn"), "idx")
-    return text.module_prompts(chosen, rows).select("paper_id", "module_key", F.md5("prompt").alias("digest"))
+    return text.module_prompts(routed_chunks_top8(spark, sf_dir), rows).select("paper_id", "module_key", F.md5("prompt").alias("digest"))
 
 
 @query("WITH " + EVENTS_SQL + " SELECT c_custkey AS analysis_id, coalesce(arg_max(at_, pos) FILTER (WHERE kind = 'stage'), TIMESTAMP '2024-01-01 00:00:00') AS stage_started_at FROM customer LEFT JOIN e ON analysis_id = c_custkey GROUP BY c_custkey")

@@ -338,3 +338,19 @@ def test_candidates_of_all_orders(spark, name):
     got = catalog.QUERIES[name](spark, DATA).toPandas()
     columns = sorted(got.columns)
     assert sorted(tuple(map(key, r)) for r in got[columns].itertuples(index=False)) == sorted(tuple(map(key, r)) for r in want[columns].itertuples(index=False))
+
+
+def test_prompts_of_late_chunks(spark, tmp_path):
+    """The best chunks of the whole text, in the order of their turns; here they stand after the eighth."""
+    filler = "Lorem ipsum. " * 4000
+    long = filler + "idiot eau ch and und tion the der. " * 600
+    spark.createDataFrame([(1, long), (2, "the der and idiot."), (3, filler)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = "WITH " + catalog.CHUNKS_SQL + ", r AS (" + catalog.ROUTE_SQL + """),
+b AS (SELECT paper_id, module_key, turn, r.idx, '<CHUNK id="chunk-' || idx || '" page="' || (idx + 1) || '" section="n/a">' || chr(10) || substring(whole, start + 1, "end" - start) || chr(10) || '</CHUNK>' AS block FROM chunks JOIN r USING (paper_id, idx))
+SELECT paper_id, module_key, max(idx) AS last, md5(left(string_agg(block, chr(10) || chr(10) ORDER BY turn), 36000)) AS digest FROM b GROUP BY ALL"""
+    want = db.execute(sql).df()
+    assert want["last"].max() > 12
+    got = {(r.paper_id, r.module_key): r.digest for r in catalog.QUERIES["module_prompts"](spark, str(tmp_path)).collect()}
+    assert got == {(r.paper_id, r.module_key): r.digest for r in want.itertuples()}
