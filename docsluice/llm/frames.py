@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,8 +20,27 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: as the cluster names it, else beside the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    """The folder that driver and executors share, as the cluster names it; only a local session may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that shared_folder holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def sheltered(docs: DataFrame, read: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but those that an operator reads under names of no other's, and the columns as they were.
+
+    Selecting the second from what the operator returns gives the input's columns back, whatever
+    columns the operator adds or replaces.
+    """
+    names = [c if c in read else f"_own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -52,12 +73,11 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[
 
         def last_group(batch: pa.RecordBatch) -> int:
             """The row at which the batch's last group begins."""
-            tail = [batch.column(k)[batch.num_rows - 1].as_py() for k in keys]
-            at = batch.num_rows - 1
-            columns = [batch.column(k) for k in keys]
-            while at > 0 and all(c[at - 1].as_py() == v for c, v in zip(columns, tail)):
-                at -= 1
-            return at
+            other = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                values = batch.column(k).to_numpy(zero_copy_only=False)
+                other |= values != values[-1]
+            return int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
 
         def same(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
             return all(a.column(k)[a.num_rows - 1].as_py() == b.column(k)[0].as_py() for k in keys)
@@ -85,13 +105,14 @@ def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); root is the smallest node that it reaches.
 
-    Large-star and small-star steps in turn; each keeps at most as many rows as it got, and a node
-    with very many neighbours is met by joins against one row a node, whose skew Spark splits.
+    Large-star and small-star steps in turn; each keeps at most as many rows as it got. A node with
+    very many neighbours is met by a join against one row a node; those rows are written first, so
+    that both sides of the join are plain shuffles and Spark can split the node's rows over tasks.
     """
     now = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
-        least = now.select(F.col("a").alias("n"), F.col("b").alias("m")).union(now.select("b", "a")).groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m"))
+        least = kept(now.select(F.col("a").alias("n"), F.col("b").alias("m")).union(now.select("b", "a")).groupBy("n").agg(F.min("m").alias("m")).select("n", F.least("n", "m").alias("m")))
         # larger neighbours of every node go to the node's smallest neighbour
         large = now.join(least, now["b"] == least["n"]).select("a", F.col("m").alias("b")).where("a <> b").distinct()
         # smaller neighbours of every node, and the node, go to the smallest of them

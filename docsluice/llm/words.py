@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1_000_000
+#: Bytes whose powers and sums are held at once, however long a text or a word is.
+SEGMENT_BYTES = 1 << 18
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: Inverse of PRIME modulo 2**64.
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -87,12 +89,27 @@ class Words:
         after[-1], after[:-1] = False, inside[1:]
         self.start = np.flatnonzero(inside & (~before | breaks[:n]))
         self.end = np.flatnonzero(inside & (~after | breaks[1:])) + 1
-        up, down = powers(n)
-        values = BYTE_VALUES[self.bytes] * up
-        sums = np.cumsum(values, dtype=np.uint64)
-        self.hash = mix((sums[self.end - 1] - sums[self.start] + values[self.start]) * down[self.start])
+        self.hash = mix(self._sums())
         self.first = np.searchsorted(self.start, self.offsets)
 
+    def _sums(self) -> np.ndarray:
+        """Each word's bytes as a polynomial, a segment of the texts after the other; a word may go over several."""
+        out = np.zeros(len(self.start), dtype=np.uint64)
+        for a in range(0, len(self.bytes), SEGMENT_BYTES):
+            part = self.bytes[a : a + SEGMENT_BYTES]
+            lo, hi = np.searchsorted(self.end, a, side="right"), np.searchsorted(self.start, a + len(part))
+            if lo == hi:
+                continue
+            begin, end = np.maximum(self.start[lo:hi] - a, 0), np.minimum(self.end[lo:hi] - a, len(part))
+            up, down = powers(len(part))
+            values = BYTE_VALUES[part] * up
+            sums = np.cumsum(values, dtype=np.uint64)
+            own = (sums[end - 1] - sums[begin] + values[begin]) * down[begin]
+            if self.start[lo] < a:
+                own[:1] *= np.array([pow(int(PRIME), int(a - self.start[lo]), 2**64)], dtype=np.uint64)
+            out[lo:hi] += own
+        return out
+
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """A number for every run of k words; runs over the end of a text are the caller's to drop."""
