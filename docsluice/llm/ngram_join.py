@@ -6,13 +6,16 @@ few at a time; a pair is dropped as soon as the posterior probability that its s
 the threshold (uniform prior, one Bernoulli trial a value) falls below the tolerance. What survives
 is verified exactly on the whole shingle sets.
 
-Groups of any size are cut into blocks of bounded size and compared block against block. A block
-pair returns one row a text (its number of links and a spanning link), never its list of pairs.
+Groups of any size are cut into blocks of bounded size and compared block against block; blocks
+whose sizes of sets are too far apart for the threshold are not. A block pair returns one row a text
+(its number of links and a spanning link), never its list of pairs. A text is cut into shingles once;
+what is copied for the block pairs is its set.
 
 Defined cases: a text without words (null, empty, only marks) has no shingles, forms a class of its
 own and has no links; a text of fewer words than a shingle has one shingle of all its words; rows
-that repeat a doc_id are rows like any others; a null doc_id is kept and never names a class
-unless the whole class has none; further columns of the input are ignored.
+that repeat a doc_id are rows like any others, with equal or different texts; a null doc_id is kept,
+has its links like any other row, and never names a class unless the whole class has none; an empty
+table gives an empty result; further columns of the input are ignored, or kept by one_of_each.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 BANDS, ROWS, VALUES = 25, 5, 128
 STEP = 16
 #: Texts of a block in the comparison of MinHash values, and in the exact one.
-ROUGH_BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 512, 256, 400_000
+ROUGH_BLOCK, EXACT_BLOCK, EXACT_SHINGLES = 512, 512, 400_000
+#: What tells rows apart without their texts: no doc_id, doc_id (0 for none), hash of the text.
+ROW = ["no_id", "row_id", "text_hash"]
 
 _numbers = mix(np.arange(1, 2 * VALUES + 1, dtype=np.uint64))
 FLIPS, FACTORS = _numbers[:VALUES].astype(np.uint32), _numbers[VALUES:].astype(np.uint32) | np.uint32(1)
@@ -87,7 +92,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(piece.column("text"), MARKS, lower=True)
             values, bounds = shingle_sets(words)
             node = text_keys(words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(node), pa.array(np.diff(bounds)), binary(minhash(values, bounds))], ["doc_id", "node", "size", "sig"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(piece.column(c) for c in ROW), pa.array(node), pa.array(np.diff(bounds)), binary(minhash(values, bounds))], ["doc_id", *ROW, "node", "size", "sig"])
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,24 +265,45 @@ def exact_links(threshold: float):
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last = None
     for batch in batches:
         for piece in slices(batch, "text"):
             words = Words(piece.column("text"), MARKS, lower=True)
             values, bounds = shingle_sets(words)
-            same = pa.array(text_keys(words).view(np.int64) == piece.column("node").to_numpy())
-            out = piece.select(["root", "left", "right", "side", "node", "copies"]).append_column("shingles", binary_runs(values, bounds))
-            yield out.filter(same)
+            node = piece.column("node").to_numpy()
+            # a row that is there again follows its first one; a text of another node has the same hash by chance
+            stay = (text_keys(words).view(np.int64) == node) & (node != np.append(node[:1] + 1 if last is None else last, node[:-1]))
+            last = node[-1]
+            out = piece.select(["root", "side", "others", "node", "copies"]).append_column("shingles", binary_runs(values, bounds))
+            yield out.filter(pa.array(stay))
+
+
+def set_blocks(found: DataFrame, threshold: float) -> DataFrame:
+    """found(root, size, node, ...) with side, its own block, and others, the blocks that it is compared with.
+
+    Sizes fall into classes; sets of classes that are not neighbours cannot reach the threshold.
+    """
+    width = 1.01 * max(-math.log(threshold), 1e-3) if threshold > 0 else 1e9
+    found = found.withColumn("kind", F.floor(F.log("size") / width).cast("int"))
+    blocks = found.groupBy("root", "kind").agg(F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum("size") / EXACT_SHINGLES)).cast("int").alias("blocks"))
+    of_root = blocks.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("kind", "blocks"))).alias("blocks"))  # as many as classes of sizes
+    number = lambda kind, block: kind.cast("long") * (1 << 32) + block
+    near = F.filter(F.array(F.col("kind") - 1, F.col("kind"), F.col("kind") + 1), lambda k: F.map_contains_key("blocks", k))
+    others = F.flatten(F.transform(near, lambda k: F.transform(F.sequence(F.lit(0), F.col("blocks")[k] - 1), lambda b: number(k, b))))
+    own = number(F.col("kind"), F.pmod(F.xxhash64("node"), F.col("blocks")[F.col("kind")]))
+    return found.join(of_root, "root").withColumns({"side": own, "others": others}).drop("kind", "blocks")
 
 
 def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, groups) of the join over docs(doc_id, text).
 
-    rows: doc_id, node (the class of equal texts; 0 without words). texts: a row for each class
-    with node, copies, links (rows of other classes at the threshold). groups: node, root.
+    rows: doc_id, node (the class of equal texts; 0 without words), and ROW. texts: a row for each
+    class with node, copies, doc_id and row (the first of its rows), links (rows of other classes at
+    the threshold). groups: node, root.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = kept(docs.mapInArrow(_sketch, "doc_id long, node long, size long, sig binary"))
-    texts = base.where("node <> 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.max("size").alias("size"), F.max("sig").alias("sig"))
+    docs = row_keys(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *ROW)
+    base = kept(docs.mapInArrow(_sketch, "doc_id long, no_id boolean, row_id long, text_hash long, node long, size long, sig binary"))
+    texts = base.where("node <> 0").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min(F.struct(*ROW)).alias("row"), F.max("size").alias("size"), F.max("sig").alias("sig"))
     texts = kept(texts)
     bands = texts.select("node", "sig").mapInArrow(_bands, "bucket long, node long")
     # buckets with the same members are compared once
@@ -286,15 +312,15 @@ def linked_texts(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     members = bands.join(buckets, "bucket").join(texts.select("node", "sig"), "node")
     rough = in_groups(in_blocks(members, "bucket", "blocks"), ["bucket", "left", "right"], ["side"], rough_links(threshold, tolerance), "a long, b long")
     near = connected(rough)
-    found = near.join(texts.select("node", "copies", "doc_id", "size"), "node")
-    sized = found.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / EXACT_BLOCK), F.ceil(F.sum("size") / EXACT_SHINGLES)).alias("blocks"))
-    found = found.join(sized, "root").select("root", "node", "copies", "doc_id", "blocks")
-    whole = docs.join(in_blocks(found, "root", "blocks"), "doc_id").select("root", "left", "right", "side", "node", "copies", "text")
-    exact = kept(in_groups(whole.mapInArrow(_shingles, "root long, left int, right int, side int, node long, copies long, shingles binary"), ["root", "left", "right"], ["side"], exact_links(threshold), "node long, low long, links long"))
+    found = set_blocks(near.join(texts.select("node", "copies", "size", "row.*"), "node"), threshold)
+    whole = docs.drop("doc_id").join(found, ROW).select("root", "side", "others", "node", "copies", "text")
+    sets = whole.mapInArrow(_shingles, "root long, side long, others array<long>, node long, copies long, shingles binary")
+    pairs = sets.withColumn("other", F.explode("others")).withColumns({"left": F.least("side", "other"), "right": F.greatest("side", "other")}).drop("others", "other")
+    exact = kept(in_groups(pairs, ["root", "left", "right"], ["side"], exact_links(threshold), "node long, low long, links long"))
     groups = connected(exact.select(F.col("node").alias("a"), F.col("low").alias("b")))
     links = exact.groupBy("node").agg(F.sum("links").alias("links"))
-    counted = texts.select("node", "copies", "doc_id").join(links, "node", "left").select("node", "copies", "doc_id", F.coalesce("links", F.lit(0)).alias("links"))
-    return base.select("doc_id", "node"), counted, groups
+    counted = texts.select("node", "copies", "doc_id", "row").join(links, "node", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return base.select("doc_id", "node", *ROW), counted, groups
 
 
 def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -313,15 +339,24 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     )
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """docs with ROW, by which a row is found again without its text."""
+    return docs.withColumns({"no_id": F.col("doc_id").isNull(), "row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), "text_hash": F.xxhash64(F.col("text").cast("string"))})
+
+
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose group keeps another one: of each group the smallest doc_id stays, once.
+    """docs without the rows whose group keeps another one: of each group one row stays.
 
-    Texts without words, and rows whose doc_id is null, stay.
+    It is a row of the smallest doc_id, rows without one coming last; of several such rows, one of
+    the text with the least hash. Texts without words stay, all of them. Columns of docs that are
+    named as ROW are replaced.
     """
-    heads = ngram_jaccard_join(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_head")).distinct()
-    turn = Window.partitionBy("doc_id").orderBy(F.xxhash64(F.expr("trim(coalesce(text, ''))")))
-    stay = docs.where("doc_id is not null").join(heads, F.col("doc_id") == F.col("_head"), "left_semi")
-    return stay.withColumn("_turn", F.row_number().over(turn)).where("_turn = 1").drop("_turn").union(docs.where("doc_id is null"))
+    rows, texts, groups = linked_texts(docs, threshold)
+    first = texts.join(groups, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row")).select("row.*", F.lit(False).alias("_all"))
+    wordless = rows.where("node = 0").select(*ROW).distinct().withColumn("_all", F.lit(True))
+    stay = first.union(wordless).groupBy(*ROW).agg(F.max("_all").alias("_all"))
+    turn = F.row_number().over(Window.partitionBy(*ROW).orderBy(F.lit(0)))
+    return row_keys(docs).join(stay, ROW).withColumn("_turn", turn).where("_all or _turn = 1").select(docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,10 +22,11 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-def brute_join(rows):
+def brute_groups(rows):
+    """(links of each row, the rows that it reaches)."""
     sets = [shingles(t) for _, t in rows]
     links = [[j for j, b in enumerate(sets) if j != i and a and len(a & b) >= 0.8 * len(a | b) - 1e-9] for i, a in enumerate(sets)]
-    label = list(range(len(rows)))
+    reach = []
     for i in range(len(rows)):
         todo, seen = [i], {i}
         while todo:
@@ -33,10 +34,30 @@ def brute_join(rows):
                 if j not in seen:
                     seen.add(j)
                     todo.append(j)
-        label[i] = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+        reach.append(seen)
+    return links, reach
+
+
+def brute_join(rows):
+    links, reach = brute_groups(rows)
+    label = [min((rows[j][0] for j in seen if rows[j][0] is not None), default=None) for seen in reach]
     return sorted(((rows[i][0], label[i], len(links[i])) for i in range(len(rows))), key=str)
 
 
+def brute_one_of_each(rows, left):
+    """Whether `left` holds one row of each group, of its smallest doc_id, and all texts without words."""
+    left = Counter(left)
+    for group in {frozenset(s) for s in brute_groups(rows)[1]}:
+        own = [rows[i] for i in group]
+        ids = [d for d, _ in own if d is not None]
+        heads = {r for r in own if r[0] == (min(ids) if ids else None)}
+        kept = {r: left[r] for r in set(own) if left[r]}
+        if shingles(own[0][1]):
+            assert sum(kept.values()) == 1 and set(kept) <= heads, own[0]
+    wordless = Counter(r for r in rows if not shingles(r[1]))
+    assert all(left[r] == n for r, n in wordless.items())
+
+
 def words_of(text):
     return (text or "").encode().split()
 
@@ -100,14 +121,44 @@ def test_join_in_blocks(spark, monkeypatch, block):
     assert sorted((tuple(r) for r in got), key=str) == want
 
 
-def test_one_of_each(spark):
-    rows = made_rows()
-    left = [tuple(r) for r in one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
-    classes = {c for d, c, _ in brute_join(rows) if d is not None}
-    assert sorted(d for d, _ in left if d is not None) == sorted(classes)
+def changed(text, at, word="changed"):
+    words = text.split()
+    words[at] = word
+    return " ".join(words)
+
+
+def odd_ids():
+    """Texts whose rows have no id, share one, or are there more than once."""
+    r = random.Random(9)
+    one, two, three, four = (" ".join("".join(r.choice("abcde") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    return [(7, one), (None, changed(one, 3)), (5, two), (5, three), (5, changed(three, 9)), (None, four), (None, four), (None, changed(four, 0)), (8, two), (8, two), (None, None), (None, None), (9, ""), (9, "")]
+
+
+def test_join_of_odd_ids(spark):
+    rows = odd_ids()
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_join(rows)
+
+
+@pytest.mark.parametrize("block", [2, 512])
+def test_one_of_each(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "EXACT_BLOCK", block)
+    for rows in (made_rows(), odd_ids()):
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as node", "2 as links", "'x' as `row`")
+        left = one_of_each(df)
+        assert left.columns == df.columns
+        brute_one_of_each(rows, [(r.doc_id, r.text) for r in left.collect()])
     assert one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_sizes_that_just_reach_the_threshold(spark):
+    """Sets of n and 1.25 n shingles, one in the other, are linked; their classes of sizes differ by one at most."""
+    names = [f"w{i}" for i in range(1300)]
+    rows = [(i, " ".join(names[: n + 4])) for i, n in enumerate((4, 5, 8, 10, 64, 80, 81, 100, 125, 400, 500, 800, 1000))]
+    got = ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute_join(rows)
+
+
 def test_posterior():
     assert least_matches(0.8, 1e-6, 128) < 0.8 * 128 and least_matches(0.8, 1e-6, 16) > 0
 
@@ -119,9 +170,10 @@ def test_cut_documents(spark):
     assert sum(w[2] for w in want) > 0
 
 
-@pytest.mark.parametrize("limit", [300, 150_000])
-def test_cut_in_shards(spark, monkeypatch, limit):
+@pytest.mark.parametrize("limit,piece", [(300, 64), (300, 8_192), (100_000, 51), (100_000, 8_192)])
+def test_cut_in_shards(spark, monkeypatch, limit, piece):
     monkeypatch.setattr(passages, "SHARD_WORDS", limit)
+    monkeypatch.setattr(passages, "PIECE_WORDS", piece)
     rows = made_rows(2)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'k' as lang", "1 as spans")
     got = [(r.doc_id, r.n_words, r.n_removed, hashlib.sha256(b" ".join(words_of(r.text))).hexdigest()) for r in substring_dedup(df).collect()]
@@ -129,6 +181,25 @@ def test_cut_in_shards(spark, monkeypatch, limit):
     assert substring_dedup(df.limit(0)).count() == 0
 
 
+def test_long_shared_document(spark):
+    """Two million words that a second document holds too, but for one word: automata of bounded size do it."""
+    words = [f"{i * 7919 % 1_000_003:x}" for i in range(2_000_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:1_000_000], "new", *words[1_000_000:]]))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.text) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][:2] == (2_000_000, 0) and got[2] == (2_000_001, 2_000_000, "new")
+
+
+def test_words_over_segments(monkeypatch):
+    import pyarrow as pa
+
+    import docsluice.llm.words as words
+
+    column = pa.array(["one two  three", None, "", "x" * 500 + " é漢字 " + "yz" * 300, " a b "])
+    whole = words.Words(column).hash
+    monkeypatch.setattr(words, "SEGMENT_BYTES", 7)
+    assert (words.Words(column).hash == whole).all() and len(whole) == 8
+
+
 def test_automaton():
     r = random.Random(5)
     texts = [[r.randrange(3) for _ in range(40)] for _ in range(6)]
