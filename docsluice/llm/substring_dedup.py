@@ -10,9 +10,11 @@ shard holds the runs of words around its anchors; its task walks the runs by doc
 through the suffix automaton of the runs of smaller documents for its matching statistics, reports
 the maximal spans of 50 or more matched words, and then adds the run to the automaton.
 
-A shard of more than SHARD_WORDS words is split: hashes of its windows show which documents are the
-first to hold a repeated window, and only these are its references, in blocks of SHARD_WORDS; each
-reference block is handed to every block of the documents to be streamed.
+Runs are cut into pieces of at most PIECE_WORDS words that overlap by 49, so every window lies in a
+piece and no row grows with its document. A shard of more than SHARD_WORDS words is split: hashes of
+its windows show which pieces are the first to hold a repeated window, and only these are its
+references, in blocks of about SHARD_WORDS; each reference block is handed to every block of the
+pieces to be streamed. So one automaton is bounded, however long the documents are.
 
 Defined cases: null text counts as empty; documents of fewer than 50 words lose nothing; a row with
 a null doc_id loses nothing and takes nothing from others; rows that repeat a doc_id are not
@@ -33,7 +35,8 @@ from .ngram_join import group_bounds
 from .words import BLANKS, Words, binary_runs, grams, ranges, slices
 
 WINDOW, GRAM = 50, 10
-SHARD_WORDS = 150_000
+SHARD_WORDS = 100_000
+PIECE_WORDS = 8_192
 
 
 def window_anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +73,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The runs of words around a document's shared anchors, a row for each run and shard."""
+    """The runs of words around a document's shared anchors, a row for each piece of a run and shard."""
     for batch in batches:
         for piece in slices(batch, "text"):
             words = Words(piece.column("text"), BLANKS)
@@ -103,23 +106,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 shards += shard[begin].tolist()
                 starts += first[begin].tolist()
                 ends += (first[stop] + WINDOW).tolist()
-            if rows:
-                begin, stop = np.array(starts), np.array(ends)
-                bounds = np.concatenate([[0], np.cumsum(stop - begin)])
-                take = pa.array(rows)
+            if not rows:
+                continue
+            begin, stop = np.array(starts), np.array(ends)
+            step = PIECE_WORDS - WINDOW + 1
+            count = np.maximum(1, -(-(stop - begin - WINDOW + 1) // step))
+            nth = ranges(np.zeros(len(count), np.int64), count)
+            begin, end, rows, shards = np.repeat(begin, count) + nth * step, np.repeat(stop, count), np.repeat(rows, count), np.repeat(shards, count)
+            stop = np.minimum(begin + PIECE_WORDS, end)
+            for at in range(0, len(rows), 64):  # a batch of output rows stays small
+                r, a, b = rows[at : at + 64], begin[at : at + 64], stop[at : at + 64]
+                take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shards, pa.int64()), piece.column("doc_id").take(take), piece.column("text_key").take(take), pa.array((begin - words.first[rows]).astype(np.int32)), pa.array((stop - begin).astype(np.int64)), binary_runs(words.hash[ranges(begin, stop - begin)], bounds)],
+                    [pa.array(shards[at : at + 64], pa.int64()), piece.column("doc_id").take(take), piece.column("text_key").take(take), pa.array((a - words.first[r]).astype(np.int32)), pa.array((b - a).astype(np.int64)), binary_runs(words.hash[ranges(a, b - a)], np.concatenate([[0], np.cumsum(b - a)]))],
                     ["shard", "doc_id", "text_key", "start", "n", "words"],
                 )
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct hashes of each run's windows."""
+    """The distinct hashes of each piece's windows."""
     for batch in batches:
-        shard, doc = batch.column("shard").to_numpy(), batch.column("doc_id").to_numpy()
+        shard, doc, start = (batch.column(c).to_numpy() for c in ("shard", "doc_id", "start"))
         for i, raw in enumerate(batch.column("words")):
             hashes = np.unique(grams(np.frombuffer(raw.as_buffer(), np.uint64), WINDOW)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), shard[i])), pa.array(hashes), pa.array(np.full(len(hashes), doc[i]))], ["shard", "window", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), shard[i])), pa.array(hashes), pa.array(np.full(len(hashes), doc[i])), pa.array(np.full(len(hashes), start[i]))], ["shard", "window", "doc_id", "start"])
 
 
 class SuffixAutomaton:
@@ -233,11 +243,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     columns = ["shard", "block", "part", "role", "doc_id", "text_key", "start", "words"]
     plain = runs.join(big, "shard", "left_anti").withColumns({"block": F.lit(0), "part": F.lit(0), "role": F.lit(0)}).select(columns)
     if not big.isEmpty():
-        wide = kept(runs.join(big, "shard"))
-        first = wide.select("shard", "doc_id", "words").mapInArrow(_windows, "shard long, window long, doc_id long").groupBy("shard", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("shard", F.col("lo").alias("doc_id")).distinct()
-        reference = kept(wide.join(first, ["shard", "doc_id"], "left_semi"))
+        wide = runs.join(big, "shard")
+        windows = wide.select("shard", "doc_id", "start", "words").mapInArrow(_windows, "shard long, window long, doc_id long, start int").groupBy("shard", "window")
+        first = windows.agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max("doc_id").alias("hi")).where("lo.doc_id < hi").select("shard", "lo.*").distinct()
+        reference = kept(wide.join(first, ["shard", "doc_id", "start"], "left_semi"))
         blocks = reference.groupBy("shard").agg(F.ceil(F.sum("n") / SHARD_WORDS).cast("int").alias("blocks"))
-        holders = reference.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1)).select(columns)
+        holders = reference.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("role", F.lit(1)).select(columns)
         streamed = wide.join(blocks, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "start"), "parts").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(2)).select(columns)
         plain = plain.union(holders).union(streamed)
     return in_groups(plain, ["shard", "block", "part"], ["doc_id"], _match, "doc_id long, text_key long, begin int, end int")
