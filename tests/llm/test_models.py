@@ -179,37 +179,84 @@ def test_exponent(spark, limit, entropy, want):
 
 
 def brute_nearest(rows):
-    rows = sorted((i, np.array(v, dtype=float)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and any(v))
+    """By each query's id and vector: (-score, vec_id) of its nearest among the rows of its width."""
+    rows = sorted((i, tuple(map(float, v))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v))
     out = {}
-    for q, x in rows:
+    for q, x in set(rows):
         if q % 20 == 0:
-            out[q] = sorted(((-vector_search.products(x[None, :], v[None, :])[0, 0], i) for i, v in rows if i != q))[:20]
+            others = list(rows)
+            others.remove((q, x))
+            others = [(i, v) for i, v in others if len(v) == len(x)]
+            scores = vector_search.products(np.tile(x, (len(others), 1)), np.array([v for _, v in others]).reshape(len(others), len(x)))
+            out[q, x] = sorted(zip((-scores).tolist(), (i for i, _ in others)))[:20]
     return out
 
 
-def test_search_recall(spark):
-    table = pq.read_table(f"{DATA}/embeddings.parquet", columns=["vec_id", "embedding"])
-    want = brute_nearest(list(zip(table["vec_id"].to_pylist(), table["embedding"].to_pylist())))
-    got = op8_vector_search(spark, DATA).toPandas()
+def lists(found):
+    """The lists of (score, vec_id) by query_id; a query_id of several vectors has as many."""
+    out = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.rank, -r.score, r.vec_id))
+    return {q: sorted(v) for q, v in out.items()}
+
+
+def brute_lists(rows):
+    out = {}
+    for (q, _), best in brute_nearest(rows).items():
+        out.setdefault(q, []).extend((k + 1, s, i) for k, (s, i) in enumerate(best))
+    return {q: sorted(v) for q, v in out.items() if v}
+
+
+@pytest.mark.parametrize("folder", [DATA, "/root/testdata/sf0.1"])
+def test_search_recall(spark, folder):
+    table = pq.read_table(f"{folder}/embeddings.parquet", columns=["vec_id", "embedding"])
+    want = {q: best for (q, _), best in brute_nearest(list(zip(table["vec_id"].to_pylist(), table["embedding"].to_pylist()))).items()}
+    got = op8_vector_search(spark, folder).toPandas()
     assert set(got.query_id) == set(want) and (got.groupby("query_id").size() == 20).all()
     exact = {(q, i): -s for q, best in want.items() for s, i in best}
     found = [exact[q, i] == s for q, i, s in zip(got.query_id, got.vec_id, got.score) if (q, i) in exact]
     assert all(found) and len(found) >= 0.9 * len(exact)
 
 
+def test_search_in_a_deep_tree(spark, monkeypatch):
+    """A sample too small for the table: large leaves get subtrees, and visits are dealt over parts."""
+    for name, value in (("FIT_ROWS", 64), ("LEAF_ROWS", 16), ("DEEP_ROWS", 64), ("SUB_ROWS", 128), ("SUB_LEAF", 8), ("BLOCK_ROWS", 32), ("VISITS", 7)):
+        monkeypatch.setattr(vector_search, name, value)
+    r = np.random.default_rng(4)
+    centres = r.standard_normal((12, 8)) * 4
+    rows = [(i, (centres[i % 12] + r.standard_normal(8)).astype("float32").tolist()) for i in range(1500)]
+    depths = []
+    deepened = vector_search._deepened
+    monkeypatch.setattr(vector_search, "_deepened", lambda placed, tree, full: (deepened(placed, tree, full), depths.append((len(full), int(tree.leaf.max()) + 1))))
+    found = vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), recall=0.95).collect()
+    want = brute_lists(rows)
+    got = lists(found)
+    assert depths and depths[0][1] > 2 * depths[0][0]
+    hits = sum(len({i for _, _, i in got[q]} & {i for _, _, i in best}) for q, best in want.items())
+    assert hits >= 0.9 * 20 * len(want) and all(len(v) == 20 for v in got.values())
+
+
 def test_search_of_odd_rows(spark):
     r = np.random.default_rng(1)
     same = [1.0, 0.0, 0.5]
     rows = [(i, same if i % 3 == 0 else r.standard_normal(3).astype("float32").tolist()) for i in range(200)]
-    rows += [(None, same), (300, None), (320, [0.0, 0.0, 0.0]), (340, [1.0, None, 2.0]), (360, [float("nan"), 1.0, 1.0])]
+    rows += [(None, same), (300, None), (320, [0.0, 0.0, 0.0]), (340, [1.0, None, 2.0]), (360, [float("nan"), 1.0, 1.0]), (380, [])]
+    rows += [(20, rows[20][1]), (20, rows[20][1]), (40, [2.0, -0.0, 1.0]), (41, [3.0, 1.0, 1.0]), (41, [3.0, 1.0, 1.0])]
+    rows += [(-5, [1.0, 2.0]), (-20, [1.0, 3.0]), (-40, [0.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("vec_id", "embedding", "1 as leaf", "2 as v")
-    got = nearest(df, recall=1.0).toPandas().sort_values(["query_id", "rank"])
-    want = brute_nearest(rows)
-    assert {q: g.vec_id.tolist() for q, g in got.groupby("query_id")} == {q: [i for _, i in best] for q, best in want.items()}
+    assert lists(nearest(df, recall=1.0).collect()) == brute_lists(rows)
     assert nearest(df.limit(0)).count() == 0
     assert nearest(spark.createDataFrame([(20, same), (1, same)], "vec_id long, embedding array<float>")).collect()[0][:3] == (20, 1, 1)
 
 
+def test_search_finds_twenty(spark):
+    """Visits go on until they hold enough rows, whatever the recall that is asked for."""
+    r = np.random.default_rng(3)
+    rows = [(i, (np.eye(6)[i % 6] * 9 + r.standard_normal(6) * 0.01).tolist()) for i in range(120)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.01).toPandas()
+    assert (got.groupby("query_id").size() == 20).all()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tests.llm.test_dedup import brute_cut, brute_join
