@@ -6,6 +6,11 @@ pair by binary search over the sorted pair keys, takes the lowest rank within ea
 all its occurrences in that word from left to right, until no word has a pair left. Encoded words
 are kept in a bounded table for the batches that follow.
 
+Words of more than LONG_WORD bytes (base64, scripts without blanks) would take a round for each rank
+that occurs in them. Theirs is a flat array with links to the neighbours, whose pairs are grouped by
+rank: a round takes the lowest rank of all these words, merges its pairs, and looks up only the pairs
+beside the merged ones, so that it costs what it merges.
+
 Defined cases: null counts as empty; an empty text has no ids and decodes to an empty text; very
 long texts and words are encoded whole; other columns of the input pass through.
 """
@@ -13,6 +18,7 @@ long texts and words are encoded whole; other columns of the input pass through.
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -27,6 +33,7 @@ from .words import binary_runs, ranges, slices
 
 #: Words whose ids a task keeps at hand.
 KNOWN_WORDS = 200_000
+LONG_WORD = 256
 SHIFT = np.int64(1 << 20)
 
 
@@ -75,6 +82,69 @@ class Codec:
             out += [part] if part in self.special else self.split.findall(part)
         return out
 
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; the number of ranks for one that is no pair."""
+        key = left * SHIFT + right
+        spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[spot] == key, self.ranks[spot], len(self.results))
+
+    def merge_long(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The ids of long words, by rounds that each take one rank's pairs in all of them."""
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([len(b) for b in raw])
+        symbols = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = n
+        before[np.append(0, ends[:-1])] = n
+        gone = np.zeros(n, dtype=bool)
+        rank = np.full(n + 1, len(self.results))  # the last stands for no neighbour
+        pairs = np.flatnonzero(after < n)
+        rank[pairs] = self.pair_ranks(symbols[pairs], symbols[pairs + 1])
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(spots: np.ndarray) -> None:
+            spots = spots[rank[spots] < len(self.results)]
+            spots = spots[np.argsort(rank[spots], kind="stable")]
+            own = rank[spots]
+            for part in np.split(spots, np.flatnonzero(own[1:] != own[:-1]) + 1) if len(spots) else ():
+                r = int(rank[part[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(pairs)
+        while ranks:
+            r = heapq.heappop(ranks)
+            parts = waiting.pop(r)
+            spots = np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+            spots = spots[rank[spots] == r]
+            if not len(spots):
+                continue
+            # of overlapping occurrences every other one, from the left
+            new_run = np.append(True, after[spots[:-1]] != spots[1:])
+            nth = np.arange(len(spots)) - np.maximum.accumulate(np.where(new_run, np.arange(len(spots)), 0))
+            spots = spots[nth % 2 == 0]
+            right = after[spots]
+            symbols[spots] = self.results[r]
+            gone[right] = True
+            rank[right] = len(self.results)
+            after[spots] = after[right]
+            follow = after[spots]
+            inner = follow < n
+            before[follow[inner]] = spots[inner]
+            touched = np.concatenate([spots, before[spots]])
+            touched = np.unique(touched[touched < n])
+            rank[touched] = len(self.results)
+            touched = touched[after[touched] < n]
+            rank[touched] = self.pair_ranks(symbols[touched], symbols[after[touched]])
+            wait(touched)
+        left = np.cumsum(~gone)[ends - 1]
+        symbols = symbols[~gone]
+        return [tuple(part.tolist()) for part in np.split(symbols, left[:-1])]
+
     def merge(self, words: list[str]) -> None:
         """Learn the ids of these words by rounds of merges over all of them at once."""
         raw = [w.encode() for w in words]
@@ -87,10 +157,7 @@ class Codec:
             n = len(symbols)
             rank = np.full(n, worst)
             if n > 1:
-                key = symbols[:-1] * SHIFT + symbols[1:]
-                spot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = (self.keys[spot] == key) & (owner[:-1] == owner[1:])
-                rank[:-1] = np.where(hit, self.ranks[spot], worst)
+                rank[:-1] = np.where(owner[:-1] == owner[1:], self.pair_ranks(symbols[:-1], symbols[1:]), worst)
             first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             least = np.minimum.reduceat(rank, first)
             size = np.diff(np.append(first, n))
@@ -127,9 +194,13 @@ class Codec:
             self.known.clear()
         self.known.update({t: (i,) for t, i in self.special.items()})
         new = list(dict.fromkeys(w for ws in split for w in ws if w not in self.known))
-        if new:
-            self.merge(new)
+        long = [w for w in new if len(w) * 4 > LONG_WORD and len(w.encode()) > LONG_WORD]
+        if len(long) < len(new):
+            aside = set(long)
+            self.merge([w for w in new if w not in aside])
         known = self.known
+        if long:  # not kept: they are rare and large
+            known = {**{w: known[w] for ws in split for w in ws if w in known}, **dict(zip(long, self.merge_long(long)))}
         ids: list[int] = []
         bounds = [0]
         for ws in split:

@@ -40,6 +40,22 @@ def test_encode_as_the_library(spark):
     assert bpe_encode(df.limit(0), *default_tokenizer()).count() == 0
 
 
+def test_long_words_as_the_library():
+    import time
+
+    r = random.Random(5)
+    tool, codec = library(), Codec(*default_tokenizer())
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (256, 257, 300, 5_000, 50_000)]
+    texts += ["a" * 1001, "abab" * 200 + "aab" * 99, "".join(r.choice("ab") for _ in range(4000)), "한국어中文日本" * 500, "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(3000)), f"{'x' * 700} {'y' * 700} {'x' * 700}"]
+    ids, bounds = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [e.ids for e in tool.encode_batch(texts, add_special_tokens=False)]
+    assert not any(len(w.encode()) > 256 for w in codec.known)
+    million = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    began = time.perf_counter()
+    assert codec.encode([million])[0].tolist() == tool.encode(million, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 60
+
+
 def test_documents_as_the_library(spark):
     tool = library()
     table = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"])
