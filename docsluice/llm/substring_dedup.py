@@ -61,6 +61,7 @@ def window_anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's distinct anchors, with the number of its windows that have each."""
     for batch in batches:
         for piece in slices(batch, "text"):
             _, owner, anchor = window_anchors(Words(piece.column("text"), BLANKS))
@@ -69,7 +70,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(owner):
                 new = np.ones(len(owner), dtype=bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1])
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(owner[new])), pa.array(anchor[new].view(np.int64))], ["doc_id", "anchor"])
+                n = np.diff(np.append(np.flatnonzero(new), len(new)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(owner[new])), pa.array(anchor[new].view(np.int64)), pa.array(n)], ["doc_id", "anchor", "windows"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,29 +83,30 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lists = piece.column("shards")
             flat, where = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
             known = flat.field("anchor").to_numpy().view(np.uint64)
-            shard_of = flat.field("shard").to_numpy()
+            shard_of, parts_of = flat.field("shard").to_numpy(), flat.field("parts").to_numpy()
             bounds = np.searchsorted(owner, np.arange(piece.num_rows + 1))
-            rows, shards, starts, ends = [], [], [], []
+            rows, shards, parts, starts, ends = [], [], [], [], []
             for r in range(piece.num_rows):
                 mine = known[where[r] : where[r + 1]]
                 order = np.argsort(mine)
-                mine, its = mine[order], shard_of[where[r] : where[r + 1]][order]
+                mine, its, cut = mine[order], shard_of[where[r] : where[r + 1]][order], parts_of[where[r] : where[r + 1]][order]
                 own, first = anchor[bounds[r] : bounds[r + 1]], at[bounds[r] : bounds[r + 1]]
                 if not len(own) or not len(mine):
                     continue
                 spot = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
                 hit = mine[spot] == own
-                shard, first = its[spot[hit]], first[hit]
+                shard, part, first = its[spot[hit]], cut[spot[hit]], first[hit]
                 if not len(first):
                     continue
                 order = np.lexsort((first, shard))
-                shard, first = shard[order], first[order]
+                shard, part, first = shard[order], part[order], first[order]
                 new = np.ones(len(first), dtype=bool)
                 new[1:] = (shard[1:] != shard[:-1]) | (first[1:] > first[:-1] + WINDOW)
                 begin = np.flatnonzero(new)
                 stop = np.append(begin[1:], len(first)) - 1
                 rows += [r] * len(begin)
                 shards += shard[begin].tolist()
+                parts += part[begin].tolist()
                 starts += first[begin].tolist()
                 ends += (first[stop] + WINDOW).tolist()
             if not rows:
@@ -112,14 +115,14 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step = PIECE_WORDS - WINDOW + 1
             count = np.maximum(1, -(-(stop - begin - WINDOW + 1) // step))
             nth = ranges(np.zeros(len(count), np.int64), count)
-            begin, end, rows, shards = np.repeat(begin, count) + nth * step, np.repeat(stop, count), np.repeat(rows, count), np.repeat(shards, count)
+            begin, end, rows, shards, parts = np.repeat(begin, count) + nth * step, np.repeat(stop, count), np.repeat(rows, count), np.repeat(shards, count), np.repeat(parts, count)
             stop = np.minimum(begin + PIECE_WORDS, end)
             for at in range(0, len(rows), 64):  # a batch of output rows stays small
                 r, a, b = rows[at : at + 64], begin[at : at + 64], stop[at : at + 64]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shards[at : at + 64], pa.int64()), piece.column("doc_id").take(take), piece.column("text_key").take(take), pa.array((a - words.first[r]).astype(np.int32)), pa.array((b - a).astype(np.int64)), binary_runs(words.hash[ranges(a, b - a)], np.concatenate([[0], np.cumsum(b - a)]))],
-                    ["shard", "doc_id", "text_key", "start", "n", "words"],
+                    [pa.array(shards[at : at + 64], pa.int64()), pa.array(parts[at : at + 64], pa.int32()), piece.column("doc_id").take(take), piece.column("text_key").take(take), pa.array((a - words.first[r]).astype(np.int32)), pa.array((b - a).astype(np.int64)), binary_runs(words.hash[ranges(a, b - a)], np.concatenate([[0], np.cumsum(b - a)]))],
+                    ["shard", "parts", "doc_id", "text_key", "start", "n", "words"],
                 )
 
 
@@ -234,16 +237,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     docs(doc_id, text_key, text), doc_id not null; spans of different shards may overlap.
     """
-    anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "doc_id long, anchor long")
-    sets = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("all")).where("lo < hi").select("anchor", F.xxhash64("n", "lo", "hi", "all").alias("shard"))
-    listed = anchors.join(sets, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shard")).alias("shards"))
-    runs = kept(docs.join(listed, "doc_id").select("doc_id", "text_key", "text", "shards").mapInArrow(_runs, "shard long, doc_id long, text_key long, start int, n long, words binary"))
-    big = runs.groupBy("shard").agg(F.sum("n").alias("total")).where(F.col("total") > SHARD_WORDS).select("shard", F.ceil(F.col("total") / SHARD_WORDS).cast("int").alias("parts"))
-    big = kept(big)
+    anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "doc_id long, anchor long, windows long")
+    sets = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("all"), F.sum("windows").alias("windows"))
+    sets = sets.where("lo < hi").select("anchor", "n", "windows", F.xxhash64("n", "lo", "hi", "all").alias("shard"))
+    # a run of windows has 49 words more; each of the shard's documents has a run at least
+    sizes = sets.groupBy("shard").agg(F.ceil((F.sum("windows") + (WINDOW - 1) * F.max("n")) / SHARD_WORDS).cast("int").alias("parts"))
+    sets = sets.join(sizes, "shard").select("anchor", "shard", "parts")
+    listed = anchors.join(sets, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shard", "parts")).alias("shards"))
+    runs = kept(docs.join(listed, "doc_id").select("doc_id", "text_key", "text", "shards").mapInArrow(_runs, "shard long, parts int, doc_id long, text_key long, start int, n long, words binary"))
     columns = ["shard", "block", "part", "role", "doc_id", "text_key", "start", "words"]
-    plain = runs.join(big, "shard", "left_anti").withColumns({"block": F.lit(0), "part": F.lit(0), "role": F.lit(0)}).select(columns)
-    if not big.isEmpty():
-        wide = runs.join(big, "shard")
+    plain = runs.where("parts = 1").withColumns({"block": F.lit(0), "part": F.lit(0), "role": F.lit(0)}).select(columns)
+    wide = runs.where("parts > 1")
+    if not wide.isEmpty():
         windows = wide.select("shard", "doc_id", "start", "words").mapInArrow(_windows, "shard long, window long, doc_id long, start int").groupBy("shard", "window")
         first = windows.agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max("doc_id").alias("hi")).where("lo.doc_id < hi").select("shard", "lo.*").distinct()
         reference = kept(wide.join(first, ["shard", "doc_id", "start"], "left_semi"))
