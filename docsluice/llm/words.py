@@ -48,14 +48,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts have about `limit` bytes together."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of at most `rows` rows whose texts have about `limit` bytes together."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     piece = np.cumsum(sizes, dtype=np.int64) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
+    cuts = np.unique(np.concatenate([np.flatnonzero(np.diff(piece)) + 1, np.arange(0, batch.num_rows, rows), [batch.num_rows]])).tolist()
     for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
+        yield batch.slice(a, b - a)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
