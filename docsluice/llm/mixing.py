@@ -30,6 +30,8 @@ REPETITION_LIMIT = 1.5
 BLOCK_WORDS = 100_000
 #: Sources up to which the plan of one row a source is broadcast; beyond it the join shuffles.
 BROADCAST_SOURCES = 50_000
+#: The blocks of a source are summed up in parts by so many leading bits of their keys.
+PART_BITS = 12
 ADDED = ("copy", "mix_block", "mix_pos")
 
 
@@ -59,6 +61,12 @@ def exponent(words: DataFrame, repetition_limit: float | None, target_entropy: f
     return one.select(F.expr(f"least(1D, ceil(coalesce({found}, 1D) * 1e6) / 1e6)").alias("exponent"))
 
 
+def _edge(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Of each source's rows(s, n, rest, ...) in order, the one in which the sum of n passes rest, and what is left of rest there."""
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_upto", upto).where("_upto - n <= rest and rest < _upto").withColumn("left", F.col("rest") - F.col("_upto") + F.col("n")).drop("_upto")
+
+
 def mixed(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, target_entropy: float | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs(doc_id, text, source, ...) once for each time it is read, with copy, mix_block and mix_pos."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -74,9 +82,11 @@ def mixed(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, ta
 
     block = F.pmod("h", "blocks").alias("block")
     dealt = _joined(words, plan.select("s", "rest", "blocks"), sources, ["s"]).select("s", "h", "n", "rest", block)
-    order = Window.partitionBy("s").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = dealt.groupBy("s", "block").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")).withColumn("key", _hash(F.lit("block"), "s", "block"))
-    edge = kept(sums.withColumn("upto", F.sum("n").over(order)).where("upto - n <= rest and rest < upto").groupBy("s").agg(F.min(F.struct("key", "block", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("e")).select("s", "e.*"))
+    sums = sums.withColumn("part", F.shiftright("key", 48 - PART_BITS))
+    # the budget ends in one part of a source's keys, and there in one block: no window sees all blocks of a source
+    parts = _edge(sums.groupBy("s", "part").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")), ["part"]).select("s", "part", F.col("left").alias("rest"))
+    edge = kept(_edge(sums.drop("rest").join(parts, ["s", "part"]), ["key", "block"]).select("s", "key", "block", "left"))
     inside = Window.partitionBy("s").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = _joined(dealt.select("s", "h", "n", "block"), edge, sources, ["s", "block"]).withColumn("upto", F.sum("n").over(inside)).where(F.col("upto") <= F.col("left")).groupBy("s").agg(F.max("h").alias("last"))
     cuts = kept(plan.join(edge.select("s", "key", F.col("block").alias("edge")), "s", "left").join(last, "s", "left").select(F.col("s").alias("_s"), "passes", F.col("blocks").alias("_blocks"), F.col("key").alias("_key"), F.col("edge").alias("_edge"), F.col("last").alias("_last")))
