@@ -7,15 +7,20 @@ count, byte count, table of 100 seek points) and ends with an ID3v1 tag. Short r
 higher bitrate, so the table is needed.
 
 Reading resynchronises on frame headers: a header counts if the one that its length points to, or
-the end of the audio, is where it should be, or if its own checksum holds. Each frame's 16-bit checksum is verified; durations
-are exact (samples over sampling rate) and seek offsets are the frames' own byte positions.
+the end of the audio, is where it should be, or if its own checksum holds. Frames of one and of two
+channels, with and without a checksum, are read; a variable-bitrate table is read by its flags. Each
+frame's 16-bit checksum is verified; durations are exact (samples over sampling rate) and seek
+offsets are the frames' own byte positions. The feature holds these, the seek offset of each
+hundredth of the frames, a checksum over all offsets, and the level of the samples read back.
 
 Defined cases: null and empty texts carry one frame of blanks; equal texts give equal files; very
-long texts make more frames; other columns of the input pass through.
+long texts make more frames; other columns of the input pass through, but for those that are named
+as one of the added.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +37,7 @@ SAMPLES, RATE = 1152, 48_000
 BITRATES = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
 RATES = [44_100, 48_000, 32_000]
 POLYNOMIAL = 0x8005
-SIDE = 17  # bytes of side information of one channel
+SIDE, SIDE_OF_TWO = 17, 32  # bytes of side information of one channel and of two
 LOW, HIGH = 6, 7  # 80 and 96 kbit/s: frames of 240 and 288 bytes
 #: Every eighth frame is a large one.
 LARGE_EVERY = 8
@@ -100,12 +105,34 @@ def write_audio(payload: bytes) -> bytes:
     return head + bytes(first) + audio + tail
 
 
-def _guarded_bytes(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return flat[np.concatenate([at[:, None] + [2, 3], at[:, None] + np.arange(6, 6 + SIDE)], axis=1)]
+def _sides(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes of side information of the frames at these places."""
+    return np.where(flat[at + 3] >> 6 == 3, SIDE, SIDE_OF_TWO)
 
 
-def _stored_checksums(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return flat[at + 4].astype(np.uint16) << np.uint16(8) | flat[at + 5]
+def _checks(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the checksum that follows each header holds."""
+    out = np.zeros(len(at), dtype=bool)
+    stored = flat[at + 4].astype(np.uint16) << np.uint16(8) | flat[at + 5]
+    sides = _sides(flat, at)
+    for side in (SIDE, SIDE_OF_TWO):
+        own = np.flatnonzero((sides == side) & (at + 6 + side <= len(flat)))
+        guarded = flat[np.concatenate([at[own, None] + [2, 3], at[own, None] + np.arange(6, 6 + side)], axis=1)]
+        out[own] = stored[own] == checksums(guarded)
+    return out
+
+
+def _table(data: bytes, at: int) -> dict | None:
+    """The variable-bitrate table at a place, by its flags: frames, bytes, 100 seek points, quality."""
+    if data[at : at + 4] not in (b"Xing", b"Info") or at + 8 > len(data):
+        return None
+    flags, at = int.from_bytes(data[at + 4 : at + 8], "big"), at + 8
+    out = {"frames": None, "bytes": None, "seek": None, "quality": None}
+    for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "seek", 100), (8, "quality", 4)):
+        if flags & bit and at + size <= len(data):
+            out[name] = list(data[at : at + size]) if name == "seek" else int.from_bytes(data[at : at + size], "big")
+            at += size
+    return out
 
 
 def read_audio(data: bytes) -> dict:
@@ -129,7 +156,7 @@ def read_audio(data: bytes) -> dict:
     size = 144_000 * np.array([*BITRATES, 0])[b2 >> 4] // rate + (b2 >> 1 & 1)
     follows = np.isin(at + size, at) | (at + size == end)
     alone = np.flatnonzero(~follows & (at + size <= end) & (flat[at + 1] & 1 == 0))
-    follows[alone] = _stored_checksums(flat, at[alone]) == checksums(_guarded_bytes(flat, at[alone]))
+    follows[alone] = _checks(flat, at[alone])
     position, frames = begin, []
     candidates = at[follows].tolist()
     sizes = size[follows].tolist()
@@ -141,29 +168,40 @@ def read_audio(data: bytes) -> dict:
             position = p + s
     skipped += end - position
     result = {"tags": tags, "skipped": skipped, "vbr": None}
-    if frames and data[frames[0][0] + 6 + SIDE : frames[0][0] + 10 + SIDE] in (b"Xing", b"Info"):
-        p = frames[0][0] + 6 + SIDE
-        result["vbr"] = {"frames": int.from_bytes(data[p + 8 : p + 12], "big"), "bytes": int.from_bytes(data[p + 12 : p + 16], "big"), "seek": list(data[p + 16 : p + 116])}
-        result["first"] = frames[0][0]
-        frames = frames[1:]
+    if frames:
+        p = frames[0][0]
+        for start in (4, 6):  # some writers leave the place of the checksum out, whatever the header says
+            result["vbr"] = result["vbr"] or _table(data, p + start + int(_sides(flat, np.array([p]))[0]))
+        if result["vbr"]:
+            result["first"] = p
+            frames = frames[1:]
     where = np.array([p for p, _ in frames], dtype=np.int64)
     if len(where):
         guarded = flat[where + 1] & 1 == 0
-        good = ~guarded | (checksums(_guarded_bytes(flat, where)) == _stored_checksums(flat, where))
+        good = np.ones(len(where), dtype=bool)
+        good[guarded] = _checks(flat, where[guarded])
         rate = np.array([*RATES, 1])[flat[where + 2] >> 2 & 3]
         seconds = (SAMPLES / rate).sum() if len(set(rate.tolist())) > 1 else len(where) * SAMPLES / int(rate[0])
-        payload = flat[where[good, None] + np.arange(6 + SIDE, 6 + SIDE + UNIT)].tobytes()
+        start = 4 + 2 * guarded + _sides(flat, where)
+        holds = good & (start + UNIT <= np.array([s for _, s in frames]))
+        payload = flat[(where + start)[holds, None] + np.arange(UNIT)].tobytes()
     else:
         good, seconds, payload = np.zeros(0, bool), 0.0, b""
     return result | {"frames": len(where), "bad": int((~good).sum()), "seconds": seconds, "offsets": where, "sizes": np.array([s for _, s in frames], dtype=np.int64), "payload": payload}
 
 
 def feature(read: dict) -> str:
-    """The counts, exact duration and seek offsets (of each hundredth of the frames) as text."""
+    """Counts, exact duration, seek offsets (of each hundredth of the frames, and a checksum over all), and the level of the samples."""
     n = read["frames"]
-    seek = read["offsets"][np.arange(0, 100, 25) * n // 100].tolist() if n else []
-    vbr = read["vbr"]
-    return f"frames={n};bad={read['bad']};skipped={read['skipped']};samples={n * SAMPLES};seconds={read['seconds']:.6f};kbps={int(8 * read['sizes'].sum() * RATE / (SAMPLES * max(n, 1)) / 1000)};vbr={vbr['frames'] if vbr else -1};seek={','.join(map(str, seek))};tags={'+'.join(read['tags'])}"
+    seek = read["offsets"][np.arange(100) * n // 100].tolist() if n else []
+    samples = np.frombuffer(read["payload"], np.uint8).astype(np.int64) - 128
+    level = int((samples**2).sum()) / max(len(samples), 1)
+    crossings = int((np.diff(samples >= 0)).sum()) if len(samples) else 0
+    vbr = read["vbr"] or {}
+    return (
+        f"frames={n};bad={read['bad']};skipped={read['skipped']};samples={n * SAMPLES};seconds={read['seconds']:.6f};kbps={int(8 * read['sizes'].sum() * RATE / (SAMPLES * max(n, 1)) / 1000)};vbr={vbr.get('frames', -1)},{vbr.get('bytes', -1)};"
+        f"offsets={zlib.crc32(read['offsets'].astype('<i8').tobytes()):08x};seek={','.join(map(str, seek))};level={level:.6f};peak={int(np.abs(samples).max()) if len(samples) else 0};crossings={crossings};tags={'+'.join(read['tags'])}"
+    )
 
 
 def media_column(docs: DataFrame) -> DataFrame:
@@ -196,6 +234,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).cast("long").alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "duration", F.size("frame_offsets").cast("long").alias("n_frames"), F.sha2(F.array_join("frame_offsets", ",").cast("binary"), 256).alias("offsets_sha256"),
     )
 
 

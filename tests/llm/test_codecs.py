@@ -88,11 +88,52 @@ def test_media_round_trip(spark):
 
 
 def test_media_columns(spark):
-    row = op7_media(spark, DATA).orderBy("doc_id").first()
-    text = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")["text"][0].as_py().encode()
-    payload = text.ljust(-(-len(text) // 192) * 192)
-    assert (row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-    assert row.media_sha256 == hashlib.sha256(write_audio(payload)).hexdigest() and "bad=0;skipped=0" in row.feature
+    """All rows against a plain reading of the contract; offsets follow from the frames' sizes."""
+    table = pq.read_table(f"{DATA}/documents.parquet", columns=["doc_id", "text"])
+    texts = dict(zip(table["doc_id"].to_pylist(), table["text"].to_pylist()))
+    rows = op7_media(spark, DATA).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        raw = (texts[row.doc_id] or "").encode()
+        payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
+        n, media = len(payload) // 192, write_audio(payload)
+        assert (row.n_bytes, row.payload_bytes, row.payload_sha256, row.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (row.media_bytes, row.media_sha256, row.duration, row.n_frames) == (len(media), hashlib.sha256(media).hexdigest(), n * 1152 / 48000, n)
+        at, offsets = media.index(b"Xing") - 6 - 17 + 288, []
+        for i in range(n):
+            offsets.append(at)
+            at += 288 if i % 8 == 7 else 240
+        assert at == len(media) - 128 and row.offsets_sha256 == hashlib.sha256(",".join(map(str, offsets)).encode()).hexdigest()
+        told = dict(x.split("=") for x in row.feature.split(";"))
+        assert told["seek"] == ",".join(str(offsets[i * n // 100]) for i in range(100)) and (told["frames"], told["bad"], told["skipped"], told["tags"]) == (str(n), "0", "0", "ID3v2+ID3v1")
+        assert told["level"] == f"{sum((b - 128) ** 2 for b in payload) / len(payload):.6f}" and told["peak"] == str(max(abs(b - 128) for b in payload))
+        assert told["offsets"] == f"{zlib.crc32(b''.join(o.to_bytes(8, 'little') for o in offsets)):08x}"
+
+
+def frame(mode: int, guarded: bool, fill: int) -> bytes:
+    """A frame of 80 kbit/s at 48 kHz; its checksum bit by bit."""
+    head = bytes([0xFF, 0xFA if guarded else 0xFB, 6 << 4 | 1 << 2, mode << 6])
+    side = bytes([fill]) * (17 if mode == 3 else 32)
+    crc = 0xFFFF
+    for byte in head[2:] + side:
+        for bit in range(7, -1, -1):
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15 ^ byte >> bit) & 1 else 0)) & 0xFFFF
+    return (head + (crc.to_bytes(2, "big") if guarded else b"") + side).ljust(240, bytes([fill]))
+
+
+def test_read_other_frames():
+    frames = [frame(mode, guarded, 16 * mode + 2 * guarded + 1) for mode in (0, 1, 2, 3) for guarded in (True, False)]
+    got = read_audio(b"".join(frames))
+    assert (got["frames"], got["bad"], got["skipped"], got["vbr"]) == (8, 0, 0, None) and got["payload"] == b"".join(f[-192:] for f in frames)
+    broken = bytearray(b"".join(frames))
+    broken[240 * 4 + 10] ^= 8
+    assert read_audio(bytes(broken))["bad"] == 1
+    for flags, words in ((1, [7]), (2, [9]), (9, [7, 5]), (0, [])):
+        first = bytearray(frame(0, False, 0))
+        told = b"Info" + flags.to_bytes(4, "big") + b"".join(w.to_bytes(4, "big") for w in words)
+        first[36 : 36 + len(told)] = told
+        vbr = read_audio(bytes(first) + frames[0])["vbr"]
+        assert [v for v in (vbr["frames"], vbr["bytes"], vbr["quality"]) if v is not None] == words and vbr["seek"] is None
 
 
 def test_resynchronise():
