@@ -2,14 +2,16 @@
 
 A page is parsed into a tree as browsers do for the common omissions (paragraphs, list items and
 cells end where the next begins, void elements, raw scripts and styles). Each element is described
-by its tag, its depth, the text, link and mark densities of its subtree, the tokens of its class,
-id and role, and what its siblings and ancestors are like. Boosted trees give the log-odds that an
-element belongs to the main text. Decoding is hierarchical: an element can only be taken inside a
+by its tag, its depth, the text, link and mark densities of its subtree, the log-odds of the tokens
+of its class, id and role, and what its siblings and ancestors are like. Boosted trees give the
+log-odds that an element belongs to the main text. Decoding is hierarchical: an element can only be taken inside a
 taken parent, and the choice with the greatest sum over the whole tree is found from the leaves up,
 so no element contradicts its ancestors.
 
 The trees are trained in numpy on TRAINING_PAGES pages drawn from a generator of page layouts with
-known answers (a fixed seed; the corpus itself carries no answers to learn from).
+known answers (a fixed seed; the corpus itself carries no answers to learn from). The log-odds of
+attribute tokens are learnt on TOKEN_PAGES other pages of it; a token that was not seen there goes by
+the longest known one in it.
 
 Defined cases: null html counts as empty and has an empty text; text outside any body counts as the
 body's; pages without an article give an empty text; repeated rows are extracted alike; other
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .frames import table
 from .words import slices
 
-TRAINING_PAGES, TREES, DEPTH, SHRINK, BINS, SEED = 600, 60, 4, 0.2, 32, 17
+TRAINING_PAGES, TOKEN_PAGES, TREES, DEPTH, SHRINK, BINS, SEED = 600, 600, 60, 4, 0.2, 32, 17
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = frozenset("script style noscript template head title textarea select option button svg iframe object canvas".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -46,8 +48,9 @@ CLOSES = {
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
 TAGS = ["p", "div", "article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "a", "h1", "h2", "h3", "h4", "blockquote", "pre", "table", "td", "figure", "figcaption", "b", "i", "span", "br", "body", "html"]
 TAG_NUMBER = {t: i + 1 for i, t in enumerate(TAGS)}
-GOOD = re.compile(r"article|content|entry|post|story|body|main|text|prose|chapter|passage")
-BAD = re.compile(r"\bad\b|\bads\b|advert|sponsor|promo|banner|nav|menu|breadcrumb|sidebar|side-|widget|footer|header|masthead|cookie|consent|notice|alert|popup|modal|subscribe|newsletter|signup|share|social|related|recommend|more-|comment|discuss|respon|reply|login|search|toolbar|pagination|pager|copyright|legal|disclaimer|tags?\b|meta\b|hidden|print")
+TOKEN = re.compile(r"[a-z]+")
+#: Letters that a token must have to stand for a longer one, and the most that one token counts.
+STEM, MOST = 4, 3.0
 SPACE = re.compile(r"[ \t\n\r\f\v   -     　\x85\x1c-\x1f]+")
 
 
@@ -135,7 +138,30 @@ def elements(root: Node, first: int = 0) -> list[Node]:
 LINEAGE = (frozenset({"nav", "menu"}), frozenset({"article", "main"}), frozenset({"aside"}), frozenset({"footer", "header"}), frozenset({"form", "label", "fieldset"}), frozenset({"ul", "ol"}))
 
 
-def node_features(nodes: list[Node]) -> np.ndarray:
+class TokenOdds:
+    """Log-odds of attribute tokens to stand on main text, learnt from elements of known answer."""
+
+    def __init__(self, seen: dict[str, list[int]]):
+        self.odds = {t: float(np.clip(np.log((main + 0.5) / (other + 0.5)), -MOST, MOST)) for t, (other, main) in seen.items()}
+        self.known: dict[str, tuple[float, float]] = {}
+
+    def of(self, token: str) -> float:
+        if token in self.odds:
+            return self.odds[token]
+        inside = [t for t in self.odds if len(t) >= STEM and t in token]
+        return self.odds[max(inside, key=lambda t: (len(t), t))] if inside else 0.0
+
+    def best(self, attributes: str) -> tuple[float, float]:
+        """The greatest log-odds for main text and against it among the tokens."""
+        if attributes not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            odds = [self.of(t) for t in TOKEN.findall(attributes)]
+            self.known[attributes] = (max([0.0, *odds]), -min([0.0, *odds]))
+        return self.known[attributes]
+
+
+def node_features(nodes: list[Node], tokens: TokenOdds) -> np.ndarray:
     """A row of features for each element of one page or of several, each page's elements in one run."""
     n = len(nodes)
     parent, top = [-1] * n, [0] * n
@@ -164,9 +190,8 @@ def node_features(nodes: list[Node]) -> np.ndarray:
         tag = x.tag
         tags[i], paragraphs[i], items[i] = 1, tag == "p", tag == "li"
         if x.attributes:
-            good[i] = float(bool(GOOD.search(x.attributes)))
-            bad[i] = float(bool(BAD.search(x.attributes)))
-        step = (good[i], bad[i], *(tag in group for group in LINEAGE))
+            good[i], bad[i] = tokens.best(x.attributes)
+        step = (good[i] >= 1, bad[i] >= 1, *(tag in group for group in LINEAGE))
         lineage[i] = tuple(map(operator.add, above, step)) if any(step) else above
     own = np.array(chars, dtype=float)
     for i in range(n - 1, -1, -1):  # children come after their parents
@@ -194,7 +219,8 @@ def node_features(nodes: list[Node]) -> np.ndarray:
 class BoostedTrees:
     """Gradient-boosted regression trees for the logistic loss, on features cut into bins."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, tokens: TokenOdds):
+        self.tokens = tokens
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         binned = self._binned(x)
         self.base = float(np.log((weight * y).sum() / (weight * (1 - y)).sum()))
@@ -301,25 +327,36 @@ def block_texts(root: Node, taken: list[bool]) -> list[str]:
 def trained() -> BoostedTrees:
     """The model over generated pages; the same in every process."""
     rng = random.Random(SEED)
+    seen: dict[str, list[int]] = {}
+    for _ in range(TOKEN_PAGES):
+        nodes, main = answered(made_page(rng))
+        for x, y in zip(nodes, main):
+            for t in set(TOKEN.findall(x.attributes)):
+                seen.setdefault(t, [0, 0])[int(y)] += 1
+    tokens = TokenOdds(seen)
     xs, ys, ws = [], [], []
     for _ in range(TRAINING_PAGES):
-        root = parse(made_page(rng))
-        nodes = elements(root)
-        flags = []  # the generator marks what is main text
-        for x in nodes:
-            flags.append("@main" in x.attributes)
-            x.attributes = x.attributes.replace("@main", "").strip()
-        main = np.array(flags)
-        for i, x in enumerate(nodes):  # inline elements and what lies inside share their block's answer; ancestors are open
-            if x.parent is not None and main[x.parent.number] and x.tag not in BLOCKS:
-                main[i] = True
-        for i in range(len(nodes) - 1, 0, -1):
-            if main[i]:
-                main[nodes[i].parent.number] = True
-        xs.append(node_features(nodes))
+        nodes, main = answered(made_page(rng))
+        xs.append(node_features(nodes, tokens))
         ys.append(main.astype(float))
         ws.append(np.array([0.3 + np.log1p(sum(len(c) for c in x.children if isinstance(c, str))) for x in nodes]))
-    return BoostedTrees(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws))
+    return BoostedTrees(np.concatenate(xs), np.concatenate(ys), np.concatenate(ws), tokens)
+
+
+def answered(page: str) -> tuple[list[Node], np.ndarray]:
+    """The elements of a made page, and which of them are main text, as the generator marked them."""
+    nodes = elements(parse(page))
+    main = np.zeros(len(nodes), dtype=bool)
+    for i, x in enumerate(nodes):
+        main[i] = "@main" in x.attributes
+        x.attributes = x.attributes.replace("@main", "").strip()
+    for i, x in enumerate(nodes):  # inline elements and what lies inside share their block's answer; ancestors are open
+        if x.parent is not None and main[x.parent.number] and x.tag not in BLOCKS:
+            main[i] = True
+    for i in range(len(nodes) - 1, 0, -1):
+        if main[i]:
+            main[nodes[i].parent.number] = True
+    return nodes, main
 
 
 def main_texts(pages: list[str | None], model: BoostedTrees) -> list[str]:
@@ -331,7 +368,7 @@ def main_texts(pages: list[str | None], model: BoostedTrees) -> list[str]:
             nodes += elements(root, len(nodes))
     if not nodes:
         return [""] * len(pages)
-    taken = decode(nodes, model.log_odds(node_features(nodes)))
+    taken = decode(nodes, model.log_odds(node_features(nodes, model.tokens)))
     return ["\n".join(block_texts(root, taken)) if root is not None else "" for root in roots]
 
 
@@ -389,28 +426,30 @@ def made_page(rng: random.Random) -> str:
         return "".join(out)
 
     def boilerplate() -> str:
-        kind = rng.randrange(10)
+        kind = rng.randrange(11)
+        if kind == 10:
+            return f"<div {rng.choice(["hidden", "style='display: none'"])}><p>{words(3, 40)}</p></div>"
         if kind == 0:
-            return f"<nav{attribute('nav menu main-nav breadcrumb')}>{links(2, 9)}</nav>"
+            return f"<nav{attribute('nav menu main-nav breadcrumb navbar toc')}>{links(2, 9)}</nav>"
         if kind == 1:
             return f"<aside{attribute('sidebar related widget side-column')}><h3>{words(1, 4)}</h3>{links(2, 8) if rng.random() < 0.6 else '<p>' + words(5, 40) + '</p>'}</aside>"
         if kind == 2:
-            return f'<div class="{rng.choice("ad ads advert advertisement sponsor promo banner ad-slot".split())}">{words(2, 30)}</div>'
+            return f'<div class="{rng.choice("ad ads advert advertisement sponsor sponsored promo promotion banner ad-slot".split())}">{words(2, 30)}</div>'
         if kind == 3:
-            return f"<form{attribute('search newsletter login subscribe')}><label>{words(1, 6)}</label><input><p>{words(2, 20)}</p><button>{words(1, 3)}</button></form>"
+            return f"<form{attribute('search newsletter login subscribe signup register')}><label>{words(1, 6)}</label><input><p>{words(2, 20)}</p><button>{words(1, 3)}</button></form>"
         if kind == 4:
-            return f'<div class="{rng.choice("cookie cookie-banner consent notice alert gdpr-notice popup".split())}"><p>{words(4, 40)}</p><a href="/p">{words(1, 3)}</a></div>'
+            return f'<div class="{rng.choice("cookie cookie-banner consent notice alert gdpr-notice popup modal overlay privacy".split())}"><p>{words(4, 40)}</p><a href="/p">{words(1, 3)}</a></div>'
         if kind == 5:
             tag = rng.choice(["div", "section"])
             ones = "".join(f'<{rng.choice(["div", "li", "article"])} class="comment"><b>{words(1, 3)}</b><p>{words(3, 60)}</p></div>' for _ in range(rng.randrange(1, 6)))
-            return f'<{tag} {rng.choice(["id", "class"])}="{rng.choice("comments comment-list discussion responses reader-comments".split())}">{ones}</{tag}>'
+            return f'<{tag} {rng.choice(["id", "class"])}="{rng.choice("comments comment-list discussion responses reader-comments replies respond".split())}">{ones}</{tag}>'
         if kind == 6:
             return f"<header{attribute('header masthead site-header top')}><a href='/'>{words(1, 4)}</a><p>{words(1, 10)}</p></header>"
         if kind == 7:
-            return f'<div class="{rng.choice("share social related recommended more-stories tags pagination toolbar".split())}">{links(1, 7)}</div>'
+            return f'<div class="{rng.choice("share social related recommended recommend more-stories tags meta pagination pager toolbar print byline-tools".split())}">{links(1, 7)}</div>'
         if kind == 8:
-            return f"<footer{attribute('footer site-footer bottom')}>&copy; {words(1, 4)} &middot; {words(2, 30)}</footer>"
-        return f'<div class="{rng.choice("sidebar widget menu navigation copyright disclaimer".split())}"><p>{words(2, 30)}</p>{links(0, 4)}</div>'
+            return f"<footer{attribute('footer site-footer bottom legal')}>&copy; {words(1, 4)} &middot; {words(2, 30)}</footer>"
+        return f'<div class="{rng.choice("sidebar side-bar widget menu navigation copyright disclaimer legal-notice".split())}"><p>{words(2, 30)}</p>{links(0, 4)}</div>'
 
     lead = "".join(boilerplate() for _ in range(rng.randrange(0, 4)))
     tail = "".join(boilerplate() for _ in range(rng.randrange(0, 4)))
@@ -418,13 +457,13 @@ def made_page(rng: random.Random) -> str:
     foot = f"<footer>&copy; {words(1, 3)} &middot; {words(2, 40)}</footer>" if rng.random() < 0.7 else ""
     wrap = rng.choice(["article", "article", "article", "main", "div", "section", "main+article", "none"])
     core = inside()
-    marks = rng.choice(["content", "article-body", "post", "entry-content", "story", "main-text"])
+    marks = rng.choice(["content", "article-body", "post", "entry-content", "story", "main-text", "prose", "chapter", "passage", "article", "post-text"])
     if wrap == "main+article":
         core = f'<main class="@main"><article class="@main">{core}</article></main>'
     elif wrap == "div" or wrap == "section":
         core = f'<{wrap} class="@main {marks}">{core}</{wrap}>'
     elif wrap != "none":
-        core = f'<{wrap} class="@main {marks if rng.random() < 0.3 else ""}">{core}</{wrap}>'
+        core = f'<{wrap} class="@main {marks if rng.random() < 0.5 else ""}">{core}</{wrap}>'
     if rng.random() < 0.3:
         core = f'<div{attribute("wrapper page container columns")}>{core}{tail}</div>'
         tail = ""

@@ -147,6 +147,13 @@ def test_page_parts():
     assert main_texts([page, None, "", "<p"], trained()) == ["The title\nFirst words of the story, which go on for a while and end here.\nSecond part & more of the story, again with some length to it.", "", "", ""]
 
 
+def test_attribute_tokens_are_learnt():
+    tokens = trained().tokens
+    assert tokens.of("content") > 1 and tokens.of("storybody") > 1 and tokens.of("qqq") == 0
+    assert all(tokens.of(t) < -1 for t in ("sidebar", "comment", "commentlist", "newsletter", "footer"))
+    assert tokens.best("post-text share") == (tokens.best("post-text")[0], tokens.best("share")[1])
+
+
 def test_pages_without_rows(spark):
     assert page_texts(spark.createDataFrame([], "page_id long, html string, text string")).count() == 0
 
