@@ -13,7 +13,9 @@ neighbours are found in blocks over all rows, and the visit is widened until the
 neighbours that lie in visited leaves reaches RECALL. A visit never ends before it holds K rows
 besides the query's own.
 
-Rows and visits meet by leaf. Leaves of more than BLOCK_ROWS rows are cut into blocks by a hash, so
+A query first visits the nearest leaves, about the square root of their number; its K-th best score
+there is a floor below which the other leaves' rows need not come back. Rows and visits meet by leaf.
+Leaves of more than BLOCK_ROWS rows are cut into blocks by a hash, so
 a vector that a third of all rows share fills many blocks and no single task. In a block, a matrix
 product finds the rows that can be among a query's best K; their scores are then inner products of
 the original components, summed in order in double precision. A window over the blocks' bests gives
@@ -45,7 +47,7 @@ from .ngram_join import group_bounds
 from .words import binary
 
 K, QUERY_EVERY, RECALL = 20, 20, 0.95
-FIT_ROWS, BRANCHES, LEAF_ROWS, CALIBRATION, BLOCK_ROWS = 16_384, 8, 512, 64, 4_096
+FIT_ROWS, BRANCHES, LEAF_ROWS, CALIBRATION, BLOCK_ROWS = 16_384, 8, 1_024, 64, 4_096
 #: A leaf above DEEP_ROWS rows is split by a subtree fitted on SUB_ROWS of them at most, into leaves of SUB_LEAF of those at least.
 DEEP_ROWS, SUB_ROWS, SUB_LEAF = 16_384, 4_096, 64
 #: Visits of a leaf above about this number, as the calibration's walks foretell it, are dealt over several tasks.
@@ -60,6 +62,7 @@ class Tree:
     children: list[list[int]]
     leaf: np.ndarray
     size: np.ndarray
+    node: np.ndarray | None = None
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each vector."""
@@ -92,11 +95,17 @@ class Tree:
         return out
 
 
+    def near(self, leaves: list[int]) -> int:
+        """How many of a walk's leaves are visited first: about the square root of their number, and such that they hold K rows and the query's."""
+        held = np.cumsum([self.size[self.node[leaf]] for leaf in leaves])
+        return max(int(np.ceil(np.sqrt(len(leaves)))), int(np.searchsorted(held, K + 1)) + 1)
+
     def numbered(self) -> None:
         """Numbers the leaves anew."""
         ends = [i for i, c in enumerate(self.children) if not c]
         self.leaf = np.full(len(self.children), -1)
         self.leaf[ends] = np.arange(len(ends))
+        self.node = np.array(ends)
 
 
 def fit(x: np.ndarray, leaf_rows: float, seed: int = 5) -> Tree:
@@ -114,7 +123,7 @@ def fit(x: np.ndarray, leaf_rows: float, seed: int = 5) -> Tree:
         distinct = np.unique(own[rng.permutation(len(own))[:1024]], axis=0)
         if len(distinct) < 2:
             continue
-        k = min(BRANCHES, len(distinct))
+        k = min(BRANCHES, len(distinct), int(np.ceil(len(rows) / leaf_rows)))
         means = distinct[rng.permutation(len(distinct))[:k]]
         for _ in range(12):
             near = ((means**2).sum(axis=1) - 2 * own @ means.T).argmin(axis=1)
@@ -172,8 +181,8 @@ def usable(rows: DataFrame) -> DataFrame:
     return vectors.groupBy("vec_id", "width", "v").agg(F.count("*").alias("n"))
 
 
-def _best(q: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score, times) of rows that are among the K best of each query, its own row left out; ids ascend.
+def _best(q: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndarray, n: np.ndarray, floor: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score, times) of rows that are among the K best of each query and reach its floor, its own row left out; ids ascend.
 
     A query's rows come in order, ties by the smaller id; times counts equal rows.
     """
@@ -187,7 +196,7 @@ def _best(q: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndarray, n
     least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k]
     # the product's terms are summed in any order, so what is short of the K-th by rounding is looked at too
     slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-    i, j = np.nonzero((rough >= (least - slack)[:, None]) & (rough > -np.inf))
+    i, j = np.nonzero((rough >= (np.maximum(least, floor) - slack)[:, None]) & (rough > -np.inf))
     score = products(q[i], x[j])
     times = n[j].copy()
     mine = np.zeros(len(q), np.int64) - 1
@@ -203,14 +212,14 @@ def _best(q: np.ndarray, query_id: np.ndarray, x: np.ndarray, ids: np.ndarray, n
 
 def _meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     leaf, block, part, role, ids, n = (rows.column(c).to_numpy() for c in ("leaf", "block", "part", "role", "vec_id", "n"))
-    x = matrix(rows.column("v"))
+    x, floor = matrix(rows.column("v")), rows.column("floor").to_numpy()
     bounds = group_bounds(leaf, block, part)
     for a, b in zip(bounds[:-1], bounds[1:]):
         cut = a + int((role[a:b] == 0).sum())  # the leaf's rows come before its visits, ids ascend
         if a < cut < b:
             for at in range(cut, b, 256):
                 to = min(at + 256, b)
-                i, j, score, times = _best(x[at:to], ids[at:to], x[a:cut], ids[a:cut], n[a:cut])
+                i, j, score, times = _best(x[at:to], ids[at:to], x[a:cut], ids[a:cut], n[a:cut], floor[at:to])
                 # a visit's n is its query's number
                 yield pa.RecordBatch.from_arrays([pa.array(n[at:to][i]), pa.array(ids[at:to][i]), pa.array(ids[a:cut][j]), pa.array(score), pa.array(times.astype(np.int32))], ["query", "query_id", "vec_id", "score", "times"])
 
@@ -247,24 +256,37 @@ def _nearest(vectors: DataFrame, n: int, every: int, recall: float) -> DataFrame
     walked = np.bincount([leaf for q in matrix(trial["v"]) for leaf in tree.visit(q, rows_wanted)], minlength=len(full)) if trial.num_rows else np.zeros(len(full))
     parts = np.maximum(1, np.ceil((walked + 1) / (trial.num_rows + 1) * queries.count() / VISITS))
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = matrix(batch.column("v"))
-            for at in range(0, len(x), 64):
-                leaves = [shared.value.visit(q, rows_wanted) for q in x[at : at + 64]]
-                take = pa.array(np.repeat(np.arange(at, at + len(leaves)), [len(ls) for ls in leaves]))
-                yield pa.RecordBatch.from_arrays([pa.array([leaf for ls in leaves for leaf in ls], pa.int64()), *(batch.column(c).take(take) for c in ("vec_id", "v", "n"))], ["leaf", "vec_id", "v", "n"])
+    def visits(first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = matrix(batch.column("v"))
+                for at in range(0, len(x), 64):
+                    leaves = [shared.value.visit(q, rows_wanted) for q in x[at : at + 64]]
+                    near = [shared.value.near(ls) for ls in leaves]
+                    leaves = [ls[:k] if first else ls[k:] for ls, k in zip(leaves, near)]
+                    take = pa.array(np.repeat(np.arange(at, at + len(leaves)), [len(ls) for ls in leaves]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([leaf for ls in leaves for leaf in ls], pa.int64()), *(batch.column(c).take(take) for c in ("vec_id", "v", "n", "floor"))], ["leaf", "vec_id", "v", "n", "floor"])
+
+        return run
 
     # leaf sizes: a row a leaf, bounded by the fitted samples
     blocks = F.broadcast(spark.createDataFrame(pa.table({"leaf": np.arange(len(full)), "blocks": np.maximum(1, -(-full // BLOCK_ROWS)).astype(np.int32), "parts": parts.astype(np.int32)})))
-    columns = ["leaf", "block", "part", "role", "vec_id", "v", "n"]
-    held = placed.join(blocks, "leaf").withColumns({"block": F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(0)}).select(columns)
-    asked = queries.mapInArrow(visits, "leaf long, vec_id long, v binary, n long").join(blocks, "leaf").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "part": F.pmod("n", "parts").cast("int"), "role": F.lit(1)}).select(columns)
-    found = in_groups(held.union(asked), ["leaf", "block", "part"], ["role", "vec_id"], _meet, "query long, query_id long, vec_id long, score double, times int")
+    columns = ["leaf", "block", "part", "role", "vec_id", "v", "n", "floor"]
+    held = placed.join(blocks, "leaf").withColumns({"block": F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"), "part": F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), "role": F.lit(0), "floor": F.lit(0.0)}).select(columns)
     order = Window.partitionBy("query", "query_id").orderBy(F.col("score").desc(), "vec_id")
-    best = found.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= K)  # of equal rows one, with their number
-    each = best.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
+    turn = F.row_number().over(order)
+
+    def met(asking: DataFrame, first: bool) -> DataFrame:
+        asked = asking.mapInArrow(visits(first), "leaf long, vec_id long, v binary, n long, floor double").join(blocks, "leaf").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "part": F.pmod("n", "parts").cast("int"), "role": F.lit(1)}).select(columns)
+        found = in_groups(held.union(asked), ["leaf", "block", "part"], ["role", "vec_id"], _meet, "query long, query_id long, vec_id long, score double, times int")
+        return found.withColumn("turn", turn).where(F.col("turn") <= K)  # of equal rows one, with their number
+
+    near = kept(met(queries.withColumn("floor", F.lit(float("-inf"))), True))
+    floors = near.where(F.col("turn") == K).select(F.col("query").alias("n"), F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    far = met(queries.join(floors, ["n", "vec_id"], "left").fillna({"floor": float("-inf")}).select("vec_id", "v", "n", "floor"), False)
+    best = near.union(far).drop("turn").withColumn("turn", turn).where(F.col("turn") <= K)
+    each = best.withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    return each.withColumn("rank", turn).where(F.col("rank") <= K).select("query_id", "rank", "vec_id", "score")
 
 
 def _placed(vectors: DataFrame, tree: Tree) -> DataFrame:
