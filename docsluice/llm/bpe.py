@@ -198,15 +198,16 @@ class Codec:
         if len(long) < len(new):
             aside = set(long)
             self.merge([w for w in new if w not in aside])
+        self.known.update(zip(long, self.merge_long(long)) if long else ())
         known = self.known
-        if long:  # not kept: they are rare and large
-            known = {**{w: known[w] for ws in split for w in ws if w in known}, **dict(zip(long, self.merge_long(long)))}
         ids: list[int] = []
         bounds = [0]
         for ws in split:
             for w in ws:
                 ids += known[w]
             bounds.append(len(ids))
+        for w in long:  # not kept: they are rare and large
+            del known[w]
         return np.array(ids, dtype=np.uint32), np.array(bounds)
 
     @functools.cached_property
