@@ -106,15 +106,19 @@ def dimension_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.dimension_scores(*_dims(spark, sf_dir)).select("paper_id", "module_key", "assessed_items", "expected_items", "score", "eligible", "state")
 
 
-@query("WITH " + PAPERS_SQL + """,
-quality AS """ + dims.sql_values(list(dims.SOURCE_QUALITY.items()), "source_format, q") + """,
-runs AS (SELECT o_orderkey AS paper_id, (o_orderkey % 25) / 24.0::DOUBLE AS coverage, o_orderkey % 6 AS ok, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 5 END AS eligible, o_orderkey % 11 AS grounded, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 10 END AS attempts, (['jats', 'html', 'pdf', 'abstract', 'metadata'])[o_orderkey % 5 + 1] AS source_format FROM orders)
-SELECT paper_id, round_even(CASE WHEN eligible > 0 THEN ok / eligible ELSE 0 END, 3) AS module_coverage, round_even(CASE WHEN attempts > 0 THEN grounded / attempts ELSE 0 END, 3) AS grounding_rate, q AS source_quality, attempts - grounded AS unsupported_attempts,
-  round_even(100 * (0.35::DOUBLE * coverage + 0.25::DOUBLE * (CASE WHEN eligible > 0 THEN ok / eligible ELSE 0 END) + 0.25::DOUBLE * (CASE WHEN attempts > 0 THEN grounded / attempts ELSE 0 END) + 0.15::DOUBLE * q), 1) AS confidence_score FROM runs JOIN quality USING (source_format)""")
+FORMATS = ["jats", "html", "pdf", "abstract", "metadata"]
+QUALITY_SQL = "(SELECT * FROM (VALUES ('jats', 1.0::DOUBLE), ('pdf', 0.9::DOUBLE), ('html', 0.85::DOUBLE), ('abstract', 0.65::DOUBLE), ('metadata', 0.45::DOUBLE)) v(source_format, q))"
+
+
+@query("""WITH runs AS (SELECT o_orderkey AS paper_id, round_even((o_orderkey % 25) / 24.0::DOUBLE, 3) AS coverage, o_orderkey % 7 AS ok, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 7 END AS eligible, o_orderkey % 17 AS grounded, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 16 END AS attempts, (['jats', 'html', 'pdf', 'abstract', 'metadata'])[o_orderkey % 5 + 1] AS source_format FROM orders),
+parts AS (SELECT *, round_even(CASE WHEN eligible > 0 THEN ok / eligible ELSE 0 END, 3) AS m, round_even(CASE WHEN attempts > 0 THEN grounded / attempts ELSE 0 END, 3) AS g FROM runs JOIN """ + QUALITY_SQL + """ USING (source_format))
+SELECT paper_id, m AS module_coverage, g AS grounding_rate, q AS source_quality, attempts - grounded AS unsupported_attempts, 
+  (tenths // 100 + (tenths % 100 > 50 OR (tenths % 100 = 50 AND tenths // 100 % 2 = 1))::INT) / 10.0::DOUBLE AS confidence_score
+FROM (SELECT *, 35 * round(coverage * 1000)::BIGINT + 25 * round(m * 1000)::BIGINT + 25 * round(g * 1000)::BIGINT + 15 * round(q * 1000)::BIGINT AS tenths FROM parts)""")
 def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    formats = F.element_at(F.array(*map(F.lit, dims.SOURCE_QUALITY)), (k % 5 + 1).cast("int"))
-    runs = table(spark, sf_dir, "orders").select(k.alias("paper_id"), ((k % 25) / F.lit(24.0)).alias("coverage"), (k % 6).alias("modules_ok"), F.when(k % 7 == 0, 0).otherwise(5).alias("modules_eligible"), (k % 11).alias("grounded"), F.when(k % 11 == 0, 0).otherwise(10).alias("attempts"), formats.alias("source_format"))
+    formats = F.element_at(F.array(*map(F.lit, FORMATS)), (k % 5 + 1).cast("int"))
+    runs = table(spark, sf_dir, "orders").select(k.alias("paper_id"), F.bround((k % 25) / F.lit(24.0), 3).alias("coverage"), (k % 7).alias("modules_ok"), F.when(k % 11 == 0, 0).otherwise(7).alias("modules_eligible"), (k % 17).alias("grounded"), F.when(k % 17 == 0, 0).otherwise(16).alias("attempts"), formats.alias("source_format"))
     return scoring.confidence(runs)
 
 
@@ -130,7 +134,7 @@ c AS (SELECT paper_id, category AS module_key, count(*) AS all_, count(*) FILTER
 j AS (SELECT coalesce(d.paper_id, c.paper_id) AS paper_id, coalesce(d.module_key, c.module_key) AS module_key, d.module_key IS NOT NULL AS is_module, coalesce(d.label, upper(c.module_key[1]) || c.module_key[2:]) AS label, d.state, d.score,
   (CASE WHEN d.module_key IS NOT NULL THEN d.n ELSE c.graded END)::INT AS assessed_items, (CASE WHEN d.module_key IS NOT NULL THEN d.expected ELSE c.all_ END)::INT AS expected_items, coalesce(c.concerns, 0)::INT AS concern_count, c.items FROM dims d FULL JOIN c ON d.paper_id = c.paper_id AND d.module_key = c.module_key)
 SELECT paper_id, module_key, is_module, label, state, assessed_items, expected_items, greatest(0, expected_items - assessed_items) AS gap_count, concern_count,
-  CASE concern_count WHEN 0 THEN 'No concerns' WHEN 1 THEN '1 concern' ELSE concern_count || ' concerns' END AS concern_label, CASE WHEN is_module AND assessed_items > 0 THEN score END AS score, items FROM j""")
+  CASE WHEN concern_count = 1 THEN '1 concern' WHEN concern_count > 0 THEN concern_count || ' concerns' WHEN assessed_items = 0 THEN 'No items assessed' WHEN assessed_items < expected_items THEN 'No concerns in assessed items' ELSE 'No concerns' END AS concern_label, CASE WHEN is_module AND assessed_items > 0 THEN score END AS score, items FROM j""")
 def assessment_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, f, m, r = _dims(spark, sf_dir)
     return reporting.assessment_groups(f, scoring.dimension_scores(p, f, m, r)).drop("place").withColumn("items", F.array_join("items", ","))
@@ -285,22 +289,36 @@ def section_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.containing(text.chunks(d).withColumn("at", F.col("start")), sections, "title", "shortest").select("paper_id", "idx", "title")
 
 
-QUOTES_SQL = r"""quotes AS (
-  SELECT doc_id AS paper_id, 0 AS q, '“' || trim(substring(text, 11, 40)) || '” ' AS quote FROM documents
-  UNION ALL SELECT doc_id, 1, regexp_replace(trim(substring(text, 31, 60)), '\s+', chr(10) || '  ', 'g') FROM documents
-  UNION ALL SELECT d.doc_id, 2, b.text FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"""
+#: Places all over a text; whole benchmark passages go to every document that shares eight words in a row with them.
+QUOTES_SQL = r"""spots AS (SELECT doc_id, text, (doc_id * 7919) % greatest(1, length(text) - 60) AS p FROM documents),
+dw AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), bw AS (SELECT item_id, regexp_extract_all(text, '\S+') AS w FROM benchmark),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 7], ' ') AS run FROM dw, UNNEST(range(1, len(w) - 6)) AS u(i)), br AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 7], ' ') AS run FROM bw, UNNEST(range(1, len(w) - 6)) AS u(i)),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM dr JOIN br USING (run)),
+quotes AS (
+  SELECT doc_id AS paper_id, 0 AS q, '“' || trim(substring(text, p + 1, 40)) || '” ' AS quote FROM spots
+  UNION ALL SELECT doc_id, 1, regexp_replace(trim(substring(text, p + 1, 60)), '\s+', chr(10) || '  ', 'g') FROM spots
+  UNION ALL SELECT doc_id, 2 + item_id, text FROM pairs JOIN benchmark USING (item_id))"""
+
+
+def word_runs(rows: DataFrame, key: str, n: int = 8) -> DataFrame:
+    """(key, run): the distinct runs of n words of each row's text, by their hashes."""
+    words = rows.select(key, F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
+    return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))).alias("run"))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    near = d.select(F.col("doc_id").alias("paper_id"), F.lit(0).alias("q"), F.concat(F.lit("“"), F.trim(F.substring("text", 11, 40)), F.lit("” ")).alias("quote"))
-    loose = d.select("doc_id", F.lit(1), F.regexp_replace(F.trim(F.substring("text", 31, 60)), r"\s+", "\n  "))
-    other = d.join(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote")), F.col("doc_id") % 40 == F.col("item_id")).select("doc_id", F.lit(2), "quote")
-    return near.union(loose).union(other)
+    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    at = (F.col("doc_id") * 7919 % F.greatest(F.lit(1), F.length("text") - 60) + 1).cast("int")
+    part = lambda n: F.trim(F.substring("text", at, F.lit(n)))
+    exact = d.select(F.col("doc_id").alias("paper_id"), F.lit(0).cast("long").alias("q"), F.concat(F.lit("“"), part(40), F.lit("” ")).alias("quote"))
+    loose = d.select("doc_id", F.lit(1).cast("long"), F.regexp_replace(part(60), r"\s+", "\n  "))
+    pairs = word_runs(d, "doc_id").join(word_runs(b, "item_id"), "run").select("doc_id", "item_id").distinct()
+    passages = pairs.join(b, "item_id").select("doc_id", F.col("item_id").cast("long") + 2, "text")
+    return exact.union(loose).union(passages)
 
 
 @query("WITH " + QUOTES_SQL + r""",
-b AS (SELECT q.paper_id, q.q, d.text, regexp_replace(regexp_replace(regexp_replace(quote, '^\s+|\s+$', '', 'g'), '^["''“”‘’`]+|["''“”‘’`]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS bare FROM quotes q JOIN documents d ON d.doc_id = q.paper_id),
+b AS (SELECT q.paper_id, q.q, d.text, regexp_replace(regexp_replace(regexp_replace(quote, '^\s+|\s+$', '', 'g'), '^["''“”‘’]+|["''“”‘’]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS bare FROM quotes q JOIN documents d ON d.doc_id = q.paper_id),
 g AS (SELECT *, CASE WHEN bare = '' THEN NULL WHEN contains(text, bare) THEN bare WHEN length(bare) <= 1200 THEN nullif(regexp_extract(text, regexp_replace(regexp_escape(regexp_replace(bare, '\s+', ' ', 'g')), '(\\ | )', '\\s+', 'g')), '') END AS grounded FROM b)
 SELECT paper_id, q, md5(grounded) AS grounded, (strpos(text, grounded) - 1)::INT AS start, (strpos(text, grounded) - 1 + length(grounded))::INT AS "end" FROM g""")
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,15 +332,16 @@ def quote_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.quote_audit(texts(spark, sf_dir), quotes(spark, sf_dir))
 
 
-@query(r"""SELECT doc_id, regexp_matches(text, '(sk-[A-Za-z0-9_\-]{16,})|(gh[pousr]_[A-Za-z0-9]{20,})|(AKIA[0-9A-Z]{16})|((?i)bearer\s+[A-Za-z0-9._\-]{20,})|(-----BEGIN [A-Z ]*PRIVATE KEY-----)') AS secret,
-left(regexp_replace(source || ' / ' || left(text, 60), '[^A-Za-z0-9_.:\-]+', '_', 'g'), 80) AS label, floor(n_chars / 60)::INT || 'm ' || lpad((n_chars % 60)::VARCHAR, 2, '0') || 's' AS duration,
+@query(r"""SELECT doc_id, regexp_matches(text, '(?i)[A-Z0-9_]*API_KEY\s*=') OR regexp_matches(text, '(?i)authorization\s*[:=]\s*bearer') OR regexp_matches(text, '(?i)(api[_-]?key|cookie)\s*[:=]\s*[A-Za-z0-9_-]{16,}') OR regexp_matches(text, '\bsk-[A-Za-z0-9_-]{20,}') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') AS secret,
+md5(left(regexp_replace(text, '(?i)(api[_ -]?key|authorization|cookie|token)\s*[:=]\s*\S+', '\1=[redacted]', 'g'), 500)) AS redacted,
+left(regexp_replace(source || ' / ' || text, '[^A-Za-z0-9_.:\-]+', '_', 'g'), 80) AS label, floor(n_chars / 60)::INT || 'm ' || lpad((n_chars % 60)::VARCHAR, 2, '0') || 's' AS duration,
 floor((n_chars % 1000) / 1000 * 100 + 0.5)::INT AS share, left(sha1(lang || ':' || source), 12) AS finding_id FROM documents""")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.has_secret("text").alias("secret"), S.label(F.concat("source", F.lit(" / "), F.left("text", F.lit(60)))).alias("label"), S.duration_text("n_chars").alias("duration"), S.percent((F.col("n_chars") % 1000) / 1000).alias("share"), S.finding_id("lang", "source").alias("finding_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.has_secret("text").alias("secret"), F.md5(S.redacted("text")).alias("redacted"), S.label(F.concat("source", F.lit(" / "), "text")).alias("label"), S.duration_text("n_chars").alias("duration"), S.percent((F.col("n_chars") % 1000) / 1000).alias("share"), S.finding_id("lang", "source").alias("finding_id"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS v FROM documents)
-SELECT doc_id, CASE WHEN length(v) <= 280 THEN v ELSE regexp_replace(left(regexp_replace(left(v, 281), ' [^ ]*$', ''), 280), '[.,;: ]+$', '') || '…' END AS summary FROM t""")
+SELECT doc_id, CASE WHEN length(v) <= 280 THEN v ELSE regexp_replace(regexp_replace(left(v, 281), ' [^ ]*$', ''), '[.,;:]+$', '') || '…' END AS summary FROM t""")
 def bounded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.summary_text("text").alias("summary"))
 
@@ -464,7 +483,7 @@ def token_usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # candidates, context, structure
 
-CANDIDATES_SQL = "c AS (SELECT l_suppkey AS resolution_id, l_partkey % 40 AS id, l_orderkey::BIGINT * 100000000 + l_linenumber * 1000000 + l_partkey AS pos, ([10, 20, 30, 35, 25, 26])[l_partkey % 6 + 1] AS rank, l_returnflag AS version, CASE WHEN l_linenumber > 3 THEN 'full_text' ELSE 'abstract' END AS content_level FROM lineitem WHERE l_orderkey % 9 = 0)"
+CANDIDATES_SQL = "c AS (SELECT l_suppkey AS resolution_id, l_partkey % 40 AS id, l_orderkey::BIGINT * 100000000 + l_linenumber * 1000000 + l_partkey AS pos, ([10, 20, 30, 35, 25, 26])[l_partkey % 6 + 1] AS rank, l_returnflag AS version, CASE WHEN l_linenumber > 3 THEN 'full_text' ELSE 'abstract' END AS content_level FROM lineitem)"
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -576,20 +595,20 @@ u AS (SELECT * FROM d WHERE turn = 1),
 e AS (SELECT DISTINCT paper_id, 'e' || pos AS id, category, rubric_item FROM findings WHERE spans = 1),
 g AS (SELECT u.*, u.grade <> 'not_assessed' AND e.id IS NOT NULL AS ok FROM u LEFT JOIN e ON e.paper_id = u.paper_id AND e.id = 'e' || u.pos AND e.category = u.category AND e.rubric_item = u.rubric_item)
 SELECT paper_id, pos, category, rubric_item, CASE WHEN ok THEN grade ELSE 'not_assessed' END AS grade, CASE WHEN NOT ok THEN 'info' ELSE CASE grade WHEN 'minor_concern' THEN 'minor' WHEN 'major_concern' THEN 'major' WHEN 'critical_concern' THEN 'critical' ELSE 'info' END END AS severity,
-CASE WHEN ok THEN 0.85::DOUBLE ELSE 0::DOUBLE END AS confidence, left(sha1(category || ':' || rubric_item), 12) AS id FROM g""")
+CASE WHEN ok THEN quality.q ELSE 0::DOUBLE END AS confidence, left(sha1(category || ':' || rubric_item), 12) AS id FROM g JOIN """ + QUALITY_SQL + " quality ON quality.source_format = (['jats', 'html', 'pdf', 'abstract', 'metadata'])[paper_id % 5 + 1]")
 def final_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first decision of each item keeps its grade if evidence of the same module and item supports it."""
     rows = findings(spark, sf_dir).distinct()
     first = Window.partitionBy("paper_id", "rubric_item", "pos").orderBy("grade", "spans")
     decisions = rows.withColumn("_t", F.row_number().over(first)).where("_t = 1").select("paper_id", "pos", "rubric_item", "grade", F.lit("").alias("explanation"), F.array(F.concat(F.lit("e"), F.col("pos"))).alias("evidence_ids"))
     evidence = rows.where("spans = 1").select("paper_id", F.concat(F.lit("e"), F.col("pos")).alias("evidence_id"), F.col("category").alias("module_key"), "rubric_item", F.lit("q").alias("quote"), F.lit(0).alias("start"), F.lit(1).alias("end")).distinct()
-    graded, _ = grounding.final_findings(decisions, papers(spark, sf_dir).withColumn("source_quality", F.lit(0.85)), dims.rubric(spark), evidence)
+    graded, _ = grounding.final_findings(decisions, papers(spark, sf_dir).withColumn("source_quality", dims.mapped(F.element_at(F.array(*map(F.lit, FORMATS)), (F.col("paper_id") % 5 + 1).cast("int")), dims.SOURCE_QUALITY)), dims.rubric(spark), evidence)
     return graded.select("paper_id", "pos", "category", "rubric_item", "grade", "severity", "confidence", "id")
 
 
-@query("WITH " + CHUNKS_SQL + """,
-b AS (SELECT paper_id, idx, '<CHUNK id="chunk-' || idx || '" page="' || (idx + 1) || '" section="n/a">' || chr(10) || substring(whole, start + 1, "end" - start) || chr(10) || '</CHUNK>' AS block FROM chunks WHERE idx < 8)
-SELECT paper_id, 'all' AS module_key, md5(left(string_agg(block, chr(10) || chr(10) ORDER BY idx), 36000)) AS digest FROM b GROUP BY paper_id""")
+@query("WITH " + CHUNKS_SQL + ", r AS (" + ROUTE_SQL + """),
+b AS (SELECT paper_id, module_key, turn, '<CHUNK id=chunk-' || idx || ' page=' || (idx + 1) || ' section=n/a start=' || start || ' end=' || "end" || '>' || chr(10) || substring(whole, start + 1, "end" - start) || chr(10) || '</CHUNK>' AS block FROM chunks JOIN r USING (paper_id, idx))
+SELECT paper_id, module_key, md5(left(string_agg(block, chr(10) || chr(10) ORDER BY turn), 36000)) AS digest FROM b GROUP BY ALL""")
 def module_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text.chunks(texts(spark, sf_dir)).withColumns({"page": F.col("idx") + 1, "section": F.lit("")})
     return text.module_prompts(routed_chunks_top8(spark, sf_dir), rows).select("paper_id", "module_key", F.md5("prompt").alias("digest"))
@@ -637,43 +656,50 @@ def open_access_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT c_custkey AS id, concat_ws(', ', c_name, c_mktsegment, 'A', 'B') || ' et al.' AS authors, upper(c_mktsegment) || ' · ' || c_name || CASE WHEN c_nationkey % 2 = 0 THEN ' · v' || c_nationkey ELSE '' END AS source,
-CASE c_nationkey % 3 WHEN 0 THEN 'No concerns' WHEN 1 THEN '1 concern' ELSE '2 concerns' END AS concerns, (1900 + c_custkey % 150) AS year, left(sha1(c_name || ':None:pdf'), 16) AS candidate, sha256('2:' || lower(trim(c_name))) AS cache_key FROM customer""")
+CASE WHEN c_nationkey % 3 = 1 THEN '1 concern' WHEN c_nationkey % 3 = 2 THEN '2 concerns' WHEN c_custkey % 3 = 0 THEN 'No items assessed' WHEN c_custkey % 3 < 2 THEN 'No concerns in assessed items' ELSE 'No concerns' END AS concerns, (1900 + c_custkey % 150) AS year, left(sha1(c_name || ':None:pdf'), 16) AS candidate, sha256('2:' || lower(trim(c_name))) AS cache_key FROM customer""")
 def display_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_nationkey")
     return table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("id"), S.author_line(F.array("c_name", "c_mktsegment", F.lit("A"), F.lit("B"), F.lit("C"))).alias("authors"), S.source_label("c_mktsegment", "c_name", F.when(n % 2 == 0, F.concat(F.lit("v"), n)).otherwise("")).alias("source"),
-        S.concern_label(n % 3).alias("concerns"), S.leading_year(F.concat((1900 + F.col("c_custkey") % 150).cast("string"), F.lit("-01-02"))).alias("year"), S.candidate_id("c_name", F.lit(None).cast("string"), F.lit("pdf")).alias("candidate"), S.cache_key("c_name").alias("cache_key"),
+        S.concern_label(n % 3, F.col("c_custkey") % 3, F.lit(2)).alias("concerns"), S.leading_year(F.concat((1900 + F.col("c_custkey") % 150).cast("string"), F.lit("-01-02"))).alias("year"), S.candidate_id("c_name", F.lit(None).cast("string"), F.lit("pdf")).alias("candidate"), S.cache_key("c_name").alias("cache_key"),
     )
 
 
-@query(r"""WITH d AS (SELECT doc_id AS paper_id, trim(regexp_replace(substring(text, 11, 40), '["''“”‘’`\s]+$|^["''“”‘’`\s]+', '', 'g')) AS q FROM documents),
-i AS (SELECT * FROM (VALUES ('claim_strength'), ('results_support'), ('causal_language'), ('generalization'), ('limitations_alignment')) v(rubric_item))
+@query(r"""WITH d AS (SELECT doc_id AS paper_id, regexp_replace(substring(text, (doc_id * 7919) % greatest(1, length(text) - 60) + 1, 40), '["''“”‘’\s]+$|^["''“”‘’\s]+', '', 'g') AS q FROM documents),
+i AS (SELECT * FROM (VALUES ('claim_strength'), ('results_support'), ('causal_language'), ('generalization'), ('limitations_alignment')) v(rubric_item)),
+lost AS (SELECT 'The worker returned an observation, but its quote did not match the normalized paper exactly.' AS said)
 SELECT paper_id, rubric_item, CASE rubric_item WHEN 'claim_strength' THEN (CASE WHEN q <> '' THEN 'observed' ELSE 'ambiguous' END) WHEN 'causal_language' THEN 'not_found' ELSE 'ambiguous' END AS evidence_state,
-CASE WHEN rubric_item = 'claim_strength' AND q <> '' THEN 1 ELSE 0 END AS n_quotes FROM d, i WHERE paper_id % 10 > 1
-UNION ALL SELECT paper_id, CASE paper_id % 10 WHEN 0 THEN 'not valid JSON of the schema' ELSE 'unknown rubric item' END, 'failed', 0 FROM d WHERE paper_id % 10 <= 1""")
+CASE rubric_item WHEN 'claim_strength' THEN (CASE WHEN q <> '' THEN repeat('seen ', 200) ELSE said END) WHEN 'results_support' THEN said WHEN 'limitations_alignment' THEN 'The worker returned no extraction note for this item.' ELSE 'seen' END AS observation,
+CASE WHEN rubric_item = 'claim_strength' AND q <> '' THEN 1 ELSE 0 END AS n_quotes FROM d, i, lost WHERE paper_id % 10 > 5
+UNION ALL SELECT paper_id, (['no JSON of the contract', 'unknown rubric item', 'no JSON of the contract', 'unknown evidence state', 'repeated rubric item', 'too many quotes'])[paper_id % 10 + 1], 'failed', '', 0 FROM d WHERE paper_id % 10 <= 5""")
 def worker_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model outputs are validated as wholes; observed notes keep only quotes that the text holds."""
-    one = lambda item, quote, state: F.struct(F.lit(item).alias("rubric_item"), F.lit("seen").alias("observation"), F.array(quote).alias("quotes"), F.lit(state).alias("evidence_state"))
-    good = F.to_json(F.struct(F.array(one("claim_strength", F.substring("text", 11, 40), "observed"), one("results_support", F.lit("§ never said §"), "observed"), one("causal_language", F.lit("x"), "not_found")).alias("notes")))
-    odd = F.to_json(F.struct(F.array(one("no_such_item", F.lit("x"), "observed")).alias("notes")))
-    content = F.when(F.col("paper_id") % 10 == 0, "{broken").when(F.col("paper_id") % 10 == 1, odd).otherwise(good)
+    none = F.lit(None).cast("string")
+    one = lambda item, quote, state, said="seen": F.struct(F.lit(item).alias("rubric_item"), F.lit(said).alias("observation"), F.array(quote).alias("quotes"), (F.lit(state) if isinstance(state, str) else state).alias("evidence_state"))
+    answer = lambda *notes: F.to_json(F.struct(F.array(*notes).alias("evidence")))
+    at = F.substring("text", (F.col("paper_id") * 7919 % F.greatest(F.lit(1), F.length("text") - 60) + 1).cast("int"), F.lit(40))
+    good = answer(one("claim_strength", at, "observed", "seen " * 200), one("results_support", F.lit("§ never said §"), "observed"), one("causal_language", F.lit("x"), "not_found"), one("generalization", F.lit("x"), none))
+    wrong = [F.lit("{broken"), answer(one("no_such_item", F.lit("x"), "observed")), F.lit('{"evidence": [{"rubric_item": "claim_strength", "observation": "o", "score": 1}]}'), answer(one("claim_strength", F.lit("x"), "maybe")), answer(*[one("claim_strength", F.lit("x"), "observed")] * 2)]
+    many = F.to_json(F.struct(F.array(F.struct(F.lit("claim_strength").alias("rubric_item"), F.lit("o").alias("observation"), F.array_repeat(F.lit("x"), 9).alias("quotes"))).alias("evidence")))
+    content = F.coalesce(F.get(F.array(*wrong, many), (F.col("paper_id") % 10).cast("int")), F.concat(F.lit("```json\n"), good, F.lit("\n```")))
     p = texts(spark, sf_dir).withColumn("profile", F.lit("common_core"))
     notes, _, failures = grounding.worker_notes(p.select("paper_id", F.lit("claims").alias("module_key"), content.alias("content")), p, dims.rubric(spark))
-    return notes.select("paper_id", "rubric_item", "evidence_state", F.size("quotes").alias("n_quotes")).union(failures.select("paper_id", "reason", F.lit("failed"), F.lit(0)))
+    return notes.select("paper_id", "rubric_item", "evidence_state", "observation", F.size("quotes").alias("n_quotes")).union(failures.select("paper_id", "reason", F.lit("failed"), F.lit(""), F.lit(0)))
 
 
 @query("WITH RECURSIVE " + PAPERS_SQL + """,
-f AS (SELECT f.paper_id, f.category, f.rubric_item, min(f.pos) AS pos, any_value(m.module_pos) AS module_pos FROM findings f JOIN modules m ON m.module_key = f.category GROUP BY f.paper_id, f.category, f.rubric_item),
-j AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY module_pos, pos) AS k, '{"module_key": "' || category || '", "rubric_item": "' || rubric_item || '"' AS names, ', "evidence_state": "observed", "observation": "' || repeat(rubric_item, 9) || '", "evidence": [{"id": "e", "quote": "' || pos || '"}]' AS more FROM f),
-t AS (SELECT paper_id, 2 + sum(length(names) + 3) AS bare FROM j GROUP BY paper_id),
-r AS (SELECT t.paper_id, 0::BIGINT AS k, bare::BIGINT AS used, '' AS payload, 0 AS dropped FROM t
-  UNION ALL SELECT r.paper_id, j.k, CASE WHEN r.used + length(more) <= 1200 THEN r.used + length(more) ELSE r.used END, r.payload || CASE WHEN r.k > 0 THEN ', ' ELSE '' END || names || CASE WHEN r.used + length(more) <= 1200 THEN more ELSE '' END || '}', r.dropped + (r.used + length(more) > 1200)::INT FROM r JOIN j ON j.paper_id = r.paper_id AND j.k = r.k + 1)
-SELECT paper_id, '[' || arg_max(payload, k) || ']' AS payload, arg_max(dropped, k) AS dropped FROM r GROUP BY paper_id""")
+f AS (SELECT paper_id, category AS module_key, rubric_item, min(pos) AS pos FROM findings WHERE category <> 'unlisted' GROUP BY ALL),
+j AS (SELECT p.paper_id, row_number() OVER (PARTITION BY p.paper_id ORDER BY m.module_pos, r.item_pos) AS k, '{"module": "' || r.module_key || '", "rubric_item": "' || r.rubric_item || '", "evidence": [' AS names,
+  CASE WHEN f.pos % 3 > 0 THEN '{"id": "e", "quote": "' || f.pos || '"}], "observation": "' || left(repeat(r.rubric_item, 40), 500) || '"}' ELSE ']}' END AS rest FROM papers p JOIN rubric r USING (profile) JOIN modules m USING (module_key) LEFT JOIN f ON f.paper_id = p.paper_id AND f.module_key = r.module_key AND f.rubric_item = r.rubric_item),
+t AS (SELECT paper_id, sum(length(names) + 4) AS bare FROM j GROUP BY paper_id),
+r2 AS (SELECT t.paper_id, 0::BIGINT AS k, bare::BIGINT AS used, '' AS payload, 0 AS dropped FROM t
+  UNION ALL SELECT r2.paper_id, j.k, CASE WHEN r2.used + length(rest) - 2 <= 3000 THEN r2.used + length(rest) - 2 ELSE r2.used END, r2.payload || CASE WHEN r2.k > 0 THEN ', ' ELSE '' END || names || CASE WHEN r2.used + length(rest) - 2 <= 3000 THEN rest ELSE ']}' END, r2.dropped + (r2.used + length(rest) - 2 > 3000)::INT FROM r2 JOIN j ON j.paper_id = r2.paper_id AND j.k = r2.k + 1)
+SELECT paper_id, '[' || arg_max(payload, k) || ']' AS payload, arg_max(dropped, k) AS dropped FROM r2 GROUP BY paper_id""")
 def reviewer_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy packing within a budget, entry after entry."""
+    """Greedy packing within a budget, entry after entry; a third of the notes is not observed."""
     f = findings(spark, sf_dir).where("category <> 'unlisted'").groupBy("paper_id", "category", "rubric_item").agg(F.min("pos").alias("pos"))
-    m = dims.modules(spark).select(F.col("module_key").alias("category"), "module_pos")
-    notes = f.join(F.broadcast(m), "category").select("paper_id", F.col("category").alias("module_key"), "module_pos", F.col("pos").alias("item_pos"), "rubric_item", F.lit("observed").alias("evidence_state"), F.repeat("rubric_item", F.lit(9)).alias("observation"), F.array(F.col("pos").cast("string")).alias("quotes"), F.array(F.lit("e")).alias("evidence_ids"))
-    return grounding.reviewer_payload(notes, 1200)
+    notes = f.select("paper_id", F.col("category").alias("module_key"), "rubric_item", F.when(F.col("pos") % 3 > 0, "observed").otherwise("not_found").alias("evidence_state"), F.repeat("rubric_item", F.lit(40)).alias("observation"), F.array(F.col("pos").cast("string")).alias("quotes"), F.array(F.lit("e")).alias("evidence_ids"))
+    return grounding.reviewer_payload(papers(spark, sf_dir), dims.modules(spark), dims.rubric(spark), notes, 3000)
+
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -29,9 +29,24 @@ GRADE_SCORES = {"no_concern": 100.0, "minor_concern": 75.0, "major_concern": 35.
 GRADE_RANK = {"critical_concern": 0, "major_concern": 1, "minor_concern": 2, "no_concern": 3, "not_assessed": 4}
 SEVERITY = {"no_concern": "info", "minor_concern": "minor", "major_concern": "major", "critical_concern": "critical", "not_assessed": "info"}
 LEVELS = {"metadata": 0, "abstract": 1, "full_text": 2}
-SOURCE_QUALITY = {"jats": 1.0, "html": 0.9, "pdf": 0.85, "abstract": 0.65, "metadata": 0.45}
+SOURCE_QUALITY = {"jats": 1.0, "pdf": 0.9, "html": 0.85, "abstract": 0.65, "metadata": 0.45}
 CHUNK_CHARS, OVERLAP_CHARS, CHUNKS_PER_MODULE, MODULE_CHARS, REVIEWER_CHARS = 4200, 350, 8, 36_000, 120_000
 PROVISIONAL_BELOW = 0.70
+# What each profile is reported and appraised by, and a sentence of calibration for reviews.
+PROFILE_REFERENCES = {
+    "general_empirical": ("Relevant EQUATOR guideline when identifiable", "General empirical-design and risk-of-bias concepts"),
+    "randomized_experiment": ("CONSORT / EQUATOR", "RoB 2 concepts (not a substituted RoB 2 assessment)"),
+    "observational_study": ("STROBE / EQUATOR", "ROBINS-I concepts (not a substituted ROBINS-I assessment)"),
+    "qualitative": ("Relevant EQUATOR qualitative guideline", "Method-specific qualitative appraisal"),
+    "systematic_review_meta_analysis": ("PRISMA / EQUATOR", "AMSTAR 2 concepts (not a substituted AMSTAR 2 assessment)"),
+    "diagnostic_prediction": ("STARD/TRIPOD as applicable", "QUADAS-3 concepts for diagnostic accuracy"),
+    "computational_ml_modeling": ("Relevant EQUATOR/field reporting guideline", "Task- and domain-specific methodological appraisal"),
+    "common_core": ("Relevant EQUATOR guideline when identifiable", "No specialist appraisal profile selected"),
+}
+REVIEW_CALIBRATION = " For systematic reviews, distinguish transparent reporting from risk: material outcome imputation and shared heterogeneity assumptions still require an impact assessment, even when the method is described or conventional. Imputing a substantial fraction of response outcomes, such as 17.7%, warrants at least minor concern even when the method is described as validated; transparency alone is not methodological reassurance. Explicit exclusion of clinically relevant populations, including bipolar or treatment-resistant depression, limits generalizability and warrants concern proportionate to the stated scope even when disclosed transparently."
+# The version of reuse, and the settings that two runs must share for one to stand for the other.
+COMPATIBILITY_VERSION = "1"
+COMPATIBILITY_FIELDS = ["compatibility_version", "paper_sha256", "content_level", "source_format", "profile", "scoring_version", "methodology_hash", "parser_name", "parser_version", "provider_profile", "worker_model", "reviewer_model"]
 
 
 def module_rows() -> list[tuple]:
@@ -64,6 +79,16 @@ def rubric(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rubric_rows(), "profile string, module_key string, item_pos int, rubric_item string")
 
 
+def rubric_prompts(rubric_df: DataFrame) -> DataFrame:
+    """(profile, prompt): what a reviewer is told about each profile's items; a row for each of the few profiles."""
+    of = lambda module: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("module_key") == module, F.struct("item_pos", "rubric_item")))), lambda i: i["rubric_item"]), ", ")
+    report, appraise = ({k: v[i] for k, v in PROFILE_REFERENCES.items()} for i in (0, 1))
+    more = F.when(F.col("profile") == "systematic_review_meta_analysis", REVIEW_CALIBRATION).otherwise("")
+    items = rubric_df.groupBy("profile").agg(of("design").alias("design"), of("statistics").alias("analysis"))
+    text = F.concat(F.lit("Reporting reference: "), mapped("profile", report), F.lit(". Appraisal reference: "), mapped("profile", appraise), F.lit(". Design items: "), "design", F.lit(". Analysis items: "), "analysis", F.lit("."), more)
+    return items.select("profile", text.alias("prompt"))
+
+
 def lookup(spark: SparkSession, values: dict, key: str, value: str) -> DataFrame:
     kind = {str: "string", int: "int", float: "double"}[type(next(iter(values.values())))]
     return spark.createDataFrame(list(values.items()), f"{key} string, {value} {kind}")

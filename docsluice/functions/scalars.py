@@ -1,9 +1,13 @@
-"""Scalar functions of the review engine as column expressions; no Python runs on the executors."""
+"""Scalar functions of the review engine as column expressions; Python runs on the executors only for character references."""
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it.
 BLANK = r"(?U)\s+"
@@ -22,7 +26,7 @@ def collapsed(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c), BLANK, " "))
 
 
-# identifiers
+# identifiers (fixed values: the patterns by which identifiers are known)
 
 DOI = r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
 
@@ -34,9 +38,9 @@ def normalize_doi(c: str | Column) -> Column:
 
 def arxiv_id(c: str | Column) -> Column:
     """A bare arXiv identifier, or the one in an arxiv.org abstract or PDF address."""
-    number = r"(?:\d{4}\.\d{4,5}|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})(?:v\d+)?"
+    number = r"(?:\d{4}\.\d{4,5}|[a-z\-]+(?:\.[a-z\-]+)?/\d{7})(?:v\d+)?"
     bare = _found(F.trim(_col(c)), rf"(?i)^(?:arxiv:\s*)?({number})$")
-    return F.coalesce(bare, _found(c, rf"(?i)^https?://(?:www\.|export\.)?arxiv\.org/(?:abs|pdf)/({number})(?:\.pdf)?/?(?:[?#].*)?$"))
+    return F.coalesce(bare, _found(c, rf"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/({number})(?:\.pdf)?/?(?:[?#].*)?$"))
 
 
 def pmcid(c: str | Column) -> Column:
@@ -97,19 +101,22 @@ def quote_key(c: str | Column) -> Column:
     return collapsed(F.regexp_replace(F.lower(_col(c)), "­", ""))
 
 
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
+
+
 def stripped_markup(c: str | Column) -> Column:
-    """Tags become blanks and the five basic character references are decoded."""
+    """Tags become blanks and all character references are decoded; null if nothing is left. Texts without an ampersand reach Python as nulls."""
     out = F.regexp_replace(_col(c), r"<[^>]+>", " ")
-    for reference, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = F.replace(out, F.lit(reference), F.lit(sign))
-    return collapsed(out)
+    return F.nullif(collapsed(F.coalesce(_unescaped(F.when(F.contains(out, F.lit("&")), out)), out)), F.lit(""))
 
 
 def summary_text(c: str | Column, limit: int = 280) -> Column:
-    """At most `limit` characters, cut at a word's end, with an ellipsis if anything was cut."""
+    """At most `limit` characters and an ellipsis, cut at a word's end if there is one; marks before the ellipsis go."""
     v = collapsed(c)
     cut = F.regexp_replace(F.left(v, F.lit(limit + 1)), r" [^ ]*$", "")
-    return F.when(F.length(v) <= limit, v).otherwise(F.concat(F.regexp_replace(F.left(cut, F.lit(limit)), r"[.,;: ]+$", ""), F.lit("…")))
+    return F.when(F.length(v) <= limit, v).otherwise(F.concat(F.regexp_replace(cut, r"[.,;:]+$", ""), F.lit("…")))
 
 
 def label(c: str | Column) -> Column:
@@ -118,7 +125,9 @@ def label(c: str | Column) -> Column:
 
 
 def title_case(c: str | Column) -> Column:
-    return F.initcap(F.replace(_col(c), F.lit("_"), F.lit(" ")))
+    """Underscores as blanks, and every run of letters with a capital first."""
+    runs = F.regexp_extract_all(F.lower(F.replace(_col(c), F.lit("_"), F.lit(" "))), F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.substring(r, 2, 1 << 30))), "")
 
 
 def display_title(title: str | Column, item: str | Column) -> Column:
@@ -140,7 +149,9 @@ def last_within(text: str | Column, term: str, low: Column, high: Column) -> Col
     return F.when(back > 0, low + F.length(part) - back - len(term) + 1).otherwise(-1)
 
 
-SECRETS = [r"sk-[A-Za-z0-9_\-]{16,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"(?i)bearer\s+[A-Za-z0-9._\-]{20,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"]
+# What counts as a credential in published files, and what is cut from error texts.
+SECRETS = [r"(?i)[A-Z0-9_]*API_KEY\s*=", r"(?i)authorization\s*[:=]\s*bearer", r"(?i)(?:api[_-]?key|cookie)\s*[:=]\s*[A-Za-z0-9_-]{16,}", r"\bsk-[A-Za-z0-9_-]{20,}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"]
+CREDENTIAL = r"(?i)(api[_ -]?key|authorization|cookie|token)\s*[:=]\s*\S+"
 
 
 def has_secret(c: str | Column) -> Column:
@@ -148,12 +159,39 @@ def has_secret(c: str | Column) -> Column:
 
 
 def redacted(c: str | Column, limit: int = 500) -> Column:
-    return F.left(F.regexp_replace(_col(c), "|".join(f"(?:{p})" for p in SECRETS), "[redacted]"), F.lit(limit))
+    """An error text with the values of credentials cut, at most `limit` characters."""
+    return F.left(F.regexp_replace(_col(c), CREDENTIAL, "$1=[redacted]"), F.lit(limit))
 
 
 def unfenced(c: str | Column) -> Column:
     """Model output without code fences around it."""
-    return F.trim(F.regexp_replace(F.trim(_col(c)), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+    v = F.trim(_col(c))
+    return F.when(F.startswith(v, F.lit("```")), F.regexp_replace(v, r"(?i)^```(?:json)?\s*|\s*```$", "")).otherwise(v)
+
+
+def content_text(text: str | Column, structured: str | Column | None = None) -> Column:
+    """A model's content as text: its text without white space around it, else its structure as JSON, else nothing."""
+    plain = F.regexp_replace(_col(text), r"(?U)^\s+|\s+$", "")
+    return F.coalesce(plain, F.to_json(_col(structured)), F.lit("")) if structured is not None else F.coalesce(plain, F.lit(""))
+
+
+def url_join(base: str | Column, link: str | Column) -> Column:
+    """A link of a page as an address: absolute ones stay, others stand below the page's scheme, host or folder."""
+    base, link = _col(base), F.trim(_col(link))
+    scheme, root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1), F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
+    page = F.concat(root, path)
+    steps = F.split(F.concat(folder, F.regexp_extract(link, r"^([^?#]*)", 1)), "/")
+    # '..' takes back the step before it; a closing '.' or '..' leaves its folder
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda out, s: F.when(s == ".", out).when(s == "..", F.when(F.size(out) > 1, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(out)).otherwise(F.array_append(out, s)))
+    closing = F.when(F.element_at(steps, -1).isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+    relative = F.concat(root, F.array_join(closing, "/"), F.regexp_extract(link, r"^[^?#]*(.*)$", 1))
+    query = F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1)
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, F.lit(":"), link)).when(F.startswith(link, F.lit("/")), F.concat(root, link)).when(link == "", F.concat(page, query))
+        .when(F.startswith(link, F.lit("?")), F.concat(page, link)).when(F.startswith(link, F.lit("#")), F.concat(page, query, link)).otherwise(relative)
+    )
 
 
 # digests
@@ -175,7 +213,7 @@ def cache_key(c: str | Column) -> Column:
 
 
 def compatibility_key(fields: list[str]) -> Column:
-    """SHA-256 of the fields as JSON with sorted keys; equal settings give equal keys."""
+    """SHA-256 of the fields as compact JSON with sorted keys; equal settings give equal keys."""
     return F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
 
 
@@ -208,7 +246,7 @@ def full_name(given: str | Column, family: str | Column) -> Column:
 
 
 def source_label(fmt: str | Column, provider: str | Column, version: str | Column) -> Column:
-    return F.concat_ws(" · ", *[F.left(x, F.lit(80)) for x in (F.upper(_col(fmt)), _col(provider), F.nullif(_col(version), F.lit("")))])
+    return F.concat_ws(" · ", *[F.left(collapsed(x), F.lit(80)) for x in (F.upper(_col(fmt)), _col(provider), F.nullif(_col(version), F.lit("")))])
 
 
 def paper_links(doi: Column, arxiv: Column, pubmed: Column, pmc: Column, source: Column) -> Column:
@@ -217,13 +255,19 @@ def paper_links(doi: Column, arxiv: Column, pubmed: Column, pmc: Column, source:
     return F.array_distinct(F.when(source.isNotNull(), F.array_append(known, source)).otherwise(known))
 
 
+# fixed values: the labels of states, of coverage and of concerns
 def state_label(c: str | Column) -> Column:
     v = _col(c)
-    return F.when(v == "completed", "Completed").when(v == "module_failed", "Failed").when(v == "ineligible_at_content_level", "Not available at this content level").when(v == "unreviewed", "Not reviewed").otherwise(title_case(v))
+    return F.when(v == "completed", "Review completed").when(v == "module_failed", "Review failed").when(v == "ineligible_at_content_level", "Unavailable for this content").when(v == "unreviewed", "Review incomplete").otherwise("Review status unavailable")
+
+
+def coverage_label(provisional: str | Column) -> Column:
+    return F.when(_col(provisional), "Provisional coverage").otherwise("Final coverage")
 
 
-def concern_label(n: str | Column) -> Column:
-    return F.when(_col(n) == 0, "No concerns").when(_col(n) == 1, "1 concern").otherwise(F.format_string("%d concerns", _col(n)))
+def concern_label(n: str | Column, assessed: str | Column, expected: str | Column) -> Column:
+    n, assessed, expected = _col(n), _col(assessed), _col(expected)
+    return F.when(n == 1, "1 concern").when(n > 0, F.format_string("%d concerns", n)).when(assessed == 0, "No items assessed").when(assessed < expected, "No concerns in assessed items").otherwise("No concerns")
 
 
 def telemetry(attributes: str | Column, allowed: list[str], limit: int = 160) -> Column:
@@ -238,7 +282,7 @@ def header_map(c: str | Column) -> Column:
     return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)), F.trim(F.regexp_replace(p, r"^[^=]*=", "")))))
 
 
-def meta_content(html: str | Column, name: str) -> Column:
+def meta_content(page: str | Column, name: str) -> Column:
     """content of the meta element of that name, whichever attribute comes first."""
     n = name.replace(".", r"\.")
-    return F.coalesce(_found(html, rf"(?is)<meta[^>]+(?:name|property)=[\"']{n}[\"'][^>]+content=[\"']([^\"']*)[\"']"), _found(html, rf"(?is)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+(?:name|property)=[\"']{n}[\"']"))
+    return F.coalesce(_found(page, rf"(?is)<meta[^>]+(?:name|property)=[\"']{n}[\"'][^>]+content=[\"']([^\"']*)[\"']"), _found(page, rf"(?is)<meta[^>]+content=[\"']([^\"']*)[\"'][^>]+(?:name|property)=[\"']{n}[\"']"))

@@ -10,15 +10,25 @@ from ..functions.scalars import evidence_id, finding_id, quote_key, title_case,
 
 MAX_QUOTES, OBSERVATION_CHARS, QUOTE_CHARS, SHOWN_QUOTES, FLEXIBLE_CHARS = 8, 500, 280, 2, 1200
 STATES, GRADES = ("observed", "not_found", "ambiguous"), tuple(SEVERITY)
-UNGROUNDED = "The extraction reported evidence, but no quotation could be verified in the paper."
+# What notes and findings say where the model's answer does not hold.
+UNGROUNDED = "The worker returned an observation, but its quote did not match the normalized paper exactly."
 NO_NOTE = "The worker returned no extraction note for this item."
-NOTE_SCHEMA = "struct<notes:array<struct<rubric_item:string,observation:string,quotes:array<string>,evidence_state:string>>>"
-DECISION_SCHEMA = "struct<findings:array<struct<rubric_item:string,grade:string,explanation:string,evidence_ids:array<string>>>>"
+NO_EVIDENCE = "The final judgment cited no matching observed paper evidence."
+# The contracts of model outputs: their fields and kinds, in the order in which a parsed value's type names them.
+NOTE_SCHEMA = "struct<evidence:array<struct<rubric_item:string,observation:string,quotes:array<string>,evidence_state:string>>>"
+NOTE_SHAPE = r"OBJECT<evidence: ARRAY<(?:VOID|OBJECT<(?:evidence_state: STRING, )?observation: STRING(?:, quotes: ARRAY<(?:STRING|VOID)>)?, rubric_item: STRING>)>>"
+DECISION_SCHEMA = "struct<assessments:array<struct<rubric_item:string,grade:string,explanation:string,evidence_ids:array<string>>>>"
+DECISION_SHAPE = r"OBJECT<assessments: ARRAY<(?:VOID|OBJECT<(?:evidence_ids: ARRAY<(?:STRING|VOID)>, )?explanation: STRING, grade: STRING, rubric_item: STRING>)>>"
+
+
+def shaped(content: Column, shape: str) -> Column:
+    """The content is JSON of the shape: no field is unknown, none has another kind."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(content)).rlike(f"^{shape}$"), F.lit(False))
 
 
 def grounded_quote(text: Column, quote: Column) -> Column:
     """The words of the text that the quote stands for: exact, else with any white space between its words; null if none."""
-    bare = F.regexp_replace(F.regexp_replace(quote, r"(?U)^\s+|\s+$", ""), "^[\"'“”‘’`]+|[\"'“”‘’`]+$", "")
+    bare = F.regexp_replace(F.regexp_replace(quote, r"(?U)^\s+|\s+$", ""), "^[\"'“”‘’]+|[\"'“”‘’]+$", "")
     bare = F.nullif(F.regexp_replace(bare, r"(?U)^\s+|\s+$", ""), F.lit(""))
     words = F.transform(F.split(bare, r"(?U)\s+"), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
     flexible = F.nullif(F.call_function("regexp_extract", text, F.concat(F.lit("(?U)"), F.array_join(words, r"\s+")), F.lit(0)), F.lit(""))
@@ -43,50 +53,68 @@ def quote_audit(papers: DataFrame, quotes: DataFrame) -> DataFrame:
 def worker_notes(raw: DataFrame, papers: DataFrame, rubric: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(notes, evidence, failures) from worker_raw(paper_id, module_key, content).
 
-    A module fails as a whole if its content is no such JSON, names an unknown or repeated item, an
-    unknown state, or gives more than eight quotes. Otherwise every expected item has one note;
-    observed notes keep grounded quotes only, and become ambiguous without any.
+    A module fails as a whole if its content is no JSON of the contract (an unknown field counts),
+    names an unknown or repeated item, an unknown state, or gives more than eight quotes. Otherwise
+    every expected item has one note. A note without a state is ambiguous; observed notes keep
+    grounded quotes only, and become ambiguous without any. Observations are kept whole.
     """
-    parsed = raw.withColumn("_j", F.from_json(unfenced("content"), NOTE_SCHEMA)).join(papers.select("paper_id", "profile"), "paper_id")
+    content = unfenced("content")
+    parsed = raw.withColumns({"_j": F.from_json(content, NOTE_SCHEMA), "_shaped": shaped(content, NOTE_SHAPE)}).join(papers.select("paper_id", "profile"), "paper_id")
     expected = rubric.groupBy("profile", "module_key").agg(F.collect_set("rubric_item").alias("_items"))
-    checked = parsed.join(F.broadcast(expected), ["profile", "module_key"], "left")
-    notes = F.col("_j.notes")
+    checked = parsed.join(expected, ["profile", "module_key"], "left")
+    notes = F.transform("_j.evidence", lambda n: n.withField("evidence_state", F.coalesce(n["evidence_state"], F.lit("ambiguous"))))
     items = F.transform(notes, lambda n: n["rubric_item"])
     reason = (
-        F.when(notes.isNull(), "not valid JSON of the schema")
-        .when(F.exists(items, lambda i: i.isNull() | ~F.array_contains(F.coalesce("_items", F.array().cast("array<string>")), i)), "unknown rubric item")
+        F.when(~F.col("_shaped") | notes.isNull() | F.exists(notes, lambda n: n["rubric_item"].isNull() | n["observation"].isNull()), "no JSON of the contract")
+        .when(F.exists(items, lambda i: ~F.array_contains(F.coalesce("_items", F.array().cast("array<string>")), i)), "unknown rubric item")
         .when(F.size(F.array_distinct(items)) < F.size(items), "repeated rubric item")
-        .when(F.exists(notes, lambda n: n["evidence_state"].isNull() | ~n["evidence_state"].isin(*STATES)), "unknown evidence state")
+        .when(F.exists(notes, lambda n: ~n["evidence_state"].isin(*STATES)), "unknown evidence state")
         .when(F.exists(notes, lambda n: F.coalesce(F.size(n["quotes"]) > MAX_QUOTES, F.lit(False))), "too many quotes")
     )
-    checked = checked.withColumn("_reason", reason)
+    checked = checked.withColumns({"_reason": reason, "_notes": notes})
     failures = checked.where("_reason is not null").select("paper_id", "module_key", F.col("_reason").alias("reason"))
-    rows = checked.where("_reason is null").select("paper_id", "module_key", F.posexplode("_j.notes").alias("pos", "n")).select("paper_id", "module_key", "pos", "n.*")
+    rows = checked.where("_reason is null").select("paper_id", "module_key", F.posexplode("_notes").alias("pos", "n")).select("paper_id", "module_key", "pos", "n.*")
     quotes = rows.where("evidence_state = 'observed'").select("paper_id", "module_key", "rubric_item", F.posexplode(F.array_distinct("quotes")).alias("quote_pos", "quote"))
     found = ground(papers, quotes).where("grounded is not null")
     found = found.withColumn("evidence_id", evidence_id(F.col("module_key"), F.col("rubric_item"), F.lit("observed"), F.col("start"), F.col("end"), F.col("grounded")))
     evidence = found.groupBy("paper_id", "module_key", "rubric_item", "evidence_id").agg(F.min("quote_pos").alias("quote_pos"), F.first("grounded").alias("quote"), F.min("start").alias("start"), F.min("end").alias("end"))
     kept = evidence.groupBy("paper_id", "module_key", "rubric_item").agg(F.array_sort(F.collect_list(F.struct("quote_pos", "evidence_id", "quote"))).alias("_q"))
-    grid = checked.where("_reason is null").select("paper_id", "profile", "module_key").join(F.broadcast(rubric), ["profile", "module_key"])
+    grid = checked.where("_reason is null").select("paper_id", "profile", "module_key").join(rubric, ["profile", "module_key"])
     joined = grid.join(rows.drop("pos", "quotes"), ["paper_id", "module_key", "rubric_item"], "left").join(kept, ["paper_id", "module_key", "rubric_item"], "left")
     lost = (F.col("evidence_state") == "observed") & F.col("_q").isNull()
     state = F.when(F.col("evidence_state").isNull() | lost, "ambiguous").otherwise(F.col("evidence_state"))
-    text = F.when(F.col("evidence_state").isNull(), NO_NOTE).when(lost, UNGROUNDED).otherwise(F.left("observation", F.lit(OBSERVATION_CHARS)))
+    text = F.when(F.col("evidence_state").isNull(), NO_NOTE).when(lost, UNGROUNDED).otherwise(F.col("observation"))
     notes_out = joined.select("paper_id", "module_key", "item_pos", "rubric_item", text.alias("observation"), state.alias("evidence_state"), F.coalesce(F.col("_q.quote"), F.array().cast("array<string>")).alias("quotes"), F.coalesce(F.col("_q.evidence_id"), F.array().cast("array<string>")).alias("evidence_ids"))
     return notes_out, evidence, failures
 
 
+def safe_failures(failures: DataFrame, faults: DataFrame) -> DataFrame:
+    """failures(paper_id, module_key, reason) with the text that a report shows: where the output is wrong, never what it says.
+
+    faults(paper_id, module_key, pos, location, kind); the first four are named.
+    """
+    first = F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("location", F.lit(":"), "kind").alias("at")))), lambda x: x["at"]), 1, 4), ", ")
+    named = faults.groupBy("paper_id", "module_key").agg(first.alias("_at"))
+    text = F.when(F.col("_at").isNotNull(), F.concat(F.lit("Invalid structured output ("), "_at", F.lit(")."))).when(F.col("reason").rlike("^(?:unknown|duplicate) rubric item:"), F.concat(F.left("reason", F.lit(200)), F.lit(".")))
+    return failures.join(named, ["paper_id", "module_key"], "left").withColumn("text", F.coalesce(text, F.lit("The evidence extraction did not complete."))).drop("_at")
+
+
 def displayed_notes(notes: DataFrame) -> DataFrame:
     """What a progress view shows of notes: bounded texts and the first two quotes."""
     return notes.withColumn("observation", F.left("observation", F.lit(OBSERVATION_CHARS))).withColumn("quotes", F.transform(F.slice("quotes", 1, SHOWN_QUOTES), lambda q: F.left(q, F.lit(QUOTE_CHARS))))
 
 
 def reviewer_decisions(raw: DataFrame) -> DataFrame:
-    """reviewer_raw(paper_id, attempt, content): the first attempt that parses, 'initial' before 'schema_repair'; its decisions by position."""
-    parsed = raw.withColumn("_j", F.from_json(unfenced("content"), DECISION_SCHEMA)).where("_j.findings is not null")
+    """reviewer_raw(paper_id, attempt, content): the first attempt that keeps the contract, 'initial' before 'schema_repair'; its decisions by position.
+
+    An unknown grade or field makes an attempt break it as a whole.
+    """
+    content = unfenced("content")
+    parsed = raw.withColumns({"_j": F.from_json(content, DECISION_SCHEMA), "_shaped": shaped(content, DECISION_SHAPE)})
+    whole = F.forall("_j.assessments", lambda d: d["rubric_item"].isNotNull() & d["explanation"].isNotNull() & F.coalesce(d["grade"].isin(*GRADES), F.lit(False)))
     turn = F.row_number().over(Window.partitionBy("paper_id").orderBy(F.when(F.col("attempt") == "initial", 0).otherwise(1)))
-    one = parsed.withColumn("_t", turn).where("_t = 1")
-    return one.select("paper_id", (F.col("attempt") != "initial").alias("repaired"), F.posexplode("_j.findings").alias("pos", "d")).select("paper_id", "repaired", "pos", "d.*")
+    one = parsed.where(F.col("_shaped") & whole).withColumn("_t", turn).where("_t = 1")
+    return one.select("paper_id", (F.col("attempt") != "initial").alias("repaired"), F.posexplode("_j.assessments").alias("pos", "d")).select("paper_id", "repaired", "pos", "d.*")
 
 
 def final_findings(decisions: DataFrame, papers: DataFrame, rubric: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,8 +124,8 @@ def final_findings(decisions: DataFrame, papers: DataFrame, rubric: DataFrame, e
     decisions(paper_id, pos, rubric_item, grade, explanation, evidence_ids), papers(paper_id, profile, source_quality).
     """
     first = Window.partitionBy("paper_id", "rubric_item").orderBy("pos")
-    own = decisions.join(papers.select("paper_id", "profile", "source_quality"), "paper_id").join(F.broadcast(rubric), ["profile", "rubric_item"], "left")
-    own = own.withColumn("_turn", F.row_number().over(first)).withColumn("grade", F.when(F.col("grade").isin(*GRADES), F.col("grade")).otherwise("not_assessed"))
+    own = decisions.join(papers.select("paper_id", "profile", "source_quality"), "paper_id").join(rubric, ["profile", "rubric_item"], "left")
+    own = own.withColumn("_turn", F.row_number().over(first))
     unknown, repeated = F.col("module_key").isNull(), F.col("module_key").isNotNull() & (F.col("_turn") > 1)
     used = own.where(~unknown & (F.col("_turn") == 1))
     asked = used.select("paper_id", "pos", "module_key", "rubric_item", F.posexplode(F.array_distinct("evidence_ids")).alias("id_pos", "evidence_id"))
@@ -111,7 +139,7 @@ def final_findings(decisions: DataFrame, papers: DataFrame, rubric: DataFrame, e
     findings = joined.select(
         "paper_id", "pos", finding_id("module_key", "rubric_item").alias("id"), F.col("module_key").alias("category"), "rubric_item", title_case("rubric_item").alias("title"), "explanation", grade.alias("grade"),
         mapped(grade, SEVERITY).alias("severity"), F.when(grounded, F.bround("source_quality", 2)).otherwise(0.0).alias("confidence"), F.coalesce("_spans", F.array().cast("array<struct<id_pos:int,quote:string,start:int,end:int>>")).alias("paper_spans"),
-        F.when(wants & ~grounded, F.array(F.lit("No quotation of the same item supports this grade."))).otherwise(F.array().cast("array<string>")).alias("limitations"), F.lit("accepted").alias("critic_disposition"), wants.alias("_wants"), grounded.alias("_grounded"),
+        F.when(wants & ~grounded, F.array(F.lit(NO_EVIDENCE))).otherwise(F.array().cast("array<string>")).alias("limitations"), F.lit("accepted").alias("critic_disposition"), wants.alias("_wants"), grounded.alias("_grounded"),
     )
     counts = findings.groupBy("paper_id").agg(F.count_if("_wants").alias("attempts"), F.count_if("_grounded").alias("grounded"))
     odd = own.groupBy("paper_id").agg(F.array_sort(F.collect_set(F.when(unknown, F.col("rubric_item")))).alias("unknown_items"), F.array_sort(F.collect_set(F.when(repeated, F.col("rubric_item")))).alias("repeated_items"))
@@ -119,25 +147,39 @@ def final_findings(decisions: DataFrame, papers: DataFrame, rubric: DataFrame, e
     return findings.drop("_wants", "_grounded"), run
 
 
+def validation_warnings(run: DataFrame) -> DataFrame:
+    """run(paper_id, repeated_items, unknown_items, unknown_ids) with the sentences that a report shows."""
+    listed = lambda c, text: F.when(F.size(c) > 0, F.concat(F.lit(text), F.array_join(c, ", "), F.lit(".")))
+    return run.withColumn("warnings", F.array_compact(F.array(
+        listed("repeated_items", "Duplicate final methodology items were ignored: "), listed("unknown_items", "Unknown final methodology item IDs were ignored: "),
+        F.when(F.col("unknown_ids") > 0, F.format_string("%d unknown reviewer evidence IDs were ignored.", F.col("unknown_ids"))),
+    )))
+
+
 def _quoted(c: Column) -> Column:
     """A string as JSON text."""
     return F.regexp_replace(F.to_json(F.array(F.coalesce(c, F.lit("")))), r"^\[|\]$", "")
 
 
-def reviewer_payload(notes: DataFrame, limit: int = REVIEWER_CHARS) -> DataFrame:
-    """notes to one JSON text a paper within the limit: an entry whose evidence would pass it keeps its names only, and the next is tried.
+def reviewer_payload(papers: DataFrame, modules: DataFrame, rubric: DataFrame, notes: DataFrame, limit: int = REVIEWER_CHARS) -> DataFrame:
+    """papers(paper_id, profile) to one JSON text within the limit: an entry for each expected item, in order.
 
-    A paper's entries are at most its rubric's items. Whether one fits depends on those before it,
-    so they are folded in order; names that pass the limit on their own are an error.
+    An entry gains its observation and evidence if the note is observed and cites any; where that
+    would pass the limit it stays bare, and the next is tried. A paper's entries are its rubric's
+    items, a bounded number. Whether one fits depends on those before it, so they are folded in
+    order; bare entries that pass the limit on their own are an error.
     """
-    names = F.concat(F.lit('{"module_key": '), _quoted(F.col("module_key").cast("string")), F.lit(', "rubric_item": '), _quoted(F.col("rubric_item")))
+    names = F.concat(F.lit('{"module": '), _quoted(F.col("module_key").cast("string")), F.lit(', "rubric_item": '), _quoted(F.col("rubric_item")), F.lit(', "evidence": ['))
     evidence = F.transform(F.arrays_zip("evidence_ids", "quotes"), lambda e: F.concat(F.lit('{"id": '), _quoted(e["evidence_ids"]), F.lit(', "quote": '), _quoted(F.left(e["quotes"], F.lit(QUOTE_CHARS))), F.lit("}")))
-    shown = F.when(F.col("evidence_state") == "observed", F.concat(F.lit(', "evidence": ['), F.array_join(evidence, ", "), F.lit("]"))).otherwise(F.lit(""))
-    full = F.concat(names, F.lit(', "evidence_state": '), _quoted(F.col("evidence_state")), F.lit(', "observation": '), _quoted(F.left("observation", F.lit(OBSERVATION_CHARS))), shown, F.lit("}"))
-    rows = notes.select("paper_id", F.struct("module_pos", "item_pos", F.concat(names, F.lit("}")).alias("bare"), full.alias("full")).alias("e"))
+    cited = (F.col("evidence_state") == "observed") & (F.size("evidence_ids") > 0)
+    bare = F.concat(names, F.lit("]}"))
+    full = F.when(cited, F.concat(names, F.array_join(evidence, ", "), F.lit('], "observation": '), _quoted(F.left("observation", F.lit(OBSERVATION_CHARS))), F.lit("}"))).otherwise(bare)
+    items = papers.select("paper_id", "profile").join(rubric, "profile").join(modules.select("module_key", "module_pos"), "module_key")
+    rows = items.join(notes.select("paper_id", "module_key", "rubric_item", "evidence_state", "observation", "quotes", "evidence_ids"), ["paper_id", "module_key", "rubric_item"], "left")
+    rows = rows.select("paper_id", F.struct("module_pos", "item_pos", bare.alias("bare"), full.alias("full")).alias("e"))
     listed = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    total = F.aggregate("es", F.lit(2), lambda a, e: a + F.length(e["bare"]) + 2)
-    listed = listed.withColumn("_bare", total).withColumn("_bare", F.when(F.col("_bare") <= limit, F.col("_bare")).otherwise(F.raise_error(F.lit("the bare entries pass the limit")).cast("int")))
+    total = F.aggregate("es", F.lit(0), lambda a, e: a + F.length(e["bare"]) + 2)  # two marks around all, and two between each
+    listed = listed.withColumn("_bare", F.when(total <= limit, total).otherwise(F.raise_error(F.lit("the bare entries pass the limit")).cast("int")))
 
     def take(state: Column, e: Column) -> Column:
         more = F.length(e["full"]) - F.length(e["bare"])

@@ -124,12 +124,33 @@ def fresh(rows: DataFrame, now: Column) -> DataFrame:
     return rows.where(F.col("expires_at") > now)
 
 
+def authorized(rows: DataFrame, caller: Column, admin: Column) -> DataFrame:
+    """The rows that a caller may see: their own, or all for an administrator; rows without an owner are nobody's."""
+    return rows.where(admin | F.coalesce((F.col("owner") != "") & (F.col("owner") == caller), F.lit(False)))
+
+
+def session_seconds(report_hours: int, public_days: int) -> int:
+    """How long a guest's session lasts: as long as its reports can."""
+    return max(report_hours * 3600, public_days * 86_400)
+
+
+def documents_after(documents: DataFrame, analyses: DataFrame) -> DataFrame:
+    """The documents that stay when analyses complete: an uploaded one goes with its analysis."""
+    done = analyses.where("state = 'completed' and document_id is not null").select("document_id").distinct()
+    return documents.join(done, "document_id", "left_anti")
+
+
 def reusable(requests: DataFrame, reports: DataFrame, settings: list[str], now: Column) -> DataFrame:
-    """requests(request_id, caller, settings...) with the compatible report to reuse: the caller's latest, else the latest public one with an identifier."""
-    asked = requests.withColumn("_key", compatibility_key(settings))
-    live = reports.where((F.col("state") == "completed") & (F.col("expires_at") > now)).withColumn("_key", compatibility_key(settings)).drop(*settings)
-    pairs = asked.join(live, "_key")
-    own = F.col("owner").eqNullSafe(F.col("caller"))
+    """requests(request_id, caller, settings...) with the compatible report to reuse: the caller's latest, else the latest public one with an identifier.
+
+    The latest report of each key and owner, and the latest public one of each key, are found
+    first; a request then meets one row of either, so a common key makes no pairs.
+    """
+    asked = requests.withColumn("_key", compatibility_key(settings)).select("request_id", "caller", "_key")
+    live = reports.where((F.col("state") == "completed") & (F.col("expires_at") > now)).withColumn("_key", compatibility_key(settings))
+    latest = F.max(F.struct("updated_at", "analysis_id"))["analysis_id"]
+    own = live.where("owner is not null").groupBy("_key", F.col("owner").alias("caller")).agg(latest.alias("_own"))
     public = F.col("published_at").isNotNull() & F.col("public_slug").isNotNull() & (F.coalesce("doi", "arxiv_id", "pmid", "pmcid").isNotNull())
-    best = F.max(F.struct(own.alias("own"), "updated_at", "analysis_id"))
-    return pairs.where(own | public).groupBy("request_id").agg(best.alias("b")).select("request_id", F.col("b.analysis_id").alias("analysis_id"), F.col("b.own").alias("own"))
+    shared = live.where(public).groupBy("_key").agg(latest.alias("_public"))
+    found = asked.join(own, ["_key", "caller"], "left").join(shared, "_key", "left")
+    return found.select("request_id", F.coalesce("_own", "_public").alias("analysis_id"), F.col("_own").isNotNull().alias("own")).where("analysis_id is not null")

@@ -38,7 +38,7 @@ def assessment_groups(findings: DataFrame, statuses: DataFrame) -> DataFrame:
     return both.select(
         "paper_id", "module_key", known.alias("is_module"), F.coalesce("module_pos", F.lit(1000)).alias("place"), F.coalesce("label", title_case("module_key")).alias("label"), "state",
         assessed.cast("int").alias("assessed_items"), expected.cast("int").alias("expected_items"), F.greatest(F.lit(0), expected - assessed).cast("int").alias("gap_count"), concerns.alias("concern_count"),
-        concern_label(concerns).alias("concern_label"), F.when(known & (assessed > 0), F.col("score")).alias("score"), F.transform("ranked", lambda r: r["rubric_item"]).alias("items"),
+        concern_label(concerns, assessed, expected).alias("concern_label"), F.when(known & (assessed > 0), F.col("score")).alias("score"), F.transform("ranked", lambda r: r["rubric_item"]).alias("items"),
     )
 
 
@@ -79,6 +79,16 @@ def public_summary(reports: DataFrame) -> DataFrame:
     return reports.select("analysis_id", "title", leading_year("published_text").alias("year"), "review_score", "published_at")
 
 
+def reusable_cards(matches: DataFrame, reports: DataFrame) -> DataFrame:
+    """matches(request_id, analysis_id, own) as what a caller is shown of a report: an id to its owner, a slug to others, a title always."""
+    rows = matches.join(reports, "analysis_id")
+    named = lambda c: F.nullif(F.col(c), F.lit(""))
+    return rows.select(
+        "request_id", F.when(F.col("own"), "owned").otherwise("public").alias("access"), F.when(F.col("own"), F.col("analysis_id")).alias("analysis_id"), F.when(~F.col("own"), F.col("public_slug")).alias("slug"),
+        F.coalesce(named("title"), named("doi"), F.lit("Untitled paper")).alias("title"), "review_score",
+    )
+
+
 def manifest_faults(manifest: DataFrame, reports: DataFrame, audits: DataFrame) -> DataFrame:
     """(case_id, fault) where a gallery's manifest, reports and audits disagree."""
     rows = manifest.join(reports.select("case_id", F.col("review_score").alias("r_score"), F.col("concern_count").alias("r_concerns")), "case_id", "left").join(audits.select("case_id", "checked", "mismatches"), "case_id", "left")

@@ -2,11 +2,13 @@
 
 Inputs: papers(paper_id, profile, level, reviewer_done, failures array<string>), findings(paper_id,
 pos, category, rubric_item, grade, critic_disposition). One shuffle by paper serves all steps; the
-dimensions are a few rows and are broadcast.
+dimensions are a few rows, which Spark broadcasts while they are below its threshold.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,21 +22,21 @@ def allows(actual: str | Column, least: str | Column) -> Column:
 
 def expectations(modules: DataFrame, rubric: DataFrame) -> DataFrame:
     """(profile, module_key, label, weight, min_level, module_pos, expected): a row for each profile and module."""
-    return rubric.groupBy("profile", "module_key").agg(F.count("*").alias("expected")).join(F.broadcast(modules), "module_key")
+    return rubric.groupBy("profile", "module_key").agg(F.count("*").alias("expected")).join(modules, "module_key")
 
 
 def assessed_findings(findings: DataFrame, papers: DataFrame, rubric: DataFrame) -> DataFrame:
     """The last assessed finding of each expected item: discarded ones and unknown items are out."""
     last = Window.partitionBy("paper_id", "category", "rubric_item").orderBy(F.col("pos").desc(), "grade")
     graded = findings.where(F.col("grade").isin(*GRADE_SCORES) & ~F.col("critic_disposition").eqNullSafe("discarded"))
-    known = graded.join(papers.select("paper_id", "profile"), "paper_id").join(F.broadcast(rubric.select("profile", F.col("module_key").alias("category"), "rubric_item")), ["profile", "category", "rubric_item"], "left_semi")
+    known = graded.join(papers.select("paper_id", "profile"), "paper_id").join(rubric.select("profile", F.col("module_key").alias("category"), "rubric_item"), ["profile", "category", "rubric_item"], "left_semi")
     return known.withColumn("_turn", F.row_number().over(last)).where("_turn = 1").drop("_turn").withColumn("score", mapped("grade", GRADE_SCORES))
 
 
 def dimension_scores(papers: DataFrame, findings: DataFrame, modules: DataFrame, rubric: DataFrame) -> DataFrame:
     """A row for each paper and module: score, assessed and expected items, eligibility and state."""
     sums = assessed_findings(findings, papers, rubric).groupBy("paper_id", "category").agg(F.count("*").alias("n"), F.sum("score").alias("total")).withColumnRenamed("category", "module_key")
-    grid = papers.join(F.broadcast(expectations(modules, rubric)), "profile").join(sums, ["paper_id", "module_key"], "left")
+    grid = papers.join(expectations(modules, rubric), "profile").join(sums, ["paper_id", "module_key"], "left")
     n = F.coalesce("n", F.lit(0))
     eligible = allows("level", "min_level")
     failed = F.array_contains("failures", F.col("module_key"))
@@ -62,6 +64,7 @@ def review_scores(papers: DataFrame, findings: DataFrame, modules: DataFrame, ru
     )
     full = F.when(F.col("expected") > 0, F.col("assessed") / F.col("expected")).otherwise(0.0)
     provisional = (full < PROVISIONAL_BELOW) | F.col("any_failed") | ~F.col("reviewer_done")
+    # fixed values: the sentences about what limits a score
     limits = F.array_compact(F.array(
         F.when(F.col("level") != "full_text", F.format_string("The analysis used %s content, not the full paper.", F.replace("level", F.lit("_"), F.lit(" ")))),
         F.when(F.col("any_failed"), F.lit("One or more methodology modules failed and remain visibly incomplete.")),
@@ -77,6 +80,7 @@ def review_scores(papers: DataFrame, findings: DataFrame, modules: DataFrame, ru
 
 def status_banners(context: DataFrame) -> DataFrame:
     """context(paper_id, retracted, expression_of_concern, corrections) with banners; they never change a score."""
+    # fixed values: the sentences about the publication record
     return context.withColumn("banners", F.array_compact(F.array(
         F.when(F.col("retracted"), F.lit("Publication record reports a retraction; this status does not mathematically alter the Review score.")),
         F.when(F.col("expression_of_concern"), F.lit("Publication record reports an expression of concern; inspect the sourced notice.")),
@@ -85,24 +89,29 @@ def status_banners(context: DataFrame) -> DataFrame:
 
 
 def confidence(runs: DataFrame) -> DataFrame:
-    """runs(paper_id, coverage, modules_ok, modules_eligible, grounded, attempts, source_format) with the confidence score and its parts."""
-    part = F.when(F.col("modules_eligible") > 0, F.col("modules_ok") / F.col("modules_eligible")).otherwise(0.0)
-    rate = F.when(F.col("attempts") > 0, F.col("grounded") / F.col("attempts")).otherwise(0.0)
+    """runs(paper_id, coverage, modules_ok, modules_eligible, grounded, attempts, source_format) with the confidence score and its parts.
+
+    coverage is the weighted one; the parts are rounded to three digits before they are weighted, and
+    weighted as decimals, so that a half does not depend on the order of the sum.
+    """
+    part = F.bround(F.when(F.col("modules_eligible") > 0, F.col("modules_ok") / F.col("modules_eligible")).otherwise(0.0), 3)
+    rate = F.bround(F.when(F.col("attempts") > 0, F.col("grounded") / F.col("attempts")).otherwise(0.0), 3)
     quality = F.coalesce(mapped("source_format", SOURCE_QUALITY), F.lit(SOURCE_QUALITY["metadata"]))
+    weighted = sum((F.lit(Decimal(w)) * c.cast("decimal(10,3)") for w, c in (("25", part), ("25", rate), ("15", quality))), F.lit(Decimal("35")) * F.col("coverage").cast("decimal(10,3)"))
     return runs.select(
-        "paper_id", F.bround(part, 3).alias("module_coverage"), F.bround(rate, 3).alias("grounding_rate"), quality.alias("source_quality"),
-        (F.col("attempts") - F.col("grounded")).alias("unsupported_attempts"), F.bround(100 * (0.35 * F.col("coverage") + 0.25 * part + 0.25 * rate + 0.15 * quality), 1).alias("confidence_score"),
+        "paper_id", part.alias("module_coverage"), rate.alias("grounding_rate"), quality.alias("source_quality"),
+        (F.col("attempts") - F.col("grounded")).alias("unsupported_attempts"), F.bround(weighted, 1).cast("double").alias("confidence_score"),
     )
 
 
 def baseline_findings(papers: DataFrame, modules: DataFrame, rubric: DataFrame) -> DataFrame:
     """Without a model: one unreviewed, not assessed finding for every expected item of the eligible modules."""
-    grid = papers.select("paper_id", "profile", "level").join(F.broadcast(rubric.join(modules, "module_key")), "profile").where(allows("level", "min_level"))
+    grid = papers.select("paper_id", "profile", "level").join(rubric.join(modules, "module_key"), "profile").where(allows("level", "min_level"))
     return grid.select("paper_id", (F.col("module_pos") * 100 + F.col("item_pos")).alias("pos"), F.col("module_key").alias("category"), "rubric_item", F.lit("not_assessed").alias("grade"), F.lit("unreviewed").alias("critic_disposition"))
 
 
 def expected_items(papers: DataFrame, rubric: DataFrame) -> DataFrame:
-    return papers.select("paper_id", "profile").join(F.broadcast(rubric), "profile").select("paper_id", "module_key", "item_pos", "rubric_item")
+    return papers.select("paper_id", "profile").join(rubric, "profile").select("paper_id", "module_key", "item_pos", "rubric_item")
 
 
 def missing_items(papers: DataFrame, decisions: DataFrame, rubric: DataFrame) -> DataFrame:
@@ -114,4 +123,4 @@ def missing_items(papers: DataFrame, decisions: DataFrame, rubric: DataFrame) ->
 def unknown_items(papers: DataFrame, decisions: DataFrame, rubric: DataFrame) -> DataFrame:
     """Decisions about items outside the paper's rubric."""
     own = decisions.join(papers.select("paper_id", "profile"), "paper_id")
-    return own.join(F.broadcast(rubric.select("profile", "rubric_item")), ["profile", "rubric_item"], "left_anti").groupBy("paper_id").agg(F.array_sort(F.collect_set("rubric_item")).alias("unknown"))
+    return own.join(rubric.select("profile", "rubric_item"), ["profile", "rubric_item"], "left_anti").groupBy("paper_id").agg(F.array_sort(F.collect_set("rubric_item")).alias("unknown"))

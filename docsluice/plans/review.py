@@ -22,12 +22,13 @@ def prepared(papers: DataFrame) -> DataFrame:
     return papers.withColumn("profile", text.profile("text")).withColumn("source_quality", F.coalesce(mapped("source_format", SOURCE_QUALITY), F.lit(SOURCE_QUALITY["metadata"])))
 
 
-def prompts(papers: DataFrame, pages: DataFrame | None = None, sections: DataFrame | None = None, terms: dict[str, list[str]] | None = None) -> DataFrame:
+def prompts(papers: DataFrame, pages: DataFrame | None = None, sections: DataFrame | None = None, spans: DataFrame | None = None, terms: dict[str, list[str]] | None = None) -> DataFrame:
     """What each module's worker is to read: (paper_id, module_key, prompt)."""
     rows = text.chunks(papers).withColumn("at", F.col("start"))
     rows = text.containing(rows, pages, "page", "first") if pages is not None else text.last_marker(rows, text.page_markers(papers), "page")
     rows = text.containing(rows, sections.withColumnRenamed("title", "section"), "section", "shortest") if sections is not None else rows.withColumn("section", F.lit(None).cast("string"))
-    picks = text.disclosure_picks(rows, papers, sections)
+    rows = rows.withColumn("section", text.chunk_section("section", "text"))
+    picks = text.disclosure_picks(rows, papers, sections, spans)
     chosen = text.routed(text.route_scores(rows, terms or module_terms()), picks)
     return text.module_prompts(chosen, rows)
 
@@ -49,6 +50,6 @@ def reviewed(papers: DataFrame, worker_raw: DataFrame, reviewer_raw: DataFrame)
     eligible = dimensions.where("eligible").groupBy("paper_id").agg(F.count("*").alias("modules_eligible"))
     lost = failures.groupBy("paper_id").agg(F.count("*").alias("_lost"))
     runs = scores.join(eligible, "paper_id", "left").join(lost, "paper_id", "left").join(run, "paper_id").join(state.select("paper_id", "source_format"), "paper_id")
-    runs = runs.select("paper_id", F.col("full_review").alias("coverage"), (F.coalesce("modules_eligible", F.lit(0)) - F.coalesce("_lost", F.lit(0))).alias("modules_ok"), F.coalesce("modules_eligible", F.lit(0)).alias("modules_eligible"), "grounded", "attempts", "source_format")
+    runs = runs.select("paper_id", F.col("weighted_coverage").alias("coverage"), (F.coalesce("modules_eligible", F.lit(0)) - F.coalesce("_lost", F.lit(0))).alias("modules_ok"), F.coalesce("modules_eligible", F.lit(0)).alias("modules_eligible"), "grounded", "attempts", "source_format")
     counts = dimensions.groupBy("paper_id").agg(F.sum("assessed_items").alias("assessed"), F.sum("expected_items").alias("expected"))
     return {"notes": notes, "evidence": evidence, "failures": failures, "findings": findings, "run": run, "dimensions": dimensions, "scores": scores, "confidence": scoring.confidence(runs), "summaries": reporting.summaries(findings, counts), "groups": reporting.assessment_groups(findings, dimensions)}

@@ -88,3 +88,27 @@ def migrated_analyses(rows: DataFrame) -> DataFrame:
         if name not in rows.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
     return out
+
+
+def bundle_hash(spark: SparkSession, paths: list[str]) -> str:
+    """SHA-256 of a methodology's files, its manifest and its prompts, one after the other."""
+    order = F.array(*[F.lit(p.rsplit("/", 1)[-1]) for p in paths])
+    files = spark.read.format("binaryFile").load(paths).select(F.array_position(order, F.element_at(F.split("path", "/"), -1)).alias("pos"), "content")
+    listed = files.groupBy().agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("f"))  # a few small files
+    return listed.select(F.sha2(F.aggregate("f.content", F.lit(b"").cast("binary"), lambda a, c: F.concat(a, c)), 256)).first()[0]
+
+
+def methodology_modules(spark: SparkSession, path: str) -> DataFrame:
+    """The modules of a methodology's manifest, given as JSON."""
+    schema = "modules array<struct<key:string,label:string,weight:double,minimum_content_level:string,required_sections:array<string>,keywords:array<string>,items:array<string>>>"
+    return spark.read.schema(schema).option("multiLine", True).json(path).select(F.posexplode("modules").alias("module_pos", "m")).select(F.col("m.key").alias("module_key"), "module_pos", "m.label", "m.weight", F.col("m.minimum_content_level").alias("min_level"), F.concat("m.required_sections", "m.keywords").alias("terms"), "m.items")
+
+
+def report_latencies(reports: DataFrame) -> DataFrame:
+    """reports(report_id, created_at, updated_at) with the seconds that each took."""
+    return reports.withColumn("latency_seconds", F.bround((F.unix_micros("updated_at") - F.unix_micros("created_at")) / 1e6, 3))
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Reports and audits as JSON lines, for a gallery."""
+    reports.write.mode("overwrite").json(path)
