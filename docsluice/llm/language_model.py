@@ -6,9 +6,9 @@ document's score is the sum of the log-probabilities of its words, each given bo
 Words fall into classes: the commonest words of the corpus each make one, all others go by their
 length and a hash of their last letters. The network reads the classes on both sides (embeddings,
 one hidden layer) and gives a distribution over the class in the middle; within its class a word
-has its smoothed share of the corpus counts. The shares are a table with a row for each word, which
-grows with the vocabulary; each document's distinct words are joined to it. A common word is alone
-in its class and needs no row.
+has its smoothed share of the counts in all other documents, so that a text does not vouch for
+itself. The counts are a table with a row for each word, which grows with the vocabulary; each
+document's distinct words are joined to it. A common word is alone in its class and needs no row.
 
 Counts cover every word of every document: each task counts the words, and then the triples of
 classes, of its own rows, and Spark adds them up. The network is trained in numpy on all triples:
@@ -16,9 +16,9 @@ its examples are the (left, right) pairs with the counts of what stands between
 contexts by class only, and its size does not grow. The score of a pair of sides is then a row of
 a small table.
 
-Defined cases: null counts as empty; a text without words has score 0 and no mean; beginnings and
-ends of texts have a class of their own; repeated rows are scored alike and count twice in the
-corpus; an empty table gives an empty result; other columns of the input pass through.
+Defined cases: the texts that are scored are those that were learnt from; null counts as empty; a text without words has score 0 and no mean; beginnings and
+ends of texts have a class of their own; repeated rows are scored alike, and each counts as another
+document to the other; an empty table gives an empty result; other columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -90,11 +90,11 @@ class WordClasses:
 
 @dataclass
 class WindowNetwork:
-    """log-probabilities of the middle class for all pairs of sides, and log-shares of unseen words in the classes."""
+    """log-probabilities of the middle class for all pairs of sides, and each class's counts with their smoothing."""
 
     classes: WordClasses
     middle: np.ndarray
-    unseen: np.ndarray
+    mass: np.ndarray
 
     def parts(self, column: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
         """Words of the texts, their classes, and the sum of the classes' log-probabilities in each text."""
@@ -112,12 +112,15 @@ class WindowNetwork:
 
 @dataclass
 class LanguageModel(WindowNetwork):
-    """The network, and shares(word, log_share) of all words that are not common."""
+    """The network, and counts(word, n) of all words that are not common, over the corpus that it learnt from.
 
-    shares: DataFrame
+    Texts that are scored are part of that corpus: their own counts are taken off.
+    """
+
+    counts: DataFrame
 
     def network(self) -> WindowNetwork:
-        return WindowNetwork(self.classes, self.middle, self.unseen)
+        return WindowNetwork(self.classes, self.middle, self.mass)
 
 
 def sides(kind: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +205,7 @@ def _count_triples(classes: WordClasses):
 
 
 def learn(docs: DataFrame) -> LanguageModel:
-    """Counts over all of docs(text), the shares of words, and the network trained on them."""
+    """Counts of words over all of docs(text), and the network trained on all triples of their classes."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
     counted = texts.mapInArrow(_count_words, "word string, hash long, kind long, n long").groupBy("word", "hash", "kind")
     vocabulary = kept(counted.agg(F.sum("n").alias("n")))
@@ -216,13 +219,10 @@ def learn(docs: DataFrame) -> LanguageModel:
     rows = rare.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
     mass = np.full(CLASSES, SMOOTHING)
     mass[rows["kind"].to_numpy()] += rows["n"].to_numpy() + SMOOTHING * rows["words"].to_numpy()
-    unseen = np.log(SMOOTHING / mass)
-    masses = F.element_at(F.array(*map(F.lit, mass.tolist())), F.col("kind").cast("int") + 1)
-    shares = rare.select("word", (F.round(F.log((F.col("n") + SMOOTHING) / masses) * EXACT) / EXACT).alias("log_share"))
     rows = texts.mapInArrow(_count_triples(classes), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
     triples = np.zeros(CLASSES**3, np.float32)
     triples[rows["triple"].to_numpy()] = rows["n"].to_numpy()
-    return LanguageModel(classes, train(triples.reshape(CLASSES, CLASSES, CLASSES)), np.round(unseen * EXACT) / EXACT, shares)
+    return LanguageModel(classes, train(triples.reshape(CLASSES, CLASSES, CLASSES)), mass, rare.select("word", "n"))
 
 
 def scored_texts(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -235,14 +235,14 @@ def scored_texts(docs: DataFrame, model: LanguageModel) -> DataFrame:
     added = {"n_words", "log_likelihood", "mean_log_likelihood"}
     own = [c for c in docs.columns if c.lower() not in {"text", *added}]
     types = [docs.schema[c].dataType.simpleString() for c in own]
-    fields = "".join(f"_own{i} {t}, " for i, t in enumerate(types)) + "_row long, _sum double, _n long, _word string, _kind int, _times long"
-    names = [*(f"_own{i}" for i in range(len(own))), "_row", "_sum", "_n", "_word", "_kind", "_times"]
+    fields = "".join(f"_own{i} {t}, " for i, t in enumerate(types)) + "_row long, _sum double, _n long, _word string, _kind int, _times long, _class_times long"
+    names = [*(f"_own{i}" for i in range(len(own))), "_row", "_sum", "_n", "_word", "_kind", "_times", "_class_times"]
     shared = docs.sparkSession.sparkContext.broadcast(model.network())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", rows=4_096):
                 words, kind, sums = shared.value.parts(piece.column("text"))
                 n = np.diff(words.first)
                 rows = row + np.arange(piece.num_rows)
@@ -250,7 +250,7 @@ def scored_texts(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 none = pa.nulls
                 # no word holds a character 0, so these rows meet no share and are dealt out evenly
                 own_key = pa.array([f"\0{r}" for r in rows.tolist()])
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(rows), pa.array(sums), pa.array(n), own_key, none(len(rows), pa.int32()), none(len(rows), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(rows), pa.array(sums), pa.array(n), own_key, none(len(rows), pa.int32()), none(len(rows), pa.int64()), none(len(rows), pa.int64())], names)
                 rest = np.flatnonzero(kind > COMMON)
                 if not len(rest):
                     continue
@@ -260,11 +260,14 @@ def scored_texts(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 begins = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (words.hash[rest[1:]] != words.hash[rest[:-1]])])
                 times = np.diff(np.r_[begins, len(rest)])
                 at, k = rest[begins], len(begins)
-                yield pa.RecordBatch.from_arrays([*(none(k, piece.column(c).type) for c in own), pa.array(rows[of[begins]]), none(k, pa.float64()), none(k, pa.int64()), spelled(words, at), pa.array(kind[at].astype(np.int32)), pa.array(times.astype(np.int64))], names)
+                in_class = np.bincount(of * CLASSES + kind[rest], minlength=piece.num_rows * CLASSES)[of[begins] * CLASSES + kind[at]]
+                yield pa.RecordBatch.from_arrays([*(none(k, piece.column(c).type) for c in own), pa.array(rows[of[begins]]), none(k, pa.float64()), none(k, pa.int64()), spelled(words, at), pa.array(kind[at].astype(np.int32)), pa.array(times.astype(np.int64)), pa.array(in_class.astype(np.int64))], names)
 
     rows = docs.select(*own, F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
-    unseen = F.element_at(F.array(*map(F.lit, shared.value.unseen.tolist())), F.col("_kind") + 1)
-    met = rows.join(model.shares, F.col("_word") == F.col("word"), "left").withColumn("_share", F.col("_times") * F.coalesce("log_share", unseen))
+    mass = F.element_at(F.array(*map(F.lit, shared.value.mass.tolist())), F.col("_kind") + 1)
+    # the text's own words are taken off both; a text that is no part of the corpus is not scored by more than smoothing allows
+    share = F.log((F.greatest(F.col("n") - F.col("_times"), F.lit(0)) + SMOOTHING) / F.greatest(mass - F.col("_class_times"), F.lit(SMOOTHING)))
+    met = rows.join(model.counts, F.col("_word") == F.col("word"), "left").withColumn("_share", F.col("_times") * F.round(share * EXACT) / EXACT)
     mine = [F.first(f"_own{i}", ignorenulls=True).alias(f"_own{i}") for i in range(len(own))]
     of_text = met.groupBy("_row").agg(*mine, F.max("_n").alias("n_words"), (F.sum("_sum") + F.coalesce(F.sum("_share"), F.lit(0.0))).alias("log_likelihood"))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))

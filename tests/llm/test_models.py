@@ -110,20 +110,63 @@ def test_words_of_one_slot_are_told_apart(spark):
     model = language_model.learn(corpus)
     got = {r.doc_id: r.log_likelihood for r in language_model.scored_texts(two, model).collect()}
     n = counts[pair[1]]
-    assert got[0] - got[1] == pytest.approx(np.log((n + 9.5) / (n + 0.5)), abs=1e-6)
-    assert model.shares.count() == len(counts) - language_model.COMMON
+    assert got[0] - got[1] == pytest.approx(np.log((n + 8.5) / (n - 0.5)), abs=1e-6)
+    assert model.counts.count() == len(counts) - language_model.COMMON
 
 
 def test_shares_of_a_class_add_up_to_one(spark):
+    """Over all words and the unseen one, whether a text's own words are taken off or not."""
     import pyarrow as pa
 
-    docs, counts = many_words(spark)
+    docs, _ = many_words(spark)
     model = language_model.learn(docs)
-    rows = model.shares.toArrow()
-    found, kind = language_model.classified(pa.array([" ".join(rows["word"].to_pylist())]))
+    rows = model.counts.toArrow()
+    names = rows["word"].to_pylist()
+    _, kind = language_model.classified(pa.array([" ".join(names)]))
     assert len(kind) == rows.num_rows > language_model.BUCKETS
-    sums = np.bincount(kind, np.exp(rows["log_share"].to_numpy()), minlength=language_model.CLASSES) + np.exp(model.unseen)
-    assert np.allclose(sums[1 + language_model.COMMON :], 1, atol=1e-6)
+    text = docs.where("doc_id = 25").first().text.split()
+    own = np.array([Counter(text)[w] for w in names])
+    for taken in (np.zeros(len(names)), own):
+        sums = np.bincount(kind, rows["n"].to_numpy() - taken + language_model.SMOOTHING, minlength=language_model.CLASSES) + language_model.SMOOTHING
+        shares = sums / (model.mass - np.bincount(kind, taken, minlength=language_model.CLASSES))
+        assert np.allclose(shares[1 + language_model.COMMON :], 1, atol=1e-9)
+    assert np.allclose(np.exp(model.middle.astype(float)).sum(axis=1), 1, atol=1e-3)
+
+
+def test_scores_by_hand(spark):
+    """Each text's score from the definition: class by both sides, word by its count in the other texts."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(8)
+    names = [f"w{i}{'x' * (i % 9)}" for i in range(300)]
+    texts = [" ".join(names[int(300 * r.random() ** 3)] for _ in range(r.integers(0, 60))) for _ in range(60)]
+    texts += [texts[0], texts[1].upper() + " !", None, "", "one", "Ünknown wörds, é only here"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+    model = language_model.learn(docs)
+    got = {row.doc_id: row for row in language_model.scored_texts(docs, model).collect()}
+    words = [re.sub(r"[\x00-\x7f]", lambda m: m[0] if m[0].isalnum() else " ", (t or "").lower()).split() for t in texts]
+    total = Counter(w for ws in words for w in ws)
+    top = [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[: language_model.COMMON]]
+    flat = [w for ws in words for w in ws]
+    found, other = language_model.classified(pa.array([" ".join(flat)]))
+    hashes = {w: h for w, h in zip(flat, found.hash.tolist())}
+    rank = {w: i + 1 for i, w in enumerate(sorted(top, key=hashes.get))}
+    kind_of = {w: rank.get(w, k) for w, k in zip(flat, other.tolist())}
+    mass = Counter()
+    for w, n in total.items():
+        if w not in rank:
+            mass[kind_of[w]] += n + 0.5
+    for i, ws in enumerate(words):
+        kinds = [0, *(kind_of[w] for w in ws), 0]
+        want, own = 0.0, Counter(ws)
+        in_class = Counter(kind_of[w] for w in ws)
+        for j, w in enumerate(ws):
+            k = kind_of[w]
+            want += float(model.middle[kinds[j] * language_model.CLASSES + kinds[j + 2], k])
+            if w not in rank:
+                want += np.log((total[w] - own[w] + 0.5) / (mass[k] + 0.5 - in_class[k]))
+        assert got[i].n_words == len(ws) and got[i].log_likelihood == pytest.approx(want, abs=1e-4)
+    assert got[60].log_likelihood == got[0].log_likelihood and got[61].log_likelihood == got[1].log_likelihood
 
 
 def plain_article(html):
