@@ -1,0 +1,356 @@
+"""More registered queries: records, markup, routing, labels and rules, each with its SQL.
+
+As in the catalogue, a query first maps one of the driver's tables to the schema that its operator
+reads. Literals in the SQL are written out, so that they hold the operators' own constants to account.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import dims
+from .catalog import ANALYSES_SQL, CHUNKS_SQL, QUERIES, ROUTE_SQL, TERMS, THEN, analyses, query, table, texts
+from .functions import scalars as S
+from .operators import grounding, lifecycle, reporting, resolution, text, validate
+from .sources import articles, stores
+
+
+# provider records
+
+@query(r"""SELECT p_partkey AS doi, trim(regexp_replace(p_name, '\s+', ' ', 'g')) AS title, CASE WHEN p_size % 3 > 0 THEN 'Journal ' || p_size END AS journal,
+CASE WHEN p_size % 2 = 0 THEN 'Ann ' || p_brand || '|Solo' ELSE 'Solo' END AS authors, CASE WHEN p_size % 4 > 0 THEN (1990 + p_size)::VARCHAR END AS published_at, 'On é & ' || p_type || ' > 3' AS abstract FROM part""")
+def crossref_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    size = F.col("p_size")
+    none = F.lit(None).cast("string")
+    author = lambda given, family: F.struct(given.alias("given"), family.alias("family"))
+    authors = F.when(size % 2 == 0, F.array(author(F.lit("Ann "), F.col("p_brand")), author(none, F.lit("Solo")), author(F.lit(""), none))).otherwise(F.array(author(none, F.lit("Solo"))))
+    message = F.struct(F.array("p_name").alias("title"), F.when(size % 3 > 0, F.array(F.concat(F.lit("Journal "), "p_size"))).alias("container-title"), F.when(size % 4 > 0, F.struct(F.array(F.array(size + 1990, F.lit(3))).alias("date-parts"))).alias("published"), authors.alias("author"), F.concat(F.lit("<jats:p>On &eacute; &amp; "), "p_type", F.lit(" &gt;&nbsp;3</jats:p>")).alias("abstract"))
+    works = resolution.works(p.select(F.col("p_partkey").alias("doi"), F.to_json(F.struct(message.alias("message"))).alias("payload")))
+    return works.select("doi", "title", "journal", F.array_join("authors", "|").alias("authors"), "published_at", "abstract")
+
+
+@query("""SELECT c_custkey AS resolution_id, CASE WHEN c_custkey % 5 > 0 THEN (30000000 + c_custkey)::VARCHAR END AS pmid, CASE WHEN c_custkey % 5 > 1 THEN 'PMC' || c_custkey END AS pmcid, CASE WHEN c_custkey % 5 > 2 THEN '10.1/' || c_custkey END AS doi FROM customer""")
+def ncbi_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    record = F.struct((k + 30000000).cast("string").alias("pmid"), F.when(k % 5 > 1, F.concat(F.lit("PMC"), k)).alias("pmcid"), F.when(k % 5 > 2, F.concat(F.lit("10.1/"), k)).alias("doi"))
+    payload = F.when(k % 5 > 0, F.to_json(F.struct(F.array(record, record).alias("records")))).otherwise("no JSON")
+    return resolution.id_records(table(spark, sf_dir, "customer").select(k.alias("resolution_id"), payload.alias("payload")))
+
+
+@query("""SELECT c_custkey::VARCHAR AS pmid, 'On ' || c_mktsegment || ' care' AS title, 'A ' || c_name || '|Only' AS authors, CASE WHEN c_nationkey % 2 = 0 THEN 'J ' || c_nationkey END AS journal, 'First part . second' AS abstract FROM customer""")
+def pubmed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_nationkey")
+    journal = F.when(n % 2 == 0, F.concat(F.lit("<Journal><Title>J "), n, F.lit("</Title></Journal>"))).otherwise("")
+    xml = F.concat(
+        F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><Article>"), journal, F.lit("<ArticleTitle>On <i>"), "c_mktsegment", F.lit("</i>\n care</ArticleTitle><Abstract><AbstractText>First <b>part</b>.</AbstractText><AbstractText>second</AbstractText></Abstract><AuthorList><Author><LastName>"), "c_name",
+        F.lit("</LastName><ForeName>A</ForeName></Author><Author><LastName>Only</LastName></Author></AuthorList></Article></MedlineCitation></PubmedArticle></PubmedArticleSet>"),
+    )
+    rows = resolution.pubmed_records(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("pmid"), xml.alias("xml")))
+    return rows.select("pmid", "title", F.array_join("authors", "|").alias("authors"), "journal", "abstract")
+
+
+@query("""SELECT s_suppkey AS arxiv_id, s_name AS title, 'About ' || s_name AS abstract, 'A B|C' AS authors, '2024-01-02' AS published_at, '10.1/' || s_suppkey AS doi FROM supplier""")
+def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    xml = F.concat(F.lit('<feed xmlns="http://a" xmlns:arxiv="http://b"><title>feed</title><entry><title>'), "s_name", F.lit("</title><summary>About\n "), "s_name", F.lit("</summary><author><name>A B</name></author><author><name>C</name></author><published>2024-01-02</published><arxiv:doi>10.1/"), "s_suppkey", F.lit("</arxiv:doi></entry></feed>"))
+    rows = articles.entry_identity(s.select(F.col("s_suppkey").alias("arxiv_id"), xml.alias("xml")))
+    return rows.select("arxiv_id", "title", "abstract", F.array_join("authors", "|").alias("authors"), "published_at", "doi")
+
+
+@query("""WITH r AS (SELECT c_custkey AS resolution_id, c_custkey % 4 AS used, CASE WHEN c_custkey % 2 = 0 THEN 'x' END AS abstract FROM customer),
+f AS (SELECT resolution_id, used, abstract, k, CASE WHEN k = 3 THEN 'zz' ELSE 'c' || k END AS id FROM r, UNNEST([0, 1, 2, 1, 3]) AS u(k))
+SELECT resolution_id, (CASE k WHEN 3 THEN 4 ELSE k END)::INT AS pos, k < 3 AS known, CASE WHEN k < 3 THEN (['PDF', 'JATS', 'HTML'])[k + 1] || ' · ' || (['Unpaywall · publishedVersion', 'PMC', 'PMC'])[k + 1] || ' could not be used; analysis used ' ||
+  CASE WHEN used < 3 THEN (['PDF', 'JATS', 'HTML'])[used + 1] || ' · ' || (['Unpaywall · publishedVersion', 'PMC', 'PMC'])[used + 1] WHEN abstract IS NOT NULL THEN 'abstract only' ELSE 'metadata only' END || ' instead.' END AS warning
+FROM (SELECT DISTINCT * FROM f) WHERE k = 3 OR used <> k""")
+def fallback_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("resolution_id"))
+    of = lambda *pairs: F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(name).alias("id")) for i, name in pairs])
+    failed = rows.select("resolution_id", F.inline(of((0, "c0"), (1, "c1"), (2, "c2"), (3, "c1"), (4, "zz"))))
+    kinds = F.array(*[F.struct(F.lit(f"c{i}").alias("id"), F.lit(f).alias("format"), F.lit(p).alias("provider"), F.lit(v).cast("string").alias("version")) for i, (f, p, v) in enumerate((("pdf", "Unpaywall", "publishedVersion"), ("jats", "PMC", None), ("html", "PMC", "")))])
+    used = table(spark, sf_dir, "customer").select(k.alias("resolution_id"), F.when(k % 4 < 3, F.concat(F.lit("c"), k % 4)).alias("id"), F.when(k % 2 == 0, "x").alias("abstract"))
+    return resolution.fallback_warnings(used, failed, rows.select("resolution_id", F.inline(kinds)))
+
+
+@query(r"""WITH d AS (SELECT p_partkey AS paper_id, concat_ws(chr(10) || chr(10), p_name, 'Authors: ' || p_brand || ', ' || p_type, CASE WHEN p_size % 2 = 0 THEN 'Venue: J' || p_size END, 'DOI: 10.1/' || p_partkey, CASE WHEN p_size % 3 = 0 THEN 'PMID: ' || p_partkey END, CASE WHEN p_size % 5 = 0 THEN 'Abstract' || chr(10) || p_type END) AS text, p_size % 5 = 0 AS a FROM part)
+SELECT paper_id, CASE WHEN a THEN 'abstract' ELSE 'metadata' END AS content_level, text, sha256(text) AS sha256 FROM d""")
+def release_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size, none = F.col("p_size"), F.lit(None).cast("string")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), F.col("p_name").alias("title"), F.array("p_brand", "p_type").alias("authors"), F.when(size % 2 == 0, F.concat(F.lit("J"), size)).alias("journal"), F.concat(F.lit("10.1/"), "p_partkey").alias("doi"), none.alias("arxiv_id"), F.when(size % 3 == 0, F.col("p_partkey").cast("string")).alias("pmid"), F.lit("").alias("pmcid"), F.when(size % 5 == 0, F.col("p_type")).otherwise("").alias("abstract"))
+    return resolution.release_documents(p)
+
+
+@query(r"""WITH v AS (SELECT c_custkey AS id, c_custkey % 6 AS k, c_custkey AS n FROM customer),
+w AS (SELECT id, k, n, (['https://pubmed.ncbi.nlm.nih.gov/' || (100000 + n) || '/', 'PII S' || lpad((n % 10000)::VARCHAR, 4, '0') || '-1234(17)' || lpad((n % 100000)::VARCHAR, 5, '0') || '-X', ' https://doi.org/10.1000/' || n || ' ', 'arXiv:2401.' || lpad((n % 100000)::VARCHAR, 5, '0'), 'math.AG/' || lpad((n % 10000000)::VARCHAR, 7, '0'), 'some words ' || n])[k + 1] AS v FROM v)
+SELECT id, CASE WHEN k = 0 THEN (100000 + n)::VARCHAR END AS pmid, CASE WHEN k = 1 THEN 'S' || lpad((n % 10000)::VARCHAR, 4, '0') || '123417' || lpad((n % 100000)::VARCHAR, 5, '0') || 'X' END AS item,
+k IN (0, 2, 3, 4) AS resolvable, CASE k WHEN 2 THEN '10.1000/' || n WHEN 3 THEN '2401.' || lpad((n % 100000)::VARCHAR, 5, '0') ELSE lower(trim(v)) END AS canonical, CASE k WHEN 3 THEN '2401.' || lpad((n % 100000)::VARCHAR, 5, '0') WHEN 4 THEN v END AS arxiv FROM w""")
+def other_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("c_custkey")
+    pad = lambda c, k: F.lpad((c % 10**k).cast("string"), k, "0")
+    v = F.element_at(F.array(F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), n + 100000, F.lit("/")), F.concat(F.lit("PII S"), pad(n, 4), F.lit("-1234(17)"), pad(n, 5), F.lit("-X")), F.concat(F.lit(" https://doi.org/10.1000/"), n, F.lit(" ")), F.concat(F.lit("arXiv:2401."), pad(n, 5)), F.concat(F.lit("math.AG/"), pad(n, 7)), F.concat(F.lit("some words "), n)), (n % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "customer").select(n.alias("id"), v.alias("v"))
+    pmid = F.when(F.contains("v", F.lit("pubmed")), S.pmid("v"))
+    return rows.select("id", pmid.alias("pmid"), S.publisher_item("v").alias("item"), S.is_resolvable("v").alias("resolvable"), S.canonical_identifier("v").alias("canonical"), S.arxiv_id("v").alias("arxiv"))
+
+
+@query("""SELECT p_partkey AS id, (['https://a.org/x/y/' || p_size, 'https://a.org/' || p_size, 'https://b.org/' || p_size, 'http://c.org/' || p_size, 'https://a.org/x/up/' || p_size, 'https://a.org/x/y/z?q=' || p_size, 'https://a.org/x/y/z?a=b#' || p_size, 'mailto:' || p_size])[p_partkey % 8 + 1] AS url FROM part""")
+def url_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.array(*[F.concat(F.lit(a), F.col("p_size")) for a in ("", "/", "//b.org/", "http://c.org/", "../up/./", "?q=", "#", "mailto:")])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.url_join(F.lit("https://a.org/x/y/z?a=b"), F.element_at(links, (F.col("p_partkey") % 8 + 1).cast("int"))).alias("url"))
+
+
+# markup
+
+JATS_PARTS = ("<article><front><journal-meta><journal-title>J", "</journal-title></journal-meta><article-meta><article-id pub-id-type='doi'>10.1/", "</article-id><article-title>", "</article-title><custom-meta><meta-name>Funding source</meta-name><meta-value>", "</meta-value></custom-meta></article-meta></front><body><sec><title>Methods</title><p>", "</p></sec><sec><p>Second</p><p>Second</p></sec></body><back><ack>Thanks</ack><fn fn-type='competing'>None</fn><ref-list><ref>Ref 10.1000/", "</ref></ref-list></back></article>")
+
+
+def jats_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, c, d, e, f, g = map(F.lit, JATS_PARTS)
+    xml = F.concat(a, "c_nationkey", b, "c_custkey", c, "c_name", d, "c_mktsegment", e, "c_name", f, "c_custkey", g)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("paper_id"), F.when(F.col("c_custkey") % 9 == 0, "<broken").otherwise(xml).alias("xml"))
+
+
+@query("""SELECT c_custkey AS paper_id, (u.k - 1)::INT AS pos, section, span_id, text FROM customer, LATERAL (SELECT * FROM (VALUES
+(1, 'Article metadata', 'front-metadata-p-0', 'Title: ' || c_name), (2, 'Article metadata', 'front-metadata-p-1', 'Journal: J' || c_nationkey), (3, 'Article metadata', 'front-metadata-p-2', 'DOI: 10.1/' || c_custkey), (4, 'Additional disclosures', 'front-disclosures-p-0', 'Funding source ' || c_mktsegment),
+(5, 'Methods', 'body-sec-0-p-0', c_name), (6, 'Section 2', 'body-sec-1-p-0', 'Second'), (7, 'Acknowledgments', 'back-acknowledgments-p-0', 'Thanks'), (8, 'Conflicts of interest', 'back-conflicts-p-0', 'None')) v(k, section, span_id, text)) u WHERE c_custkey % 9 > 0""")
+def jats_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.jats_paragraphs(jats_papers(spark, sf_dir))
+
+
+@query("SELECT c_custkey AS paper_id, 0 AS pos, 'ref-0' AS id, 'Ref 10.1000/' || c_custkey AS raw, '10.1000/' || c_custkey AS doi FROM customer WHERE c_custkey % 9 > 0")
+def jats_reference_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles.jats_references(jats_papers(spark, sf_dir))
+
+
+@query("""SELECT p_partkey AS paper_id, k::INT AS pos, (['Article', p_brand])[k + 1] AS section, NULL::VARCHAR AS span_id, ([p_name || ' a', p_type || ' & b'])[k + 1] AS text FROM part, UNNEST(range(2)) AS u(k) WHERE p_size % 3 = 0
+UNION ALL SELECT p_partkey, 0, 'Methods', 'body-sec-0-p-0', p_name FROM part WHERE p_size % 3 = 1 AND p_size % 2 = 0""")
+def article_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full texts by format; another provider's are not read."""
+    size = F.col("p_size")
+    page = F.concat(F.lit("<p>menu</p><article><p>"), "p_name", F.lit("<br>a</p><h2>"), "p_brand", F.lit("</h2><li><b>"), "p_type", F.lit("</b>&amp; b</li></article><p>foot</p>"))
+    xml = F.concat(F.lit("<article><body><sec><title>Methods</title><p>"), "p_name", F.lit("</p></sec></body></article>"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("paper_id"), F.when((size % 3 == 1) & (size % 2 == 1), "Other").otherwise("PMC").alias("provider"), F.element_at(F.array(F.lit("html"), F.lit("jats"), F.lit("pdf")), (size % 3 + 1).cast("int")).alias("format"), F.when(size % 3 == 0, page).otherwise(xml).alias("body"))
+    return articles.article_paragraphs(rows)
+
+
+@query(r"""WITH RECURSIVE t AS (SELECT doc_id AS paper_id, text, length(text) AS n, 0 AS pos, 0 AS start FROM documents WHERE text <> ''
+  UNION ALL SELECT paper_id, text, n, pos + 1, start + len FROM (SELECT *, CASE WHEN start + 1000 >= n THEN n - start WHEN instr(reverse(substring(text, start + 1, 1000)), ' ') BETWEEN 1 AND 999 THEN 1000 - instr(reverse(substring(text, start + 1, 1000)), ' ') + 1 ELSE 1000 END AS len FROM t) WHERE start + len < n),
+l AS (SELECT paper_id, pos, start, coalesce(lead(start) OVER (PARTITION BY paper_id ORDER BY pos), n) AS stop, text FROM t)
+SELECT paper_id, pos::INT AS pos, start::INT AS start, md5(substring(text, start + 1, stop - start)) AS digest FROM l""")
+def span_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut into spans of at most 1,000 characters, each at its last blank."""
+    return articles.span_tokens(texts(spark, sf_dir), 1000).select("paper_id", "pos", "start", F.md5("text").alias("digest"))
+
+
+# routing
+
+HEADING = "th|er|la|un|ei"
+
+
+def front_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.chunks(texts(spark, sf_dir)).withColumns({"page": F.floor(F.col("idx") / 2).cast("int") + 1, "section": F.lit("")})
+
+
+PICKS_SQL = f"""lines AS (SELECT doc_id AS paper_id, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM documents),
+spots AS (SELECT paper_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY paper_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM lines),
+anchors AS (SELECT paper_id, at_ FROM spots WHERE regexp_matches(line, '(?i)^(?:{HEADING})') UNION SELECT doc_id, 6000 FROM documents WHERE doc_id % 2 = 0),
+held AS (SELECT a.paper_id, at_, max(idx) AS idx FROM anchors a JOIN chunks c ON c.paper_id = a.paper_id AND c.start <= at_ AND at_ < c."end" GROUP BY ALL),
+taken AS (SELECT paper_id, idx, min(at_) AS at_ FROM held GROUP BY ALL),
+front AS (SELECT c.paper_id, c.idx // 2 AS page, min(c.idx) AS idx FROM chunks c LEFT JOIN taken t USING (paper_id, idx) WHERE t.idx IS NULL AND c.idx // 2 < 3 GROUP BY ALL),
+two AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY idx) AS t FROM front),
+picks AS (SELECT paper_id, idx, 0 AS kind, at_ FROM taken UNION ALL SELECT paper_id, idx, 1, t FROM two WHERE t <= 2)"""
+
+
+def picks(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    d = texts(spark, sf_dir)
+    even = d.where("paper_id % 2 = 0")
+    named = even.select("paper_id", F.lit(6000).alias("start"), F.lit("Sponsors and Funding").alias("title")).union(d.select("paper_id", F.lit(9000), F.lit("Methods")))
+    spans = even.select("paper_id", F.lit(6000).alias("start"), F.lit("Conflicts").alias("section")).union(d.select("paper_id", F.lit(3000), F.lit(None).cast("string")))
+    return text.disclosure_picks(rows, d, named, spans, HEADING)
+
+
+@query("WITH " + CHUNKS_SQL + ", " + PICKS_SQL + " SELECT paper_id, idx::INT AS idx, row_number() OVER (PARTITION BY paper_id ORDER BY kind, at_)::INT AS turn FROM picks")
+def disclosure_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks at all anchors, then of front pages; the prose has other headings than papers, so they are a parameter."""
+    from pyspark.sql import Window
+
+    rows = picks(spark, sf_dir, front_chunks(spark, sf_dir))
+    return rows.select("paper_id", "idx", F.row_number().over(Window.partitionBy("paper_id").orderBy("priority")).alias("turn"))
+
+
+@query("WITH " + CHUNKS_SQL + ", " + PICKS_SQL + ", s AS (" + ROUTE_SQL.replace("WITH " + CHUNKS_SQL + ",", "WITH").replace("(['', 'Der Stand', 'Tion one'])[idx % 3 + 1]", "''").replace("SELECT paper_id, module_key, turn::INT AS turn, idx::INT AS idx FROM t WHERE turn <= 8", "SELECT paper_id, module_key, score, idx FROM t") + """),
+both_ AS (SELECT paper_id, module_key, idx, 2 AS kind, -score AS o FROM s UNION ALL SELECT paper_id, 'disclosures', idx, kind, at_ FROM picks),
+first_ AS (SELECT paper_id, module_key, idx, min((kind, o)) AS o FROM both_ GROUP BY ALL),
+r3 AS (SELECT paper_id, module_key, idx, row_number() OVER (PARTITION BY paper_id, module_key ORDER BY o, idx) AS turn FROM first_)
+SELECT paper_id, module_key, turn::INT AS turn, idx::INT AS idx FROM r3 WHERE turn <= 8""")
+def routed_with_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = front_chunks(spark, sf_dir)
+    return text.routed(text.route_scores(rows, TERMS), picks(spark, sf_dir, rows))
+
+
+@query("WITH " + CHUNKS_SQL + r""", h AS (SELECT paper_id, idx, CASE WHEN idx % 3 = 0 THEN '[Results & more]' || chr(10) WHEN idx % 3 = 1 THEN 'lower case' || chr(10) || 'Methods: A/B ' || chr(10) ELSE '' END || substring(whole, start + 1, "end" - start) AS text, CASE WHEN idx % 4 = 0 THEN 'Given' WHEN idx % 4 = 1 THEN '' END AS section FROM chunks)
+SELECT paper_id, idx::INT AS idx, coalesce(nullif(section, ''), nullif(regexp_extract(left(text, 300), '(?:^|\n)\[?([A-Z][A-Za-z0-9 &/:-]{2,80})\]?\s*(?:\n|$)', 1), '')) AS section FROM h""")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section of a chunk, else a heading in its first 300 characters."""
+    i = F.col("idx")
+    head = F.when(i % 3 == 0, "[Results & more]\n").when(i % 3 == 1, "lower case\nMethods: A/B \n").otherwise("")
+    rows = text.chunks(texts(spark, sf_dir)).select("paper_id", "idx", F.concat(head, "text").alias("text"), F.when(i % 4 == 0, "Given").when(i % 4 == 1, "").alias("section"))
+    return rows.select("paper_id", "idx", text.chunk_section("section", "text").alias("section"))
+
+
+INTERVALS_SQL = """p AS (SELECT doc_id AS paper_id, k * 700 AS at_ FROM documents, UNNEST(range(0, length(text) // 700 + 1)) AS u(k)),
+i AS (SELECT doc_id AS paper_id, k AS pos, k * 900 AS a, k * 900 + (k % 4) * 800 AS b, 'S' || k AS title FROM documents, UNNEST(range(0, length(text) // 900 + 1)) AS u(k)),
+j AS (SELECT p.paper_id, at_, title, row_number() OVER (PARTITION BY p.paper_id, at_ ORDER BY pos) AS f, row_number() OVER (PARTITION BY p.paper_id, at_ ORDER BY a DESC, pos) AS l FROM p JOIN i ON i.paper_id = p.paper_id AND a <= at_ AND at_ < b)"""
+
+
+@query("WITH " + INTERVALS_SQL + " SELECT p.paper_id, p.at_::INT AS at, x.title AS first, y.title AS latest FROM p LEFT JOIN j x ON x.paper_id = p.paper_id AND x.at_ = p.at_ AND x.f = 1 LEFT JOIN j y ON y.paper_id = p.paper_id AND y.at_ = p.at_ AND y.l = 1")
+def interval_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each point the first interval that holds it, and the one that begins last."""
+    d = texts(spark, sf_dir).select("paper_id", F.length("text").alias("n"))
+    steps = lambda w: F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / w).cast("int")))
+    points = d.select("paper_id", steps(700).alias("k")).select("paper_id", (F.col("k") * 700).alias("at"))
+    k = F.col("pos")
+    intervals = d.select("paper_id", steps(900).alias("pos")).select("paper_id", "pos", (k * 900).alias("start"), (k * 900 + k % 4 * 800).alias("end"), F.concat(F.lit("S"), k).alias("title"))
+    first = text.containing(points, intervals, "title", "first").withColumnRenamed("title", "first")
+    return text.containing(first, intervals, "title", "latest").withColumnRenamed("title", "latest").select("paper_id", "at", "first", "latest")
+
+
+# views of notes, labels, events
+
+@query("""SELECT conv_id AS paper_id, turn, left(text, 500) AS observation, concat_ws('|', left(text, 280), left('second ' || text, 280)) AS quotes FROM conversations""")
+def displayed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("paper_id"), "turn", F.col("text").alias("observation"), F.array("text", F.concat(F.lit("second "), "text"), F.lit("third")).alias("quotes"))
+    return grounding.displayed_notes(c).withColumn("quotes", F.array_join("quotes", "|"))
+
+
+@query("""SELECT event_id, 'kind=' || left(repeat(event_type || ' ', 30), 160) || CASE WHEN event_id % 3 > 0 THEN ';n=' || event_id ELSE '' END AS attributes FROM events""")
+def telemetry_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allowed attributes that have a value, cut; written as headers are and read back."""
+    k = F.col("event_id")
+    given = F.create_map(F.lit("kind"), F.repeat(F.concat("event_type", F.lit(" ")), F.lit(30)), F.lit("n"), F.when(k % 3 > 0, k.cast("string")), F.lit("secret"), F.lit("x"))
+    kept = S.telemetry(given, ["kind", "n"])
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("attributes"))
+
+
+@query("""SELECT p_partkey AS id, (['Review completed', 'Review failed', 'Unavailable for this content', 'Review incomplete', 'Review status unavailable'])[p_size % 5 + 1] AS state, CASE WHEN p_size % 2 = 0 THEN 'Provisional coverage' ELSE 'Final coverage' END AS coverage,
+CASE WHEN p_size % 3 = 0 THEN 'P-Value Of 3D Data' ELSE p_name END AS title, 1900 + p_size AS year, concat_ws(' ', CASE WHEN p_size % 2 = 0 THEN 'https://doi.org/10.1/' || p_size END, 'https://arxiv.org/abs/2401.1', 'https://pmc.ncbi.nlm.nih.gov/articles/PMC' || p_size || '/', 'https://a.org/') AS links FROM part""")
+def state_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size")
+    state = F.element_at(F.array(*map(F.lit, ("completed", "module_failed", "ineligible_at_content_level", "unreviewed", "other"))), (n % 5 + 1).cast("int"))
+    title = F.when(n % 3 == 0, " ").otherwise(F.concat("p_name", F.lit(": Major_concern ")))
+    none = F.lit(None).cast("string")
+    links = S.paper_links(F.when(n % 2 == 0, F.concat(F.lit("10.1/"), n)), F.lit("2401.1"), none, F.concat(F.lit("PMC"), n), F.lit("https://a.org/"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), S.state_label(state).alias("state"), S.coverage_label(n % 2 == 0).alias("coverage"), S.display_title(title, F.lit("p-value_of_3d_data")).alias("title"), S.year_within(F.concat(F.lit("in "), 1900 + n, F.lit(", or so"))).alias("year"), F.array_join(links, " ").alias("links"))
+
+
+@query("""SELECT event_id AS pos, CASE WHEN event_id % 2 = 0 THEN event_type ELSE 'stage' END AS kind, CASE WHEN event_id % 3 = 0 THEN 'k' ELSE event_type END AS key, event_type AS label, 'completed' AS state, coalesce(CASE WHEN event_id % 5 = 0 THEN event_id END, 0) AS evidence_count FROM events""")
+def event_upgrade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("event_id"), F.lit(None).cast("string")
+    old = table(spark, sf_dir, "events").select(k.alias("pos"), F.when(k % 2 == 0, F.col("event_type")).alias("kind"), F.when(k % 3 == 0, "k").alias("key"), none.alias("label"), none.alias("state"), F.col("event_type").alias("stage"), F.when(k % 5 == 0, k).alias("evidence_count"))
+    return lifecycle.upgraded_events(old).drop("stage")
+
+
+@query("WITH " + ANALYSES_SQL + f" SELECT analysis_id, CASE WHEN analysis_id % 3 > 0 THEN published_at END AS published_at, CASE WHEN analysis_id % 3 = 0 THEN TIMESTAMP '{THEN}' + INTERVAL 24 HOUR ELSE expires_at END AS expires_at FROM a")
+def unpublication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = analyses(spark, sf_dir)
+    return lifecycle.unpublished(a, a.where("analysis_id % 3 = 0").select("analysis_id"), F.expr(f"TIMESTAMP_NTZ'{THEN}'")).select("analysis_id", "published_at", "expires_at")
+
+
+@query("WITH " + ANALYSES_SQL + " SELECT c_custkey AS document_id FROM customer WHERE c_custkey NOT IN (SELECT document_id FROM a WHERE state = 'completed')")
+def documents_after_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.documents_after(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id")), analyses(spark, sf_dir))
+
+
+@query("WITH " + ANALYSES_SQL + " SELECT analysis_id FROM a WHERE analysis_id % 50 = 0 OR owner % 7 > 0 AND owner = analysis_id % 100")
+def owner_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a caller sees: their own rows, or all as an administrator; a row without an owner is nobody's."""
+    a = analyses(spark, sf_dir).select("analysis_id", F.when(F.col("owner") % 7 > 0, F.col("owner").cast("string")).otherwise("").alias("owner"))
+    return lifecycle.authorized(a, (F.col("analysis_id") % 100).cast("string"), F.col("analysis_id") % 50 == 0).select("analysis_id")
+
+
+@query("WITH " + ANALYSES_SQL + f""",
+live AS (SELECT *, owner % 25 AS setting FROM a WHERE state = 'completed' AND expires_at > TIMESTAMP '{THEN}'),
+j AS (SELECT c_custkey AS request_id, l.*, (l.owner = c_custkey) AS own, row_number() OVER (PARTITION BY c_custkey ORDER BY (l.owner = c_custkey) DESC, l.created_at DESC, l.analysis_id DESC) AS turn FROM customer JOIN live l ON setting = c_nationkey WHERE l.owner = c_custkey OR (l.published_at IS NOT NULL AND l.analysis_id % 8 = 0))
+SELECT request_id, CASE WHEN own THEN 'owned' ELSE 'public' END AS access, CASE WHEN own THEN analysis_id END AS analysis_id, CASE WHEN NOT own THEN analysis_id::VARCHAR END AS slug, CASE WHEN analysis_id % 3 = 0 THEN (CASE WHEN analysis_id % 8 = 0 THEN '10.1/x' ELSE 'Untitled paper' END) ELSE 'Paper ' || analysis_id END AS title, review_score FROM j WHERE turn = 1""")
+def reused_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doi = F.when(F.col("analysis_id") % 8 == 0, "10.1/x")
+    reports = analyses(spark, sf_dir).select("analysis_id", "public_slug", F.when(F.col("analysis_id") % 3 > 0, F.col("title")).otherwise("").alias("title"), doi.alias("doi"), "review_score")
+    return reporting.reusable_cards(QUERIES["reusable_report"](spark, sf_dir), reports)
+
+
+@query("""WITH c AS (SELECT c_custkey AS id, concat('{"compatibility_version":"1","content_level":"full_text","methodology_hash":"h","paper_sha256":"', sha256(c_name), '","parser_name":"p","parser_version":"1.2","profile":"', c_mktsegment, '","provider_profile":"x","reviewer_model":"r","scoring_version":"1.3","source_format":"jats","worker_model":"w"}') AS j FROM customer)
+SELECT id, sha256(j) AS key FROM c""")
+def compatibility_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve settings under which two runs stand for each other, as one digest."""
+    same = {"content_level": "full_text", "methodology_hash": "h", "parser_name": "p", "parser_version": "1.2", "provider_profile": "x", "reviewer_model": "r", "scoring_version": "1.3", "source_format": "jats", "worker_model": "w", "compatibility_version": dims.COMPATIBILITY_VERSION}
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.sha2("c_name", 256).alias("paper_sha256"), F.col("c_mktsegment").alias("profile")).withColumns({k: F.lit(v) for k, v in same.items()})
+    return rows.select("id", S.compatibility_key(dims.COMPATIBILITY_FIELDS).alias("key"))
+
+
+@query("""WITH r AS (SELECT * FROM (VALUES ('general_empirical', 'Relevant EQUATOR guideline when identifiable', 'General empirical-design and risk-of-bias concepts', 'study_question_design, sampling_eligibility, measurement_quality, comparators_controls, threats_to_validity', 'analysis_specification, effect_size_uncertainty, missing_data, robustness_checks, claim_calibration'),
+('common_core', 'Relevant EQUATOR guideline when identifiable', 'No specialist appraisal profile selected', 'question_clarity, argument_structure, source_relevance', 'quantitative_claims, uncertainty, internal_consistency'),
+('randomized_experiment', 'CONSORT / EQUATOR', 'RoB 2 concepts (not a substituted RoB 2 assessment)', 'randomization_process, allocation_concealment, deviations, outcome_measurement, attrition', 'intention_to_treat, power, effect_size_interval, multiplicity, missing_data')) v(profile, a, b, c, d))
+SELECT o_orderkey AS paper_id, 'Reporting reference: ' || a || '. Appraisal reference: ' || b || '. Design items: ' || c || '. Analysis items: ' || d || '.' AS prompt FROM orders JOIN r ON profile = (['general_empirical', 'common_core', 'randomized_experiment'])[o_orderkey % 3 + 1]""")
+def rubric_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = F.element_at(F.array(F.lit("general_empirical"), F.lit("common_core"), F.lit("randomized_experiment")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("paper_id"), profile.alias("profile")).join(dims.rubric_prompts(dims.rubric(spark)), "profile").drop("profile")
+
+
+@query("SELECT event_id AS report_id, round_even(((event_id % 977) * 1000000 + event_id % 1000) / 1e6, 3) AS latency_seconds FROM events")
+def report_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    at = F.col("ts").cast("timestamp")
+    rows = table(spark, sf_dir, "events").select(k.alias("report_id"), at.alias("created_at"), (at + F.make_dt_interval(secs=((k % 977) * 1000000 + k % 1000).cast("decimal(18,6)") / 1000000)).alias("updated_at"))
+    return stores.report_latencies(rows).select("report_id", "latency_seconds")
+
+
+@query("""SELECT o_orderkey AS paper_id, concat_ws(' ', CASE WHEN o_orderkey % 2 = 0 THEN 'Duplicate final methodology items were ignored: a, b.' END, CASE WHEN o_orderkey % 3 = 0 THEN 'Unknown final methodology item IDs were ignored: c.' END, CASE WHEN o_orderkey % 5 > 0 THEN (o_orderkey % 5) || ' unknown reviewer evidence IDs were ignored.' END) AS warnings FROM orders""")
+def validation_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    run = table(spark, sf_dir, "orders").select(k.alias("paper_id"), F.when(k % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none).alias("repeated_items"), F.when(k % 3 == 0, F.array(F.lit("c"))).otherwise(none).alias("unknown_items"), (k % 5).alias("unknown_ids"))
+    return grounding.validation_warnings(run).select("paper_id", F.array_join("warnings", " ").alias("warnings"))
+
+
+@query("""SELECT o_orderkey AS paper_id, 'm' AS module_key, CASE WHEN o_orderkey % 3 = 0 THEN 'Invalid structured output (evidence.0.quotes:list_type, evidence.1:extra_forbidden, evidence.2:missing, evidence.3:missing).' WHEN o_orderkey % 3 = 1 THEN 'unknown rubric item: ' || left(repeat(o_orderpriority || ' ', 40), 179) || '.' ELSE 'The evidence extraction did not complete.' END AS text FROM orders""")
+def safe_failure_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an output is wrong, never what it says; four places at most."""
+    k = F.col("o_orderkey")
+    failures = table(spark, sf_dir, "orders").select(k.alias("paper_id"), F.lit("m").alias("module_key"), F.when(k % 3 == 1, F.concat(F.lit("unknown rubric item: "), F.repeat(F.concat("o_orderpriority", F.lit(" ")), F.lit(40)))).otherwise("secret text").alias("reason"))
+    places = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(at).alias("location"), F.lit(kind).alias("kind")) for i, (at, kind) in enumerate((("evidence.0.quotes", "list_type"), ("evidence.1", "extra_forbidden"), ("evidence.2", "missing"), ("evidence.3", "missing"), ("evidence.4", "missing")))])
+    faults = failures.where("paper_id % 3 = 0").select("paper_id", "module_key", F.inline(F.reverse(places)))
+    return grounding.safe_failures(failures, faults).select("paper_id", "module_key", "text")
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role, text, CASE turn % 3 WHEN 0 THEN chr(10) || ' ' || text || chr(9) WHEN 1 THEN NULL END AS v FROM conversations)
+SELECT conv_id, turn, md5(CASE WHEN v IS NOT NULL THEN regexp_replace(v, '^\s+|\s+$', '', 'g') WHEN turn % 3 = 1 THEN '{"role":"' || role || '"}' ELSE '' END) AS content FROM c""")
+def content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("turn")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(t % 3 == 0, F.concat(F.lit("\n "), "text", F.lit("\t"))).alias("v"), F.when(t % 3 == 1, F.struct("role")).alias("j"))
+    return c.select("conv_id", "turn", F.md5(S.content_text("v", "j")).alias("content"))
+
+
+# rules
+
+@query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'digest is 64 hexadecimal digits' END, CASE WHEN length(text) > 8000000 THEN 'text has at most 8,000,000 characters' END, CASE WHEN strlen(text) > 26214400 THEN 'upload has at most 25 MiB' END) AS broken FROM documents WHERE doc_id % 3 = 0 OR length(text) > 8000000 OR strlen(text) > 26214400""")
+def broken_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256)).alias("sha256")).where("sha256 rlike '[a-fA-F]'")
+    return validate.broken(rows, validate.DOCUMENT_RULES).select("doc_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""SELECT o_orderkey AS paper_id, CASE WHEN o_orderkey % 7 = 0 THEN 'score lies in 0..100' ELSE 'ratios lie in 0..1' END AS broken FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 5 = 0 AND o_orderkey % 7 > 0""")
+def broken_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("paper_id"), F.when((k % 5 == 0) & (k % 7 > 0), 1.1).otherwise(1.0).alias("available"), F.lit(0.0).alias("full_review"), F.when(k % 7 == 0, F.lit(None).cast("double")).otherwise(100.0).alias("review_score"))
+    return validate.broken(rows, validate.RATIO_RULES).select("paper_id", F.array_join("broken", ",").alias("broken"))
+
+
+@query("""SELECT doc_id AS paper_id, k::INT AS start, CASE WHEN k > length(text) - 5 THEN 'outside' ELSE 'backwards' END AS fault FROM documents, UNNEST(range(0, 3000, 1000)) AS u(k) WHERE k > length(text) - 5 OR k = 2000""")
+def broken_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that end after their paper's text, and spans that end before they begin."""
+    d = texts(spark, sf_dir)
+    spans = d.select("paper_id", F.explode(F.array(F.lit(0), F.lit(1000), F.lit(2000))).alias("start")).withColumns({"end": F.col("start") + 5, "text": F.lit("x")})
+    outside = validate.anchors_outside(spans, d).select("paper_id", "start", F.lit("outside").alias("fault"))
+    turned = spans.where("start = 2000").withColumn("end", F.col("start") - 1).join(outside, ["paper_id", "start"], "left_anti")
+    return outside.union(validate.broken(turned, {k: v for k, v in validate.SPAN_RULES.items() if "ends" in k}).select("paper_id", "start", F.lit("backwards")))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docsluice import catalog, dims
+from docsluice import catalog, catalog_records, dims  # noqa: F401
 from docsluice.functions import scalars as S
 from docsluice.operators import grounding, lifecycle, reporting, resolution, scoring, text, validate
 from docsluice.plans import review
