@@ -294,7 +294,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with the repeated words cut from text, and n_words, n_removed, removed.
 
-    A text that loses nothing stays as it is, white space included; what is left of any other is
+    A text that loses nothing stays as it is, white space included; the runs of words left of any other are
     joined by one space. removed lists the word spans that went. Names of other columns must not
     be among text_key, spans, n_words, n_removed and removed; those are replaced.
     """

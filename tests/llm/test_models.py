@@ -308,26 +308,157 @@ def test_search_finds_twenty(spark):
 
 
 def test_pipeline(spark):
+    """Every stage and run(), to the last token id, against brute force."""
+    import hashlib
+
     import corpus_pipeline
-    from tests.llm.test_dedup import brute_cut, brute_join
+    from tests.llm.test_codecs import library
+    from tests.llm.test_dedup import brute_cut, brute_join, words_of
 
     documents = pq.read_table(f"{DATA}/documents.parquet").to_pylist()
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
     clean = sorted(stages["toxicity"](spark, docs, DATA).collect())
     lexicon = toxicity.learn(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
-    keep = [d for d in documents if lexicon.score(*(np.array([v]) for v in lexicon.measure(d["text"])[::2]))[0] < toxicity.CUT]
-    assert [r.doc_id for r in clean] == sorted(d["doc_id"] for d in keep)
+    keep = [d for d in documents if lexicon.score(*(np.array([v]) for v in plain_measure(lexicon, d["text"] or "")[::2]))[0] < toxicity.CUT]
+    assert [tuple(r) for r in clean] == sorted(tuple(d[c] for c in docs.columns) for d in keep)
     one = sorted(stages["near copies"](spark, spark.createDataFrame(clean, docs.schema), DATA).collect())
     rows = [(r.doc_id, r.text) for r in clean]
-    assert [r.doc_id for r in one] == sorted({c for _, c, _ in brute_join(rows)})
+    heads = {c for _, c, _ in brute_join(rows)}
+    assert one == [r for r in clean if r.doc_id in heads]
     cut = {r.doc_id: r for r in stages["repeated passages"](spark, spark.createDataFrame(one, docs.schema), DATA).collect()}
-    left = {d: n - gone for d, n, gone, _ in brute_cut([(r.doc_id, r.text) for r in one])}
-    assert {d: len(r.text.split()) for d, r in cut.items()} == left and all(len(r.text) == r.n_chars for r in cut.values())
-    out = corpus_pipeline.run(spark, DATA).toPandas()
-    assert set(out.doc_id) == set(cut)
-    want = Counter(r.doc_id for r in stages["mixing"](spark, spark.createDataFrame(list(cut.values()), docs.schema), DATA).collect())
-    assert Counter(out.doc_id) == want
+    left = {d: (n, gone, sha) for d, n, gone, sha in brute_cut([(r.doc_id, r.text) for r in one])}
+    for r in one:
+        n, gone, sha = left[r.doc_id]
+        text = cut[r.doc_id].text
+        if gone:
+            assert hashlib.sha256(b" ".join(words_of(text))).hexdigest() == sha and len(words_of(text)) == n - gone and cut[r.doc_id].n_chars == len(text)
+        else:
+            assert cut[r.doc_id] == r
+    import pandas as pd
+
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame([r.asDict() for r in cut.values()]))
+    copies = Counter(db.execute(OP6_SQL).df().doc_id)
+    tool, want = library(), Counter()
+    for d, r in cut.items():
+        ids = tool.encode(r.text or "", add_special_tokens=False).ids
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        want[d, r.source, len(ids), raw, hashlib.sha256(tool.decode(ids, skip_special_tokens=False).encode()).hexdigest()] = copies[d]
+    got = Counter((r.doc_id, r.source, r.n_tokens, bytes(r.token_ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, DATA).collect())
+    assert got == want
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["score", "weight", "hits", "words", "node", "links", "row", "no_id", "text_hash", "_all", "spans", "text_key", "n_words", "removed", "copy", "mix_block", "_s", "_h"]
+    docs = spark.createDataFrame([(i, f"some words number {i} " * 3, "en", "ab"[i % 2], 60) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} "), "doc_id").alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns and all(r[n] == f"{n} {r.doc_id}" for r in out.collect() for n in names), name
+
+
+def plain_measure(lexicon, text):
+    """(weight, hits, words) without an automaton."""
+    words = toxicity.folded_words(text)
+    line = f" {' '.join(words)} "
+    excused = set()
+    for phrase in lexicon.exceptions:
+        p = f" {' '.join(toxicity.folded_words(phrase))} "
+        at = line.find(p)
+        while at >= 0:
+            excused.update(range(at, at + len(p) - 1))
+            at = line.find(p, at + 1)
+    at, hits = 0, []
+    for w in words:
+        best = max((lexicon.weights[w[:k]] for k in range(1, len(w) + 1) if w[:k] in lexicon.weights), default=0)
+        if best and at not in excused:
+            hits.append(best)
+        at += len(w) + 1
+    return float(sum(hits)), len(hits), len(words)
+
+
+def test_toxicity_by_hand(spark):
+    """The learnt entries from plain counts, and every document's measure without an automaton."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels)
+    rows = toxicity.training_rows(docs, labels, "toxic", toxicity.LABELLED).collect()
+    label = {r.doc_id: r.toxic for r in labels.collect()}
+    assert rows and all(r.y == label[r.doc_id] for r in rows)
+    import zlib
+
+    assert not any(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows)
+    texts, total, seen = Counter(), Counter(), {}
+    for r in rows:
+        if r["pick"] >= 667:
+            continue
+        texts[r.y] += 1
+        own = Counter(w[:k] for w in toxicity.folded_words(r.text) for k in range(3, 9) if len(w) >= k)
+        total[r.y] += len(toxicity.folded_words(r.text))
+        for e, n in own.items():
+            c = seen.setdefault(e, Counter())
+            c[r.y] += n
+            c["texts", r.y] += 1
+    learnt = {}
+    for e, c in sorted(seen.items(), key=lambda x: (len(x[0]), x[0])):
+        if c["texts", 1] < toxicity.SUPPORT or c[1] <= c[0] / 20:
+            continue
+        bound = np.log((c[1] + 0.5) / total[1]) - np.log((c[0] + 0.5) / total[0]) - np.sqrt(1 / (c["texts", 1] + 0.5) + 1 / (c["texts", 0] + 0.5))
+        ratio = toxicity.likelihood_ratio(np.array([c["texts", 1]], float), np.array([c["texts", 0]], float), texts[1], texts[0])[0]
+        if ratio >= toxicity.EVIDENCE and bound >= toxicity.LEAST_WEIGHT and all(bound > learnt[e[:k]] + 0.5 for k in range(3, 9) if e[:k] in learnt):
+            learnt[e] = bound
+    assert learnt and lexicon.weights == pytest.approx({**toxicity.BASE, **learnt})
+    for r in toxicity.measured_texts(docs, lexicon, keep_text=True).collect():
+        assert (r.weight, r.hits, r.words) == (pytest.approx(plain_measure(lexicon, r.text or "")[0]), *plain_measure(lexicon, r.text or "")[1:])
+
+
+def test_quality_by_hand(spark):
+    """Features from their definition, and votes from whole sorted lists of cosines."""
+    import pyarrow as pa
+
+    def plain_features(text):
+        raw = (text or "").encode()
+        out = np.zeros(quality.FEATURES)
+        kinds = [int(quality.CLASSES[b]) for b in raw]
+        kinds = [k for i, k in enumerate(kinds) if i == 0 or k != kinds[i - 1]]
+        number = lambda key: int(quality.mix(np.array([key % 2**64], np.uint64))[0])
+        for k in (2, 3, 4):
+            for i in range(len(kinds) - k + 1):
+                key = k
+                for j in range(k):
+                    key = key * 257 + kinds[i + j]
+                out[number(key) % quality.FORM] += 1
+        words = raw.split()
+        n, some = len(words), max(len(words), 1)
+        distinct, most = len(set(words)), max(Counter(words).values(), default=0)
+        lines, size = raw.count(10), max(len(raw), 1)
+        letters, capitals = sum(quality.CLASSES[b] <= 2 for b in raw), sum(quality.CLASSES[b] == 2 for b in raw)
+        steps = [min(np.log2(n + 1), 15), 10 * distinct / some, 20 * most / some, min(10 * distinct / np.sqrt(some) / 3, 15), 12 * letters / size, 20 * capitals / size, min(len(raw) / some, 20), min(np.log2(lines + 1) * 2, 20), min(40 * lines / some, 20)]
+        for i, m in enumerate(steps):
+            for d, weight in ((-1, 2), (0, 6), (1, 2)):
+                out[number(10_000 + 1000 * i + int(np.floor(m)) + d + 2) % quality.FORM] += weight
+        plain = quality.Words(pa.array([text or ""]), quality.MARKS, lower=True)
+        for h in plain.hash.tolist():
+            out[quality.FORM + h % quality.WORDS] += 1
+        return out
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    some = [None, "", "One two.  Three\nthree\n\nA1b2, é漢 x"] + [r.text for r in docs.orderBy("doc_id").limit(5).collect()]
+    counts = quality.counted_features(pa.array(some, pa.string()))
+    assert all((counts[i] == plain_features(t)).all() for i, t in enumerate(some))
+    model = quality.learn(docs, labels)
+    scores = model.score(counts)
+    for i in range(len(some)):
+        z = model.latent(counts[i : i + 1])[0]
+        near = sorted(((float(z @ v), int(y)) for v, y in zip(model.vectors, model.labels)), key=lambda x: -x[0])
+        cut = near[min(quality.NEIGHBOURS, len(near)) - 1][0]
+        assert len(near) <= quality.NEIGHBOURS or near[quality.NEIGHBOURS][0] <= cut
+        votes = [(max(c, 0) ** quality.SHARPNESS + 1e-9, y) for c, y in near[: quality.NEIGHBOURS]]
+        assert scores[i] == pytest.approx(sum(v * y for v, y in votes) / sum(v for v, _ in votes), abs=0.05)
+    conflict = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id, r.y) for r in toxicity.training_rows(docs, conflict, "quality", 100).collect()} <= {(2, 1)}
 
 
 def test_stages_of_odd_rows(spark):
