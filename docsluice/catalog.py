@@ -93,12 +93,13 @@ def _dims(spark: SparkSession, sf_dir: str) -> tuple:
 
 
 @query("WITH " + SCORES_SQL + """,
-t AS (SELECT paper_id, profile, reviewer_done, stat_failed, sum(total * weight / expected) AS weighted, sum(n * weight / expected) AS aw, sum(n) AS a, sum(expected) AS e,
+t AS (SELECT paper_id, profile, level, reviewer_done, stat_failed, sum(total * weight / expected) AS weighted, sum(n * weight / expected) AS aw, sum(n) AS a, sum(expected) AS e,
   sum(n) FILTER (WHERE eligible) AS ae, sum(expected) FILTER (WHERE eligible) AS ee, sum(weight) FILTER (WHERE eligible) AS ew, sum(n) FILTER (WHERE module_key = 'disclosures') AS c, sum(expected) FILTER (WHERE module_key = 'disclosures') AS ce FROM dims GROUP BY ALL)
-SELECT paper_id, profile, round_even(CASE WHEN aw > 0 THEN weighted / aw ELSE 0 END, 1) AS review_score, round_even(ae / ee, 3) AS available, round_even(a / e, 3) AS full_review,
+SELECT paper_id, profile, concat_ws('|', CASE WHEN level <> 'full_text' THEN 'The analysis used ' || replace(level, '_', ' ') || ' content, not the full paper.' END, CASE WHEN stat_failed THEN 'One or more methodology modules failed and remain visibly incomplete.' END,
+  CASE WHEN NOT reviewer_done THEN 'Findings were not independently reviewed.' END, CASE WHEN a / e < 0.7 OR stat_failed OR NOT reviewer_done THEN 'Low full-review coverage makes the Review score provisional.' END) AS limitations, round_even(CASE WHEN aw > 0 THEN weighted / aw ELSE 0 END, 1) AS review_score, round_even(ae / ee, 3) AS available, round_even(a / e, 3) AS full_review,
   round_even(aw / ew, 3) AS weighted_coverage, round_even(c / ce, 3) AS context_coverage, (a / e < 0.7 OR stat_failed OR NOT reviewer_done) AS provisional FROM t""")
 def review_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.review_scores(*_dims(spark, sf_dir)).drop("limitations")
+    return scoring.review_scores(*_dims(spark, sf_dir)).withColumn("limitations", F.array_join("limitations", "|"))
 
 
 @query("WITH " + SCORES_SQL + " SELECT paper_id, module_key, n::INT AS assessed_items, expected::INT AS expected_items, score, eligible, state FROM dims")
@@ -356,9 +357,17 @@ def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # pages
 
-@query(r"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages""")
+@query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'A & B ' || page_id WHEN 1 THEN 'Og ' || page_id END AS title, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS page_title, CASE WHEN page_id % 4 > 0 THEN '10.1000/x' || page_id END AS doi,
+CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/pdf/' || page_id END AS pdf_url, CASE page_id % 5 WHEN 0 THEN 'Described' WHEN 1 THEN 'Og described' END AS abstract, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages""")
 def page_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolution.page_metadata(table(spark, sf_dir, "pages")).select("page_id", "title", "host")
+    """Pages with the meta elements of publishers put before them, in either order of attributes."""
+    i = F.col("page_id")
+    put = lambda cond, *parts: F.when(cond, F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])).otherwise("")
+    head = F.concat(
+        put(i % 3 == 0, '<meta name="citation_title" content=" A &amp; B ', i, '">'), put(i % 3 < 2, "<meta content='Og ", i, "' property='og:title'>"), put(i % 4 == 0, '<meta name="citation_doi" content="none here">'), put(i % 4 == 1, '<meta name="citation_doi" content="doi:10.1000/X', i, '.">'),
+        put(i % 4 > 1, '<META content="10.1000/X', i, '" name="dc.identifier">'), put(i % 2 == 0, '<meta name="citation_pdf_url" content="/pdf/', i, '">'), put(i % 5 == 0, '<meta name="description" content="Described">'), put(i % 5 < 2, '<meta property="og:description" content="Og described">'),
+    )
+    return resolution.page_metadata(table(spark, sf_dir, "pages").withColumn("html", F.concat(head, "html"))).drop("year")
 
 
 @query(r"""WITH v AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'doi:10.5555/ABC(' || page_id || ').7.' WHEN 1 THEN 'https://doi.org/10.1000/x' || page_id WHEN 2 THEN 'PMC' || (100000 + page_id) WHEN 3 THEN (10000000 + page_id)::VARCHAR WHEN 4 THEN 'https://arxiv.org/abs/2401.' || lpad(page_id::VARCHAR, 5, '0') || 'v2' ELSE url END AS v FROM pages)

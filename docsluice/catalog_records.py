@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dims
-from .catalog import ANALYSES_SQL, CHUNKS_SQL, QUERIES, ROUTE_SQL, TERMS, THEN, analyses, query, table, texts
+from .catalog import ANALYSES_SQL, CHUNKS_SQL, PAPERS_SQL, QUERIES, ROUTE_SQL, TERMS, THEN, analyses, findings, papers, query, table, texts
 from .functions import scalars as S
 from .operators import grounding, lifecycle, reporting, resolution, text, validate
 from .sources import articles, stores
@@ -331,6 +331,73 @@ def content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.md5(S.content_text("v", "j")).alias("content"))
 
 
+@query("""WITH l AS (SELECT user_id AS analysis_id, event_type, max(event_id) AS last FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL)
+SELECT analysis_id, count(*) FILTER (WHERE last % 4 > 0) AS finished_modules, sum(last % 10)::BIGINT AS evidence_total FROM l GROUP BY analysis_id""")
+def progress_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    state = F.element_at(F.array(F.lit("running"), F.lit("completed"), F.lit("failed"), F.lit("skipped")), (k % 4 + 1).cast("int"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("analysis_id"), k.alias("pos"), F.when(F.col("event_type").isin("click", "view"), "module").otherwise("stage").alias("kind"), F.col("event_type").alias("key"), state.alias("state"), (k % 10).alias("evidence_count"))
+    return lifecycle.progress_view(e)
+
+
+@query("WITH " + ANALYSES_SQL + f""" SELECT 'analyses' AS kind, count(*) AS n FROM a WHERE state IN ('completed', 'failed', 'cancelled') AND expires_at <= TIMESTAMP '{THEN}' UNION ALL SELECT 'documents', count(*) FROM customer WHERE c_custkey % 5 <> 0 AND c_custkey NOT IN (SELECT document_id FROM a WHERE NOT (state IN ('completed', 'failed', 'cancelled') AND expires_at <= TIMESTAMP '{THEN}'))
+UNION ALL SELECT 'resolutions', count(*) FROM supplier WHERE s_suppkey % 2 = 0""")
+def cleanup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = F.expr(f"TIMESTAMP_NTZ'{THEN}'")
+    day = F.expr("INTERVAL 2 DAYS")
+    a = analyses(spark, sf_dir)
+    documents = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.when(F.col("c_custkey") % 5 == 0, now).otherwise(now - day).alias("created_at"))
+    resolutions = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("resolution_id"), F.when(F.col("s_suppkey") % 2 == 0, now).otherwise(now + day).alias("expires_at"))
+    kept, stay, fresh = lifecycle.retention(a, documents, resolutions, now)
+    return lifecycle.cleanup_counts(analyses=lifecycle.deletions(a, kept, "analysis_id"), documents=lifecycle.deletions(documents, stay, "document_id"), resolutions=lifecycle.deletions(resolutions, fresh, "resolution_id"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN '10.1016/s0140-6736(17)' || lpad((c_custkey % 100000)::VARCHAR, 5, '0') || '-7' WHEN 3 THEN '10.1000/q' || c_custkey END AS doi FROM customer WHERE c_custkey % 4 <> 2""")
+def publisher_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOIs from item numbers in addresses, and by a lookup where only the compact number is there."""
+    k = F.col("c_custkey")
+    url = F.when(k % 4 == 0, F.concat(F.lit("https://www.thelancet.com/journals/lancet/article/PIIS0140-6736(17)"), F.lpad((k % 100000).cast("string"), 5, "0"), F.lit("-7/fulltext"))).when(k % 4 == 1, "https://other.org/pii/S1").otherwise(F.concat(F.lit("https://www.sciencedirect.com/science/article/pii/S"), k))
+    found = resolution.publisher_dois(table(spark, sf_dir, "customer").where(k % 4 != 2).select(k.alias("id"), url.alias("url")))
+    payload = F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("10.1000/Q"), k).alias("prism:doi")).alias("coredata")).alias("full-text-retrieval-response")))
+    looked = resolution.publisher_records(table(spark, sf_dir, "customer").select(F.concat(F.lit("S"), k).alias("item"), payload.alias("payload"))).withColumnRenamed("doi", "_doi")
+    return found.join(looked, "item", "left").select("id", F.coalesce("doi", "_doi").alias("doi"))
+
+
+@query("""SELECT o_orderkey AS paper_id, o_orderkey % 5 IN (1, 2) AS repaired, k::INT AS pos, (['claim_strength', 'generalization'])[k + 1] AS rubric_item, (['minor_concern', 'not_assessed'])[k + 1] AS grade, 1 - k::INT AS n_ids FROM orders, UNNEST(range(2)) AS u(k) WHERE o_orderkey % 5 < 3""")
+def reviewer_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first answer that keeps the contract: an unknown grade or field, or a missing one, breaks it as a whole."""
+    k = F.col("o_orderkey")
+    good = '{"assessments": [{"rubric_item": "claim_strength", "grade": "minor_concern", "explanation": "e", "evidence_ids": ["x"]}, {"rubric_item": "generalization", "grade": "not_assessed", "explanation": ""}]}'
+    grade, field, missing = good.replace("not_assessed", "fine"), good.replace('"evidence_ids"', '"ids"'), good.replace(', "explanation": ""', "")
+    first = F.element_at(F.array(F.lit(f"```json\n{good}\n```"), F.lit(grade), F.lit(field), F.lit(missing), F.lit('{"findings": []}')), (k % 5 + 1).cast("int"))
+    second = F.when(k % 5 < 3, good).otherwise(field)
+    o = table(spark, sf_dir, "orders")
+    raw = o.select(k.alias("paper_id"), F.lit("schema_repair").alias("attempt"), second.alias("content")).union(o.select(k, F.lit("initial"), first))
+    return grounding.reviewer_decisions(raw).select("paper_id", "repaired", "pos", "rubric_item", "grade", F.coalesce(F.size("evidence_ids"), F.lit(0)).alias("n_ids"))
+
+
+@query("WITH " + PAPERS_SQL + """,
+d AS (SELECT f.*, row_number() OVER (PARTITION BY paper_id, rubric_item ORDER BY pos, grade, spans) AS turn FROM (SELECT DISTINCT * FROM findings) f),
+own AS (SELECT DISTINCT ON (paper_id, rubric_item, pos) * FROM (SELECT DISTINCT * FROM findings) ORDER BY paper_id, rubric_item, pos, grade, spans),
+t AS (SELECT *, row_number() OVER (PARTITION BY paper_id, rubric_item ORDER BY pos) AS turn FROM own),
+e AS (SELECT DISTINCT paper_id, pos, category, rubric_item FROM findings WHERE spans = 1), reg AS (SELECT DISTINCT paper_id, pos FROM e),
+u AS (SELECT t.*, e.pos IS NOT NULL AS cited, reg.pos IS NULL AS lost FROM t LEFT JOIN e USING (paper_id, pos, category, rubric_item) LEFT JOIN reg ON reg.paper_id = t.paper_id AND reg.pos = t.pos WHERE t.category <> 'unlisted' AND turn = 1),
+c AS (SELECT paper_id, count(*) FILTER (WHERE grade <> 'not_assessed') AS attempts, count(*) FILTER (WHERE grade <> 'not_assessed' AND cited) AS grounded, count(DISTINCT pos) FILTER (WHERE lost) AS unknown_ids FROM u GROUP BY ALL),
+o AS (SELECT paper_id, string_agg(DISTINCT rubric_item, ',' ORDER BY rubric_item) FILTER (WHERE category = 'unlisted') AS unknown_items, string_agg(DISTINCT rubric_item, ',' ORDER BY rubric_item) FILTER (WHERE category <> 'unlisted' AND turn > 1) AS repeated_items FROM t GROUP BY ALL)
+SELECT p.paper_id, coalesce(attempts, 0) AS attempts, coalesce(grounded, 0) AS grounded, coalesce(unknown_ids, 0) AS unknown_ids, coalesce(unknown_items, '') AS unknown_items, coalesce(repeated_items, '') AS repeated_items FROM papers p LEFT JOIN c USING (paper_id) LEFT JOIN o USING (paper_id)""")
+def final_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a final assessment attempted and could ground, and what of it was unknown or said twice."""
+    from pyspark.sql import Window
+
+    rows = findings(spark, sf_dir).distinct()
+    first = F.row_number().over(Window.partitionBy("paper_id", "rubric_item", "pos").orderBy("grade", "spans"))
+    decisions = rows.withColumn("_t", first).where("_t = 1").select("paper_id", "pos", "rubric_item", "grade", F.lit("").alias("explanation"), F.array(F.concat(F.lit("e"), F.col("pos"))).alias("evidence_ids"))
+    evidence = rows.where("spans = 1").select("paper_id", F.concat(F.lit("e"), F.col("pos")).alias("evidence_id"), F.col("category").alias("module_key"), "rubric_item", F.lit("q").alias("quote"), F.lit(0).alias("start"), F.lit(1).alias("end")).distinct()
+    _, run = grounding.final_findings(decisions, papers(spark, sf_dir).withColumn("source_quality", F.lit(1.0)), dims.rubric(spark), evidence)
+    text_of = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return run.select("paper_id", "attempts", "grounded", "unknown_ids", text_of("unknown_items").alias("unknown_items"), text_of("repeated_items").alias("repeated_items"))
+
+
 # rules
 
 @query("""SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN 'digest is 64 hexadecimal digits' END, CASE WHEN length(text) > 8000000 THEN 'text has at most 8,000,000 characters' END, CASE WHEN strlen(text) > 26214400 THEN 'upload has at most 25 MiB' END) AS broken FROM documents WHERE doc_id % 3 = 0 OR length(text) > 8000000 OR strlen(text) > 26214400""")

@@ -106,10 +106,15 @@ def _unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+def character_references(c: str | Column) -> Column:
+    """All character references decoded; texts without an ampersand reach Python as nulls."""
+    v = _col(c)
+    return F.coalesce(_unescaped(F.when(F.contains(v, F.lit("&")), v)), v)
+
+
 def stripped_markup(c: str | Column) -> Column:
-    """Tags become blanks and all character references are decoded; null if nothing is left. Texts without an ampersand reach Python as nulls."""
-    out = F.regexp_replace(_col(c), r"<[^>]+>", " ")
-    return F.nullif(collapsed(F.coalesce(_unescaped(F.when(F.contains(out, F.lit("&")), out)), out)), F.lit(""))
+    """Tags become blanks and all character references are decoded; null if nothing is left."""
+    return F.nullif(collapsed(character_references(F.regexp_replace(_col(c), r"<[^>]+>", " "))), F.lit(""))
 
 
 def summary_text(c: str | Column, limit: int = 280) -> Column:

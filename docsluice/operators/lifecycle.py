@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,18 @@ def retention(analyses: DataFrame, documents: DataFrame, resolutions: DataFrame,
     return kept, needed.unionByName(young), fresh
 
 
+def progress_view(events: DataFrame) -> DataFrame:
+    """Per analysis: modules that have ended and the evidence that modules report, by each module's last event."""
+    last = latest_per_key(events.where("kind = 'module' and key is not null"), ["analysis_id", "key"])
+    return last.groupBy("analysis_id").agg(F.count_if(F.col("state").isin("completed", "failed", "skipped")).alias("finished_modules"), F.sum("evidence_count").alias("evidence_total"))
+
+
+def cleanup_counts(**gone: DataFrame) -> DataFrame:
+    """(kind, n): how many rows of each kind a cleanup drops; kinds without any count 0."""
+    first, *others = [rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, rows in gone.items()]
+    return reduce(DataFrame.union, others, first)
+
+
 def deletions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """The rows that a rewrite dropped."""
     return before.join(after.select(key), key, "left_anti")
