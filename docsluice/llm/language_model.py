@@ -7,8 +7,9 @@ Words fall into classes: the commonest words of the corpus each make one, all ot
 length and a hash of their last letters. The network reads the classes on both sides (embeddings,
 one hidden layer) and gives a distribution over the class in the middle; within its class a word
 has its smoothed share of the counts in all other documents, so that a text does not vouch for
-itself. The counts are a table with a row for each word, which grows with the vocabulary; each
-document's distinct words are joined to it. A common word is alone in its class and needs no row.
+itself. The counts are a table with a row for each word (by its 64-bit hash), which grows with the
+vocabulary; the words of each run of texts, with the texts that hold them, are joined to it. A common
+word is alone in its class and needs no row.
 
 Counts cover every word of every document: each task counts the words, and then the triples of
 classes, of its own rows, and Spark adds them up. The network is trained in numpy on all triples:
@@ -28,12 +29,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import kept, table
-from .words import MARKS, Words, mix, ranges, slices
+from .words import MARKS, Words, binary_runs, mix, slices
 
 #: Slots of the filter that passes over most words that are not common.
 BUCKETS = 1 << 16
@@ -63,14 +65,6 @@ def slot(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(48)).astype(np.int64)
 
 
-def spelled(words: Words, which: np.ndarray) -> pa.Array:
-    """The words at the given places as strings."""
-    sizes = words.end[which] - words.start[which]
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    letters = np.ascontiguousarray(words.bytes[ranges(words.start[which], sizes)])
-    return pa.Array.from_buffers(pa.large_string(), len(which), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).cast(pa.string())
-
-
 @dataclass
 class WordClasses:
     """The common words: slots that hold one (others 0), and their hashes in order; the i-th has class i + 1."""
@@ -112,7 +106,7 @@ class WindowNetwork:
 
 @dataclass
 class LanguageModel(WindowNetwork):
-    """The network, and counts(word, n) of all words that are not common, over the corpus that it learnt from.
+    """The network, and counts(hash, n) of all words that are not common, over the corpus that it learnt from.
 
     Texts that are scored are part of that corpus: their own counts are taken off.
     """
@@ -183,7 +177,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batch, "text"):
             words, other = classified(piece.column("text"))
             hashes, at, n = np.unique(words.hash, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([spelled(words, at), pa.array(hashes.view(np.int64)), pa.array(other[at]), pa.array(n.astype(np.int64))], ["word", "hash", "kind", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(other[at]), pa.array(n.astype(np.int64))], ["hash", "kind", "n"])
 
 
 def _count_triples(classes: WordClasses):
@@ -207,67 +201,87 @@ def _count_triples(classes: WordClasses):
 def learn(docs: DataFrame) -> LanguageModel:
     """Counts of words over all of docs(text), and the network trained on all triples of their classes."""
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
-    counted = texts.mapInArrow(_count_words, "word string, hash long, kind long, n long").groupBy("word", "hash", "kind")
+    counted = texts.mapInArrow(_count_words, "hash long, kind long, n long").groupBy("hash", "kind")
     vocabulary = kept(counted.agg(F.sum("n").alias("n")))
-    top = vocabulary.orderBy(F.desc("n"), "word").limit(COMMON).collect()
+    top = vocabulary.orderBy(F.desc("n"), "hash").limit(COMMON).collect()
     hashes = np.sort(np.array([r["hash"] for r in top], np.int64).view(np.uint64))
     common = np.zeros(BUCKETS, np.int64)
     common[slot(hashes)] = 1
     classes = WordClasses(common, hashes)
     # what is left of each class when the common words have classes of their own
-    rare = vocabulary.where(~F.col("word").isin([r["word"] for r in top])) if top else vocabulary
+    rare = vocabulary.where(~F.col("hash").isin([r["hash"] for r in top])) if top else vocabulary
     rows = rare.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
     mass = np.full(CLASSES, SMOOTHING)
     mass[rows["kind"].to_numpy()] += rows["n"].to_numpy() + SMOOTHING * rows["words"].to_numpy()
     rows = texts.mapInArrow(_count_triples(classes), "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n")).toArrow()
     triples = np.zeros(CLASSES**3, np.float32)
     triples[rows["triple"].to_numpy()] = rows["n"].to_numpy()
-    return LanguageModel(classes, train(triples.reshape(CLASSES, CLASSES, CLASSES)), mass, rare.select("word", "n"))
+    return LanguageModel(classes, train(triples.reshape(CLASSES, CLASSES, CLASSES)), mass, rare.select("hash", "n"))
 
 
 def scored_texts(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs(text, ...) without text, with n_words, log_likelihood and mean_log_likelihood.
 
-    Each text makes one row with its own columns and what the network gives it, and one row for
-    each of its distinct words that is not common; these meet the shares, and all rows of a text
-    are added up.
+    Each text makes one row with its own columns and what the network gives it. Each run of texts
+    makes one row for each of its distinct words that is not common, with the texts that hold it and
+    how often; these meet the counts, and all rows of a text are added up.
     """
     added = {"n_words", "log_likelihood", "mean_log_likelihood"}
     own = [c for c in docs.columns if c.lower() not in {"text", *added}]
     types = [docs.schema[c].dataType.simpleString() for c in own]
-    fields = "".join(f"_own{i} {t}, " for i, t in enumerate(types)) + "_row long, _sum double, _n long, _word string, _kind int, _times long, _class_times long"
-    names = [*(f"_own{i}" for i in range(len(own))), "_row", "_sum", "_n", "_word", "_kind", "_times", "_class_times"]
+    carried = "".join(f"_own{i} {t}, " for i, t in enumerate(types)) + "_row long, _sum double, _n long"
+    names = [*(f"_own{i}" for i in range(len(own))), "_row", "_sum", "_n"]
     shared = docs.sparkSession.sparkContext.broadcast(model.network())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        at_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in slices(batch, "text", rows=4_096):
                 words, kind, sums = shared.value.parts(piece.column("text"))
-                n = np.diff(words.first)
-                rows = row + np.arange(piece.num_rows)
-                row += piece.num_rows
-                none = pa.nulls
-                # no word holds a character 0, so these rows meet no share and are dealt out evenly
-                own_key = pa.array([f"\0{r}" for r in rows.tolist()])
-                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(rows), pa.array(sums), pa.array(n), own_key, none(len(rows), pa.int32()), none(len(rows), pa.int64()), none(len(rows), pa.int64())], names)
+                n, base, size = np.diff(words.first), at_row, piece.num_rows
+                rows = base + np.arange(size)
+                at_row += size
+                # the texts' own rows meet no count; they are dealt out by a number of their own
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in own), pa.array(rows), pa.array(sums), pa.array(n), pa.array(mix(rows.astype(np.uint64)).view(np.int64)), pa.nulls(size, pa.int32()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.binary())], [*names, "_hash", "_kind", "_base", "_held"])
                 rest = np.flatnonzero(kind > COMMON)
                 if not len(rest):
                     continue
-                of = np.repeat(np.arange(piece.num_rows), n)[rest]
-                order = np.lexsort((words.hash[rest], of))
+                of = np.repeat(np.arange(size), n)[rest]
+                in_class = np.bincount(of * CLASSES + kind[rest], minlength=size * CLASSES)
+                order = np.lexsort((of, words.hash[rest]))
                 rest, of = rest[order], of[order]
-                begins = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (words.hash[rest[1:]] != words.hash[rest[:-1]])])
-                times = np.diff(np.r_[begins, len(rest)])
-                at, k = rest[begins], len(begins)
-                in_class = np.bincount(of * CLASSES + kind[rest], minlength=piece.num_rows * CLASSES)[of[begins] * CLASSES + kind[at]]
-                yield pa.RecordBatch.from_arrays([*(none(k, piece.column(c).type) for c in own), pa.array(rows[of[begins]]), none(k, pa.float64()), none(k, pa.int64()), spelled(words, at), pa.array(kind[at].astype(np.int32)), pa.array(times.astype(np.int64)), pa.array(in_class.astype(np.int64))], names)
-
-    rows = docs.select(*own, F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
-    mass = F.element_at(F.array(*map(F.lit, shared.value.mass.tolist())), F.col("_kind") + 1)
-    # the text's own words are taken off both; a text that is no part of the corpus is not scored by more than smoothing allows
-    share = F.log((F.greatest(F.col("n") - F.col("_times"), F.lit(0)) + SMOOTHING) / F.greatest(mass - F.col("_class_times"), F.lit(SMOOTHING)))
-    met = rows.join(model.counts, F.col("_word") == F.col("word"), "left").withColumn("_share", F.col("_times") * F.round(share * EXACT) / EXACT)
+                hashes = words.hash[rest]
+                new_word = np.r_[True, hashes[1:] != hashes[:-1]]
+                begins = np.flatnonzero(new_word | np.r_[True, of[1:] != of[:-1]])
+                times, text = np.diff(np.r_[begins, len(rest)]), of[begins]
+                held = np.stack([text, times, in_class[text * CLASSES + kind[rest[begins]]]], axis=1).astype(np.uint32)
+                firsts = np.flatnonzero(new_word[begins])
+                word, k = begins[firsts], len(firsts)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(k, piece.column(c).type) for c in own), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()), pa.array(hashes[word].view(np.int64)), pa.array(kind[rest[word]].astype(np.int32)), pa.array(np.full(k, base)), binary_runs(held.reshape(-1), 3 * np.append(firsts, len(held)))], [*names, "_hash", "_kind", "_base", "_held"])
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass = shared.value.mass
+        for batch in batches:
+            mine = batch.column("_row").is_valid()
+            texts, met = batch.filter(mine).select(names), batch.filter(pc.invert(mine))
+            if texts.num_rows:
+                yield texts.append_column("_share", pa.nulls(texts.num_rows, pa.float64()))
+            if not met.num_rows:
+                continue
+            column = met.column("_held")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+            held = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint32).reshape(-1, 3).astype(np.int64)
+            size = np.diff(offsets) // 12
+            n = np.repeat(pc.fill_null(met.column("n"), 0).to_numpy(), size)
+            # the text's own words are taken off both counts; a word that no other text holds has the share of an unseen one
+            share = np.log((np.maximum(n - held[:, 1], 0) + SMOOTHING) / np.maximum(np.repeat(mass[met.column("_kind").to_numpy()], size) - held[:, 2], SMOOTHING))
+            rows, place = np.unique(np.repeat(met.column("_base").to_numpy(), size) + held[:, 0], return_inverse=True)
+            total = np.bincount(place, held[:, 1] * np.round(share * EXACT) / EXACT)
+            k = len(rows)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, texts.column(c).type) for c in names[: len(own)]), pa.array(rows), pa.nulls(k, pa.float64()), pa.nulls(k, pa.int64()), pa.array(total)], [*names, "_share"])
+
+    words = docs.select(*own, F.col("text").cast("string").alias("text")).mapInArrow(run, f"{carried}, _hash long, _kind int, _base long, _held binary")
+    met = words.join(model.counts, F.col("_hash") == F.col("hash"), "left").drop("hash", "_hash").mapInArrow(shares, f"{carried}, _share double")
     mine = [F.first(f"_own{i}", ignorenulls=True).alias(f"_own{i}") for i in range(len(own))]
     of_text = met.groupBy("_row").agg(*mine, F.max("_n").alias("n_words"), (F.sum("_sum") + F.coalesce(F.sum("_share"), F.lit(0.0))).alias("log_likelihood"))
     mean = F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words"))
