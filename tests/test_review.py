@@ -322,6 +322,37 @@ def test_reports_and_ledger(spark, tmp_path):
     assert sorted(str(r.fault) for r in stores.pdf_files(spark, str(tmp_path / "f")).collect()) == ["None", "not a PDF"]
 
 
+def test_methodology_files(spark, tmp_path):
+    import hashlib
+
+    parts = {"m.json": json.dumps({"modules": [{"key": "a", "label": "A", "weight": 60.0, "minimum_content_level": "abstract", "required_sections": ["methods"], "keywords": ["x"], "items": ["i"]}, {"key": "b", "label": "B", "weight": 40.0, "minimum_content_level": "metadata", "required_sections": [], "keywords": [], "items": []}]}), "w.md": "Worker é", "r.md": "Reviewer"}
+    for name, body in parts.items():
+        (tmp_path / name).write_text(body)
+    paths = [str(tmp_path / n) for n in parts]
+    assert stores.bundle_hash(spark, paths) == hashlib.sha256("".join(parts.values()).encode()).hexdigest()
+    assert stores.bundle_hash(spark, paths[::-1]) == hashlib.sha256("".join([*parts.values()][::-1]).encode()).hexdigest()
+    rows = stores.methodology_modules(spark, paths[0]).orderBy("module_pos").collect()
+    assert [(r.module_key, r.min_level, r.terms) for r in rows] == [("a", "abstract", ["methods", "x"]), ("b", "metadata", [])]
+    assert dims.methodology_faults(stores.methodology_modules(spark, paths[0]), dims.lookup(spark, dims.GRADE_SCORES, "grade", "score")).count() == 0
+    stores.write_reports(spark.createDataFrame([("a", 1.0)], "case_id string, review_score double"), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().case_id == "a"
+
+
+def test_access_and_sessions(spark):
+    assert lifecycle.session_seconds(24, 30) == 30 * 86_400 and lifecycle.session_seconds(1000, 1) == 3_600_000
+    rows = spark.createDataFrame([(1, "me"), (2, "other"), (3, ""), (4, None)], "analysis_id int, owner string")
+    assert [r.analysis_id for r in lifecycle.authorized(rows, F.lit("me"), F.lit(False)).collect()] == [1] and lifecycle.authorized(rows, F.lit(""), F.lit(False)).count() == 0
+    assert lifecycle.authorized(rows, F.lit("me"), F.lit(True)).count() == 4
+
+
+def test_compatibility_hash_is_of_sorted_json(spark):
+    import hashlib
+
+    values_ = {f: f"v{i} é" if f == "profile" else f"v{i}" for i, f in enumerate(dims.COMPATIBILITY_FIELDS)}
+    got = spark.createDataFrame([tuple(values_.values())], ", ".join(f"{f} string" for f in values_)).select(S.compatibility_key(dims.COMPATIBILITY_FIELDS)).first()[0]
+    assert len(values_) == 12 and got == hashlib.sha256(json.dumps(values_, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
 def test_rules(spark):
     spans = spark.createDataFrame([(1, 0, 4, "abcd"), (1, 5, 3, "x"), (1, 0, 99, "short")], "paper_id int, start int, end int, text string")
     assert validate.broken(spans, validate.SPAN_RULES).count() == 1 and validate.sound(spans, validate.SPAN_RULES).count() == 2
