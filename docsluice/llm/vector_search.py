@@ -94,7 +94,6 @@ class Tree:
                 held += max(self.size[n], 1)
         return out
 
-
     def near(self, leaves: list[int]) -> int:
         """How many of a walk's leaves are visited first: about the square root of their number, and such that they hold K rows and the query's."""
         held = np.cumsum([self.size[self.node[leaf]] for leaf in leaves])
