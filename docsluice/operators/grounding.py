@@ -149,6 +149,7 @@ def final_findings(decisions: DataFrame, papers: DataFrame, rubric: DataFrame, e
 
 def validation_warnings(run: DataFrame) -> DataFrame:
     """run(paper_id, repeated_items, unknown_items, unknown_ids) with the sentences that a report shows."""
+    # fixed values: the sentences about what an assessment said in vain
     listed = lambda c, text: F.when(F.size(c) > 0, F.concat(F.lit(text), F.array_join(c, ", "), F.lit(".")))
     return run.withColumn("warnings", F.array_compact(F.array(
         listed("repeated_items", "Duplicate final methodology items were ignored: "), listed("unknown_items", "Unknown final methodology item IDs were ignored: "),
