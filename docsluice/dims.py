@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,16 +68,23 @@ def rubric_rows() -> list[tuple]:
     return out
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Rows of a dimension, handed over as Arrow: Spark knows their size, and broadcasts them while it is below its threshold."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    fields = [part.split() for part in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array([row[i] for row in rows], kinds[kind]) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields]))
+
+
 def modules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(module_rows(), "module_key string, module_pos int, label string, weight double, min_level string")
+    return small(spark, module_rows(), "module_key string, module_pos int, label string, weight double, min_level string")
 
 
 def module_terms(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(term_rows(), "module_key string, pos int, term string")
+    return small(spark, term_rows(), "module_key string, pos int, term string")
 
 
 def rubric(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rubric_rows(), "profile string, module_key string, item_pos int, rubric_item string")
+    return small(spark, rubric_rows(), "profile string, module_key string, item_pos int, rubric_item string")
 
 
 def rubric_prompts(rubric_df: DataFrame) -> DataFrame:
@@ -91,7 +99,7 @@ def rubric_prompts(rubric_df: DataFrame) -> DataFrame:
 
 def lookup(spark: SparkSession, values: dict, key: str, value: str) -> DataFrame:
     kind = {str: "string", int: "int", float: "double"}[type(next(iter(values.values())))]
-    return spark.createDataFrame(list(values.items()), f"{key} string, {value} {kind}")
+    return small(spark, list(values.items()), f"{key} string, {value} {kind}")
 
 
 def mapped(column, values: dict):
