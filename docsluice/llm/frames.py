@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -60,6 +60,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(df: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    """df with idx, each row's place in its group from 0 by `order`, and total, the rows of the group.
+
+    The rows are sorted over all tasks; a place is the number of the group's rows in earlier
+    partitions plus the place in the own one, so a group of any size is spread over many tasks, and
+    rows that are equal in all of `order` are too. A group's columns must not be null.
+    """
+    spark = df.sparkSession
+    marked = kept(df.withColumn("_row", F.monotonically_increasing_id()))
+    dealt = marked.repartitionByRange(partitions(spark), *groups, *order, "_row").sortWithinPartitions(*groups, *order, "_row").drop("_row")
+    dealt = kept(dealt.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    runs = dealt.groupBy(*groups, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    own = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*groups, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("total"))
+    return dealt.join(runs, [*groups, "_part"]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def in_groups(df: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch] | None], schema: str, last: int = 8_000_000) -> DataFrame:
     """work(rows of whole groups) over runs of groups, each group in one piece and in order.
 

@@ -6,6 +6,7 @@ from .bpe import op4_bpe
 from .html_text import op5_html_text
 from .language_model import op3_masked_lm
 from .media import op7_media
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from .quality import op9_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 #: The others have no SQL: their models, tokenizer, media files and parsers are tested in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_mixing": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op12_merkle_manifest": OP12_SQL}
