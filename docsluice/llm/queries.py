@@ -10,6 +10,7 @@ from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP6_SQL, op6_mixing
 from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from .quality import op9_quality
+from .simhash import op13_simhash
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .toxicity import op10_toxicity
 from .vector_search import op8_vector_search
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_simhash": op13_simhash,
 }
 #: The others have no SQL: their models, tokenizer, media files and parsers are tested in tests/llm.
 ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op12_merkle_manifest": OP12_SQL}
