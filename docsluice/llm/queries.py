@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_bpe
 from .html_text import op5_html_text
 from .language_model import op3_masked_lm
+from .lexical import OP11_SQL, op11_ranked_search
 from .media import op7_media
 from .merkle import OP12_SQL, op12_merkle_manifest
 from .mixing import OP6_SQL, op6_mixing
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_vector_search": op8_vector_search,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_ranked_search": op11_ranked_search,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_simhash": op13_simhash,
 }
 #: The others have no SQL: their models, tokenizer, media files and parsers are tested in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op2_substring_dedup": OP2_SQL, "op6_mixing": OP6_SQL, "op11_ranked_search": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
