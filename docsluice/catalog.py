@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from . import dims
 from .functions import scalars as S
+from .functions import tables
 from .operators import evaluation, grounding, lifecycle, reporting, resolution, scoring, text, validate
 from .sources import articles
 
@@ -111,15 +112,19 @@ FORMATS = ["jats", "html", "pdf", "abstract", "metadata"]
 QUALITY_SQL = "(SELECT * FROM (VALUES ('jats', 1.0::DOUBLE), ('pdf', 0.9::DOUBLE), ('html', 0.85::DOUBLE), ('abstract', 0.65::DOUBLE), ('metadata', 0.45::DOUBLE)) v(source_format, q))"
 
 
-@query("""WITH runs AS (SELECT o_orderkey AS paper_id, round_even((o_orderkey % 25) / 24.0::DOUBLE, 3) AS coverage, o_orderkey % 7 AS ok, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 7 END AS eligible, o_orderkey % 17 AS grounded, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 16 END AS attempts, (['jats', 'html', 'pdf', 'abstract', 'metadata'])[o_orderkey % 5 + 1] AS source_format FROM orders),
-parts AS (SELECT *, round_even(CASE WHEN eligible > 0 THEN ok / eligible ELSE 0 END, 3) AS m, round_even(CASE WHEN attempts > 0 THEN grounded / attempts ELSE 0 END, 3) AS g FROM runs JOIN """ + QUALITY_SQL + """ USING (source_format))
-SELECT paper_id, m AS module_coverage, g AS grounding_rate, q AS source_quality, attempts - grounded AS unsupported_attempts, 
-  (tenths // 100 + (tenths % 100 > 50 OR (tenths % 100 = 50 AND tenths // 100 % 2 = 1))::INT) / 10.0::DOUBLE AS confidence_score
-FROM (SELECT *, 35 * round(coverage * 1000)::BIGINT + 25 * round(m * 1000)::BIGINT + 25 * round(g * 1000)::BIGINT + 15 * round(q * 1000)::BIGINT AS tenths FROM parts)""")
+def _binary_round_sql(x: str, digits: int) -> str:
+    """x rounded by the digits of its binary value, which are printed in full."""
+    return f"round_even(printf('%.30f', {x})::DECIMAL(38, 30), {digits})::DOUBLE"
+
+
+@query(f"""WITH runs AS (SELECT o_orderkey AS paper_id, {_binary_round_sql("(o_orderkey % 25) / 24.0::DOUBLE", 3)} AS coverage, (o_orderkey % 7)::DOUBLE AS ok, CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 7 END AS eligible, (o_orderkey % 17)::DOUBLE AS grounded, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE 16 END AS attempts, (['jats', 'html', 'pdf', 'abstract', 'metadata'])[o_orderkey % 5 + 1] AS source_format FROM orders),
+parts AS (SELECT *, {_binary_round_sql("CASE WHEN eligible > 0 THEN ok / eligible ELSE 0 END", 3)} AS m, {_binary_round_sql("CASE WHEN attempts > 0 THEN grounded / attempts ELSE 0 END", 3)} AS g FROM runs JOIN {QUALITY_SQL} USING (source_format))
+SELECT paper_id, m AS module_coverage, g AS grounding_rate, q AS source_quality, (attempts - grounded)::BIGINT AS unsupported_attempts,
+  {_binary_round_sql("(0.35::DOUBLE * coverage + 0.25::DOUBLE * m + 0.25::DOUBLE * g + 0.15::DOUBLE * q) * 100::DOUBLE", 1)} AS confidence_score FROM parts""")
 def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     formats = F.element_at(F.array(*map(F.lit, FORMATS)), (k % 5 + 1).cast("int"))
-    runs = table(spark, sf_dir, "orders").select(k.alias("paper_id"), F.bround((k % 25) / F.lit(24.0), 3).alias("coverage"), (k % 7).alias("modules_ok"), F.when(k % 11 == 0, 0).otherwise(7).alias("modules_eligible"), (k % 17).alias("grounded"), F.when(k % 17 == 0, 0).otherwise(16).alias("attempts"), formats.alias("source_format"))
+    runs = table(spark, sf_dir, "orders").select(k.alias("paper_id"), S.python_round((k % 25) / F.lit(24.0), 3).alias("coverage"), (k % 7).alias("modules_ok"), F.when(k % 11 == 0, 0).otherwise(7).alias("modules_eligible"), (k % 17).alias("grounded"), F.when(k % 17 == 0, 0).otherwise(16).alias("attempts"), formats.alias("source_format"))
     return scoring.confidence(runs)
 
 
@@ -347,14 +352,32 @@ def bounded_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.summary_text("text").alias("summary"))
 
 
-@query(r"""SELECT doc_id AS paper_id, 'ref-' || k AS id, left(e[k], 5000) AS raw FROM (
-  SELECT doc_id, list_filter(list_transform(string_split_regex(replace('references' || chr(10) || text, '.' || chr(10), '.' || chr(10) || chr(10))[12:], '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 20) AS e FROM documents), UNNEST(range(1, len(e) + 1)) AS u(k)""")
+REFERENCES_SQL = r"""SELECT doc_id AS paper_id, 'ref-' || k AS id, left(e[k], 5000) AS raw FROM (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(replace('references' || chr(10) || text, '.' || chr(10), '.' || chr(10) || chr(10))[12:], '\n\s*\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: length(x) > 20) AS e FROM documents), UNNEST(range(1, len(e) + 1)) AS u(k)"""
+
+
+@query(REFERENCES_SQL)
 def reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document read as a reference list: its sentence ends at line ends part the entries."""
     listed = F.concat(F.lit("references\n"), F.replace("text", F.lit(".\n"), F.lit(".\n\n")))
     return text.references(texts(spark, sf_dir).select("paper_id", listed.alias("text"))).select("paper_id", "id", "raw")
 
 
+@query("WITH " + CHUNKS_SQL + ' SELECT paper_id, idx::INT AS idx, start::INT AS start, "end"::INT AS "end", md5(substring(whole, start + 1, "end" - start)) AS digest FROM chunks')
+def chunks_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks by a table function that SQL calls for every row."""
+    tables.register(spark)
+    return spark.sql("SELECT d.paper_id, c.idx, c.start, c.end, md5(c.chunk) AS digest FROM {d} AS d, LATERAL text_chunks(d.text) AS c", d=texts(spark, sf_dir))
+
+
+@query(REFERENCES_SQL)
+def references_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The references by a table function that takes the whole table and keeps the type of its key."""
+    tables.register(spark)
+    listed = F.concat(F.lit("references\n"), F.replace("text", F.lit(".\n"), F.lit(".\n\n")))
+    return spark.sql("SELECT paper_id, id, raw FROM paper_references(TABLE(SELECT * FROM {d}) PARTITION BY paper_id)", d=texts(spark, sf_dir).select("paper_id", listed.alias("text")))
+
+
 # pages
 
 @query(r"""SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'A & B ' || page_id WHEN 1 THEN 'Og ' || page_id END AS title, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS page_title, CASE WHEN page_id % 4 > 0 THEN '10.1000/x' || page_id END AS doi,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import ipaddress
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,27 @@ def collapsed(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(_col(c), BLANK, " "))
 
 
+#: 2 * 10**digits as powers of two, so chosen that all partial differences below are exact.
+_DOUBLED = {1: (16, 4), 2: (256, -64, 8), 3: (2048, -32, -16)}
+
+
+def python_round(c: str | Column, digits: int) -> Column:
+    """round(x, digits) of a double from 0 to 2**40 by its exact binary value, halves to the even digit.
+
+    Rounding by the decimal digits that a double prints goes wrong where they are a half and the
+    double is not. n / (2 * 10**digits) is the half above the lower candidate; x is on the side of it
+    that x * 2 * 10**digits - n says, a sum of exact products and differences.
+    """
+    x, scale = _col(c).cast("double"), 10**digits
+    low = F.floor(x * scale)
+    first, *others = _DOUBLED[digits]
+    side = x * first - (low * 2 + 1)
+    for power in others:
+        side = side + x * power
+    up = (side > 0) | (side == 0) & (low % 2 == 1)
+    return (low + up.cast("long")) / F.lit(float(scale))
+
+
 # identifiers (fixed values: the patterns by which identifiers are known)
 
 DOI = r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
@@ -81,12 +103,80 @@ def canonical_identifier(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(_col(c))), r"^(?:https://doi\.org/|doi:|arxiv:)", "")
 
 
+# Networks whose addresses are not reachable from everywhere, and those inside them that are.
+CLOSED_NETWORKS = (
+    "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.0.0/24 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 240.0.0.0/4 "
+    "::/128 ::1/128 ::ffff:0:0/96 64:ff9b:1::/48 100::/64 2001::/23 2001:db8::/32 2002::/16 3fff::/20 fc00::/7 fe80::/10"
+).split()
+OPEN_INSIDE = "192.0.0.9/32 192.0.0.10/32 2001:1::1/128 2001:1::2/128 2001:3::/32 2001:4:112::/48 2001:20::/28 2001:30::/28".split()
+LOCAL_NAMES = ("localhost", "localhost.localdomain")
+
+
+def _let(value: Column, then) -> Column:
+    """then(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def ipv4_digits(host: Column) -> Column:
+    """Eight hexadecimal digits of an IPv4 address; parts may be decimal, octal or hexadecimal, the last one fills what is left. Null if it is none."""
+    part = lambda x: F.when(x.rlike(r"^0x[0-9a-f]{1,8}$"), F.conv(F.substr(x, F.lit(3)), 16, 10)).when(x.rlike(r"^0[0-7]{0,11}$"), F.conv(x, 8, 10)).when(x.rlike(r"^[1-9]\d{0,9}$"), x).cast("long")
+
+    def joined(parts: Column) -> Column:
+        n, last = F.size(parts), F.element_at(parts, -1)
+        room = F.pow(F.lit(256.0), 5 - n).cast("long")
+        good = n.between(1, 4) & F.forall(F.slice(parts, 1, n - 1), lambda x: x <= 255) & (last < room)
+        value = F.aggregate(F.slice(parts, 1, n - 1), F.lit(0).cast("long"), lambda v, x: v * 256 + x) * room + last
+        return F.when(F.coalesce(good, F.lit(False)), F.lpad(F.lower(F.hex(value)), 8, "0"))
+
+    return _let(F.transform(F.slice(F.split(host, r"\."), 1, 5), part), joined)
+
+
+def ipv6_digits(host: Column) -> Column:
+    """32 hexadecimal digits of an IPv6 address (its last four bytes may be written as IPv4); null if it is none."""
+    groups = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+
+    def joined(sides: Column) -> Column:
+        left, right = groups(sides[0]), F.when(F.size(sides) == 2, groups(F.get(sides, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+        n = F.size(left) + F.size(right)
+        fits = F.when(F.size(sides) == 1, n == 8).otherwise((F.size(sides) == 2) & (n <= 7))
+        every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - n, F.lit(0))), right)
+        return F.when(fits, F.array_join(F.transform(every, lambda x: F.when(x.rlike("^[0-9a-f]{1,4}$"), F.lpad(x, 4, "0")).otherwise("?")), ""))
+
+    def plain(tail: Column) -> Column:
+        own = _let(F.when(~tail.rlike(r"(^|\.)0\d"), ipv4_digits(tail)), lambda d: F.concat(F.left(d, F.lit(4)), F.lit(":"), F.right(d, F.lit(4))))
+        return F.when(tail == "", host).otherwise(F.concat(F.regexp_replace(host, r"[^:]+$", ""), own))
+
+    whole = _let(F.regexp_extract(host, r":(\d+\.\d+\.\d+\.\d+)$", 1), plain)
+    return _let(_let(F.split(whole, "::"), joined), lambda digits: F.when(digits.rlike("^[0-9a-f]{32}$"), digits))
+
+
+def _inside(digits: Column, networks: list[str]) -> Column:
+    """Whether an address is in one of the networks: its digits lie between their first and last ones."""
+    ranges = [(f"{int(n[0]):0{n.max_prefixlen // 4}x}", f"{int(n[-1]):0{n.max_prefixlen // 4}x}") for n in map(ipaddress.ip_network, networks)]
+    table = F.array(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in sorted(ranges)])
+    return F.exists(table, lambda r: (F.length(r["low"]) == F.length(digits)) & digits.between(r["low"], r["high"]))
+
+
+def is_open_address(digits: Column) -> Column:
+    """Whether 8 or 32 digits are an address that can be reached from everywhere; an IPv4 address inside an IPv6 one counts itself."""
+    own = F.when(F.startswith(digits, F.lit("0" * 20 + "ffff")), F.right(digits, F.lit(8))).otherwise(digits)
+    return _let(own, lambda d: ~_inside(d, CLOSED_NETWORKS) | _inside(d, OPEN_INSIDE))
+
+
 def is_public_url(c: str | Column) -> Column:
-    """http(s), a host that is not local, and no credentials; addresses behind names need the network."""
-    host = F.lower(F.try_parse_url(_col(c), F.lit("HOST")))
-    good = _col(c).rlike(r"(?i)^https?://[^/?#@]+(?:[/?#]|$)") & host.isNotNull()
-    private = host.rlike(r"^(localhost|.*\.local|.*\.localhost|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2\d|3[01])\..*|0\..*|\[.*)$")
-    return F.coalesce(good & ~private, F.lit(False))
+    """http(s), no credentials, and a host that is no local name nor a closed address in any notation; addresses behind names need the network."""
+
+    def named(host: Column) -> Column:
+        name = (host != "") & ~host.isin(*LOCAL_NAMES) & ~host.rlike(r"\.local(host)?$") & ~host.rlike(r":|^[\d.]+$")
+        return _let(ipv4_digits(host), lambda four: F.when(four.isNotNull(), is_open_address(four)).otherwise(name))
+
+    def judged(authority: Column) -> Column:
+        literal = F.regexp_extract(authority, r"^\[([^\]%]*)(?:%25[^\]]+)?\](?::\d*)?$", 1)
+        host = F.rtrim(F.regexp_replace(authority, r":\d*$", ""), F.lit("."))
+        return F.when(F.startswith(authority, F.lit("[")), is_open_address(ipv6_digits(literal))).otherwise(_let(host, named))
+
+    authority = F.lower(F.regexp_extract(_col(c), r"(?i)^https?://([^/?#@\\\s]+)(?:[/?#]|$)", 1))
+    return F.coalesce(_let(authority, judged), F.lit(False))
 
 
 # texts

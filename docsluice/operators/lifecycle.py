@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import compatibility_key
@@ -101,9 +99,14 @@ def recovered(analyses: DataFrame) -> DataFrame:
     return analyses.withColumns({"error": F.when(lost, "The service restarted during the analysis.").otherwise(F.col("error")), "state": F.when(lost, "failed").otherwise(F.col("state"))})
 
 
+def over(now: Column) -> Column:
+    """Whether an analysis has ended and is past its expiry; one without a state or an expiry is not."""
+    return F.coalesce(F.col("state").isin(*TERMINAL) & (F.col("expires_at") <= now), F.lit(False))
+
+
 def retention(analyses: DataFrame, documents: DataFrame, resolutions: DataFrame, now: Column, hours: int = DOCUMENT_HOURS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What stays of each table: ended analyses go when expired, resolutions too, and old documents that no analysis needs."""
-    kept = analyses.where(~(F.col("state").isin(*TERMINAL) & (F.col("expires_at") <= now)) | F.col("expires_at").isNull())
+    kept = analyses.where(~over(now))
     fresh = resolutions.where(F.col("expires_at") > now)
     needed = documents.join(kept.select("document_id").where("document_id is not null").distinct(), "document_id", "left_semi")
     young = documents.where(F.col("created_at") > now - _hours(hours)).join(needed.select("document_id"), "document_id", "left_anti")
@@ -116,10 +119,23 @@ def progress_view(events: DataFrame) -> DataFrame:
     return last.groupBy("analysis_id").agg(F.count_if(F.col("state").isin("completed", "failed", "skipped")).alias("finished_modules"), F.sum("evidence_count").alias("evidence_total"))
 
 
-def cleanup_counts(**gone: DataFrame) -> DataFrame:
-    """(kind, n): how many rows of each kind a cleanup drops; kinds without any count 0."""
-    first, *others = [rows.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, rows in gone.items()]
-    return reduce(DataFrame.union, others, first)
+def cleanup_counts(analyses: DataFrame, documents: DataFrame, resolutions: DataFrame, now: Column, hours: int = DOCUMENT_HOURS) -> DataFrame:
+    """(kind, n): how many rows of each table a cleanup drops, from one scan of each.
+
+    Analyses are counted by their document, those that go and those that stay; documents meet these
+    counts, and both totals are taken from what comes of that.
+    """
+    held = analyses.groupBy("document_id").agg(F.count_if(over(now)).alias("_gone"), F.count_if(~over(now)).alias("_held"))
+    both = documents.select("document_id", (F.col("created_at") <= now - _hours(hours)).alias("_old")).join(held, "document_id", "full_outer")
+    totals = both.agg(F.coalesce(F.sum("_gone"), F.lit(0)).alias("analyses"), F.count_if(F.col("_old") & (F.coalesce("_held", F.lit(0)) == 0)).alias("documents"))
+    stale = resolutions.agg(F.count_if(F.col("expires_at") <= now).alias("n")).select(F.lit("resolutions").alias("kind"), "n")
+    return totals.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in ("analyses", "documents"))))).union(stale)
+
+
+def observed(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """rows, and counters that are filled by whatever job reads them: no scan of their own."""
+    seen = Observation(name)
+    return rows.observe(seen, *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items())), seen
 
 
 def deletions(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

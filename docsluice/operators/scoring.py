@@ -7,12 +7,11 @@ dimensions are a few rows, which Spark broadcasts while they are below its thres
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..dims import GRADE_SCORES, LEVELS, PROVISIONAL_BELOW, SOURCE_QUALITY, mapped
+from ..functions.scalars import python_round
 
 
 def allows(actual: str | Column, least: str | Column) -> Column:
@@ -91,16 +90,16 @@ def status_banners(context: DataFrame) -> DataFrame:
 def confidence(runs: DataFrame) -> DataFrame:
     """runs(paper_id, coverage, modules_ok, modules_eligible, grounded, attempts, source_format) with the confidence score and its parts.
 
-    coverage is the weighted one; the parts are rounded to three digits before they are weighted, and
-    weighted as decimals, so that a half does not depend on the order of the sum.
+    coverage is the weighted one; the parts are rounded to three digits, weighted as doubles in this
+    order, and the sum is rounded by its binary value.
     """
-    part = F.bround(F.when(F.col("modules_eligible") > 0, F.col("modules_ok") / F.col("modules_eligible")).otherwise(0.0), 3)
-    rate = F.bround(F.when(F.col("attempts") > 0, F.col("grounded") / F.col("attempts")).otherwise(0.0), 3)
+    part = python_round(F.when(F.col("modules_eligible") > 0, F.col("modules_ok") / F.col("modules_eligible")).otherwise(0.0), 3)
+    rate = python_round(F.when(F.col("attempts") > 0, F.col("grounded") / F.col("attempts")).otherwise(0.0), 3)
     quality = F.coalesce(mapped("source_format", SOURCE_QUALITY), F.lit(SOURCE_QUALITY["metadata"]))
-    weighted = sum((F.lit(Decimal(w)) * c.cast("decimal(10,3)") for w, c in (("25", part), ("25", rate), ("15", quality))), F.lit(Decimal("35")) * F.col("coverage").cast("decimal(10,3)"))
+    weighted = (F.lit(0.35) * F.col("coverage") + F.lit(0.25) * part + F.lit(0.25) * rate + F.lit(0.15) * quality) * 100
     return runs.select(
         "paper_id", part.alias("module_coverage"), rate.alias("grounding_rate"), quality.alias("source_quality"),
-        (F.col("attempts") - F.col("grounded")).alias("unsupported_attempts"), F.bround(weighted, 1).cast("double").alias("confidence_score"),
+        (F.col("attempts") - F.col("grounded")).alias("unsupported_attempts"), python_round(weighted, 1).alias("confidence_score"),
     )
 
 
