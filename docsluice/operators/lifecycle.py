@@ -170,14 +170,16 @@ def documents_after(documents: DataFrame, analyses: DataFrame) -> DataFrame:
     return documents.join(done, "document_id", "left_anti")
 
 
-def reusable(requests: DataFrame, reports: DataFrame, settings: list[str], now: Column) -> DataFrame:
+def reusable(requests: DataFrame, reports: DataFrame, settings: list[str] | None, now: Column) -> DataFrame:
     """requests(request_id, caller, settings...) with the compatible report to reuse: the caller's latest, else the latest public one with an identifier.
 
     The latest report of each key and owner, and the latest public one of each key, are found
-    first; a request then meets one row of either, so a common key makes no pairs.
+    first; a request then meets one row of either, so a common key makes no pairs. Without settings
+    both tables have their digest as _key; bucketed by it, they are joined where they lie.
     """
-    asked = requests.withColumn("_key", compatibility_key(settings)).select("request_id", "caller", "_key")
-    live = reports.where((F.col("state") == "completed") & (F.col("expires_at") > now)).withColumn("_key", compatibility_key(settings))
+    keyed = lambda rows: rows if settings is None else rows.withColumn("_key", compatibility_key(settings))
+    asked = keyed(requests).select("request_id", "caller", "_key")
+    live = keyed(reports.where((F.col("state") == "completed") & (F.col("expires_at") > now)))
     latest = F.max(F.struct("updated_at", "analysis_id"))["analysis_id"]
     own = live.where("owner is not null").groupBy("_key", F.col("owner").alias("caller")).agg(latest.alias("_own"))
     public = F.col("published_at").isNotNull() & F.col("public_slug").isNotNull() & (F.coalesce("doi", "arxiv_id", "pmid", "pmcid").isNotNull())
