@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -27,6 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
 
 
+def at_exit(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder when the program ends, for what a result that is still to be read needs until then."""
+    context = spark.sparkContext
+    path, conf = context._jvm.org.apache.hadoop.fs.Path(folder), context._jsc.hadoopConfiguration()
+
+    def delete() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            path.getFileSystem(conf).delete(path, True)
+
+    atexit.register(delete)
+
+
 def dropped(spark: SparkSession, folder: str) -> None:
     """Deletes a folder that shared_folder holds."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -44,10 +58,16 @@ def sheltered(docs: DataFrame, read: tuple[str, ...]) -> tuple[DataFrame, list[C
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows in files of the shared folder: cuts the lineage and survives a lost executor."""
+    """The rows in files of the shared folder: cuts the lineage and survives a lost executor.
+
+    Where no folder is set, the session gets one of its own: the files of a frame go when nothing
+    refers to it any more, and the folder goes when the program ends.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext._jsc.sc().conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        at_exit(spark, spark.sparkContext.getCheckpointDir())
     before = spark.conf.get(CLEAN_UP)
     spark.conf.set(CLEAN_UP, "true")
     try:  # the frame takes the setting over when it is made

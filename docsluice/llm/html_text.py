@@ -68,18 +68,42 @@ class Builder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("html")
+        self.root = Node("html")
+        #: The open elements, the root first, and at which places of that list each tag is.
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+        self.blocks = [0]
+        self.body = False
+
+    @property
+    def at(self) -> Node:
+        return self.open[-1]
+
+    def _last(self, tags: frozenset) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _opened(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        if node.tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append(node)
+
+    def _closed(self, place: int) -> None:
+        """Ends the element at this place and all that are open in it; the root stays."""
+        while len(self.open) > max(place, 1):
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
 
     def _end(self, tags: frozenset, fences: frozenset) -> None:
-        n = self.at
-        while n is not None and n.tag not in fences:
-            if n.tag in tags:
-                self.at = n.parent or self.root
-                return
-            n = n.parent
+        """Ends the innermost open element of these tags, unless a fence is open inside of it."""
+        place = self._last(tags)
+        if place > self._last(fences):
+            self._closed(place)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "html" or tag == "body" and any(isinstance(c, Node) and c.tag == "body" for c in self.root.children):
+        if tag == "html" or tag == "body" and self.body:
             return
         if tag in CLOSES:
             for _ in range(2):
@@ -91,25 +115,21 @@ class Builder(HTMLParser):
             marks += " hidden"
         node = Node(tag, marks, self.at)
         self.at.children.append(node)
+        self.body |= tag == "body" and node.parent is self.root
         if tag not in VOID:
-            self.at = node
+            self._opened(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag:
-            self.at = self.at.parent or self.root
+            self._closed(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID or tag in ("html", "body"):
             return
-        n = self.at
-        while n.parent is not None:
-            if n.tag == tag:
-                self.at = n.parent
-                return
-            if tag not in BLOCKS and n.tag in BLOCKS:
-                return  # an inline end tag doesn't end a block
-            n = n.parent
+        place = self._last(frozenset((tag,)))
+        if place > 0 and (tag in BLOCKS or place > self.blocks[-1]):  # an inline end tag doesn't end a block
+            self._closed(place)
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .frames import kept, table
+from .frames import kept, sheltered, table
 
 REPETITION_LIMIT = 1.5
 BLOCK_WORDS = 100_000
@@ -91,8 +91,9 @@ def mixed(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, ta
     last = _joined(dealt.select("s", "h", "n", "block"), edge, sources, ["s", "block"]).withColumn("upto", F.sum("n").over(inside)).where(F.col("upto") <= F.col("left")).groupBy("s").agg(F.max("h").alias("last"))
     cuts = kept(plan.join(edge.select("s", "key", F.col("block").alias("edge")), "s", "left").join(last, "s", "left").select(F.col("s").alias("_s"), "passes", F.col("blocks").alias("_blocks"), F.col("key").alias("_key"), F.col("edge").alias("_edge"), F.col("last").alias("_last")))
 
-    own = [c for c in docs.columns if c.lower() not in ADDED]
-    named = docs.select(*own, source.alias("_s"), _hash("doc_id").alias("_h"))
+    inner, columns = sheltered(docs, ("doc_id", "text", "source"))  # no column of docs is named as one of the plan
+    own = [c for name, c in zip(docs.columns, columns) if name.lower() not in ADDED]
+    named = inner.select("*", source.alias("_s"), _hash("doc_id").alias("_h"))
     chosen = _joined(named, cuts, sources, ["_s"]).withColumn("_block", F.pmod("_h", "_blocks")).withColumn("_own", _hash(F.lit("block"), "_s", "_block"))
     before = (F.col("_own") < F.col("_key")) | ((F.col("_own") == F.col("_key")) & (F.col("_block") < F.col("_edge")))
     extra = F.coalesce(before | ((F.col("_block") == F.col("_edge")) & (F.col("_h") <= F.col("_last"))), F.lit(False))

@@ -71,7 +71,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 new = np.ones(len(owner), dtype=bool)
                 new[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1])
                 n = np.diff(np.append(np.flatnonzero(new), len(new)))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(owner[new])), pa.array(anchor[new].view(np.int64)), pa.array(n)], ["doc_id", "anchor", "windows"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(c).take(pa.array(owner[new])) for c in ("doc_id", "text_key")), pa.array(anchor[new].view(np.int64)), pa.array(n)], ["doc_id", "text_key", "anchor", "windows"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,14 +237,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     docs(doc_id, text_key, text), doc_id not null; spans of different shards may overlap.
     """
-    anchors = docs.select("doc_id", "text").mapInArrow(_anchors, "doc_id long, anchor long, windows long")
+    anchors = docs.select("doc_id", "text_key", "text").mapInArrow(_anchors, "doc_id long, text_key long, anchor long, windows long")
     sets = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("all"), F.sum("windows").alias("windows"))
     sets = sets.where("lo < hi").select("anchor", "n", "windows", F.xxhash64("n", "lo", "hi", "all").alias("shard"))
     # a run of windows has 49 words more; each of the shard's documents has a run at least
     sizes = sets.groupBy("shard").agg(F.ceil((F.sum("windows") + (WINDOW - 1) * F.max("n")) / SHARD_WORDS).cast("int").alias("parts"))
     sets = sets.join(sizes, "shard").select("anchor", "shard", "parts")
-    listed = anchors.join(sets, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shard", "parts")).alias("shards"))
-    runs = kept(docs.join(listed, "doc_id").select("doc_id", "text_key", "text", "shards").mapInArrow(_runs, "shard long, parts int, doc_id long, text_key long, start int, n long, words binary"))
+    # a row gets the anchors of its own text, each once, however many rows have its doc_id
+    listed = anchors.join(sets, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("anchor", "shard", "parts")).alias("shards"))
+    runs = kept(docs.join(listed, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "shards").mapInArrow(_runs, "shard long, parts int, doc_id long, text_key long, start int, n long, words binary"))
     columns = ["shard", "block", "part", "role", "doc_id", "text_key", "start", "words"]
     plain = runs.where("parts = 1").withColumns({"block": F.lit(0), "part": F.lit(0), "role": F.lit(0)}).select(columns)
     wide = runs.where("parts > 1")

@@ -13,7 +13,7 @@ is fitted on labelled rows that the lexicon has not seen. A small base lexicon s
 say nothing.
 
 Defined cases: null counts as empty; an empty text has the curve's value at zero; rows that repeat a
-doc_id are scored alike; a doc_id with both labels teaches nothing; without usable labels the base
+doc_id are scored alike, and teach as one of them; a doc_id with both labels teaches nothing; without usable labels the base
 lexicon and a fixed curve are used; other columns of the input pass through, but for those that are
 named as one of the added.
 """
@@ -21,6 +21,7 @@ named as one of the added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .frames import table
 from .words import slices
 
-#: Labelled rows that are used at most, entries that are kept at most, and toxic texts that an entry needs.
-LABELLED, ENTRIES, SUPPORT = 12_000, 4_096, 3
+#: Labelled rows that are used at most, and toxic texts that an entry needs.
+LABELLED, SUPPORT = 12_000, 3
 LEAST_WEIGHT, CUT = 1.0, 0.5
 #: The log-likelihood ratio that an entry needs (6.6: one in a hundred by chance). This, LEAST_WEIGHT and SUPPORT
 #: have the fewest errors of 48 settings in cross-validation over the four training folds of sf0.01 and sf0.1.
@@ -101,7 +102,8 @@ class Lexicon:
                 start = end - size
                 if weight > best.get(start, 0.0):
                     best[start] = weight
-        hits = [w for start, w in best.items() if not any(a <= start < b for a, b in excused)]
+        begins, ends = merged(excused)
+        hits = [w for start, w in best.items() if not begins or not (k := bisect_right(begins, start)) or start >= ends[k - 1]]
         return float(sum(hits)), len(hits), len(words)
 
     def score(self, weight: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -109,6 +111,19 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(a + features(weight, words) @ np.array([b, c]), -30, 30)))
 
 
+def merged(ranges: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Begins and ends of the ranges' union, in order."""
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(ranges):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
+    return begins, ends
+
+
 def features(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Weight a hundred words (a text of under 20 words counts as 20), and the weight itself, both on a log scale."""
     rate = 100 * weight / np.maximum(words, 20)
@@ -143,14 +158,18 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, y, pick) of at most about `most` labelled rows outside the held-out fold; pick is uniform in [0, 1000)."""
+    """(doc_id, text, y, pick) of at most about `most` labelled documents outside the held-out fold; pick is uniform in [0, 1000).
+
+    Of the rows that repeat a doc_id one is taken, of the least text, so the bound holds for rows too.
+    """
     pick = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(label)), F.lit(1_000_000))
     usable = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_high")).where("y = _high").drop("_high")
     n = usable.count()
     chosen = usable.where(pick < 1_000_000 * most / max(n, most)).withColumn("pick", F.pmod(pick, F.lit(1000)))
     # about `most` rows of three numbers
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", "y", "pick").agg(F.min("text").alias("text")).select("doc_id", "text", "y", "pick")
 
 
 def likelihood_ratio(a: np.ndarray, b: np.ndarray, n: float, m: float) -> np.ndarray:
@@ -204,7 +223,6 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED, label: str =
         for _, e, b in order:  # a longer entry is kept where it says more than its own beginnings
             if all(b > weights[e[:k]] + 0.5 for k in PREFIXES if e[:k] in weights):
                 weights[e] = float(b)
-        weights = dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:ENTRIES])
     lexicon = Lexicon({**BASE, **weights})
     measured = measured_texts(rows.where("pick >= 667").select("y", "text"), lexicon).select("y", "weight", "words").toPandas()
     if len(measured) >= 50 and 0 < measured.y.sum() < len(measured):
