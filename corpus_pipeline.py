@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsluice.llm.bpe import bpe_encode, default_tokenizer
-from docsluice.llm.frames import dropped, shared_folder, sheltered, table
+from docsluice.llm.frames import at_exit, dropped, shared_folder, sheltered, table
 from docsluice.llm.mixing import mixed
 from docsluice.llm.ngram_join import one_of_each
 from docsluice.llm.substring_dedup import substring_dedup
@@ -66,12 +66,20 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written as Parquet and read by the next, and go when it is done."""
+    """All stages over documents; each stage's rows are written as Parquet and read by the next, and go when it is done.
+
+    What the last stage has written is read by the result, and goes when the program ends; after a failure nothing stays.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-        if k:
-            dropped(spark, f"{folder}/{k - 1}")
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+            if k:
+                dropped(spark, f"{folder}/{k - 1}")
+    except Exception:
+        dropped(spark, folder)
+        raise
+    at_exit(spark, folder)
     return docs
