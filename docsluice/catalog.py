@@ -306,20 +306,14 @@ quotes AS (
   UNION ALL SELECT doc_id, 2 + item_id, text FROM pairs JOIN benchmark USING (item_id))"""
 
 
-def word_runs(rows: DataFrame, key: str, n: int = 8) -> DataFrame:
-    """(key, run): the distinct runs of n words of each row's text, by their hashes."""
-    words = rows.select(key, F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).where(F.size("w") >= n)
-    return words.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), " "))))).alias("run"))
-
-
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     at = (F.col("doc_id") * 7919 % F.greatest(F.lit(1), F.length("text") - 60) + 1).cast("int")
     part = lambda n: F.trim(F.substring("text", at, F.lit(n)))
     exact = d.select(F.col("doc_id").alias("paper_id"), F.lit(0).cast("long").alias("q"), F.concat(F.lit("“"), part(40), F.lit("” ")).alias("quote"))
     loose = d.select("doc_id", F.lit(1).cast("long"), F.regexp_replace(part(60), r"\s+", "\n  "))
-    pairs = word_runs(d, "doc_id").join(word_runs(b, "item_id"), "run").select("doc_id", "item_id").distinct()
-    passages = pairs.join(b, "item_id").select("doc_id", F.col("item_id").cast("long") + 2, "text")
+    pairs = grounding.shared_passages(d.select(F.col("doc_id").alias("paper_id"), "text"), b.select(F.col("item_id").alias("passage_id"), "text"))
+    passages = pairs.join(b, F.col("item_id") == F.col("passage_id")).select("paper_id", F.col("item_id").cast("long") + 2, b["text"])
     return exact.union(loose).union(passages)
 
 

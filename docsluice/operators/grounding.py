@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..dims import REVIEWER_CHARS, SEVERITY, mapped
 from ..functions.scalars import evidence_id, finding_id, quote_key, title_case, unfenced
 
 MAX_QUOTES, OBSERVATION_CHARS, QUOTE_CHARS, SHOWN_QUOTES, FLEXIBLE_CHARS = 8, 500, 280, 2, 1200
+#: Characters of passages that are sent to the tasks at once.
+PASSAGE_BYTES = 4_000_000
 STATES, GRADES = ("observed", "not_found", "ambiguous"), tuple(SEVERITY)
 # What notes and findings say where the model's answer does not hold.
 UNGROUNDED = "The worker returned an observation, but its quote did not match the normalized paper exactly."
@@ -43,6 +51,84 @@ def ground(papers: DataFrame, quotes: DataFrame) -> DataFrame:
     return found.withColumn("start", start).withColumn("end", start + F.length("grounded")).drop("text")
 
 
+class Passages:
+    """All runs of n words of a block of passages, found in texts by a sum over word hashes and then compared word by word."""
+
+    def __init__(self, block: list[tuple[int, str]], n: int):
+        self.n, self.block = n, block
+        self._runs: dict[int, list[tuple[int, list[bytes]]]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_runs": None}  # hashes of words hold in one process only
+
+    def sums(self, words: list[bytes]) -> np.ndarray:
+        hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        out = hashes[: len(words) - self.n + 1].copy()
+        for k in range(1, self.n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(out) + k]
+        return out
+
+    @property
+    def runs(self) -> dict[int, list[tuple[int, list[bytes]]]]:
+        if self._runs is None:
+            self._runs = {}
+            for number, text in self.block:
+                words = text.encode().split()
+                if len(words) >= self.n:
+                    for at, h in enumerate(self.sums(words).tolist()):
+                        self._runs.setdefault(h, []).append((number, words[at : at + self.n]))
+            self.known = np.sort(np.fromiter(self._runs, np.uint64, len(self._runs)))
+        return self._runs
+
+    def found(self, text: str) -> dict[int, int]:
+        """Passage to the place (in words) of its first run in the text."""
+        words, runs = text.encode().split(), self.runs
+        if len(words) < self.n or not runs:
+            return {}
+        sums = self.sums(words)
+        near = self.known[np.minimum(np.searchsorted(self.known, sums), len(self.known) - 1)] == sums
+        out: dict[int, int] = {}
+        for at in np.flatnonzero(near).tolist():
+            for number, run in runs[int(sums[at])]:
+                if number not in out and run == words[at : at + self.n]:
+                    out[number] = at
+        return out
+
+
+def shared_passages(papers: DataFrame, passages: DataFrame, n: int = 8, limit: int = PASSAGE_BYTES) -> DataFrame:
+    """(paper_id, passage_id, at): pairs of a text and a passage that share n words in a row, with the first such place in the text.
+
+    papers(paper_id, text) are read once for each block of passages(passage_id, text); nothing is
+    shuffled. White space parts words.
+    """
+    kind, key = (t.schema[c].dataType.simpleString() for t, c in ((papers, "paper_id"), (passages, "passage_id")))
+    spark, parts, arrow_key = papers.sparkSession, [], to_arrow_type(passages.schema["passage_id"].dataType)
+
+    def search(block: list[tuple]) -> DataFrame:
+        ids = [p for p, _ in block]
+        shared = spark.sparkContext.broadcast(Passages([(i, t) for i, (_, t) in enumerate(block)], n))  # about `limit` characters
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = shared.value
+            for batch in batches:
+                hits = [(r, i, at) for r, text in enumerate(batch.column("text").to_pylist()) for i, at in finder.found(text or "").items()]
+                if hits:
+                    rows, numbers, at = zip(*hits)
+                    yield pa.RecordBatch.from_arrays([batch.column("paper_id").take(pa.array(rows)), pa.array([ids[i] for i in numbers], arrow_key), pa.array(at, pa.int32())], ["paper_id", "passage_id", "at"])
+
+        return papers.select("paper_id", "text").mapInArrow(run, f"paper_id {kind}, passage_id {key}, at int")
+
+    block, size = [], 0
+    for r in passages.select("passage_id", "text").where("passage_id is not null and text is not null").toLocalIterator(prefetchPartitions=False):
+        block.append((r[0], r[1]))
+        size += len(r[1])
+        if size >= limit:
+            parts.append(search(block))
+            block, size = [], 0
+    parts.append(search(block))
+    return reduce(DataFrame.union, parts)
+
+
 def quote_audit(papers: DataFrame, quotes: DataFrame) -> DataFrame:
     """Per paper: displayed quotes checked, and those that the normalised text does not hold."""
     rows = quotes.join(papers.select("paper_id", quote_key("text").alias("_key")), "paper_id")

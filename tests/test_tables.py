@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsluice.functions import scalars, tables
-from docsluice.operators import lifecycle, text
+from docsluice.operators import grounding, lifecycle, text
 from docsluice.sources import document_store
 
 SCHEMA = "object_key string, title string, text string, parts array<struct<n:int,s:string>>"
@@ -131,3 +131,57 @@ def test_cleanup_reads_each_table_once(spark):
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3
     seen_rows, seen = lifecycle.observed(a, "gone", gone=lifecycle.over(now), all=F.lit(True))
     assert seen_rows.where("analysis_id > 3").count() == 4 and seen.get == {"gone": 3, "all": 7}
+
+
+def documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("paper_id"), "text")
+
+
+@pytest.mark.parametrize("limit", [text.TERM_BYTES, 20_000])
+def test_ten_thousand_terms_in_one_pass(spark, limit, monkeypatch):
+    monkeypatch.setattr(text, "TERM_BYTES", limit)
+    monkeypatch.setattr(text.term_blocks, "__defaults__", (limit,))
+    r = random.Random(2)
+    docs = documents(spark)
+    rows = [(d, (t or "").lower()) for d, t in docs.collect()]
+    terms = {"aa", "aaa", "e", "é"}
+    while len(terms) < 10_000:
+        _, t = r.choice(rows)
+        at = r.randrange(max(1, len(t)))
+        terms.add(t[at : at + r.randrange(1, 12)])
+    terms.discard("")
+    listed = [(f"m{k % 7}", t) for k, t in enumerate(sorted(terms))]
+    chunks = docs.where("paper_id % 10 = 0").select("paper_id", F.lit(1).alias("idx"), F.lit("").alias("section"), "text")
+    scored = text.route_scores(chunks, spark.createDataFrame(listed + [("empty", ""), (None, "x")], "module_key string, term string")).collect()
+    want = {}
+    for d, t in rows:
+        if d % 10 == 0:
+            for m, term in listed:
+                if n := ("\n" + t).count(term):
+                    want[d, m] = want.get((d, m), 0) + n
+    assert {(x.paper_id, x.module_key): x.score for x in scored} == want
+
+
+def test_terms_in_titles_and_first_chunks(spark):
+    chunks = spark.createDataFrame([(1, 0, "Data Use", "data data use"), (1, 1, None, "aaa Data"), (2, 0, "", ""), (3, 1, "x", None)], "paper_id long, idx int, section string, text string")
+    got = text.route_scores(chunks, {"m": ["data", "aa"], "n": [], "o": ["Data", "data"]}).collect()
+    assert {(x.paper_id, x.idx, x.module_key): x.score for x in got} == {(1, 0, "m"): 6, (1, 0, "n"): 2, (1, 0, "o"): 10, (1, 1, "m"): 2, (1, 1, "o"): 2, (2, 0, "m"): 2, (2, 0, "n"): 2, (2, 0, "o"): 2}
+
+
+@pytest.mark.parametrize("limit", [grounding.PASSAGE_BYTES, 300])
+def test_passages_without_a_known_paper(spark, limit):
+    r = random.Random(6)
+    word = lambda: r.choice(["a", "b", "é", "dd"])
+    passages = [(i, " ".join(word() for _ in range(r.randrange(0, 14)))) for i in range(40)] + [(99, None), (None, "a " * 20), (41, "a " * 30)]
+    papers = [(i, "\n ".join(word() for _ in range(r.randrange(0, 400)))) for i in range(30)] + [(50, None), (51, ""), (None, "a " * 9)]
+    got = grounding.shared_passages(spark.createDataFrame(papers, "paper_id long, text string"), spark.createDataFrame(passages, "passage_id int, text string"), limit=limit).collect()
+    runs = lambda t: [tuple((t or "").split()[i : i + 8]) for i in range(len((t or "").split()) - 7)]
+    want = []
+    for d, t in papers:
+        own = runs(t)
+        for p, q in passages:
+            if p is not None and (both := set(own) & set(runs(q))):
+                want.append((d, p, min(own.index(x) for x in both)))
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 20
+    empty = spark.createDataFrame([], "passage_id int, text string")
+    assert grounding.shared_passages(documents(spark), empty).count() == 0
