@@ -171,7 +171,7 @@ def test_terms_in_titles_and_first_chunks(spark):
 @pytest.mark.parametrize("limit", [grounding.PASSAGE_BYTES, 300])
 def test_passages_without_a_known_paper(spark, limit):
     r = random.Random(6)
-    word = lambda: r.choice(["a", "b", "é", "dd"])
+    word = lambda: r.choice(["a", "é"])
     passages = [(i, " ".join(word() for _ in range(r.randrange(0, 14)))) for i in range(40)] + [(99, None), (None, "a " * 20), (41, "a " * 30)]
     papers = [(i, "\n ".join(word() for _ in range(r.randrange(0, 400)))) for i in range(30)] + [(50, None), (51, ""), (None, "a " * 9)]
     got = grounding.shared_passages(spark.createDataFrame(papers, "paper_id long, text string"), spark.createDataFrame(passages, "passage_id int, text string"), limit=limit).collect()
