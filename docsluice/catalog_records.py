@@ -13,6 +13,7 @@ from . import dims
 from .catalog import ANALYSES_SQL, CHUNKS_SQL, PAPERS_SQL, QUERIES, ROUTE_SQL, TERMS, THEN, analyses, findings, papers, query, table, texts
 from .functions import scalars as S
 from .operators import grounding, lifecycle, reporting, resolution, text, validate
+from .plans import resolver
 from .sources import articles, stores
 
 
@@ -362,6 +363,47 @@ def publisher_dois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(looked, "item", "left").select("id", F.coalesce("doi", "_doi").alias("doi"))
 
 
+@query("""WITH c AS (SELECT *, c_custkey AS k, c_custkey % 8 AS m FROM customer),
+d AS (SELECT *, CASE m WHEN 0 THEN '10.1000/c' || k WHEN 5 THEN '10.1000/q' || k WHEN 6 THEN CASE WHEN c_nationkey % 3 = 0 THEN '10.1000/c' || k END END AS doi, CASE WHEN m = 7 THEN 'Enter a DOI, arXiv ID, PMID, PMCID, or absolute scholarly URL'
+  WHEN m = 6 AND c_nationkey % 3 = 2 THEN 'The publisher page did not expose a canonical paper record. Enter its DOI, PMID, or PMCID instead.' END AS refused FROM c),
+e AS (SELECT *, doi IS NOT NULL AND c_nationkey % 2 = 0 AS work, doi IS NOT NULL AND c_nationkey % 5 > 0 AS free, CASE WHEN doi IS NOT NULL AND c_nationkey % 4 = 0 OR m = 1 THEN 'PMC' || k WHEN m = 2 AND c_nationkey % 4 = 0 THEN 'PMC' || k END AS pmcid FROM d),
+f AS (SELECT *, m = 4 OR m = 6 AND c_nationkey % 3 = 1 AS own FROM e)
+SELECT k AS request_id, CASE WHEN refused IS NOT NULL THEN 'refused' WHEN doi IS NOT NULL THEN 'doi' WHEN m IN (1, 2) THEN 'ncbi' WHEN m = 3 THEN 'arxiv' WHEN m = 4 THEN 'pdf' ELSE 'page' END AS route, refused, doi,
+ CASE WHEN m = 2 THEN (30000000 + k)::VARCHAR WHEN doi IS NOT NULL AND pmcid IS NOT NULL THEN (30000000 + k)::VARCHAR END AS pmid, pmcid, CASE WHEN m = 3 THEN '2001.' || lpad((k % 100000)::VARCHAR, 5, '0') END AS arxiv_id,
+ CASE WHEN work THEN 'On ' || c_name WHEN m = 2 THEN 'For ' || c_mktsegment WHEN m = 3 AND c_nationkey % 2 = 0 THEN 'At ' || c_name WHEN m = 6 AND c_nationkey % 3 = 1 THEN 'By ' || c_name END AS title,
+ CASE WHEN refused IS NOT NULL THEN NULL ELSE work AND c_nationkey % 6 = 0 END AS retracted,
+ CASE WHEN refused IS NOT NULL THEN NULL WHEN doi IS NOT NULL AND NOT work THEN 'Crossref metadata unavailable.' WHEN m = 3 AND c_nationkey % 2 = 1 THEN 'arXiv metadata unavailable.' ELSE '' END AS limitations,
+ CASE WHEN refused IS NOT NULL THEN NULL WHEN free OR pmcid IS NOT NULL OR own OR m = 3 AND c_nationkey % 2 = 0 THEN 'full_text' ELSE 'metadata' END AS content_level,
+ CASE WHEN refused IS NULL THEN concat_ws('|', CASE WHEN free THEN '10 https://r.org/p' || k || '.pdf' END, CASE WHEN pmcid IS NOT NULL THEN '25 https://pmc.ncbi.nlm.nih.gov/api/oai/v1/mh/?verb=GetRecord&identifier=oai:pubmedcentral.nih.gov:' || k || '&metadataPrefix=pmc|26 https://pmc.ncbi.nlm.nih.gov/articles/PMC' || k || '/' END,
+  CASE WHEN m = 3 AND c_nationkey % 2 = 0 THEN '30 https://arxiv.org/pdf/2001.' || lpad((k % 100000)::VARCHAR, 5, '0') END, CASE WHEN free THEN '35 https://r.org/a' || k || '.pdf' END, CASE WHEN m = 4 THEN '40 https://journal.org/x/' || k || '.PDF' WHEN own THEN '40 https://journal.org/f/' || k END) END AS candidates FROM f""")
+def resolved_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer asks for a paper, in one of eight ways; providers know some of them."""
+    c = table(spark, sf_dir, "customer")
+    k, nation, kind = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_custkey") % 8
+    text_of = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    preprint, page = text_of("2001.", F.lpad((k % 100000).cast("string"), 5, "0")), text_of("https://journal.org/y/", k)
+    pmid = (k + 30000000).cast("string")
+    raw = [text_of("https://doi.org/10.1000/C", k), text_of(" pmc", k), pmid, text_of("arXiv:", preprint, "v2"), text_of("https://journal.org/x/", k, ".PDF"), text_of("https://www.sciencedirect.com/science/article/pii/S", k), page, text_of("paper no. ", k)]
+    doi = F.when(kind == 5, text_of("10.1000/q", k)).otherwise(text_of("10.1000/c", k))
+    work = F.struct(F.array(text_of("On ", F.col("c_name"))).alias("title"), F.when(nation % 6 == 0, F.array(F.create_map(F.lit("type"), F.lit("Retraction")))).alias("update-to"))
+    location = lambda at, version: F.struct(text_of(f"https://r.org/{at}", k, ".pdf").alias("url_for_pdf"), F.lit(version).cast("string").alias("version"))
+    record = F.struct(F.when(kind != 1, pmid).alias("pmid"), F.when((nation % 4 == 0) | (kind == 1), text_of("PMC", k)).alias("pmcid"))
+    html = F.when(nation % 3 == 0, text_of('<meta name="citation_doi" content="10.1000/C', k, '">')).when(nation % 3 == 1, text_of('<meta name="citation_title" content="By ', F.col("c_name"), '"><meta name="citation_pdf_url" content="/f/', k, '">')).otherwise("<p>Nothing.</p>")
+    payload = lambda value: F.to_json(F.struct(value)).alias("payload")
+    answers = resolver.Answers(
+        crossref=c.select(doi.alias("doi"), F.when(nation % 2 == 0, payload(work.alias("message"))).otherwise("no JSON").alias("payload")),
+        unpaywall=c.where(nation % 5 > 0).select(doi.alias("doi"), payload(F.array(location("a", None), location("p", "publishedVersion")).alias("oa_locations"))),
+        ncbi=c.select(F.when(kind == 1, text_of("PMC", k)).when(kind == 2, pmid).otherwise(doi).alias("asked"), payload(F.array(record).alias("records"))),
+        pubmed=c.select(pmid.alias("pmid"), text_of("<S><PubmedArticle><ArticleTitle>For ", F.col("c_mktsegment"), "</ArticleTitle></PubmedArticle></S>").alias("xml")),
+        arxiv=c.where(kind == 3).select(preprint.alias("arxiv_id"), F.when(nation % 2 == 0, text_of("<feed><entry><title>At ", F.col("c_name"), "</title></entry></feed>")).otherwise("<feed/>").alias("xml")),
+        publisher=c.select(text_of("S", k).alias("item"), payload(F.struct(F.struct(text_of("10.1000/Q", k).alias("prism:doi")).alias("coredata")).alias("full-text-retrieval-response"))),
+        pages=c.select(page.alias("url"), html.alias("html")),
+    )
+    rows = resolver.resolved(c.select(k.alias("request_id"), F.element_at(F.array(*raw), (kind + 1).cast("int")).alias("raw")), answers)
+    listed = F.array_join(F.transform("candidates", lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["url"])), "|")
+    return rows.select("request_id", "route", "refused", "doi", "pmid", "pmcid", "arxiv_id", "title", "retracted", F.array_join("limitations", "|").alias("limitations"), "content_level", listed.alias("candidates"))
+
+
 @query("""SELECT o_orderkey AS paper_id, o_orderkey % 5 IN (1, 2) AS repaired, k::INT AS pos, (['claim_strength', 'generalization'])[k + 1] AS rubric_item, (['minor_concern', 'not_assessed'])[k + 1] AS grade, 1 - k::INT AS n_ids FROM orders, UNNEST(range(2)) AS u(k) WHERE o_orderkey % 5 < 3""")
 def reviewer_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first answer that keeps the contract: an unknown grade or field, or a missing one, breaks it as a whole."""

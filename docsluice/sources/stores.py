@@ -75,10 +75,6 @@ def pdf_files(spark: SparkSession, path: str, most: int = 25 * 1024 * 1024) -> D
     return files.select("path", "length", fault.alias("fault"))
 
 
-def jdbc_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
-
-
 def migrated_analyses(rows: DataFrame) -> DataFrame:
     """Rows of older versions: owner and mode out of the request's JSON, publication columns."""
     out = rows
