@@ -222,7 +222,7 @@ def test_candidates(spark):
     failed = spark.createDataFrame([("r", 0, first), ("r", 1, "zz")], "resolution_id string, pos int, id string")
     used = rows.where("format = 'jats'").select("resolution_id", "id", F.lit("").alias("abstract"))
     w = sorted(tuple(r[1:]) for r in resolution.fallback_warnings(used, failed, rows).collect())
-    assert w == [(0, True, "PDF · Unpaywall · publishedVersion could not be used; analysis used JATS · PMC instead."), (1, False, None)]
+    assert w == [(0, True, "PDF · Unpaywall · publishedVersion could not be used; analysis used JATS · PMC · publishedVersion instead."), (1, False, None)]
 
 
 def test_works_and_context(spark):
