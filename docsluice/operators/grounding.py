@@ -259,12 +259,18 @@ def reviewer_payload(papers: DataFrame, modules: DataFrame, rubric: DataFrame, n
     names = F.concat(F.lit('{"module": '), _quoted(F.col("module_key").cast("string")), F.lit(', "rubric_item": '), _quoted(F.col("rubric_item")), F.lit(', "evidence": ['))
     evidence = F.transform(F.arrays_zip("evidence_ids", "quotes"), lambda e: F.concat(F.lit('{"id": '), _quoted(e["evidence_ids"]), F.lit(', "quote": '), _quoted(F.left(e["quotes"], F.lit(QUOTE_CHARS))), F.lit("}")))
     cited = (F.col("evidence_state") == "observed") & (F.size("evidence_ids") > 0)
-    bare = F.concat(names, F.lit("]}"))
-    full = F.when(cited, F.concat(names, F.array_join(evidence, ", "), F.lit('], "observation": '), _quoted(F.left("observation", F.lit(OBSERVATION_CHARS))), F.lit("}"))).otherwise(bare)
-    items = papers.select("paper_id", "profile").join(rubric, "profile").join(modules.select("module_key", "module_pos"), "module_key")
-    rows = items.join(notes.select("paper_id", "module_key", "rubric_item", "evidence_state", "observation", "quotes", "evidence_ids"), ["paper_id", "module_key", "rubric_item"], "left")
-    rows = rows.select("paper_id", F.struct("module_pos", "item_pos", bare.alias("bare"), full.alias("full")).alias("e"))
-    listed = rows.groupBy("paper_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    more = F.when(cited, F.concat(F.array_join(evidence, ", "), F.lit('], "observation": '), _quoted(F.left("observation", F.lit(OBSERVATION_CHARS))), F.lit("}")))
+    # items are listed once a profile and notes once a paper: no row for each item of a paper is made
+    asked = rubric.join(modules.select("module_key", "module_pos"), "module_key").groupBy("profile").agg(F.collect_list(F.struct("module_pos", "item_pos", "module_key", "rubric_item", names.alias("names"))).alias("_asked"))
+    said = notes.groupBy("paper_id").agg(F.collect_list(F.struct("module_key", "rubric_item", more.alias("more"))).alias("_said"))
+
+    def entries(i: Column) -> Column:
+        own = F.transform(F.filter("_said", lambda n: (n["module_key"] == i["module_key"]) & (n["rubric_item"] == i["rubric_item"])), lambda n: n["more"])
+        bare = F.concat(i["names"], F.lit("]}"))
+        texts = F.when(F.size(own) > 0, own).otherwise(F.array(F.lit(None).cast("string")))
+        return F.transform(texts, lambda t: F.struct(i["module_pos"].alias("module_pos"), i["item_pos"].alias("item_pos"), bare.alias("bare"), F.coalesce(F.concat(i["names"], t), bare).alias("full")))
+
+    listed = papers.select("paper_id", "profile").join(said, "paper_id", "left").join(F.broadcast(asked), "profile").select("paper_id", F.array_sort(F.flatten(F.transform("_asked", entries))).alias("es"))
     total = F.aggregate("es", F.lit(0), lambda a, e: a + F.length(e["bare"]) + 2)  # two marks around all, and two between each
     listed = listed.withColumn("_bare", F.when(total <= limit, total).otherwise(F.raise_error(F.lit("the bare entries pass the limit")).cast("int")))
 
